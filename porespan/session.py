@@ -22,6 +22,7 @@ def spark_session(app: str = "porespan", cores: int | str = "*", partitions: int
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("PORESPAN_DRIVER_MEMORY", "8g"))
         .getOrCreate()
     )
