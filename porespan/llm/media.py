@@ -103,7 +103,7 @@ def write_media(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
                 if z is None:
                     name = new_file(folder, ".zip")
                     fs, path = filesystem(name)
-                    out = fs.open_output_stream(path)
+                    out = fs.open_output_stream(path, compression=None)
                     z = zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=1)
                 data = (text or "").encode()
                 z.writestr(zipfile.ZipInfo(f"{NULL_ID if key is None else key}.wav"), wav(padded(data), len(data)), zipfile.ZIP_DEFLATED, 1)

@@ -91,7 +91,7 @@ def write_warc(
                 if out is None:
                     path, records, size = new_file(folder, ".warc.gz"), 0, 0
                     fs, name = filesystem(path)
-                    out = fs.open_output_stream(name)
+                    out = fs.open_output_stream(name, compression=None)
                 member = _gzip(record_bytes(page_id, url, body, base64.b32encode(bytes.fromhex(digest)).decode(), first))
                 out.write(member)
                 records, size = records + 1, size + len(member)
