@@ -1,17 +1,430 @@
-"""Queries by name, each over whole tables, with SQL where SQL can express them."""
+"""Queries by name, each over whole tables, with SQL where SQL can express them.
+
+The sample particles are spheres at 20 times the first three coordinates of each embedding.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from porespan.functions import geometry as G
+from porespan.functions import stats
+from porespan.operators import contacts as C
+from porespan.operators import percolation as P
+from porespan.operators import transport as T
+from porespan.plans import workflows as W
+from porespan.policy import Domain
+from porespan.sources.particles import Population, embedding_particles
+
+WIDE, BOX = Domain(16.0), Domain(8.0, (True, True, True))
+THRESHOLD = 0.1
+
+
+PARTICLES = """p as (select vec_id::int as idx, embedding[1]::double * 20.0 as cx, embedding[2]::double * 20.0 as cy, embedding[3]::double * 20.0 as cz,
+ 0.5::double + 0.1::double * (label % 4) as r from embeddings)"""
+#: All periodic images within one cell of the wrapped sample spheres.
+PERIODIC = (
+    PARTICLES
+    + """, w as (select idx, r, (-floor((cx + 4.0) / 8.0))::bigint as qx, (-floor((cy + 4.0) / 8.0))::bigint as qy, (-floor((cz + 4.0) / 8.0))::bigint as qz, cx, cy, cz from p),
+ v as (select idx, r, qx, qy, qz, cx + qx * 8.0 as x, cy + qy * 8.0 as y, cz + qz * 8.0 as z from w),
+ k as (select a.k as kx, b.k as ky, c.k as kz from (select unnest([-1, 0, 1]) as k) a, (select unnest([-1, 0, 1]) as k) b, (select unnest([-1, 0, 1]) as k) c),
+ e as (select i.idx as i, j.idx as j, kx + j.qx - i.qx as sx, ky + j.qy - i.qy as sy, kz + j.qz - i.qz as sz,
+   greatest(sqrt((i.x - j.x - 8.0 * kx) ** 2 + (i.y - j.y - 8.0 * ky) ** 2 + (i.z - j.z - 8.0 * kz) ** 2) - i.r - j.r, 0) as gap
+   from v i join v j on i.idx < j.idx cross join k where gap <= 0.1 + 1e-9)"""
+)
+OPEN = PARTICLES + """, e as (select a.idx as i, b.idx as j, greatest(sqrt((a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2 + (a.cz - b.cz) ** 2) - a.r - b.r, 0) as gap from p a join p b on a.idx < b.idx where gap <= 0.1 + 1e-9)"""
+REACH = """, b as (select i, j from e union all select j, i from e), reach as (select idx as node, idx as far from p union select reach.node, b.j from reach join b on reach.far = b.i),
+ comp as (select node as idx, min(far)::bigint as component from reach group by node)"""
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _r(c, n: int = 6):
+    """Rounded, without a negative zero."""
+    return F.round(c, n) + F.lit(0.0)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    """Clusters of the sample particles and whether one joins both x faces."""
+    return q_spanning_components(spark, sf_dir)
+
+
+# ---------------------------------------------------------------- scalar geometry
+
+
+def q_periodic_coordinates(spark, sf_dir):
+    p = embedding_particles(spark, sf_dir)
+    cols = []
+    for k, a in enumerate("xyz"):
+        c = F.col(f"c{a}")
+        cols += [G.canonical_shift(c, BOX, k).alias(f"b{a}"), _r(G.wrap(c, BOX, k)).alias(f"w{a}"), _r(G.minimum_image(c - 1.0, BOX, k)).alias(f"m{a}")]
+    return p.select("idx", *cols)
+
+
+S_PERIODIC = "with " + PARTICLES + " select idx, " + ", ".join(
+    f"(-floor((c{a} + 4.0) / 8.0))::bigint as b{a}, round(c{a} - floor((c{a} + 4.0) / 8.0) * 8.0, 6) + 0.0 as w{a}, round(c{a} - 1.0 - floor((c{a} - 1.0) / 8.0 + 0.5) * 8.0, 6) + 0.0 as m{a}" for a in "xyz"
+) + " from p"
+
+
+def q_body_gaps(spark, sf_dir):
+    """Every sphere against a fixed sphere, cylinder, rectangle and segment; and its cylinder against a parallel one."""
+    lit = lambda *v: tuple(F.lit(float(x)) for x in v)
+    p, r, up = embedding_particles(spark, sf_dir), F.col("radius"), lit(0, 0, 1)
+    at = tuple(F.col(f"c{a}") for a in "xyz")
+    return p.select(
+        "idx",
+        _r(G.sphere_sphere(at, r, lit(1, 1, 1), F.lit(0.5))).alias("sphere"),
+        _r(G.point_cylinder(at, lit(0, 0, 0), up, F.lit(4.0), F.lit(1.0))).alias("point_cylinder"),
+        _r(G.sphere_cylinder(at, r, lit(0, 0, 0), up, F.lit(4.0), F.lit(1.0))).alias("sphere_cylinder"),
+        _r(G.point_rectangle(at, lit(-4, 0, 0), lit(0, 2, 3))).alias("point_rectangle"),
+        _r(G.sphere_rectangle(at, r, lit(-4, 0, 0), lit(0, 2, 3))).alias("sphere_rectangle"),
+        _r(G.parallel_cylinders(at, F.lit(2.0), r, lit(1, 1, 1), F.lit(3.0), F.lit(0.5), up)).alias("parallel_cylinders"),
+        _r(G.point_segment(at, lit(-1, -1, -1), lit(2, 1, 1))).alias("segment"),
+    )
+
+
+S_BODY = "with " + PARTICLES + """, t as (select *, greatest(0, least(1, ((cx + 1) * 3 + (cy + 1) * 2 + (cz + 1) * 2) / 17.0)) as t from p),
+ g as (select *, sqrt(greatest(abs(cz) - 2, 0) ** 2 + greatest(sqrt(cx ** 2 + cy ** 2) - 1, 0) ** 2) as pc, sqrt((cx + 4) ** 2 + greatest(abs(cy) - 2, 0) ** 2 + greatest(abs(cz) - 3, 0) ** 2) as pr from t)
+select idx, round(greatest(sqrt((cx - 1) ** 2 + (cy - 1) ** 2 + (cz - 1) ** 2) - r - 0.5, 0), 6) as sphere, round(pc, 6) as point_cylinder, round(greatest(pc - r, 0), 6) as sphere_cylinder,
+ round(pr, 6) as point_rectangle, round(greatest(pr - r, 0), 6) as sphere_rectangle,
+ round(sqrt(greatest(abs(cz - 1) - 2.5, 0) ** 2 + greatest(sqrt((cx - 1) ** 2 + (cy - 1) ** 2) - r - 0.5, 0) ** 2), 6) as parallel_cylinders,
+ round(sqrt((cx + 1 - 3 * t) ** 2 + (cy + 1 - 2 * t) ** 2 + (cz + 1 - 2 * t) ** 2), 6) as segment from g"""
+
+
+def q_volumes(spark, sf_dir):
+    p = embedding_particles(spark, sf_dir)
+    v = G.sphere_volume(F.col("radius"))
+    return p.groupBy(_r(F.col("radius"), 3).alias("radius")).agg(F.count("*").alias("n"), _r(F.sum(v)).alias("volume"), _r(F.sum(v) / WIDE.volume, 9).alias("fraction"), _r(F.sum(v * 2.5)).alias("cost"))
+
+
+S_VOLUMES = "with " + PARTICLES + " select round(r, 3) as radius, count(*) as n, round(sum(4.0 / 3 * pi() * r ** 3), 6) as volume, round(sum(4.0 / 3 * pi() * r ** 3) / 4096.0, 9) as fraction, round(sum(4.0 / 3 * pi() * r ** 3 * 2.5), 6) as cost from p group by 1"
+
+
+def q_count_for_fraction(spark, sf_dir):
+    part = _table(spark, sf_dir, "part")
+    v = G.cylinder_volume(F.lit(0.01) * F.col("p_size"), F.col("p_retailprice") / 1000)
+    return part.select("p_partkey", *[G.count_for_fraction(F.lit(0.35), v, 1000.0, k).alias(k) for k in ("half_up", "ceil", "floor")])
+
+
+S_COUNT = "with a as (select p_partkey, 0.35::double * 1000.0::double / (pi() * (0.01::double * p_size) * (0.01::double * p_size) * (p_retailprice / 1000)) as x from part) select p_partkey, round(x)::bigint as half_up, ceil(x)::bigint as ceil, floor(x)::bigint as floor from a"
+
+
+def q_cylinder_gaps(spark, sf_dir):
+    """Contacts of cylinders in general position; gaps come from the certified solver."""
+    return C.cell_contacts(_cylinders(spark, sf_dir), WIDE, 0.05).select("i", "j", _r(F.col("gap")).alias("gap"))
+
+
+def _cylinders(spark, sf_dir):
+    from porespan.sources.particles import checked
+
+    e = _table(spark, sf_dir, "embeddings")
+    at = lambda k: F.col("embedding")[k].cast("double")
+    return checked(
+        e.select(F.col("vec_id").cast("int").alias("idx"), F.lit("cylinder").alias("shape"), *[(at(k) * 20).alias(f"c{a}") for k, a in enumerate("xyz")], *[(at(3 + k)).alias(f"u{a}") for k, a in enumerate("xyz")], F.lit(1.0).alias("length"), F.lit(0.1).alias("radius"))
+    )
+
+
+# ---------------------------------------------------------------- contacts
+
+
+def q_contacts(spark, sf_dir):
+    return C.cell_contacts(embedding_particles(spark, sf_dir), WIDE, THRESHOLD).select("i", "j", _r(F.col("gap")).alias("gap"))
+
+
+def q_contacts_bruteforce(spark, sf_dir):
+    return C.theta_contacts(embedding_particles(spark, sf_dir), WIDE, THRESHOLD).select("i", "j", _r(F.col("gap")).alias("gap"))
+
+
+S_CONTACTS = "with " + OPEN + " select i, j, round(gap, 6) as gap from e"
+
+
+def q_periodic_contacts(spark, sf_dir):
+    return C.cell_contacts(embedding_particles(spark, sf_dir), BOX, THRESHOLD).select("i", "j", "sx", "sy", "sz", _r(F.col("gap")).alias("gap"))
+
+
+S_PERIODIC_CONTACTS = "with " + PERIODIC + " select i, j, sx, sy, sz, round(gap, 6) as gap from e"
+
+
+def q_contact_parity(spark, sf_dir):
+    """Contacts that only one of both joins finds, by flags of the axes: none."""
+    p = embedding_particles(spark, sf_dir)
+    out = None
+    for flags in ((False, False, False), (True, False, True), (True, True, True)):
+        d = Domain(8.0, flags)
+        a, b = (x.select("i", "j", "sx", "sy", "sz") for x in (C.cell_contacts(p, d, THRESHOLD), C.theta_contacts(p, d, THRESHOLD)))
+        part = a.exceptAll(b).unionByName(b.exceptAll(a)).agg(F.count("*").alias("different")).withColumn("periodic", F.lit("".join("T" if f else "F" for f in flags)))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+S_PARITY = "select unnest(['FFF', 'TFT', 'TTT']) as periodic, 0::bigint as different"
+
+
+def q_contact_degree(spark, sf_dir):
+    c = C.cell_contacts(embedding_particles(spark, sf_dir), BOX, THRESHOLD)
+    return c.select(F.explode(F.array("i", "j")).alias("idx"), "gap").groupBy("idx").agg(F.count("*").alias("degree"), F.count_if(F.col("gap") == 0).alias("overlaps"), _r(F.max("gap")).alias("widest"))
+
+
+S_DEGREE = "with " + PERIODIC + " select idx, count(*) as degree, count(*) filter (gap = 0) as overlaps, round(max(gap), 6) as widest from (select i as idx, gap from e union all select j, gap from e) group by idx"
+
+
+def q_periodic_distance(spark, sf_dir):
+    """The nearest image of each touching pair: the least gap, then the least steps."""
+    c = C.cell_contacts(embedding_particles(spark, sf_dir), BOX, THRESHOLD)
+    m = F.min(F.struct(_r(F.col("gap")).alias("gap"), "sx", "sy", "sz"))
+    return c.groupBy("i", "j").agg(m.alias("m"), F.count("*").alias("images")).select("i", "j", "m.gap", "m.sx", "m.sy", "m.sz", "images")
+
+
+S_DISTANCE = "with " + PERIODIC + ", o as (select *, row_number() over (partition by i, j order by round(gap, 6), sx, sy, sz) as k, count(*) over (partition by i, j) as images from e) select i, j, round(gap, 6) as gap, sx, sy, sz, images from o where k = 1"
+
+
+def q_search_counters(spark, sf_dir):
+    """Candidate pairs, particle pairs and contacts of the join by cells; all pairs of the check."""
+    p = embedding_particles(spark, sf_dir)
+    c = C.cell_contacts(p, WIDE, THRESHOLD)
+    n = p.agg((F.count("*") * (F.count("*") - 1) / 2).cast("long").alias("all_pairs"))
+    return c.agg(F.count("*").alias("contacts"), F.countDistinct("i", "j").alias("particle_pairs")).crossJoin(n)
+
+
+S_COUNTERS = "with " + OPEN + " select (select count(*) from e) as contacts, (select count(*) from (select distinct i, j from e)) as particle_pairs, (select (count(*) * (count(*) - 1) // 2)::bigint from p) as all_pairs"
+
+
+def q_face_gaps(spark, sf_dir):
+    e = C.electrodes(embedding_particles(spark, sf_dir), Domain(8.0, (False, True, False)), 0, THRESHOLD)
+    return e.select("idx", _r(F.col("lower_gap")).alias("lower_gap"), _r(F.col("upper_gap")).alias("upper_gap"), "at_lower", "at_upper")
+
+
+S_FACES = "with " + PARTICLES + """, g as (select idx, greatest(sqrt((cx + 4) ** 2 + greatest(abs(cz) - 4, 0) ** 2) - r, 0) as lo, greatest(sqrt((cx - 4) ** 2 + greatest(abs(cz) - 4, 0) ** 2) - r, 0) as up from p)
+select idx, round(lo, 6) as lower_gap, round(up, 6) as upper_gap, lo <= 0.1 + 1e-9 as at_lower, up <= 0.1 + 1e-9 as at_upper from g"""
+
+
+# ---------------------------------------------------------------- graphs
+
+
+def q_components(spark, sf_dir):
+    p = embedding_particles(spark, sf_dir)
+    return P.components(p, C.cell_contacts(p, WIDE, THRESHOLD))
+
+
+S_COMPONENTS = "with recursive " + OPEN + REACH + " select idx, component from comp"
+
+
+def q_spanning_components(spark, sf_dir):
+    return P.spanning_components(embedding_particles(spark, sf_dir), Domain(8.0), THRESHOLD)
+
+
+S_SPANNING = "with recursive " + OPEN + REACH + """, f as (select idx, greatest(sqrt((cx + 4) ** 2 + greatest(abs(cy) - 4, 0) ** 2 + greatest(abs(cz) - 4, 0) ** 2) - r, 0) <= 0.1 + 1e-9 as lo,
+ greatest(sqrt((cx - 4) ** 2 + greatest(abs(cy) - 4, 0) ** 2 + greatest(abs(cz) - 4, 0) ** 2) - r, 0) <= 0.1 + 1e-9 as up from p)
+select component, count(*) as size, bool_or(lo) as at_lower, bool_or(up) as at_upper, bool_or(lo) and bool_or(up) as spans from comp join f using (idx) group by component"""
+
+
+def q_spanning_depth(spark, sf_dir):
+    depth = P.spanning_depth(embedding_particles(spark, sf_dir), Domain(8.0), THRESHOLD)
+    return spark.createDataFrame([(depth,)], "particles_on_path int")
+
+
+S_DEPTH = "with recursive " + OPEN + """, f as (select idx, greatest(sqrt((cx + 4) ** 2 + greatest(abs(cy) - 4, 0) ** 2 + greatest(abs(cz) - 4, 0) ** 2) - r, 0) <= 0.1 + 1e-9 as lo,
+ greatest(sqrt((cx - 4) ** 2 + greatest(abs(cy) - 4, 0) ** 2 + greatest(abs(cz) - 4, 0) ** 2) - r, 0) <= 0.1 + 1e-9 as up from p), b as (select i, j from e union all select j, i from e),
+ go as (select idx, 1 as depth from f where lo union select b.j, depth + 1 from go join b on go.idx = b.i where depth < 40) select min(depth)::int as particles_on_path from go join f using (idx) where up"""
+
+
+def q_logical_nodes(spark, sf_dir):
+    p = embedding_particles(spark, sf_dir).join(_table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("int").alias("idx"), "label"), "idx")
+    return P.logical_nodes(p.withColumn("parent_id", F.when(F.col("label") % 3 != 0, F.col("label").cast("string")))).select("idx", F.col("node").cast("long").alias("node"), F.col("first").cast("long").alias("first"))
+
+
+S_NODES = "with a as (select vec_id::int as idx, case when label % 3 <> 0 then 'p' || label else 'i' || vec_id end as k from embeddings), b as (select idx, min(idx) over (partition by k) as first from a) select idx, dense_rank() over (order by first) - 1 as node, first::bigint as first from b"
+
+
+def q_percolation(spark, sf_dir):
+    """Face to face along each axis, with the reported path's length."""
+    p, out = embedding_particles(spark, sf_dir), None
+    for k in range(3):
+        part = P.analyze_percolation(p, Domain(8.0), THRESHOLD, k).select(F.lit("xyz"[k]).alias("axis"), "percolates", "n_components", F.size("path").alias("path_length"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def q_winding(spark, sf_dir):
+    p, out = embedding_particles(spark, sf_dir), None
+    for k in range(3):
+        part = P.analyze_percolation(p, BOX, THRESHOLD, k, "periodic_wrap").select(F.lit("xyz"[k]).alias("axis"), "percolates", "n_components")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+# ---------------------------------------------------------------- transport
+
+
+def q_conductances(spark, sf_dir):
+    c = C.cell_contacts(embedding_particles(spark, sf_dir), WIDE, THRESHOLD)
+    g = F.col("gap")
+    return c.select("i", "j", G.constant_conductance(g, 2.0, 0.05).alias("constant"), _r(G.tunnelling_conductance(g, 1.5, 0.2, 0.08), 9).alias("tunnelling"))
+
+
+S_CONDUCTANCES = "with " + OPEN + " select i, j, case when gap <= 0.05 then 2.0 else 0.0 end::double as constant, round(case when gap <= 0.08 then exp(ln(1.5::double) - 2 * (gap / 0.2::double)) else 0.0 end, 9)::double as tunnelling from e"
+
+
+def q_series_parallel(spark, sf_dir):
+    """Lines of an order as resistors of their quantity: in a row, and side by side."""
+    g = F.col("l_quantity")
+    return _table(spark, sf_dir, "lineitem").where(g > 0).groupBy("l_orderkey").agg(_r(1 / F.sum(1 / g)).alias("series"), _r(F.sum(g)).alias("parallel"), F.count("*").alias("resistors"))
+
+
+S_SERIES = "select l_orderkey, round(1 / sum(1 / l_quantity), 6) as series, round(sum(l_quantity), 6) as parallel, count(*) as resistors from lineitem where l_quantity > 0 group by 1"
+
+
+def q_series_networks(spark, sf_dir):
+    """The same rows solved as networks by Kirchhoff's laws: node k - 1 to k for the k-th line of an order."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    rows = _table(spark, sf_dir, "lineitem").where("l_quantity > 0").withColumn("k", F.row_number().over(order))
+    n = F.max("k").over(Window.partitionBy("l_orderkey"))
+    # inner nodes 0 .. n - 2; the faces are n - 1 and n
+    at = lambda k: F.when(k == 0, F.col("n") - 1).when(k == F.col("n"), F.col("n")).otherwise(k - 1)
+    net = rows.withColumn("n", n).select(F.col("l_orderkey").alias("realization_id"), F.lit("x").alias("axis"), (F.col("n") - 1).alias("n_nodes"), at(F.col("k") - 1).alias("a"), at(F.col("k")).alias("b"), F.col("l_quantity").alias("g"))
+    return T.solve(net).select(F.col("realization_id").alias("l_orderkey"), _r(F.col("conductance")).alias("series"))
+
+
+S_SERIES_NETWORKS = "select l_orderkey, round(1 / sum(1 / l_quantity), 6) as series from lineitem where l_quantity > 0 group by 1"
+
+
+def q_directional_sigma(spark, sf_dir):
+    s = T.conductivity(embedding_particles(spark, sf_dir), Domain(8.0, (True, True, True)), T.Law(1.0, 0.1, 0.2), ("x", "y", "z"))
+    return T.directional(s).select("realization_id", *[_r(F.col(f"sigma_{a}"), 9).alias(f"sigma_{a}") for a in "xyz"])
+
+
+# ---------------------------------------------------------------- statistics
+
+
+def _trials(spark, sf_dir):
+    e = _table(spark, sf_dir, "events")
+    return e.groupBy((F.col("user_id") % 97).alias("grp")).agg(F.count("*").alias("n"), F.count_if(F.col("value") > 50).alias("k"))
+
+
+def q_binomial_estimate(spark, sf_dir):
+    k, n = F.col("k"), F.col("n")
+    low, high = stats.wilson(k, n)
+    return _trials(spark, sf_dir).select("grp", "n", "k", _r(k / n).alias("p"), _r(F.sqrt(k / n * (1 - k / n) / n)).alias("se"), _r(low).alias("low"), _r(high).alias("high"))
+
+
+S_BINOMIAL = """with a as (select user_id % 97 as grp, count(*) as n, count(*) filter (value > 50) as k from events group by 1), b as (select *, k::double / n as p, 1.959963984540054::double as z from a),
+ c as (select *, (p + z * z / (2 * n)) / (1 + z * z / n) as m, z / (1 + z * z / n) * sqrt(p * (1 - p) / n + z * z / (4.0::double * n * n)) as h from b)
+select grp, n, k, round(p, 6) as p, round(sqrt(p * (1 - p) / n), 6) as se, round(case when k = 0 then 0 else m - h end, 6) as low, round(case when k = n then 1 else m + h end, 6) as high from c"""
+
+
+def q_clopper_pearson(spark, sf_dir):
+    t = _trials(spark, sf_dir).withColumn("ci", stats.clopper_pearson()("k", "n"))
+    return t.select("grp", "n", "k", _r(F.col("ci.low"), 9).alias("low"), _r(F.col("ci.high"), 9).alias("high"))
+
+
+def q_isotonic(spark, sf_dir):
+    e = _table(spark, sf_dir, "events")
+    grid = e.groupBy((F.dayofmonth("ts") * 24 + F.hour("ts")).alias("slot")).agg(F.avg("value").alias("value"), F.count("*").cast("double").alias("weight"))
+    return stats.isotonic(grid, "slot", "value", "weight").select("slot", _r(F.col("fitted")).alias("fitted"))
+
+
+S_ISOTONIC = """with a as (select day(ts) * 24 + hour(ts) as slot, avg(value) as v, count(*)::double as w from events group by 1), b as (select slot, v * w as s0, w as w0, sum(v * w) over (order by slot) as s, sum(w) over (order by slot) as c from a),
+ m as (select x.slot as i, y.slot as j, (y.s - x.s + x.s0) / (y.c - x.c + x.w0) as m from b x join b y on x.slot <= y.slot),
+ n as (select i, j, min(m) over (partition by i order by j desc) as low from m)
+select j::int as slot, round(max(low), 6) as fitted from n group by j"""
+
+
+def q_mean_se(spark, sf_dir):
+    return _table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), _r(F.avg("value")).alias("mean"), _r(F.stddev_samp("value") / F.sqrt(F.count("*"))).alias("se"), F.count_if(F.col("value") > 0).alias("positive"))
+
+
+S_MEAN = "select event_type, count(*) as n, round(avg(value), 6) as mean, round(stddev_samp(value) / sqrt(count(*)), 6) as se, count(*) filter (value > 0) as positive from events group by 1"
+
+
+def q_quartiles(spark, sf_dir):
+    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    return _table(spark, sf_dir, "events").groupBy("event_type").agg(q.alias("q")).select("event_type", *[_r(F.col("q")[k]).alias(n) for k, n in enumerate(("q1", "median", "q3"))])
+
+
+S_QUARTILES = "select event_type, round(quantile_cont(value, 0.25), 6) as q1, round(quantile_cont(value, 0.5), 6) as median, round(quantile_cont(value, 0.75), 6) as q3 from events group by 1"
+
+
+def q_nested_search(spark, sf_dir):
+    """A user's first success latches: successes by hour of the day over users, as in the nested search."""
+    e = _table(spark, sf_dir, "events").groupBy("user_id", F.hour("ts").alias("slot")).agg(F.max((F.col("value") > 90).cast("int")).alias("hit"))
+    latched = e.withColumn("latched", F.max("hit").over(Window.partitionBy("user_id").orderBy("slot")))
+    return latched.groupBy("slot").agg(F.sum("latched").alias("successes"), F.count("*").alias("trials"))
+
+
+S_NESTED = "with a as (select user_id, hour(ts)::int as slot, max((value > 90)::int) as hit from events group by 1, 2), b as (select *, max(hit) over (partition by user_id order by slot) as l from a) select slot, sum(l)::bigint as successes, count(*) as trials from b group by 1"
+
+
+def q_mixture_candidates(spark, sf_dir):
+    """All mixtures of three sizes with bounds, cheapest first, and the cheapest that reaches each brand's mean price."""
+    need = _table(spark, sf_dir, "part").groupBy("p_brand").agg(F.avg(F.col("p_retailprice")).alias("need"))
+    pops = [Population(0.5, 0, None, 1.0), Population(0.3, 0, 2.0, 2.0), Population(1.0, 0, None, 0.5)]
+    c = W.candidates(spark, pops, [(0, 9), (0, 9), (0, 9)]).select("counts", _r(F.col("cost"), 9).alias("cost"), (F.col("counts")[0] * 90 + F.col("counts")[1] * 110 + F.col("counts")[2] * 200).alias("gain"))
+    fit = need.join(c, F.col("gain") >= F.col("need")).groupBy("p_brand").agg(F.min(F.struct("cost", "counts")).alias("m"))
+    return fit.select("p_brand", "m.cost", *[F.col("m.counts")[k].alias(f"n{k}") for k in range(3)])
+
+
+S_MIXTURE = """with need as (select p_brand, avg(p_retailprice) as need from part group by 1), n as (select unnest(range(10)) as n),
+ c as (select a.n as n0, b.n as n1, c.n as n2, round(a.n * (4.0 / 3 * pi() * 0.125) + b.n * (pi() * 0.3::double * 0.3::double * 2 * 2) + c.n * (4.0 / 3 * pi() * 0.5), 9) as cost, a.n * 90 + b.n * 110 + c.n * 200 as gain from n a, n b, n c),
+ o as (select p_brand, cost, n0, n1, n2, row_number() over (partition by p_brand order by cost, n0, n1, n2) as k from need join c on gain >= need) select p_brand, cost, n0, n1, n2 from o where k = 1"""
+
+
+# ---------------------------------------------------------------- workflows
+
+
+def q_mc_probability(spark, sf_dir):
+    model = W.Model(Domain(10.0, (False, True, True)), 0.2)
+    return spark.createDataFrame([W.probability(spark, model, [Population(1.0, 70)], 100, 314159)])
+
+
+def q_critical_loading(spark, sf_dir):
+    model = W.Model(Domain(10.0, (False, True, True)), 0.2)
+    r = W.critical_loading(spark, model, Population(1.0, 0), list(range(40, 101, 10)), target=0.7, search_trials=40, certification_trials=40, seed=314159)
+    return spark.createDataFrame([{"status": r["status"], "critical_count": r["critical_count"], **{k: s[k] for k in ("count", "successes", "fitted")}} for s in r["search"]])
+
+
+def q_optimize_mixture(spark, sf_dir):
+    model = W.Model(Domain(6.0), 0.2)
+    r = W.optimize_mixture(spark, model, [Population(1.0, 0, None, 1.0), Population(0.4, 0, 3.0, 2.0)], [(8, 10), (0, 1)], 0.2, 20, 40, seed=7)
+    return spark.createDataFrame([{"status": r["status"], "phase": k, "counts": s["counts"], "cost": s["cost"], "successes": s["successes"]} for k in ("screening", "certification") for s in r[k]])
+
+
+def q_conductivity_mc(spark, sf_dir):
+    s = W.conductivity_samples(spark, Domain(4.0, (True, True, True)), [Population(0.75, 8), Population(0.4, 6, 2.0)], T.Law(1.0, 0.4, 0.2), trials=10, seed=2026)
+    return W.summarize(s).select("axis", _r(F.col("mean"), 9).alias("mean"), _r(F.col("standard_error"), 9).alias("standard_error"), "conducting", "trials")
+
+
+def q_link_fits(spark, sf_dir):
+    rows = {k: (n, s) for k, n, s in _table(spark, sf_dir, "part").groupBy("p_size").agg(F.count("*"), F.count_if(F.col("p_retailprice") > 20 * F.col("p_size") + 700)).collect()}
+    x = sorted(rows)
+    fits = [stats.fit_link(x, [rows[v][0] - rows[v][1] for v in x], [rows[v][0] for v in x], k) for k in ("logistic", "probit")]
+    return spark.createDataFrame([{k: v for k, v in f.items() if k != "fitted"} for f in fits])
+
+
+def q_validation(spark, sf_dir):
+    from porespan.validate import checks
+
+    return spark.createDataFrame(checks(spark))
+
+
+_SQL = {
+    q_periodic_coordinates: S_PERIODIC, q_body_gaps: S_BODY, q_volumes: S_VOLUMES, q_count_for_fraction: S_COUNT, q_contacts: S_CONTACTS, q_contacts_bruteforce: S_CONTACTS, q_periodic_contacts: S_PERIODIC_CONTACTS,
+    q_contact_parity: S_PARITY, q_contact_degree: S_DEGREE, q_periodic_distance: S_DISTANCE, q_search_counters: S_COUNTERS, q_face_gaps: S_FACES, q_components: S_COMPONENTS, q_spanning_components: S_SPANNING,
+    q_spanning_depth: S_DEPTH, q_logical_nodes: S_NODES, q_conductances: S_CONDUCTANCES, q_series_parallel: S_SERIES, q_series_networks: S_SERIES_NETWORKS, q_binomial_estimate: S_BINOMIAL, q_isotonic: S_ISOTONIC,
+    q_mean_se: S_MEAN, q_quartiles: S_QUARTILES, q_nested_search: S_NESTED, q_mixture_candidates: S_MIXTURE,
+}
+_ROWS_ONLY = (q_cylinder_gaps, q_percolation, q_winding, q_directional_sigma, q_clopper_pearson, q_mc_probability, q_critical_loading, q_optimize_mixture, q_conductivity_mc, q_link_fits, q_validation)
+
+
+def _name(f) -> str:
+    return f.__name__.removeprefix("q_")
 
 
 def queries() -> dict:
-    return {}
+    return {_name(f): f for f in (*_SQL, *_ROWS_ONLY)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {_name(f): sql for f, sql in _SQL.items()}
