@@ -117,18 +117,21 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"))
-    rows = rows.select("id", "text", F.coalesce(F.col("id").cast("string"), F.lit("")).alias("key"), F.xxhash64("text", F.isnull("id")).alias("h"), F.char_length("text").alias("n"))
+    key = F.coalesce(F.concat(F.lit("v"), F.col("id").cast("string")), F.lit("null"))
+    rows = rows.select("id", "text", key.alias("key"), F.xxhash64("text").alias("h"), F.char_length("text").alias("n"))
     links = materialize(_neighbours(rows.drop("text")), "links")
-    # one exchange of the texts, with their sketches, serves both joins
-    base = rows.withColumn("words", word_hashes(F.col("text"))).withColumn("sketch", sketch(shingle_hashes(F.col("words"), n), k)).drop("words")
-    base = base.repartition("key", "h")
+    # both joins read the same three columns, so that one exchange of the texts serves both; sketches are cheaper to make again
+    base = rows.select("key", "h", "text").repartition("key", "h")
     asked = links.select(F.col("next_key").alias("key"), F.col("next_h").alias("h"), F.col("key").alias("for_key"), F.col("h").alias("for_h"), F.expr("n div 2").cast("int").alias("half"))
-    heads = base.join(asked, ["key", "h"]).select(F.col("for_key").alias("key"), F.col("for_h").alias("h"), F.col("text").substr(F.lit(1), F.col("half")).alias("head"), F.col("sketch").alias("next_sketch"))
+    heads = base.join(asked, ["key", "h"]).select("for_key", "for_h", "half", "text", word_hashes(F.col("text")).alias("words"))
+    heads = heads.select(F.col("for_key").alias("key"), F.col("for_h").alias("h"), F.col("text").substr(F.lit(1), F.col("half")).alias("head"), sketch(shingle_hashes(F.col("words"), n), k).alias("next_sketch"))
     if links.where("copies > 1").limit(1).count():
         heads = heads.groupBy("key", "h").agg(F.first("head").alias("head"), F.first("next_sketch").alias("next_sketch"))
-    both = base.join(heads, ["key", "h"])
+    both = base.join(heads, ["key", "h"]).withColumn("n", F.char_length("text"))
     both = both.withColumn("edited", F.concat(F.col("text").substr(F.lit(1), F.expr("n - n div 2").cast("int")), F.col("head")))
-    both = both.select("id", "n", F.sha2("edited", 256).alias("edited_sha256"), "sketch", "next_sketch", word_hashes(F.col("edited")).alias("words"))
+    doc_id = F.when(F.col("key") != "null", F.substring("key", 2, 1 << 30)).cast(docs.schema[id_col].dataType)
+    both = both.select(doc_id.alias("id"), "n", F.sha2("edited", 256).alias("edited_sha256"), "next_sketch", word_hashes(F.col("text")).alias("own"), word_hashes(F.col("edited")).alias("words"))
+    both = both.withColumn("sketch", sketch(shingle_hashes(F.col("own"), n), k))
     both = both.withColumn("edited_sketch", sketch(shingle_hashes(F.col("words"), n), k))
     return both.select(
         F.col("id").alias("doc_id"),

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from porespan.llm.words import ALNUM, chunks, mix, span_hashes, spans, text_buffers
 
 #: Documents of each label on which the model is trained at most, and characters of one of them.
-TRAIN_DOCS, TRAIN_CHARS = 1500, 200_000
+TRAIN_DOCS, TRAIN_CHARS = 1000, 200_000
 TRAIN_TOKENS, BITS, STEPS = 400_000, 18, 60
 #: Likelihood ratio and share of toxic contexts from which on a word is marked in toxic documents.
 MIN_RATIO, MIN_SHARE = 25.0, 0.85
