@@ -194,6 +194,18 @@ def _members(src: Bytes, start: int, stop: int) -> Iterator[dict]:
             return
 
 
+_HEAD = re.compile(rb"WARC/1\.\d\r\n(?:[!-~]+:[^\r\n]*\r\n)*?content-length:[^\r\n]*\r\n", re.IGNORECASE)
+
+
+def _next_version(src: Bytes, at: int) -> int:
+    """The first position from ``at`` on of a version line with headers that state a length; else the file's end."""
+    while (at := src.find(VERSION, at)) >= 0:
+        if _HEAD.match(src.get(at, 1 << 16)):
+            return at
+        at += 1
+    return src.size
+
+
 def _plain(src: Bytes) -> Iterator[dict]:
     """Records and gaps of an uncompressed file; version lines inside payloads don't start records there."""
     at = 0
@@ -210,8 +222,7 @@ def _plain(src: Bytes) -> Iterator[dict]:
             yield {"start": at, "stop": end} | parse_record(src.get(at, end - at))
             at = end
         except Broken as e:
-            found = src.find(b"\n" + VERSION, at)
-            found = src.size if found < 0 else found + 1
+            found = _next_version(src, at + 1)
             yield {"start": at, "stop": found, "kind": "gap", "reason": str(e)}
             at = found
 
