@@ -14,12 +14,13 @@ surrounds it.
 *Bitmaps.* Each set keeps the parities of its n-grams in ``BITS`` buckets. Two sets differ in at least as many n-grams
 as their parities do, which bounds their overlap; pairs that the bound rules out are never emitted.
 
-*Overlaps.* Candidate pairs are counted fragment by fragment (partial overlaps), and summed per pair.
+*Hot groups.* Nodes are distinct sets, so exact copies collapse before any pair exists and count as weights. Signatures
+with the same members are one bucket; members of a large bucket are dealt into blocks, and each pair of blocks is a join
+key of its own. Sets in many large buckets meet at the least signature that they share.
 
-*Hot groups.* Nodes are distinct sets, so exact copies collapse before any pair exists. Equal segments
-first link each member to the least and to the greatest member (two stars); only members that are still in different components
-afterwards are compared with each other: first neighbours in the bucket's hashed order, then what is still apart.
-Components need no further links.
+*Overlaps.* Clusters of candidate pairs are cut into blocks likewise; each pair of blocks gets its sets once and counts
+the overlaps of its pairs. All links between different sets are returned: their number grows with the square of a
+group of sets that are all alike.
 
 Cases: null or blank texts have an empty set and link with nothing; fewer than n words make one n-gram;
 repeated rows are copies; null ids take the component of their text; extra columns are ignored; an empty
@@ -44,8 +45,10 @@ from porespan.session import materialize
 
 #: Broadcast no more than this many ids (8 bytes each); beyond, tables are joined by shuffles.
 BROADCAST_IDS = 1_000_000
-#: Fragments in which the overlaps of candidate pairs are counted.
-COUNT_FRAGMENTS = 4
+#: Sets in a block of a large bucket or cluster, and n-grams in a block of a cluster.
+BLOCK, BLOCK_GRAMS = 256, 1 << 20
+#: Signatures of large buckets that a set carries in order to meet a partner once.
+CARRIED = 32
 #: Distinct sets that one task remembers in order to emit each of them once.
 REMEMBERED = 500_000
 MAX_SIZE = 1 << 31
@@ -178,8 +181,8 @@ def signature_table(docs: DataFrame, text_col: str, n: int, num: int, den: int)
     return docs.select(text_col).mapInArrow(run, "sig long, node long")
 
 
-def _segments(docs: DataFrame, text_col: str, n: int) -> DataFrame:
-    """``(node, frag, grams)``: the sets of the given documents, cut into the fragments of the global order."""
+def _sets_of(docs: DataFrame, text_col: str, n: int) -> DataFrame:
+    """``(node, grams)``: the distinct sets of the given documents, once per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -190,43 +193,71 @@ def _segments(docs: DataFrame, text_col: str, n: int) -> DataFrame:
                 h, of = h[keep], of[keep]
                 if not len(h):
                     continue
-                part = (h >> np.uint64(32)) * np.uint64(COUNT_FRAGMENTS) >> np.uint64(32)
-                starts = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (part[1:] != part[:-1])])
+                starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
                 grams = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(h)], pa.int32()), pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(node[of[starts]]), pa.array(part[starts].astype(np.int32)), grams], ["node", "frag", "grams"]
-                )
-
-    return docs.select(text_col).mapInArrow(run, "node long, frag int, grams array<long>")
+                yield pa.RecordBatch.from_arrays([pa.array(node[of[starts]]), grams], ["node", "grams"])
+
+    return docs.select(text_col).mapInArrow(run, "node long, grams array<long>")
+
+
+def linked_pairs(a: np.ndarray, b: np.ndarray, node: np.ndarray, grams: np.ndarray, offsets: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which of the pairs ``a, b`` link; ``offsets`` cut ``grams`` into the sets of ``node``."""
+    order = np.argsort(node)
+    left, right = order[np.searchsorted(node, a, sorter=order)], order[np.searchsorted(node, b, sorter=order)]
+    values, dense = np.unique(grams, return_inverse=True)
+    size, held = np.diff(offsets), np.zeros(len(values), bool)
+    common = np.zeros(len(a), np.int64)
+    by_left = np.argsort(left, kind="stable")
+    for mine in np.split(by_left, np.flatnonzero(np.diff(left[by_left])) + 1) if len(a) else []:
+        x = left[mine[0]]
+        own = dense[offsets[x] : offsets[x + 1]]
+        held[own] = True
+        lengths = size[right[mine]]
+        starts = np.cumsum(lengths) - lengths
+        at = np.arange(lengths.sum()) + np.repeat(offsets[right[mine]] - starts, lengths)
+        common[mine] = np.add.reduceat(held[dense[at]].astype(np.int64), starts)
+        held[own] = False
+    return common * (num + den) >= (size[left] + size[right]) * num
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int) -> DataFrame:
-    """Of ``(a, b)`` those that link. Sets are rebuilt for one document of each node in a pair."""
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    """``(a, b, rows_a, rows_b)`` of the ``(a, b)`` that link, with the rows that have each set. Sets are rebuilt for one document of each node in a pair."""
+    cluster = materialize(connected_components(pairs), "cluster")
     owner = materialize(
-        sets.where("node is not null").join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "n_shingles")).alias("x")).select("node", "x.*"), "owner"
+        sets.where("node is not null").join(cluster, "node").groupBy("node", "component").agg(F.min(F.struct("doc_id", "n_shingles")).alias("x"), F.count("*").alias("rows")).select("node", "component", "x.*", "rows"), "owner"
     )
+    count = owner.count()
     ids = owner.select(F.col("doc_id").alias(id_col)).where(F.col(id_col).isNotNull()).distinct()
-    ids = F.broadcast(ids) if owner.count() <= BROADCAST_IDS else ids
+    ids = F.broadcast(ids) if count <= BROADCAST_IDS else ids
     held = docs.join(ids, id_col, "left_semi")
     if sets.where("doc_id is null").limit(1).count():
         held = held.unionByName(docs.where(F.col(id_col).isNull()))
-    segments = _segments(held, text_col, n).dropDuplicates(["node", "frag"])
-    size = owner.select("node", "n_shingles")
-    overlaps = (
-        pairs.withColumn("frag", F.explode(F.array([F.lit(i) for i in range(COUNT_FRAGMENTS)])))
-        .join(segments.select(F.col("node").alias("a"), "frag", F.col("grams").alias("left")), ["a", "frag"])
-        .join(segments.select(F.col("node").alias("b"), "frag", F.col("grams").alias("right")), ["b", "frag"])
-        .select("a", "b", F.size(F.array_intersect("left", "right")).cast("long").alias("part"))
-        .groupBy("a", "b")
-        .agg(F.sum("part").alias("common"))
-    )
-    return (
-        overlaps.join(size.toDF("a", "size_a"), "a")
-        .join(size.toDF("b", "size_b"), "b")
-        .where(F.col("common") * (num + den) >= (F.col("size_a") + F.col("size_b")) * num)
-        .select("a", "b")
+    grams = _sets_of(held, text_col, n).dropDuplicates(["node"])
+    # clusters of one block share groups; larger ones are cut into blocks, and each pair of blocks is a group
+    blocks = owner.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_GRAMS)).alias("blocks"))
+    place = owner.join(blocks, "component").select(
+        "node",
+        "rows",
+        F.when(F.col("blocks") > 1, F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(count // BLOCK + 1))).alias("group"),
+        (F.col("blocks") > 1).alias("large"),
+        F.pmod(F.xxhash64("node", F.lit(1)), "blocks").alias("block"),
     )
+    place = materialize(place, "place")
+    key = ["group", "large", "i", "j"]
+    ends = [place.select(F.col("node").alias("a"), F.col("block").alias("x"), F.col("rows").alias("rows_a"), "group", "large"), place.select(F.col("node").alias("b"), F.col("block").alias("y"), F.col("rows").alias("rows_b"))]
+    dealt = pairs.join(ends[0], "a").join(ends[1], "b")
+    dealt = materialize(dealt.select("group", "large", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "a", "b", "rows_a", "rows_b"), "dealt")
+    needs = dealt.select(*key, F.col("a").alias("node")).distinct().unionByName(dealt.select(*key, F.col("b").alias("node")).distinct()).distinct().join(grams, "node")
+    needs = needs.select("node", "grams", *[F.col(c).alias(f"of_{c}") for c in key])
+
+    def run(two: pa.Table, some: pa.Table) -> pa.Table:
+        lists = some["grams"].combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        a, b = two["a"].to_numpy(), two["b"].to_numpy()
+        at = linked_pairs(a, b, some["node"].to_numpy(), lists.flatten().to_numpy(), np.r_[0, np.cumsum(lists.value_lengths().to_numpy())], num, den)
+        return two.select(["a", "b", "rows_a", "rows_b"]).filter(pa.array(at))
+
+    return dealt.groupBy(*key).cogroup(needs.groupBy(*[f"of_{c}" for c in key])).applyInArrow(run, "a long, b long, rows_a long, rows_b long")
 
 
 def ngram_jaccard_join(
@@ -235,58 +266,46 @@ def ngram_jaccard_join(
     """Documents whose n-gram sets have a Jaccard similarity of at least ``threshold[0] / threshold[1]``.
 
     Returns ``members`` with a row for each row of ``docs`` (``doc_id, text_hash, n_shingles, node,
-    component_id, n_links``) and ``links`` (``a, b``) between nodes, i.e. distinct sets. ``component_id`` is the least
-    id that links reach; ``n_links`` counts the links found at the document's node (those that the
-    components need: copies and already connected pairs are not expanded).
+    component_id, n_links``) and ``links`` (``a, b``), all links between nodes, i.e. distinct sets. ``component_id`` is
+    the least id that links reach; ``n_links`` counts the other rows that the row links with, copies among them.
     """
     num, den = threshold
     sets = materialize(set_table(docs, id_col, text_col, n), "sets")
     by_sig = materialize(_buckets(signature_table(docs, text_col, n, num, den)), "buckets")
-    check = lambda pairs: _verified(pairs, sets, docs, id_col, text_col, n, num, den)
     facts = sets.where("node is not null").groupBy("node").agg(F.first("n_shingles").alias("n"), *[F.first(c).alias(c) for c in PARITIES])
-    facts = materialize(facts.join(by_sig.select("node").distinct(), "node", "left_semi"), "facts")
-    star = by_sig.select("node", F.explode(F.array("leader", "most")).alias("to")).where("node <> to").select(F.least("to", "node").alias("a"), F.greatest("to", "node").alias("b")).distinct()
-    star = star.join(_renamed(facts, "a"), "a").join(_renamed(facts, "b"), "b").where(_possible(num, den)).select("a", "b")
-    star = materialize(star, "star")
-    links = materialize(check(star), "links")
+    facts = facts.join(by_sig.select("node").distinct(), "node", "left_semi")
+    pairs = materialize(_candidates(by_sig, facts, num, den), "pairs")
+    links = materialize(_verified(pairs, sets, docs, id_col, text_col, n, num, den), "links")
     label = materialize(connected_components(links), "label")
-    # neighbours in the buckets first, in number linear in the members: what they connect is never compared in pairs
-    near = materialize(_neighbours(by_sig, label, star, facts, num, den), "near")
-    if near.limit(1).count():
-        links = materialize(links.unionByName(check(near)), "links")
-        label = materialize(connected_components(links), "label")
-    rest = materialize(_apart(by_sig, label, star.unionByName(near), facts, num, den), "rest")
-    if rest.limit(1).count():
-        links = materialize(links.unionByName(check(rest)), "links")
-        label = connected_components(links)
-    label = materialize(label, "label")
     nodes = (
         sets.where("node is not null")
         .groupBy("node")
         .agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"))
         .join(label, "node", "left")
         .where("rows > 1 or component is not null")
-        .select("node", "first", F.coalesce("component", "node").alias("component"))
+        .select("node", "first", "rows", F.coalesce("component", "node").alias("component"))
     )
     nodes = materialize(nodes, "nodes")
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    degree = links.groupBy(F.col("a").alias("node")).agg(F.sum("rows_b").alias("linked")).unionByName(links.groupBy(F.col("b").alias("node")).agg(F.sum("rows_a").alias("linked")))
+    degree = degree.groupBy("node").agg(F.sum("linked").alias("linked"))
     least = nodes.groupBy("component").agg(F.min("first").alias("component_id"))
-    known = nodes.join(least, "component").join(degree, "node", "left").select("node", "component_id", "n_links")
+    known = nodes.join(least, "component").join(degree, "node", "left").select("node", "component_id", (F.coalesce("linked", F.lit(0)) + F.col("rows") - 1).alias("n_links"))
     known = materialize(known, "known")
     if known.count() <= BROADCAST_IDS // 4:
         known = F.broadcast(known)
     members = sets.join(known, "node", "left").select(
         "doc_id", "text_hash", "n_shingles", "node", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
     )
-    return members, links
+    return members, links.select("a", "b")
 
 
 def _buckets(signatures: DataFrame) -> DataFrame:
-    """Signatures that more than one node has, with the least and the greatest of these nodes as leaders."""
+    """``(sig, node)`` of the signatures that more than one node has."""
     w = Window.partitionBy("sig")
     return (
         signatures.select("sig", "node", F.min("node").over(w).alias("leader"), F.max("node").over(w).alias("most"))
         .where("leader <> most")
+        .select("sig", "node")
         .distinct()
     )
 
@@ -303,33 +322,23 @@ def _possible(num: int, den: int) -> Column:
     return overlap * (num + den) >= total * num
 
 
-def _open_members(by_sig: DataFrame, label: DataFrame) -> DataFrame:
-    """``(sig, node, component)`` of the buckets whose members are in more than one component."""
-    named = by_sig.join(label, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
-    open_sigs = named.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("sig")
-    return named.join(open_sigs, "sig", "left_semi")
-
-
-def _neighbours(by_sig: DataFrame, label: DataFrame, done: DataFrame, facts: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs next to each other in a bucket's hashed order that are in different components, may link and have not been compared."""
-    named = _open_members(by_sig, label).join(facts, "node")
-    order = Window.partitionBy("sig").orderBy(F.xxhash64("sig", "node"))
-    columns = [c for c in named.columns if c != "sig"]
-    own = [F.col(c).alias("a" if c == "node" else f"a_{c}") for c in columns]
-    follower = [F.lead(c).over(order).alias("b" if c == "node" else f"b_{c}") for c in columns]
-    pairs = named.select(*own, *follower).where("a_component <> b_component").where(_possible(num, den))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
-
-
-def _apart(by_sig: DataFrame, label: DataFrame, done: DataFrame, facts: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs that share a signature, are in different components, may link and have not been compared."""
-    named = _open_members(by_sig, label).join(facts, "node")
-    x, y = _renamed(named.drop("sig"), "a").columns, _renamed(named.drop("sig"), "b").columns
-    cells = named.columns
-    left = named.select("sig", *[F.col(c).alias(n) for c, n in zip([c for c in cells if c != "sig"], x, strict=True)])
-    right = named.select("sig", *[F.col(c).alias(n) for c, n in zip([c for c in cells if c != "sig"], y, strict=True)])
-    near = left.join(right, (left["sig"] == right["sig"]) & F.expr("a < b and a_component <> b_component") & _possible(num, den))
-    return near.select("a", "b").distinct().join(done, ["a", "b"], "left_anti")
+def _candidates(by_sig: DataFrame, facts: DataFrame, num: int, den: int) -> DataFrame:
+    """``(a, b)``, a < b: all pairs that share a signature and may link."""
+    content = [F.count("*").alias("m"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")]
+    buckets = by_sig.groupBy("sig").agg(*content).groupBy("m", "x", "y").agg(F.min("sig").alias("sig"))
+    held = materialize(by_sig.join(buckets.select("sig", F.ceil(F.col("m") / BLOCK).alias("blocks")), "sig"), "held")
+    carried = F.slice(F.sort_array(F.collect_list("sig")), 1, CARRIED)
+    facts = facts.join(held.where("blocks > 1").groupBy("node").agg(carried.alias("carried")), "node", "left")
+    dealt = materialize(held.join(facts, "node").withColumn("block", F.pmod(F.xxhash64("node"), "blocks")), "dealt")
+    cells = ["node", "n", *PARITIES, "carried"]
+    side = lambda name, own, other, first, last: dealt.select(
+        "sig", F.col("block").alias(own), F.explode(F.sequence(first, last)).alias(other), *[F.col(c).alias(name if c == "node" else f"{name}_{c}") for c in cells]
+    )
+    left, right = side("a", "i", "j", F.col("block"), F.col("blocks") - 1), side("b", "j", "i", F.lit(0).cast("long"), F.col("block"))
+    at_first = F.coalesce(F.array_min(F.array_intersect("a_carried", "b_carried")) >= F.col("l.sig"), F.lit(True))
+    same = (F.col("l.sig") == F.col("r.sig")) & (F.col("l.i") == F.col("r.i")) & (F.col("l.j") == F.col("r.j"))
+    met = left.alias("l").join(right.alias("r"), same & F.expr("(l.i < l.j or a < b)") & _possible(num, den) & at_first)
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
