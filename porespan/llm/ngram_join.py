@@ -266,7 +266,8 @@ def ngram_jaccard_join(
     """Documents whose n-gram sets have a Jaccard similarity of at least ``threshold[0] / threshold[1]``.
 
     Returns ``members`` with a row for each row of ``docs`` (``doc_id, text_hash, n_shingles, node,
-    component_id, n_links``) and ``links`` (``a, b``), all links between nodes, i.e. distinct sets. ``component_id`` is
+    component, component_id, n_links``) and ``links`` (``a, b``), all links between nodes, i.e. distinct sets. ``component`` is
+    the least node of the document's component (rows with an equal id can be in several); ``component_id`` is
     the least id that links reach; ``n_links`` counts the other rows that the row links with, copies among them.
     """
     num, den = threshold
@@ -289,12 +290,12 @@ def ngram_jaccard_join(
     degree = links.groupBy(F.col("a").alias("node")).agg(F.sum("rows_b").alias("linked")).unionByName(links.groupBy(F.col("b").alias("node")).agg(F.sum("rows_a").alias("linked")))
     degree = degree.groupBy("node").agg(F.sum("linked").alias("linked"))
     least = nodes.groupBy("component").agg(F.min("first").alias("component_id"))
-    known = nodes.join(least, "component").join(degree, "node", "left").select("node", "component_id", (F.coalesce("linked", F.lit(0)) + F.col("rows") - 1).alias("n_links"))
+    known = nodes.join(least, "component").join(degree, "node", "left").select("node", "component", "component_id", (F.coalesce("linked", F.lit(0)) + F.col("rows") - 1).alias("n_links"))
     known = materialize(known, "known")
     if known.count() <= BROADCAST_IDS // 4:
         known = F.broadcast(known)
     members = sets.join(known, "node", "left").select(
-        "doc_id", "text_hash", "n_shingles", "node", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+        "doc_id", "text_hash", "n_shingles", "node", F.coalesce("component", "node").alias("component"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
     )
     return members, links.select("a", "b")
 
@@ -347,8 +348,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     Rows with an empty set stay, one of each that repeats both id and text.
     """
     members, _ = ngram_jaccard_join(docs, id_col, text_col, n, threshold)
-    group = F.coalesce(F.concat(F.lit("c"), F.col("component_id").cast("string")), F.concat(F.lit("n"), F.col("node").cast("string")))
-    group = F.when(F.col("node").isNotNull(), group).otherwise(F.concat_ws("/", F.lit("e"), "doc_id", "text_hash"))
+    group = F.when(F.col("node").isNotNull(), F.concat(F.lit("n"), F.col("component").cast("string"))).otherwise(F.concat_ws("/", F.lit("e"), "doc_id", "text_hash"))
     least = members.groupBy(group.alias("g")).agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "text_hash")).alias("r"), F.count("*").alias("rows"))
     kept = materialize(least.select(F.col("r.doc_id").alias("__id"), F.col("r.text_hash").alias("__hash"), (F.col("rows") > 1).alias("__many")), "kept")
     found = docs.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_col)) == F.col("__hash")))

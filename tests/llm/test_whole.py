@@ -38,3 +38,14 @@ def test_all_links(spark, monkeypatch, block):
     expected = {tuple(sorted((of[x], of[y]))) for x in of for y in of if x != y and alike(x, y)}
     got = [(r.a, r.b) for r in links.collect()]
     assert len(got) == len(set(got)) and set(got) == expected
+
+
+def test_kept_by_component(spark):
+    rng = random.Random(4)
+    text = lambda: " ".join("w%d" % rng.randrange(5000) for _ in range(60))
+    apart, near = [text() for _ in range(4)], text()
+    rows = [(7, t) for t in apart] + [(7, apart[0]), (None, near), (None, near + " more"), (None, near + " words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = ngram_join.keep_one(docs).collect()
+    assert sorted(r.text for r in kept if r.doc_id == 7) == sorted(apart)
+    assert len([r for r in kept if r.doc_id is None]) == 1
