@@ -1,13 +1,15 @@
 """Secret scans: candidates by form, and a random forest that removes false positives.
 
 *Candidates.* Runs of at least ``MIN_RUN`` letters, digits and ``+/=_.-`` that hold a digit or mix cases, and values
-of at least ``MIN_VALUE`` characters that are assigned (``=`` or ``:``) to a name such as password or token.
+of at least ``MIN_VALUE`` characters that are assigned (``=`` or ``:``) to a name such as password or token. A run is
+cut at an ``=`` that follows such a name, and a value ends at the next parameter of a query (``&name=``).
 
 *Forest.* Trees on length, character transitions and entropy, shares of character classes, dictionary
 coverage, known prefixes, placeholders, how the value is assigned and quoted, words before it and the path.
 It is trained from labelled findings, a table ``(before, candidate, after, path, secret)``. Where no such table
 is at hand, ``labelled_findings`` makes one from the published shapes of keys and of look-alikes
-(commits, checksums, UUIDs, card numbers, addresses, names, placeholders).
+(commits, checksums, UUIDs, card numbers, addresses, names, placeholders); its secrets are cut as candidates are, and
+some keys with a known prefix stand without a name.
 
 Cases: null and empty texts have no candidates; a long candidate is one; overlapping candidates count as the
 longer one; repeated rows are scanned each; null paths say nothing; extra columns are dropped by
@@ -46,7 +48,7 @@ WORDS = (
 _TOKEN = np.zeros(256, bool)
 _TOKEN[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_.-"]] = True
 _NAMED = re.compile(rb"(?:" + b"|".join(re.escape(x.encode()) for x in sorted(CREDENTIALS, key=len, reverse=True)) + rb")[\"']?\s{0,3}$", re.IGNORECASE)
-_VALUE = re.compile(rb"\s{0,3}([\"']?)([^\s\"'<>]{8,})")
+_VALUE = re.compile(rb"\s{0,3}([\"']?)((?:(?!&[\w.-]+=)[^\s\"'<>]){8,})")
 _DICTIONARY = re.compile("|".join(sorted({w for w in WORDS if len(w) > 2}, key=len, reverse=True)))
 
 
@@ -161,6 +163,18 @@ def forest_from_table(findings: DataFrame, train_rows: int = TRAIN_ROWS, **optio
     return train_forest([tuple(r) for r in rows.collect()], **options)
 
 
+def _as_found(before: str, body: str, after: str) -> tuple[str, str, str]:
+    """The longest candidate that meets ``body``, and what stands around it; ``body`` itself if there is none."""
+    raw = (before + body + after).encode()
+    lo = len(before.encode())
+    hi = lo + len(body.encode())
+    met = [(b - a, a, b) for _, a, b, _ in candidates(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])) if a < hi and b > lo]
+    if not met:
+        return before, body, after
+    _, a, b = max(met)
+    return raw[:a].decode("utf-8", "ignore"), raw[a:b].decode("utf-8", "ignore"), raw[b:].decode("utf-8", "ignore")
+
+
 def labelled_findings(n: int = 4000, seed: int = 11) -> list[tuple[str, str, str, str | None, int]]:
     """Half secrets, half look-alikes, made from published shapes; the same rows for the same seed."""
     rng = random.Random(seed)
@@ -182,6 +196,8 @@ def labelled_findings(n: int = 4000, seed: int = 11) -> list[tuple[str, str, str
             if between == " " and not quote and not body.startswith(PREFIXES):
                 between = "="
             before, after = f"{prose(4)} {name}{between}{quote}", f"{quote} {prose(3)}"
+            if body.startswith(PREFIXES) and rng.random() < 0.4:
+                before = f"{prose(4)} {quote}"
             if rng.random() < 0.15:
                 before, body, after = before.upper(), body.upper() if all(c in hexa for c in body) else body, after.upper()
         else:
@@ -194,6 +210,8 @@ def labelled_findings(n: int = 4000, seed: int = 11) -> list[tuple[str, str, str
             ])()
             quote = rng.choice(["", "", '"'])
             before, after = f"{prose(4)} {word}{quote}", f"{quote} {prose(3)}"
+        if i % 2:
+            before, body, after = _as_found(before, body, after)
         rows.append((before[-NEAR:], body, after[:NEAR], folder(), i % 2))
     return rows
 
@@ -221,13 +239,16 @@ def candidates(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, in
     mixed = has(digit, 1) | (has(upper, 2) & has(lower, 1))
     raw, found = data.tobytes(), []
     text_of = lambda at: int(np.searchsorted(offsets, at, "right")) - 1
-    for a, b in zip(starts[mixed].tolist(), ends[mixed].tolist(), strict=True):
-        while a < b and raw[b - 1] in b".-=/":
-            b -= 1
-        while a < b and raw[a] in b".-=/+":
-            a += 1
-        if b - a >= MIN_RUN:
-            found.append((text_of(a), a, b, "run"))
+    for first, last in zip(starts[mixed].tolist(), ends[mixed].tolist(), strict=True):
+        t = text_of(first)
+        named = [at for at in range(first, last) if raw[at] == 61 and _NAMED.search(raw[max(int(offsets[t]), at - NEAR) : at])]
+        for a, b in zip([first, *(at + 1 for at in named)], [*named, last], strict=True):
+            while a < b and raw[b - 1] in b".-=/":
+                b -= 1
+            while a < b and raw[a] in b".-=/+":
+                a += 1
+            if b - a >= MIN_RUN and (not named or digit[b] - digit[a] or (upper[b] - upper[a] >= 2 and lower[b] - lower[a])):
+                found.append((t, a, b, "run"))
     for at in np.flatnonzero((data == 61) | (data == 58)).tolist():
         t = text_of(at)
         if _NAMED.search(raw[max(int(offsets[t]), at - NEAR) : at]) and (m := _VALUE.match(raw, at + 1, int(offsets[t + 1]))):

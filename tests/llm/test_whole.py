@@ -2,9 +2,10 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
-from porespan.llm import ngram_join
+from porespan.llm import ngram_join, secrets
 
 
 def shingles(text, n):
@@ -49,3 +50,21 @@ def test_kept_by_component(spark):
     kept = ngram_join.keep_one(docs).collect()
     assert sorted(r.text for r in kept if r.doc_id == 7) == sorted(apart)
     assert len([r for r in kept if r.doc_id is None]) == 1
+
+
+def test_unquoted_and_bare_secrets():
+    rng = random.Random(8)
+    some = lambda k: "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=k))
+    forest = secrets.train_forest(secrets.labelled_findings())
+    forms = ["run API_KEY={} now", "set token={} and go", "see https://a.example.com/x?access_token={}&page=2 there", "the key {} was left here"]
+    texts, keys = [], []
+    for form in forms:
+        for _ in range(25):
+            keys.append("ghp_" + some(36))
+            texts.append(form.format(keys[-1]))
+    plain = ["set token=" + "example_token_12345678" + " first", "at commit " + "04dbebab91ab85687d33eeaaf9ac699e1188f962", "https://www.site.example.com/path/page=12 is open"]
+    found = secrets.scan_batch(pa.array(texts + plain), [None] * (len(texts) + len(plain)), forest)
+    for k in range(len(forms)):
+        right = sum([f["candidate"] for f in found[i]] == [keys[i]] for i in range(25 * k, 25 * k + 25))
+        assert right >= 24, (forms[k], right)
+    assert not any(found[len(texts) :])
