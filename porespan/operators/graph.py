@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from porespan.session import materialize
+from porespan.session import discard, materialize
 
 
 def _oriented(pairs: DataFrame) -> DataFrame:
@@ -43,7 +43,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     now = materialize(_oriented(edges.select(F.col(a).alias("u"), F.col(b).alias("v"))), "cc")
     mark = None
     for _ in range(max_rounds):
-        now = materialize(_oriented(_small_star(_oriented(_large_star(now)))), "cc")
+        before, now = now, materialize(_oriented(_small_star(_oriented(_large_star(now)))), "cc")
+        discard(before)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(seen) == mark:
             roots = now.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
