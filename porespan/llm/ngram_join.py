@@ -12,19 +12,21 @@ is capped, and a passage that many documents share gives no long lists, since a
 surrounds it.
 
 *Bitmaps.* Each set keeps the parities of its n-grams in ``BITS`` buckets. Two sets differ in at least as many n-grams
-as their parities do, which bounds their overlap; pairs that the bound rules out are never emitted.
+as their parities do, which bounds their overlap and rules pairs out.
 
 *Hot groups.* Nodes are distinct sets, so exact copies collapse before any pair exists and count as weights. Signatures
-with the same members are one bucket; members of a large bucket are dealt into blocks, and each pair of blocks is a join
-key of its own. Sets in many large buckets meet at the least signature that they share.
+that several sets of a task share are salted before their rows meet. Signatures
+with the same members are one bucket; members of a large bucket are dealt into blocks, and each pair of blocks is a
+task's key of its own. Sets in many large buckets meet at the least signature that they share.
 
-*Overlaps.* Clusters of candidate pairs are cut into blocks likewise; each pair of blocks gets its sets once and counts
-the overlaps of its pairs. All links between different sets are returned: their number grows with the square of a
-group of sets that are all alike.
+*Overlaps.* Pairs are never rows: a row holds a node and the list of its partners in a cell. Clusters of candidates are
+cut into blocks likewise, a cell is a pair of blocks, and ``FRAGMENTS`` fragments of the global order count the partial overlaps of a
+cell's pairs separately, from their own part of the sets; a second pass sums them per pair. It gives each node's
+number of links, its partners, and a forest that spans the cell's links, from which components are made.
 
 Cases: null or blank texts have an empty set and link with nothing; fewer than n words make one n-gram;
 repeated rows are copies; null ids take the component of their text; extra columns are ignored; an empty
-table gives an empty result.
+table gives an empty result. Different sets whose 64-bit hashes agree are found by a second hash and parted.
 """
 
 from __future__ import annotations
@@ -35,26 +37,34 @@ from math import ceil, exp, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from porespan.llm.words import batch_shingle_sets, mix
 from porespan.operators.graph import connected_components
-from porespan.session import materialize
+from porespan.session import discard, materialize
 
 #: Broadcast no more than this many ids (8 bytes each); beyond, tables are joined by shuffles.
 BROADCAST_IDS = 1_000_000
-#: Sets in a block of a large bucket or cluster, and n-grams in a block of a cluster.
-BLOCK, BLOCK_GRAMS = 256, 1 << 20
+#: Sets in a block of a large bucket or cluster, n-grams in a block of a cluster, and rows of small buckets in a group.
+BLOCK, BLOCK_GRAMS, GROUP_ROWS = 256, 1 << 20, 20_000
+#: Parts of the global order whose overlaps are counted apart.
+FRAGMENTS = 4
 #: Signatures of large buckets that a set carries in order to meet a partner once.
 CARRIED = 32
 #: Distinct sets that one task remembers in order to emit each of them once.
 REMEMBERED = 500_000
+#: Sets of a portion of texts (about a megabyte) that share a signature from which on it is salted, and salts.
+OFTEN, SALTS = 4, 64
 MAX_SIZE = 1 << 31
 #: Parity bits of a set, kept in longs.
 BITS = 512
 PARITIES = [f"p{i}" for i in range(BITS // 64)]
+#: Pairs that a task compares at once.
+PAIRS = 1 << 18
+CELL = ["group", "large", "i", "j"]
 
 
 @dataclass(frozen=True)
@@ -87,14 +97,28 @@ class SizeClasses:
         return tuple(np.array(x, np.int64) for x in (low, joins, fragments, spare))
 
 
-def _set_hash(h: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash and the size of each of n sets; the empty set has 0."""
-    size = np.bincount(of, minlength=n) if len(of) else np.zeros(n, np.int64)
+# ---------------------------------------------------------------- sets
+
+
+def _sums(h: np.ndarray, of: np.ndarray, n: int, size: np.ndarray) -> np.ndarray:
     total = np.zeros(n, np.uint64)
     if len(h):
         starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
         total[of[starts]] = mix(np.add.reduceat(mix(h), starts) + size[of[starts]].astype(np.uint64))
-    return total.view(np.int64), size
+    return total
+
+
+def _set_hash(h: np.ndarray, of: np.ndarray, n: int, clash: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(node, check, size) of each of n sets: a 64-bit hash, an independent one, and the number of n-grams; the empty set has 0.
+
+    ``clash`` are the hashes that different sets share (their checks differ): there both hashes make the node.
+    """
+    size = np.bincount(of, minlength=n) if len(of) else np.zeros(n, np.int64)
+    node, check = _sums(h, of, n, size), _sums(~h, of, n, size)
+    if len(clash):
+        shared = np.isin(node.view(np.int64), clash)
+        node[shared] = mix(node[shared] ^ mix(check[shared]))
+    return node.view(np.int64), check.view(np.int64), size
 
 
 def _parities(h: np.ndarray, of: np.ndarray, n: int) -> list[np.ndarray]:
@@ -103,23 +127,38 @@ def _parities(h: np.ndarray, of: np.ndarray, n: int) -> list[np.ndarray]:
     return list(np.packbits(odd.astype(np.uint8), axis=1).view(np.int64).T.copy())
 
 
-def set_table(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """``(doc_id, text_hash, n_shingles, node, parities)``: node is a hash of the document's whole n-gram set, null if empty."""
+def set_table(docs: DataFrame, id_col: str, text_col: str, n: int, clash: np.ndarray | None = None) -> DataFrame:
+    """``(doc_id, text_hash, n_shingles, node, check, parities)``: node stands for the document's whole n-gram set, null if empty."""
+    clash = np.zeros(0, np.int64) if clash is None else clash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, h, of in batch_shingle_sets(batch.column(1), n):
-                node, size = _set_hash(h, of, last - first)
+                node, check, size = _set_hash(h, of, last - first, clash)
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(i).slice(first, last - first) for i in (0, 2)), pa.array(size, pa.int64()), pa.array(node, mask=size == 0), *map(pa.array, _parities(h, of, last - first))],
-                    ["doc_id", "text_hash", "n_shingles", "node", *PARITIES],
-                )
+                    [
+                        *(batch.column(i).slice(first, last - first) for i in (0, 2)), pa.array(size, pa.int64()), pa.array(node, mask=size == 0), pa.array(check),
+                        *map(pa.array, _parities(h, of, last - first)),
+                    ],
+                    ["doc_id", "text_hash", "n_shingles", "node", "check", *PARITIES],
+                )
 
     kind = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField("doc_id", kind), *(T.StructField(c, T.LongType()) for c in ("text_hash", "n_shingles", "node", *PARITIES))])
+    schema = T.StructType([T.StructField("doc_id", kind), *(T.StructField(c, T.LongType()) for c in ("text_hash", "n_shingles", "node", "check", *PARITIES))])
     return docs.select(F.col(id_col), F.col(text_col), F.xxhash64(F.col(text_col))).mapInArrow(run, schema)
 
 
+def _parted(docs: DataFrame, id_col: str, text_col: str, n: int) -> tuple[DataFrame, np.ndarray]:
+    """The written table of sets, and the hashes that different sets share: some N ** 2 / 2 ** 65 of N sets, so hardly ever one."""
+    sets = materialize(set_table(docs, id_col, text_col, n), "sets")
+    mixed = sets.where("node is not null").groupBy("node").agg(F.min("check").alias("x"), F.max("check").alias("y")).where("x <> y")
+    clash = np.array([r[0] for r in mixed.select("node").collect()], np.int64)
+    if len(clash):
+        discard(sets)
+        sets = materialize(set_table(docs, id_col, text_col, n, clash), "sets")
+    return sets, clash
+
+
 def _new_nodes(seen: set[int], node: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Marks sets that this task has not emitted yet."""
     fresh = np.zeros(len(node), bool)
@@ -133,6 +172,40 @@ def _new_nodes(seen: set[int], node: np.ndarray, size: np.ndarray) -> np.ndarray
     return fresh
 
 
+def _sets_of(docs: DataFrame, text_col: str, n: int, clash: np.ndarray) -> DataFrame:
+    """``(node, g0, g1, ...)``: the distinct sets of the given documents by fragment of the order, once per task."""
+    names = [f"g{f}" for f in range(FRAGMENTS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for first, last, h, of in batch_shingle_sets(batch.column(0), n):
+                node, _, size = _set_hash(h, of, last - first, clash)
+                fresh = _new_nodes(seen, node, size)
+                keep = fresh[of]
+                h, of = h[keep], of[keep]
+                if not len(h):
+                    continue
+                row = np.cumsum(fresh) - 1
+                part = fragment_of(h)
+                lists = []
+                for f in range(FRAGMENTS):
+                    own = part == f
+                    count = np.bincount(row[of[own]], minlength=int(fresh.sum()))
+                    lists.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(count)], pa.int32()), pa.array(h[own].view(np.int64))))
+                yield pa.RecordBatch.from_arrays([pa.array(node[fresh]), *lists], ["node", *names])
+
+    return docs.select(text_col).mapInArrow(run, "node long, " + ", ".join(f"{g} array<long>" for g in names))
+
+
+def fragment_of(h: np.ndarray) -> np.ndarray:
+    """The fragment of the global order that an n-gram lies in."""
+    return (((h >> np.uint64(32)) * np.uint64(FRAGMENTS)) >> np.uint64(32)).astype(np.int64)
+
+
+# ---------------------------------------------------------------- signatures
+
+
 def segment_signatures(h: np.ndarray, of: np.ndarray, size: np.ndarray, classes: tuple, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """(signature, set index) under which sets meet all their possible partners."""
     low, joins, fragments, spare = classes
@@ -165,119 +238,314 @@ def segment_signatures(h: np.ndarray, of: np.ndarray, size: np.ndarray, classes:
     return np.concatenate([s for s, _ in found]), np.concatenate([d for _, d in found])
 
 
-def signature_table(docs: DataFrame, text_col: str, n: int, num: int, den: int) -> DataFrame:
-    """``(sig, node)`` of every distinct set, once per task."""
+def _salts(sig: np.ndarray, node: np.ndarray, told: set[int]) -> np.ndarray:
+    """0, or 1 to ``SALTS`` where ``OFTEN`` sets or more of a portion share a signature.
+
+    Salted rows count as shared without being compared. The first two of a task stay unsalted, so that rows of
+    other tasks meet them.
+    """
+    salt = np.zeros(len(sig), np.int8)
+    order = np.argsort(sig, kind="stable")
+    start = np.flatnonzero(np.r_[True, sig[order][1:] != sig[order][:-1]]) if len(sig) else np.zeros(0, np.int64)
+    length = np.diff(np.r_[start, len(sig)])
+    for at, n in zip(start[length >= OFTEN].tolist(), length[length >= OFTEN].tolist(), strict=True):
+        rows = order[at : at + n]
+        key = int(sig[rows[0]])
+        rows = rows if key in told else rows[2:]
+        told.add(key)
+        salt[rows] = 1 + np.mod(node[rows], SALTS)
+    if len(told) > REMEMBERED:
+        told.clear()
+    return salt
+
+
+def signature_table(docs: DataFrame, text_col: str, n: int, num: int, den: int, clash: np.ndarray) -> DataFrame:
+    """``(sig, salt, node)`` of every distinct set, once per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, seen = SizeClasses(num, den).tables(), set()
+        classes, seen, told = SizeClasses(num, den).tables(), set(), set()
         for batch in batches:
             for first, last, h, of in batch_shingle_sets(batch.column(0), n):
-                node, size = _set_hash(h, of, last - first)
+                node, _, size = _set_hash(h, of, last - first, clash)
                 fresh = _new_nodes(seen, node, size)
                 keep = fresh[of]
                 sig, doc = segment_signatures(h[keep], of[keep], np.where(fresh, size, 0), classes, num, den)
-                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(node[doc])], ["sig", "node"])
+                sig, mine = sig.view(np.int64), node[doc]
+                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(_salts(sig, mine, told)), pa.array(mine)], ["sig", "salt", "node"])
 
-    return docs.select(text_col).mapInArrow(run, "sig long, node long")
+    return docs.select(text_col).mapInArrow(run, "sig long, salt byte, node long")
 
 
-def _sets_of(docs: DataFrame, text_col: str, n: int) -> DataFrame:
-    """``(node, grams)``: the distinct sets of the given documents, once per task."""
+def _shared(signatures: DataFrame) -> DataFrame:
+    """``(sig, node)`` of the signatures that more than one node has (or salted ones)."""
+    w = Window.partitionBy("sig", "salt")
+    found = signatures.select("sig", "salt", "node", F.min("node").over(w).alias("leader"), F.max("node").over(w).alias("most"))
+    return found.where("salt > 0 or leader <> most").select("sig", "salt", "node").distinct().select("sig", "node")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            for first, last, h, of in batch_shingle_sets(batch.column(0), n):
-                node, size = _set_hash(h, of, last - first)
-                keep = _new_nodes(seen, node, size)[of]
-                h, of = h[keep], of[keep]
-                if not len(h):
-                    continue
-                starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-                grams = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(h)], pa.int32()), pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(node[of[starts]]), grams], ["node", "grams"])
 
-    return docs.select(text_col).mapInArrow(run, "node long, grams array<long>")
+# ---------------------------------------------------------------- pairs within a task
+
+
+def _joined(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
+    """For n things with links ``left, right``: the least thing that each reaches."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[left], root[right])
+        new = root.copy()
+        np.minimum.at(new, left, low)
+        np.minimum.at(new, right, low)
+        new = new[new]
+        if np.array_equal(new, root):
+            return root
+        root = new
+
+
+def _grouped(key: np.ndarray, value: np.ndarray, n: int) -> pa.ListArray:
+    """Lists of the values of keys 0 to n - 1; keys ascend."""
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(key, minlength=n))], pa.int32()), pa.array(value))
+
+
+def _flat(table: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray]:
+    """(values, lengths) of a list column."""
+    lists = table[column].combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    return lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _within(start: np.ndarray, length: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows r < s of each run, in bounded portions."""
+    ends = np.cumsum(length)
+    at = np.repeat(start - (ends - length), length) + np.arange(length.sum())
+    more = np.repeat(start + length, length) - at - 1
+    done, lo = np.cumsum(more), 0
+    while lo < len(at):
+        hi = max(lo + 1, int(np.searchsorted(done, (done[lo - 1] if lo else 0) + PAIRS, "right")))
+        k = more[lo:hi]
+        left = np.repeat(at[lo:hi], k)
+        yield left, left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(k) - k, k)
+        lo = hi
+
 
+def _across(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a row of a and one of b, in bounded portions."""
+    step = max(1, PAIRS // max(1, len(b)))
+    for lo in range(0, len(a), step):
+        part = a[lo : lo + step]
+        yield np.repeat(part, len(b)), np.tile(b, len(part))
 
-def linked_pairs(a: np.ndarray, b: np.ndarray, node: np.ndarray, grams: np.ndarray, offsets: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Which of the pairs ``a, b`` link; ``offsets`` cut ``grams`` into the sets of ``node``."""
-    order = np.argsort(node)
-    left, right = order[np.searchsorted(node, a, sorter=order)], order[np.searchsorted(node, b, sorter=order)]
+
+def _meets_here(carried: np.ndarray, rows: np.ndarray, sig: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Whether ``sig`` is the least signature that the rows' lists share; ``carried`` and ``rows`` are its values and their rows."""
+    values, column = np.unique(carried, return_inverse=True)
+    n = int(max(left.max(initial=0), right.max(initial=0), rows.max(initial=0))) + 1
+    has = np.zeros((n, len(values) + 1), bool)
+    has[rows, column] = True
+    out, step = np.ones(len(left), bool), max(1, (1 << 22) // (len(values) + 1))
+    for lo in range(0, len(left), step):
+        both = has[left[lo : lo + step]] & has[right[lo : lo + step]]
+        first = both.argmax(axis=1)
+        any_ = both[np.arange(len(both)), first]
+        out[lo : lo + step] = ~any_ | (values[np.minimum(first, len(values) - 1)] >= sig) if len(values) else True
+    return out
+
+
+def candidate_lists(cell: pa.Table, num: int, den: int) -> pa.Table:
+    """``(node, root, others)`` of the pairs of a cell that sizes and parities allow to link: each pair in the list of its lesser node.
+
+    A cell holds whole small buckets, or one block of a large bucket, or two (then only pairs across count).
+    """
+    cell = cell.take(pc.sort_indices(cell, [("sig", "ascending"), ("node", "ascending")]))
+    sig, node, size, block = (cell[c].to_numpy() for c in ("sig", "node", "n", "block"))
+    bits = np.stack([cell[c].to_numpy() for c in PARITIES], axis=1).view(np.uint64)
+    large = bool(cell["large"][0].as_py())
+    i, j = cell["i"][0].as_py(), cell["j"][0].as_py()
+    if i != j:
+        pairs = _across(np.flatnonzero(block == i), np.flatnonzero(block != i))
+    else:
+        start = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+        length = np.diff(np.r_[start, len(sig)])
+        pairs = _within(start[length > 1], length[length > 1])
+    nodes, own = np.unique(node, return_inverse=True)
+    carried, lengths = _flat(cell, "carried") if large else (np.zeros(0, np.int64), None)
+    found = [np.zeros(0, np.int64)]
+    for left, right in pairs:
+        total = size[left] + size[right]
+        lesser = np.minimum(size[left], size[right])
+        near = lesser * (num + den) >= total * num
+        left, right, total, lesser = left[near], right[near], total[near], lesser[near]
+        differ = np.bitwise_count(bits[left] ^ bits[right]).sum(axis=1).astype(np.int64)
+        near = np.minimum(lesser, (total - differ) // 2) * (num + den) >= total * num
+        left, right = left[near], right[near]
+        if large and len(left):
+            here = _meets_here(carried, np.repeat(np.arange(len(sig)), lengths), int(sig[0]), left, right)
+            left, right = left[here], right[here]
+        a, b = own[left], own[right]
+        found.append(np.unique(np.minimum(a, b) * len(nodes) + np.maximum(a, b)))
+    code = np.unique(np.concatenate(found))
+    a, b = code // max(1, len(nodes)), code % max(1, len(nodes))
+    root = _joined(a, b, len(nodes))
+    used = np.zeros(len(nodes), bool)
+    used[a] = used[b] = True
+    row = np.cumsum(used) - 1
+    return pa.table({"node": nodes[used], "root": nodes[root[used]], "others": _grouped(row[a], nodes[b], int(used.sum()))})
+
+
+def _pairs(two: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(nodes, a, b): the distinct pairs of lists ``(node, others)``, as indices of ``nodes``, a < b, ascending."""
+    b, lengths = _flat(two, "others")
+    a = np.repeat(two["node"].to_numpy(), lengths)
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    code = np.unique(np.minimum(x, y) * len(nodes) + np.maximum(x, y))
+    return nodes, code // max(1, len(nodes)), code % max(1, len(nodes))
+
+
+def partial_overlaps(two: pa.Table, some: pa.Table) -> pa.Table:
+    """``(node, others, common)``: n-grams of one fragment that each pair of ``two`` shares, by the sets in ``some``."""
+    nodes, a, b = _pairs(two)
+    if not len(a):
+        return pa.table({"node": nodes[:0], "others": _grouped(a, nodes[b], 0), "common": _grouped(a, b, 0)})
+    grams, lengths = _flat(some, "grams")
     values, dense = np.unique(grams, return_inverse=True)
-    size, held = np.diff(offsets), np.zeros(len(values), bool)
-    common = np.zeros(len(a), np.int64)
-    by_left = np.argsort(left, kind="stable")
-    for mine in np.split(by_left, np.flatnonzero(np.diff(left[by_left])) + 1) if len(a) else []:
-        x = left[mine[0]]
-        own = dense[offsets[x] : offsets[x + 1]]
+    at = np.searchsorted(nodes, some["node"].to_numpy())
+    here = (at < len(nodes)) & (nodes[np.minimum(at, len(nodes) - 1)] == some["node"].to_numpy())
+    size, offset = np.zeros(len(nodes), np.int64), np.zeros(len(nodes), np.int64)
+    size[at[here]], offset[at[here]] = lengths[here], (np.cumsum(lengths) - lengths)[here]
+    held, common = np.zeros(len(values), bool), np.zeros(len(a), np.int64)
+    cuts = np.flatnonzero(np.r_[True, a[1:] != a[:-1], True])
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        own, other = dense[offset[a[lo]] : offset[a[lo]] + size[a[lo]]], b[lo:hi]
         held[own] = True
-        lengths = size[right[mine]]
-        starts = np.cumsum(lengths) - lengths
-        at = np.arange(lengths.sum()) + np.repeat(offsets[right[mine]] - starts, lengths)
-        common[mine] = np.add.reduceat(held[dense[at]].astype(np.int64), starts)
+        k = size[other]
+        ends = np.cumsum(k)
+        hit = np.zeros(int(ends[-1]) + 1, np.int64)
+        np.cumsum(held[dense[np.arange(ends[-1]) + np.repeat(offset[other] - (ends - k), k)]], out=hit[1:])
+        common[lo:hi] = hit[ends] - hit[ends - k]
         held[own] = False
-    return common * (num + den) >= (size[left] + size[right]) * num
+    left = nodes[a[cuts[:-1]]]
+    row = np.repeat(np.arange(len(left)), np.diff(cuts))
+    return pa.table({"node": left, "others": _grouped(row, nodes[b], len(left)), "common": _grouped(row, common, len(left))})
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int) -> DataFrame:
-    """``(a, b, rows_a, rows_b)`` of the ``(a, b)`` that link, with the rows that have each set. Sets are rebuilt for one document of each node in a pair."""
-    cluster = materialize(connected_components(pairs), "cluster")
-    owner = materialize(
-        sets.where("node is not null").join(cluster, "node").groupBy("node", "component").agg(F.min(F.struct("doc_id", "n_shingles")).alias("x"), F.count("*").alias("rows")).select("node", "component", "x.*", "rows"), "owner"
-    )
-    count = owner.count()
+def summed_links(parts: pa.Table, facts: pa.Table, num: int, den: int) -> pa.Table:
+    """``(node, root, linked, others)`` from the partial overlaps of a cell and its nodes' ``(n, rows)``.
+
+    ``linked`` counts the rows that a node's links in the cell reach; ``others`` are those of greater hash.
+    """
+    b, lengths = _flat(parts, "others")
+    common, _ = _flat(parts, "common")
+    a = np.repeat(parts["node"].to_numpy(), lengths)
+    nodes, at = np.unique(facts["node"].to_numpy(), return_index=True)
+    size, rows = facts["n"].to_numpy()[at], facts["rows"].to_numpy()[at]
+    code, of = np.unique(np.searchsorted(nodes, a) * len(nodes) + np.searchsorted(nodes, b), return_inverse=True)
+    overlap = np.bincount(of, common, len(code)).astype(np.int64)
+    a, b = code // len(nodes), code % len(nodes)
+    link = overlap * (num + den) >= (size[a] + size[b]) * num
+    a, b = a[link], b[link]
+    linked = np.bincount(a, rows[b], len(nodes)) + np.bincount(b, rows[a], len(nodes))
+    used = linked > 0
+    row = np.cumsum(used) - 1
+    return pa.table({"node": nodes[used], "root": nodes[_joined(a, b, len(nodes))[used]], "linked": linked[used].astype(np.int64), "others": _grouped(row[a], nodes[b], int(used.sum()))})
+
+
+# ---------------------------------------------------------------- the join
+
+
+def _candidates(shared: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Written ``(node, root, others)``: all pairs that share a signature and may link."""
+    buckets = shared.groupBy("sig").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    buckets = buckets.where("m > 1").groupBy("m", "x", "y").agg(F.min("sig").alias("sig"))
+    held = materialize(shared.join(buckets.select("sig", F.ceil(F.col("m") / BLOCK).alias("blocks")), "sig"), "held")
+    facts = sets.where("node is not null").groupBy("node").agg(F.first("n_shingles").alias("n"), *[F.first(c).alias(c) for c in PARITIES])
+    carried = F.slice(F.sort_array(F.collect_list("sig")), 1, CARRIED)
+    facts = facts.join(held.where("blocks > 1").groupBy("node").agg(carried.alias("carried")), "node", "left")
+    groups = held.where("blocks = 1").count() // GROUP_ROWS + 1
+    dealt = held.join(facts, "node").withColumns({"large": F.col("blocks") > 1, "block": F.pmod("node", "blocks")})
+    dealt = dealt.withColumn("group", F.when(F.col("large"), F.col("sig")).otherwise(F.pmod(F.xxhash64("sig"), F.lit(groups))))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "group", "large", "sig", "node", "n", "block", "carried", *PARITIES)
+
+    def run(cell: pa.Table) -> pa.Table:
+        return candidate_lists(cell, num, den)
+
+    found = materialize(dealt.groupBy(*CELL).applyInArrow(run, "node long, root long, others array<long>"), "lists")
+    discard(held)
+    return found
+
+
+def _linked(lists: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int, clash: np.ndarray) -> DataFrame:
+    """Written ``(node, root, linked, others)`` of the pairs that link, by cell. Sets are rebuilt for one document of each node."""
+    cluster = materialize(connected_components(lists, "node", "root"), "cluster")
+    owner = sets.where("node is not null").join(cluster, "node").groupBy("node", "component").agg(F.min(F.struct("doc_id", "n_shingles")).alias("x"), F.count("*").alias("rows"))
+    owner = materialize(owner.select("node", "component", "x.doc_id", F.col("x.n_shingles").alias("n"), "rows"), "owner")
+    count, grams_in_all = owner.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     ids = owner.select(F.col("doc_id").alias(id_col)).where(F.col(id_col).isNotNull()).distinct()
     ids = F.broadcast(ids) if count <= BROADCAST_IDS else ids
     held = docs.join(ids, id_col, "left_semi")
     if sets.where("doc_id is null").limit(1).count():
         held = held.unionByName(docs.where(F.col(id_col).isNull()))
-    grams = _sets_of(held, text_col, n).dropDuplicates(["node"])
-    # clusters of one block share groups; larger ones are cut into blocks, and each pair of blocks is a group
-    blocks = owner.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_GRAMS)).alias("blocks"))
+    grams = _sets_of(held, text_col, n, clash).dropDuplicates(["node"])
+    # clusters of one block share groups; larger ones are cut into blocks, and each pair of blocks is a cell
+    groups = max(count // BLOCK, grams_in_all // BLOCK_GRAMS) + 1
+    blocks = owner.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_GRAMS)).alias("blocks"))
     place = owner.join(blocks, "component").select(
-        "node",
-        "rows",
-        F.when(F.col("blocks") > 1, F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(count // BLOCK + 1))).alias("group"),
-        (F.col("blocks") > 1).alias("large"),
-        F.pmod(F.xxhash64("node", F.lit(1)), "blocks").alias("block"),
-    )
+        "node", "n", "rows", "blocks",
+        F.when(F.col("blocks") > 1, F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(groups))).alias("group"),
+        (F.col("blocks") > 1).alias("large"), F.pmod("node", "blocks").alias("block"),
+    )
     place = materialize(place, "place")
-    key = ["group", "large", "i", "j"]
-    ends = [place.select(F.col("node").alias("a"), F.col("block").alias("x"), F.col("rows").alias("rows_a"), "group", "large"), place.select(F.col("node").alias("b"), F.col("block").alias("y"), F.col("rows").alias("rows_b"))]
-    dealt = pairs.join(ends[0], "a").join(ends[1], "b")
-    dealt = materialize(dealt.select("group", "large", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "a", "b", "rows_a", "rows_b"), "dealt")
-    needs = dealt.select(*key, F.col("a").alias("node")).distinct().unionByName(dealt.select(*key, F.col("b").alias("node")).distinct()).distinct().join(grams, "node")
-    needs = needs.select("node", "grams", *[F.col(c).alias(f"of_{c}") for c in key])
 
-    def run(two: pa.Table, some: pa.Table) -> pa.Table:
-        lists = some["grams"].combine_chunks()
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        a, b = two["a"].to_numpy(), two["b"].to_numpy()
-        at = linked_pairs(a, b, some["node"].to_numpy(), lists.flatten().to_numpy(), np.r_[0, np.cumsum(lists.value_lengths().to_numpy())], num, den)
-        return two.select(["a", "b", "rows_a", "rows_b"]).filter(pa.array(at))
-
-    return dealt.groupBy(*key).cogroup(needs.groupBy(*[f"of_{c}" for c in key])).applyInArrow(run, "a long, b long, rows_a long, rows_b long")
-
-
-def ngram_jaccard_join(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: tuple[int, int] = (80, 100)
-) -> tuple[DataFrame, DataFrame]:
-    """Documents whose n-gram sets have a Jaccard similarity of at least ``threshold[0] / threshold[1]``.
-
-    Returns ``members`` with a row for each row of ``docs`` (``doc_id, text_hash, n_shingles, node,
-    component, component_id, n_links``) and ``links`` (``a, b``), all links between nodes, i.e. distinct sets. ``component`` is
-    the least node of the document's component (rows with an equal id can be in several); ``component_id`` is
-    the least id that links reach; ``n_links`` counts the other rows that the row links with, copies among them.
-    """
-    num, den = threshold
-    sets = materialize(set_table(docs, id_col, text_col, n), "sets")
-    by_sig = materialize(_buckets(signature_table(docs, text_col, n, num, den)), "buckets")
-    facts = sets.where("node is not null").groupBy("node").agg(F.first("n_shingles").alias("n"), *[F.first(c).alias(c) for c in PARITIES])
-    facts = facts.join(by_sig.select("node").distinct(), "node", "left_semi")
-    pairs = materialize(_candidates(by_sig, facts, num, den), "pairs")
-    links = materialize(_verified(pairs, sets, docs, id_col, text_col, n, num, den), "links")
-    label = materialize(connected_components(links), "label")
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            other, lengths = _flat(table, "others")
+            row = np.repeat(np.arange(len(lengths)), lengths)
+            mine, theirs = table["block"].to_numpy()[row], np.mod(other, table["blocks"].to_numpy()[row])
+            order = np.lexsort((theirs, row))
+            row, mine, theirs, other = row[order], mine[order], theirs[order], other[order]
+            start = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (theirs[1:] != theirs[:-1])]) if len(row) else np.zeros(0, np.int64)
+            at = pa.array(row[start])
+            columns = [batch[c].take(at) for c in ("group", "large")] + [pa.array(np.minimum(mine, theirs)[start]), pa.array(np.maximum(mine, theirs)[start]), batch["node"].take(at)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(np.r_[start, len(row)], pa.int32()), pa.array(other))], [*CELL, "node", "others"])
+
+    dealt = lists.where(F.size("others") > 0).join(place, "node").select("group", "large", "block", "blocks", "node", "others")
+    dealt = materialize(dealt.mapInArrow(deal, "group long, large boolean, i long, j long, node long, others array<long>"), "dealt")
+    cells = dealt.select(*CELL).distinct()
+    cells = cells.withColumn("block", F.explode(F.array_distinct(F.array("i", "j"))))
+    facts = materialize(cells.join(place.select("group", "large", "block", "node", "n", "rows"), ["group", "large", "block"]).select(*CELL, "node", "n", "rows"), "facts")
+    parts = F.array(*[F.struct(F.lit(f).alias("f"), F.col(f"g{f}").alias("grams")) for f in range(FRAGMENTS)])
+    own = [F.col(c).alias(f"of_{c}") for c in CELL]
+    needs = facts.join(grams, "node").select("node", *own, F.explode(parts).alias("p")).select("node", *[f"of_{c}" for c in CELL], F.col("p.f").alias("of_f"), "p.grams")
+    asked = dealt.withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))))
+
+    def overlaps(key: tuple, two: pa.Table, some: pa.Table) -> pa.Table:
+        out = partial_overlaps(two, some)
+        for k, c in reversed(list(enumerate(CELL))):
+            out = out.add_column(0, c, pa.array([key[k].as_py()] * len(out), two.schema.field(c).type))
+        return out
+
+    schema = "group long, large boolean, i long, j long, node long, others array<long>, common array<long>"
+    partial = asked.groupBy(*CELL, "f").cogroup(needs.groupBy(*[f"of_{c}" for c in CELL], "of_f")).applyInArrow(overlaps, schema)
+
+    def total(parts: pa.Table, some: pa.Table) -> pa.Table:
+        return summed_links(parts, some, num, den)
+
+    sizes = facts.select("node", "n", "rows", *own)
+    found = partial.groupBy(*CELL).cogroup(sizes.groupBy(*[f"of_{c}" for c in CELL])).applyInArrow(total, "node long, root long, linked long, others array<long>")
+    found = materialize(found, "linked")
+    discard(cluster, owner, place, dealt, facts)
+    return found
+
+
+def _join(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame, tuple[DataFrame, ...]]:
+    """(members, links by cell, written tables that both read)."""
+    sets, clash = _parted(docs, id_col, text_col, n)
+    shared = materialize(_shared(signature_table(docs, text_col, n, num, den, clash)), "shared")
+    lists = _candidates(shared, sets, num, den)
+    discard(shared)
+    linked = _linked(lists, sets, docs, id_col, text_col, n, num, den, clash)
+    discard(lists)
+    label = materialize(connected_components(linked, "node", "root"), "label")
     nodes = (
         sets.where("node is not null")
         .groupBy("node")
@@ -287,73 +555,56 @@ def ngram_jaccard_join(
         .select("node", "first", "rows", F.coalesce("component", "node").alias("component"))
     )
     nodes = materialize(nodes, "nodes")
-    degree = links.groupBy(F.col("a").alias("node")).agg(F.sum("rows_b").alias("linked")).unionByName(links.groupBy(F.col("b").alias("node")).agg(F.sum("rows_a").alias("linked")))
-    degree = degree.groupBy("node").agg(F.sum("linked").alias("linked"))
+    degree = linked.groupBy("node").agg(F.sum("linked").alias("linked"))
     least = nodes.groupBy("component").agg(F.min("first").alias("component_id"))
     known = nodes.join(least, "component").join(degree, "node", "left").select("node", "component", "component_id", (F.coalesce("linked", F.lit(0)) + F.col("rows") - 1).alias("n_links"))
     known = materialize(known, "known")
+    discard(label, nodes)
+    tables = (sets, known, linked)
     if known.count() <= BROADCAST_IDS // 4:
         known = F.broadcast(known)
     members = sets.join(known, "node", "left").select(
         "doc_id", "text_hash", "n_shingles", "node", F.coalesce("component", "node").alias("component"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
     )
-    return members, links.select("a", "b")
-
-
-def _buckets(signatures: DataFrame) -> DataFrame:
-    """``(sig, node)`` of the signatures that more than one node has."""
-    w = Window.partitionBy("sig")
-    return (
-        signatures.select("sig", "node", F.min("node").over(w).alias("leader"), F.max("node").over(w).alias("most"))
-        .where("leader <> most")
-        .select("sig", "node")
-        .distinct()
-    )
-
+    return members, linked, tables
 
-def _renamed(facts: DataFrame, side: str) -> DataFrame:
-    return facts.toDF(*[side if c == "node" else f"{side}_{c}" for c in facts.columns])
-
-
-def _possible(num: int, den: int) -> Column:
-    """Whether sizes and parities of a and b leave an overlap that links them."""
-    differ = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in PARITIES), F.lit(0))
-    total = F.col("a_n") + F.col("b_n")
-    overlap = F.least("a_n", "b_n", F.floor((total - differ) / 2))
-    return overlap * (num + den) >= total * num
 
+def ngram_jaccard_join(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: tuple[int, int] = (80, 100)
+) -> tuple[DataFrame, DataFrame]:
+    """Documents whose n-gram sets have a Jaccard similarity of at least ``threshold[0] / threshold[1]``.
 
-def _candidates(by_sig: DataFrame, facts: DataFrame, num: int, den: int) -> DataFrame:
-    """``(a, b)``, a < b: all pairs that share a signature and may link."""
-    content = [F.count("*").alias("m"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")]
-    buckets = by_sig.groupBy("sig").agg(*content).groupBy("m", "x", "y").agg(F.min("sig").alias("sig"))
-    held = materialize(by_sig.join(buckets.select("sig", F.ceil(F.col("m") / BLOCK).alias("blocks")), "sig"), "held")
-    carried = F.slice(F.sort_array(F.collect_list("sig")), 1, CARRIED)
-    facts = facts.join(held.where("blocks > 1").groupBy("node").agg(carried.alias("carried")), "node", "left")
-    dealt = materialize(held.join(facts, "node").withColumn("block", F.pmod(F.xxhash64("node"), "blocks")), "dealt")
-    cells = ["node", "n", *PARITIES, "carried"]
-    side = lambda name, own, other, first, last: dealt.select(
-        "sig", F.col("block").alias(own), F.explode(F.sequence(first, last)).alias(other), *[F.col(c).alias(name if c == "node" else f"{name}_{c}") for c in cells]
-    )
-    left, right = side("a", "i", "j", F.col("block"), F.col("blocks") - 1), side("b", "j", "i", F.lit(0).cast("long"), F.col("block"))
-    at_first = F.coalesce(F.array_min(F.array_intersect("a_carried", "b_carried")) >= F.col("l.sig"), F.lit(True))
-    same = (F.col("l.sig") == F.col("r.sig")) & (F.col("l.i") == F.col("r.i")) & (F.col("l.j") == F.col("r.j"))
-    met = left.alias("l").join(right.alias("r"), same & F.expr("(l.i < l.j or a < b)") & _possible(num, den) & at_first)
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    Returns ``members`` with a row for each row of ``docs`` (``doc_id, text_hash, n_shingles, node,
+    component, component_id, n_links``) and ``links`` (``a, b``), all links between nodes, i.e. distinct sets. ``component`` is
+    the least node of the document's component (rows with an equal id can be in several); ``component_id`` is
+    the least id that links reach; ``n_links`` counts the other rows that the row links with, copies among them.
+    """
+    members, linked, _ = _join(docs, id_col, text_col, n, *threshold)
+    return members, linked.select(F.col("node").alias("a"), F.explode("others").alias("b"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
     """``docs`` with one row of each group of linked documents, that of least id (and text hash); all columns stay.
 
-    Rows with an empty set stay, one of each that repeats both id and text.
+    Rows with an empty set stay, one of each that repeats both id and text. The ids that go are fewer than those that
+    stay: they are broadcast if they are within ``BROADCAST_IDS``, and texts aren't shuffled then.
     """
-    members, _ = ngram_jaccard_join(docs, id_col, text_col, n, threshold)
+    members, _, tables = _join(docs, id_col, text_col, n, *threshold)
     group = F.when(F.col("node").isNotNull(), F.concat(F.lit("n"), F.col("component").cast("string"))).otherwise(F.concat_ws("/", F.lit("e"), "doc_id", "text_hash"))
-    least = members.groupBy(group.alias("g")).agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "text_hash")).alias("r"), F.count("*").alias("rows"))
-    kept = materialize(least.select(F.col("r.doc_id").alias("__id"), F.col("r.text_hash").alias("__hash"), (F.col("rows") > 1).alias("__many")), "kept")
-    found = docs.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_col)) == F.col("__hash")))
-    again = members.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1)
-    if again.count():  # rows that repeat id and text
-        once = found.where("__many").dropDuplicates([id_col, "__hash"])
-        found = found.where("not __many").unionByName(once)
-    return found.drop("__id", "__hash", "__many")
+    rows = members.select(group.alias("g"), F.isnull("doc_id").alias("none"), "doc_id", "text_hash")
+    least = rows.groupBy("g").agg(F.min(F.struct("none", "doc_id", "text_hash")).alias("r"), F.count("*").alias("rows")).where("rows > 1")
+    least = materialize(least.select("g", F.col("r.doc_id").alias("__id"), F.col("r.text_hash").alias("__hash")), "least")
+    some = F.broadcast(least) if least.count() <= BROADCAST_IDS // 4 else least
+    gone = rows.join(some, "g").where("not (doc_id <=> __id and text_hash <=> __hash)").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    gone = materialize(gone.distinct(), "gone")
+    again = rows.groupBy("doc_id", "text_hash").count().where("count > 1").join(least, F.expr("doc_id <=> __id and text_hash <=> __hash"), "left_semi")
+    again = materialize(again.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")), "again")
+    discard(*tables, least)
+    few = lambda t: F.broadcast(t) if t.count() <= BROADCAST_IDS else t
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & F.xxhash64(F.col(text_col)).eqNullSafe(F.col("__hash"))
+    found = docs.join(few(gone), same, "left_anti")
+    if again.limit(1).count():  # rows that repeat id and text
+        twice = few(again)
+        once = found.join(twice, same, "left_semi").withColumn("__hash", F.xxhash64(F.col(text_col))).dropDuplicates([id_col, "__hash"]).drop("__hash")
+        found = found.join(twice, same, "left_anti").unionByName(once)
+    return found

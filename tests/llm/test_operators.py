@@ -102,38 +102,80 @@ def test_warc_round_trip_and_salvage(spark, tmp_path):
     assert warc.read_warc(warc.write_warc(pages.limit(0), str(tmp_path / "e"))).count() == 0
 
 
-def brute_components(rows, n, num, den):
+def brute_links(rows, n, num, den):
     sets = [shingles(t, n) for _, t in rows]
-    root = list(range(len(rows)))
+    return sets, [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] and sets[j] and den * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j])]
+
+
+def brute_components(rows, n, num, den):
+    """(id, set size, component id, number of links) of each row."""
+    sets, links = brute_links(rows, n, num, den)
+    root, degree = list(range(len(rows))), [0] * len(rows)
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for i in range(len(rows)):
-        for j in range(i):
-            if sets[i] and sets[j] and den * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j]):
-                root[find(i)] = find(j)
+    for i, j in links:
+        root[find(i)] = find(j)
+        degree[i] += 1
+        degree[j] += 1
     least = defaultdict(list)
     for i, (k, _) in enumerate(rows):
         if k is not None:
             least[find(i)].append(k)
-    return [(k, len(sets[i]), min(least[find(i)], default=None)) for i, (k, _) in enumerate(rows)]
+    return [(k, len(sets[i]), min(least[find(i)], default=None), degree[i]) for i, (k, _) in enumerate(rows)]
+
+
+def by_value(t):
+    return tuple(-1 if v is None else v for v in t)
 
 
 @pytest.mark.parametrize(("n", "num"), [(4, 85), (5, 80)])
 def test_ngram_join(docs, empty, n, num):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     members, _ = ngram_join.ngram_jaccard_join(docs, n=n, threshold=(num, 100))
-    key = lambda t: tuple(-1 if v is None else v for v in t)
-    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in members.collect()), key=key)
-    assert got == sorted(brute_components(rows, n, num, 100), key=key)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in members.collect()), key=by_value)
+    assert got == sorted(brute_components(rows, n, num, 100), key=by_value)
     kept = ngram_join.keep_one(docs, n=n, threshold=(num, 100)).collect()
-    assert len({r.doc_id for r in kept if r.doc_id is not None and words(r.text)}) == len({c for k, s, c in got if s and c is not None}) and kept[0].asDict().keys() == docs.first().asDict().keys()
+    assert len({r.doc_id for r in kept if r.doc_id is not None and words(r.text)}) == len({c for k, s, c, _ in got if s and c is not None}) and kept[0].asDict().keys() == docs.first().asDict().keys()
     assert ngram_join.ngram_jaccard_join(empty)[0].count() == 0
 
 
+def test_ngram_join_of_large_groups(spark, monkeypatch):
+    """Near copies beyond a block, in a chain, and short sets that share an n-gram without linking."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for i in range(40):
+        copy = list(base)
+        copy[rng.randrange(60)] = f"x{i}"
+        texts.append(" ".join(copy))
+    chain = [f"c{i}" for i in range(160)]
+    texts += [" ".join(chain[4 * i : 4 * i + 100]) for i in range(15)]
+    texts += [f"the same four words {i} and {i}" for i in range(50)] + ["the same four words 1 and 1"] * 5
+    rows = list(enumerate(texts))
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    members, links = ngram_join.ngram_jaccard_join(d, n=4, threshold=(85, 100))
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in members.collect())
+    assert got == sorted(brute_components(rows, 4, 85, 100))
+    node = {r.doc_id: r.node for r in members.collect()}
+    want = {frozenset((node[i], node[j])) for i, j in brute_links(rows, 4, 85, 100)[1] if node[i] != node[j]}
+    pairs = [frozenset((r.a, r.b)) for r in links.collect()]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == want
+    assert sorted(r.doc_id for r in ngram_join.keep_one(d, n=4, threshold=(85, 100)).collect()) == sorted({c for _, _, c, _ in got})
+
+
+def test_sets_of_equal_hash_are_parted():
+    h = np.array([1, 2, 3, 4], np.uint64)
+    of = np.array([0, 0, 1, 1])
+    node, check, _ = ngram_join._set_hash(h, of, 2, np.zeros(0, np.int64))
+    apart, _, _ = ngram_join._set_hash(h, of, 2, node[:1])
+    assert node[0] != node[1] and check[0] != check[1] and apart[0] != node[0] and apart[1] == node[1]
+
+
 def test_fingerprints(spark, docs, texts, empty):
     rows = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
     found = {r.doc_id: r for r in fingerprints.fingerprint_edits(rows).collect()}
@@ -305,7 +347,7 @@ def test_pipeline(spark):
         assert docs.columns == before.columns
         if name == "ngram_join":
             own = brute_components([(r.doc_id, r.text) for r in before.collect()], 5, 80, 100)
-            assert sorted(r.doc_id for r in docs.collect()) == sorted(k for k, n, c in own if k == c or not n)
+            assert sorted(r.doc_id for r in docs.collect()) == sorted(k for k, n, c, _ in own if k == c or not n)
         if name in ("toxicity", "secret_scans"):
             assert docs.count() > 0.8 * before.count()
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
