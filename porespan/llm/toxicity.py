@@ -22,19 +22,21 @@ maximum; extra columns are dropped; a long text is one chain, never cut.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from porespan.llm.words import ALNUM, chunks, mix, span_hashes, spans, text_buffers
 
-#: Documents of each label on which the model is trained at most, and characters of one of them.
-TRAIN_DOCS, TRAIN_CHARS = 1000, 200_000
-TRAIN_TOKENS, BITS, STEPS = 400_000, 18, 60
+#: Bounds of the training sample: documents of each label, characters of one of them, characters of each label's
+#: documents together, and tokens on which the field's weights are fitted. All are parameters of ``train_on``.
+TRAIN_DOCS, TRAIN_CHARS, TRAIN_TOTAL, TRAIN_TOKENS = 1000, 200_000, 4_000_000, 400_000
+BITS, STEPS = 18, 60
 #: Likelihood ratio and share of toxic contexts from which on a word is marked in toxic documents.
 MIN_RATIO, MIN_SHARE = 25.0, 0.85
 #: Lengths in bytes of the beginnings of words.
@@ -200,19 +202,25 @@ def fit_scores(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 50
     return w
 
 
-def train(texts: pa.Array, toxic: np.ndarray, clean_weight: float = 1.0) -> ToxicityModel:
-    """A model from texts and their 0/1 labels. ``clean_weight``: how many clean texts one of the sample stands for."""
+def train(texts: pa.Array, toxic: np.ndarray, clean_weight: float = 1.0, train_tokens: int = TRAIN_TOKENS) -> ToxicityModel:
+    """A model from texts and their 0/1 labels. ``clean_weight``: how many clean texts one of the sample stands for.
+
+    The field is fitted to at most ``train_tokens`` tokens, half of them from texts that hold marked words.
+    """
     data, offsets = text_buffers(texts)
-    data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
-    n = len(toxic)
-    _, _, text, first, around = tokens(data, offsets)
+    n, parts = len(toxic), []
+    for lo, hi in chunks(offsets):
+        _, _, text, first, around = tokens(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+        parts.append((text + lo, first, around))
+    text, first = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    around = np.concatenate([p[2] for p in parts], axis=1)
     tags, at = label_tokens(around, text, toxic), slots(around)
     # texts with tags come first, then others, up to the bound on tokens
     held = np.bincount(text, tags, n) > 0
     order = np.lexsort((np.arange(n) * 2654435761 % 1000003, ~held))
     count = np.bincount(text, minlength=n)
-    half = np.cumsum(np.where(held[order], count[order], 0)) <= TRAIN_TOKENS // 2
-    rest = np.cumsum(np.where(held[order], 0, count[order])) <= TRAIN_TOKENS // 2
+    half = np.cumsum(np.where(held[order], count[order], 0)) <= train_tokens // 2
+    rest = np.cumsum(np.where(held[order], 0, count[order])) <= train_tokens // 2
     used = np.zeros(n, bool)
     used[order] = np.where(held[order], half, rest)
     pick = used[text] if len(text) else np.zeros(0, bool)
@@ -224,8 +232,15 @@ def train(texts: pa.Array, toxic: np.ndarray, clean_weight: float = 1.0) -> Toxi
     return model
 
 
-def train_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_docs: int = TRAIN_DOCS) -> ToxicityModel:
-    """Trains on at most ``train_docs`` documents of each label, those of least hash; texts beyond ``TRAIN_CHARS`` are not trained on."""
+def train_on(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS,
+    train_total: int = TRAIN_TOTAL, train_tokens: int = TRAIN_TOKENS,
+) -> ToxicityModel:
+    """Trains on a bounded sample of labelled documents, which a single task gathers; only the model reaches the driver.
+
+    Of each label at most ``train_docs`` ids, those of least hash, one row each; of these the texts of at most
+    ``train_chars`` characters, and of those the first by hash that have ``train_total`` characters together.
+    """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
     known = known.where("y in (0, 1)")
     total = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -233,18 +248,25 @@ def train_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         return ToxicityModel()
     picks = [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(train_docs) for y in (0, 1)]
     sample = F.broadcast(picks[0].unionByName(picks[1]))  # at most 2 * train_docs ids
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.char_length("text") <= TRAIN_CHARS)
-    found = rows.join(sample, "id").select("text", "y", "id").toArrow()
-    # rows arrive in any order; sort, so that training is repeatable
-    found = found.sort_by([("id", "ascending"), ("text", "ascending")])
-    found = found.slice(0, 4 * train_docs)
-    y = found["y"].to_numpy().astype(int)
-    if not len(y):
-        return ToxicityModel()
-    scale = lambda v: total.get(v, 0) / max(1, int((y == v).sum()))
-    ratio = scale(0) / scale(1) if scale(1) else 1.0
-    texts = found["text"].combine_chunks()
-    return train(texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts, y, ratio)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.char_length("text") <= train_chars).join(sample, "id")
+    rows = rows.groupBy("y", "id").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("x")).select("y", "id", "x.text")  # a repeated id counts once
+    upto = F.sum(F.char_length("text")).over(Window.partitionBy("y").orderBy(F.xxhash64("id"), "id"))
+    rows = rows.withColumn("upto", upto).where(F.col("upto") <= train_total).select("y", "id", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not sum(map(len, held)):
+            return
+        # rows arrive in any order; sort, so that training is repeatable
+        found = pa.Table.from_batches(held).sort_by([("id", "ascending"), ("text", "ascending")])
+        y = found["y"].to_numpy().astype(int)
+        scale = lambda v: total.get(v, 0) / max(1, int((y == v).sum()))
+        texts = found["text"].combine_chunks()
+        model = train(texts, y, scale(0) / scale(1) if scale(1) else 1.0, train_tokens)
+        yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(model)]})
+
+    made = rows.repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(made["model"]) if made else ToxicityModel()
 
 
 # ---------------------------------------------------------------- scoring
