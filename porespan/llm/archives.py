@@ -33,17 +33,25 @@ class Bytes:
         if n <= 0:
             return b""
         if start < self.at or start + n > self.at + len(self.held):
-            self.file.seek(start)
-            self.at, self.held = start, self.file.read(max(n, self.window))
+            self._fill(start, n)
         return self.held[start - self.at : start - self.at + n]
 
+    def _fill(self, start: int, n: int) -> None:
+        self.file.seek(start)
+        self.at, self.held = start, self.file.read(max(n, self.window))
+
     def find(self, what: bytes, start: int) -> int:
         """The first position of ``what`` from start on, or -1."""
         while start < self.size:
-            block = self.get(start, self.window)
-            if (i := block.find(what)) >= 0:
-                return start + i
-            start += max(1, len(block) - len(what) + 1)
+            if not self.at <= start < self.at + len(self.held):
+                self._fill(start, len(what))
+            if (i := self.held.find(what, start - self.at)) >= 0:
+                return self.at + i
+            end = self.at + len(self.held)
+            if end >= self.size:
+                return -1
+            start = max(start, end - len(what) + 1)
+            self._fill(start, len(what))
         return -1
 
     def close(self) -> None:

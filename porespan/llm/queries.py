@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from porespan.llm import fingerprints, media, mixing, ngram_join, packing, secrets, token_counts, toxicity, url_filter, warc
-from porespan.session import scratch_path
+from porespan.session import materialize, scratch_path
 
 RULES = [
     url_filter.Rule("block", "com", "/en/"),
@@ -29,9 +29,12 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archives are the query's own, so a gap in them, or a revisit without its response, is an error."""
     manifest = warc.write_warc(_table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
-    found = warc.read_warc(manifest, with_payload=False)
-    return found.where("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = warc.resolve_revisits(materialize(warc.read_warc(manifest, with_payload=False), "records"))
+    why = F.concat(F.lit("an archive doesn't read back: "), F.col("path"), F.lit(" at "), F.col("start").cast("string"), F.lit(", "), F.coalesce("reason", F.lit("no response")))
+    sound = F.when(F.col("resolved"), F.lit(True)).otherwise(F.raise_error(why).cast("boolean"))
+    return found.where(sound).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,7 +119,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix holds it."""
-    return mixing.repeat_documents(docs, mixing.mix_sources(docs, quality=quality_weights(spark, sf_dir)))
+    return mixing.mix_documents(docs, quality=quality_weights(spark, sf_dir))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -151,7 +154,7 @@ from b
 OP9_SQL = """
 with q as (select doc_id, max(case quality when 1 then 2.0 when 0 then 0.5 end) as q from labels where doc_id is not null group by 1),
 a as (select d.doc_id, d.source, len(regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+'))::bigint as size,
-             -ln((('0x' || substr(md5('42/' || coalesce(d.doc_id::varchar, 'null')), 1, 13))::bigint::double + 0.5) / 4503599627370496.0) / coalesce(q.q, 1.0) as k
+             -ln((('0x' || substr(md5('42/' || coalesce(d.doc_id::varchar, 'null/' || md5(coalesce(text, '')))), 1, 13))::bigint::double + 0.5) / 4503599627370496.0) / coalesce(q.q, 1.0) as k
       from documents d left join q on d.doc_id = q.doc_id),
 s as (select source, sum(size)::double as n, ([3.0, 1.0, 2.0])[((row_number() over (order by source nulls last) - 1) % 3 + 1)::int]::double as w from a group by source),
 c as (select *, 2.0 * n as stop,

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import zlib
 from collections import defaultdict
@@ -60,14 +61,47 @@ def empty(spark):
     return spark.createDataFrame([], DOCS)
 
 
+URLS = ["http://Ex.COM/en/1", "https://example.com/en/742?x#y", "http://a.example.com/en/8", "ftp://example.net/de/81", "http://net/de/", "http://b.net/de", None, "nothing", "http://x.org/es/a/b", "http://notexample.com:80/en/", "http://.com./en/", "http://", "http://x.com/" + "en/" * 4000]
+
+
+def judged(pages, rules, **options):
+    rows = url_filter.filter_urls(pages, rules, **options).collect()
+    return sorted(((r.page_id, r.host, r.path, r.rule, r.verdict) for r in rows), key=lambda t: tuple((v is not None, v) for v in t))
+
+
 def test_url_rules(spark):
-    urls = ["http://Ex.COM/en/1", "https://example.com/en/742?x#y", "http://a.example.com/en/8", "ftp://example.net/de/81", "http://net/de/", "http://b.net/de", None, "nothing", "http://x.org/es/a/b", "http://notexample.com:80/en/", "http://.com./en/", "http://"]
-    pages = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls)], "page_id long, url string, host string")
-    by_trie = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(pages, queries.RULES).collect()}
-    by_join = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(pages, queries.RULES, broadcast_chars=0).collect()}
-    assert by_trie == by_join
-    assert by_trie[0] == ("ex.com", "/en/1", "com/en/", "block") and by_trie[1] == ("example.com", "/en/742", "example.com/en/7", "allow")
-    assert by_trie[2][2:] == ("com/en/", "block") and by_trie[3][3] == "allow" and by_trie[4][3] == "block" and by_trie[5][2] is None and by_trie[6] == ("", "", None, "allow")
+    pages = spark.createDataFrame([*((i, u, "clash") for i, u in enumerate(URLS)), (0, URLS[0], None), (None, URLS[1], None)], "page_id long, url string, host string")
+    table = spark.createDataFrame([(r.verdict, r.host.upper() + ".", r.path, "x") for r in queries.RULES] + [("block", None, "/", "x"), ("allow", "", None, "x"), ("block", "com", "en/", "x")], "verdict string, host string, path string, url string")
+    lists = judged(pages, queries.RULES)
+    assert lists == judged(pages, queries.RULES, broadcast_bytes=0) == judged(pages, table) == judged(pages, table, broadcast_bytes=0)
+    by_id = {t[0]: t[1:] for t in lists}
+    assert by_id[0] == ("ex.com", "/en/1", "com/en/", "block") and by_id[1] == by_id[None] == ("example.com", "/en/742", "example.com/en/7", "allow")
+    assert by_id[2][2:] == ("com/en/", "block") and by_id[3][3] == "allow" and by_id[4][3] == "block" and by_id[5][2] is None and by_id[6] == ("", "", None, "allow")
+    assert judged(pages.limit(0), table) == judged(pages.limit(0), table, broadcast_bytes=0) == []
+    none = judged(pages, table.limit(0))
+    assert none == judged(pages, table.limit(0), broadcast_bytes=0) and {t[3] for t in none} == {None}
+    with pytest.raises(Exception, match="verdict must be"):
+        judged(pages, spark.createDataFrame([("maybe", "com", "/")], "verdict string, host string, path string"))
+
+
+def test_url_rules_against_brute_force(spark):
+    """Random rules with ties of allow and block, both as a list and as a table, by the trie and by the join."""
+    rng = random.Random(4)
+    host = lambda: ".".join(rng.choices(["a", "b", "com", "net"], k=rng.randint(1, 4)))
+    path = lambda: "".join(rng.choices(["/", "x", "y", "/xy"], k=rng.randint(0, 6)))
+    rules = [(rng.choice(["allow", "block"]), host(), path()) for _ in range(10_000)]
+    urls = [(i, f"http://{host()}/{path()}?q") for i in range(300)]
+    norm = [(v, h, p if not p or p[0] == "/" else "/" + p) for v, h, p in rules]
+    want = []
+    for i, u in urls:
+        h, _, p = u[7:-2].partition("/")
+        fits = [(len(rh), len(rp), v, rh + rp) for v, rh, rp in norm if (h == rh or h.endswith("." + rh)) and ("/" + p).startswith(rp)]
+        want.append((i, h, "/" + p, max(fits)[3] if fits else None, max(fits)[2] if fits else "allow"))
+    pages, table = spark.createDataFrame(urls, "page_id long, url string"), spark.createDataFrame(rules, "verdict string, host string, path string")
+    listed = [url_filter.Rule(*r) for r in rules]
+    for given in (listed, table):
+        for most in (10**9, 0):
+            assert judged(pages, given, broadcast_bytes=most) == want
 
 
 def test_warc_round_trip_and_salvage(spark, tmp_path):
@@ -102,6 +136,36 @@ def test_warc_round_trip_and_salvage(spark, tmp_path):
     assert warc.read_warc(warc.write_warc(pages.limit(0), str(tmp_path / "e"))).count() == 0
 
 
+def test_warc_long_records_and_headers(spark, tmp_path):
+    """Headers and payloads beyond any window, ranges that start inside them, and plain files cut into ranges."""
+    body = bytes(random.Random(1).randbytes(3 << 20)) + b"WARC/1.1\r\ncontent-length: 3\r\n\r\n"
+    digest = base64.b32encode(hashlib.sha1(body).digest()).decode()
+    one = warc.record_bytes(1, "http://x/" + "y" * (2 << 20), body, digest, None)
+    small = lambda i: warc.record_bytes(i, "http://x", b"b%d" % i, base64.b32encode(hashlib.sha1(b"b%d" % i).digest()).decode(), None)
+    (tmp_path / "l.warc").write_bytes(one + b"".join(map(small, range(2, 9))))
+    (tmp_path / "l.warc.gz").write_bytes(warc._gzip(one) + b"".join(warc._gzip(small(i)) for i in range(2, 9)))
+    for step in (500, 1 << 20, 1 << 30):
+        for name in ("l.warc", "l.warc.gz"):
+            files = warc.list_archives(spark, str(tmp_path / name))
+            found = sorted(warc.read_warc(files, range_bytes=step, tasks=3).collect(), key=lambda r: r.start)
+            assert [(r.kind, r.page_id) for r in found] == [("record", i) for i in range(1, 9)], (step, name)
+            assert found[0].payload_digest == digest and found[0].payload == body and found[0].uri.endswith("yy")
+
+
+def test_warc_revisits_need_their_response(spark, tmp_path):
+    pages = spark.createDataFrame([(i, None, "same") for i in range(4)] + [(9, None, "other")], "page_id long, url string, html string").coalesce(1)
+    manifest = warc.write_warc(pages, str(tmp_path / "w"))
+    path = manifest.first().path
+    whole = warc.resolve_revisits(warc.read_warc(manifest, with_payload=False)).collect()
+    assert all(r.resolved for r in whole) and {r.payload_bytes for r in whole} == {4, 5}
+    at = next(r for r in whole if r.page_id == 0)
+    data = bytearray(open(path, "rb").read())
+    data[at.start + 20 : at.start + 30] = b"\0" * 10
+    open(path, "wb").write(bytes(data))
+    hurt = {r.page_id: r for r in warc.resolve_revisits(warc.read_warc(manifest, with_payload=False)).collect()}
+    assert hurt[None].kind == "gap" and hurt[9].resolved and not any(hurt[i].resolved for i in (1, 2, 3))
+
+
 def brute_links(rows, n, num, den):
     sets = [shingles(t, n) for _, t in rows]
     return sets, [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] and sets[j] and den * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j])]
@@ -308,7 +372,37 @@ def test_media(spark, docs, empty):
     assert len(read) == docs.count() and [r.member for r in read if r.error] == [one.member]
 
 
-def test_mixing(docs, empty):
+def brute_copies(rows, seed=42):
+    """How often the mix holds each (id, text, source, weight), by the definition; rows that are equal in all share a list."""
+    size = [len(words(t)) for _, t, _, _ in rows]
+    sources = sorted({s for _, _, s, _ in rows}, key=lambda s: (s is None, s))
+    weight, total = {s: (3.0, 1.0, 2.0)[i % 3] for i, s in enumerate(sources)}, sum(size)
+    own = {s: sum(n for n, r in zip(size, rows, strict=True) if r[2] == s) for s in sources}
+    target, left, open_ = dict.fromkeys(sources, 0.0), 1.5 * total, set(sources)
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if level * weight[s] > 2.0 * own[s]}
+        for s in full or open_:
+            target[s] = 2.0 * own[s] if full else level * weight[s]
+            left -= target[s]
+        open_ -= full or open_
+    copies = defaultdict(list)
+    for s in sources:
+        epochs = target[s] // own[s] if own[s] else 0
+        rest, upto = target[s] - epochs * own[s], 0
+        keyed = []
+        for (i, t, x, q), n in zip(rows, size, strict=True):
+            if x == s:
+                name = str(i) if i is not None else "null/" + hashlib.md5((t or "").encode()).hexdigest()
+                u = (int(hashlib.md5(f"{seed}/{name}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+                keyed.append((-math.log(u) / (q if q and q > 0 else 1.0), i, t, n))
+        for _, i, t, n in sorted(keyed, key=lambda r: r[0]):
+            upto += n
+            copies[i, t].append(int(epochs + (n > 0 and rest > 0 and upto - n / 2 <= rest)))
+    return copies
+
+
+def test_mixing(spark, docs, empty):
     found = mixing.mix_sources(docs, bucket_rows=10).toPandas()
     again = mixing.mix_sources(docs.repartition(3), bucket_rows=10).toPandas()
     key = ["doc_id", "text_hash", "source", "size", "taken"]
@@ -316,9 +410,36 @@ def test_mixing(docs, empty):
     own = found.assign(source=found["source"].fillna("~")).groupby("source").agg(size=("size", "sum"), n=("source_size", "first"), target=("target", "first"), taken=("taken", "sum"), top=("size", "max"))
     assert (own["size"] == own["n"]).all() and ((own["taken"] - own["target"]).abs() <= own["top"]).all() and (own["target"] <= 2 * own["n"]).all()
     assert own["target"].sum() == pytest.approx(1.5 * found["size"].sum()) and (found["taken"] <= 2 * found["size"]).all()
-    assert mixing.mix_sources(empty).count() == 0
-    mixed = mixing.mix_sources(docs)
-    assert mixing.repeat_documents(docs, mixed).columns == docs.columns
+    assert mixing.mix_sources(empty).count() == 0 and mixing.mix_documents(empty).count() == 0
+
+
+def test_mixing_by_definition(spark):
+    """Weights of six orders, null ids, odd weights; a narrow bucket; documents by broadcasts and by a shuffle."""
+    rng = random.Random(8)
+    rows = [(i if i % 9 else None, f"text {i} " * rng.randint(0, 6), rng.choice(["a", "a", "b", None]), rng.choice([0.001, 0.5, 1.0, 1000.0, None, -1.0])) for i in range(400)]
+    d = spark.createDataFrame([(i, t, s, "clash") for i, t, s, _ in rows], "doc_id long, text string, source string, rank_key string").repartition(3)
+    q = spark.createDataFrame([(i, w) for i, _, _, w in rows], "id long, w double")
+    want = brute_copies([(i, t, s, w if i is not None else None) for i, t, s, w in rows])
+    for bucket_rows in (5, 20_000):
+        got = defaultdict(list)
+        for r in mixing.mix_sources(d, quality=q, bucket_rows=bucket_rows).join(d.selectExpr("doc_id as d", "text", "xxhash64(text) as h"), mixing.F.expr("doc_id <=> d and text_hash = h")).collect():
+            got[r.doc_id, r.text].append(r.copies)
+        assert {k: sorted(set(v)) for k, v in got.items()} == {k: sorted(set(v)) for k, v in want.items()}
+    once = {k: max(v) for k, v in want.items() if max(v)}
+    for most in (10**6, 0):
+        out = mixing.mix_documents(d, quality=q, bucket_rows=5, broadcast_rows=most)
+        assert out.columns == d.columns
+        assert {(r.doc_id, r.text): r["count"] for r in out.groupBy("doc_id", "text").count().collect()} == once
+
+
+def test_mixing_of_equal_keys(spark):
+    """Rows that repeat an id, or are equal in all: intervals narrow by text hash and then by row."""
+    rows = [(7, f"a b {i}", "s") for i in range(60)] + [(8, "same text here", "s")] * 60
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    keyed, plan, cuts, _ = mixing._mixed(d, "doc_id", "text", "source", None, mixing.WEIGHTS, 1.5, 2.0, 42, 5)
+    assert cuts.first().n <= 5
+    found = mixing._chosen(keyed, plan, cuts).toPandas()
+    assert abs((found["copies"] * found["size"]).sum() - found["target"][0]) <= 3
 
 
 def test_secrets(spark, docs, empty):
