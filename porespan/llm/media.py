@@ -3,13 +3,14 @@
 *Store.* ``write_media`` stores payloads as 8-bit mono WAV files (a ``note`` chunk keeps the unpadded length), as
 members of zip archives of bounded size; Spark commits the manifest of those that count.
 
-*Source.* ``spark.read.format("media_archive")`` plans byte ranges of the archives; a range owns the members
+*Source.* ``spark.read.format("media_archive")`` plans byte ranges of the archives, several to a partition where there are
+more than ``PARTITIONS``; a range owns the members
 whose header starts in it, found in the archive's directory. Members stream out in Arrow batches of bounded
 bytes. Each is read by its own offset and tried again on its own; one that stays broken becomes a row
-with its error, and the others go on.
+with its error, and the others go on. ``media_features(strict=True)`` makes such a row fail its task, which Spark runs again.
 
 Cases: a null payload is empty; payloads are padded with spaces to a positive multiple of ``UNIT``; a null id is
-stored as such; repeated rows are members of their own; an empty table writes no archive and reads as no
+stored apart from any string; repeated rows are members of their own; an empty table writes no archive and reads as no
 rows.
 """
 
@@ -34,7 +35,8 @@ from porespan.session import scratch_path
 
 UNIT, RATE = 192, 8000
 ARCHIVE_BYTES, RANGE_BYTES, BATCH_BYTES = 64 << 20, 16 << 20, 4 << 20
-NULL_ID = "~null"
+#: Partitions of a read at most, and how member names begin: with an id, or for a null one.
+PARTITIONS, WITH_ID, NULL_ID = 20_000, "id=", "null"
 MEMBERS = pa.schema([("member", pa.string()), ("offset", pa.int64()), ("media", pa.binary()), ("error", pa.string())])
 FEATURES = "member string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
 
@@ -106,7 +108,7 @@ def write_media(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
                     out = fs.open_output_stream(path, compression=None)
                     z = zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=1)
                 data = (text or "").encode()
-                z.writestr(zipfile.ZipInfo(f"{NULL_ID if key is None else key}.wav"), wav(padded(data), len(data)), zipfile.ZIP_DEFLATED, 1)
+                z.writestr(zipfile.ZipInfo(NULL_ID if key is None else f"{WITH_ID}{key}"), wav(padded(data), len(data)), zipfile.ZIP_DEFLATED, 1)
                 if out.tell() >= archive_bytes:
                     yield closed()
                     z = None
@@ -121,9 +123,11 @@ def write_media(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
 # ---------------------------------------------------------------- source
 
 
-class Range(InputPartition):
-    def __init__(self, path: str, start: int, stop: int):
-        self.path, self.start, self.stop = path, start, stop
+class Ranges(InputPartition):
+    """Byte ranges (path, start, stop) that one task reads."""
+
+    def __init__(self, ranges: list[tuple[str, int, int]]):
+        self.ranges = ranges
 
 
 class MediaReader(DataSourceReader):
@@ -131,21 +135,32 @@ class MediaReader(DataSourceReader):
         self.manifest = options["path"]
         self.range_bytes = int(options.get("range_bytes", RANGE_BYTES))
         self.batch_bytes = int(options.get("batch_bytes", BATCH_BYTES))
+        self.most = int(options.get("partitions", PARTITIONS))
         self.retries, self.pause = int(options.get("retries", 3)), float(options.get("pause", 0.2))
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[Ranges]:
         fs, path = filesystem(self.manifest)
-        found = pq.read_table(path, columns=["path", "bytes"], filesystem=fs).to_pylist()
-        return [Range(r["path"], at, at + self.range_bytes) for r in found for at in range(0, r["bytes"], self.range_bytes)] or [Range("", 0, 0)]
-
-    def _member(self, path: str, info: zipfile.ZipInfo) -> tuple[bytes | None, str | None]:
+        found = pq.read_table(path, columns=["path", "bytes"], filesystem=fs)
+        step = max(self.range_bytes, -(-sum(found["bytes"].to_pylist()) // self.most))
+        out, room = [Ranges([])], step
+        for name, size in zip(found["path"].to_pylist(), found["bytes"].to_pylist(), strict=True):
+            for at in range(0, size, step):
+                take = min(step, size - at)
+                if take > room and out[-1].ranges:
+                    out.append(Ranges([]))
+                    room = step
+                out[-1].ranges.append((name, at, at + take))
+                room -= take
+        return out
+
+    def _member(self, path: str, archive: zipfile.ZipFile, info: zipfile.ZipInfo) -> tuple[bytes | None, str | None]:
         """The bytes of one member, read at its offset through a handle of its own on every further try."""
         error = None
         for attempt in range(self.retries):
             try:
+                if attempt == 0:
+                    return archive.read(info), None
                 fs, name = filesystem(path)
-                if attempt == 0 and self._open is not None:
-                    return self._open.read(info), None
                 with fs.open_input_file(name) as f, zipfile.ZipFile(f) as z:
                     return z.read(info), None
             except (OSError, zipfile.BadZipFile, zlib.error, EOFError) as e:
@@ -153,27 +168,26 @@ class MediaReader(DataSourceReader):
                 time.sleep(self.pause * attempt)
         return None, error
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        if not partition.path:
-            return
-        fs, path = filesystem(partition.path)
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         rows, held = [], 0
-        with fs.open_input_file(path) as f, zipfile.ZipFile(f) as self._open:
-            for info in self._open.infolist():
-                if not partition.start <= info.header_offset < partition.stop:
-                    continue
-                media, error = self._member(partition.path, info)
-                rows.append({"member": info.filename, "offset": info.header_offset, "media": media, "error": error})
-                held += len(media or b"")
-                if held >= self.batch_bytes:
-                    yield pa.RecordBatch.from_pylist(rows, schema=MEMBERS)
-                    rows, held = [], 0
+        for name, start, stop in partition.ranges:
+            fs, path = filesystem(name)
+            with fs.open_input_file(path) as f, zipfile.ZipFile(f) as archive:
+                for info in archive.infolist():
+                    if not start <= info.header_offset < stop:
+                        continue
+                    media, error = self._member(name, archive, info)
+                    rows.append({"member": info.filename, "offset": info.header_offset, "media": media, "error": error})
+                    held += len(media or b"")
+                    if held >= self.batch_bytes:
+                        yield pa.RecordBatch.from_pylist(rows, schema=MEMBERS)
+                        rows, held = [], 0
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=MEMBERS)
 
 
 class MediaArchives(DataSource):
-    """``spark.read.format("media_archive").load(manifest)``; options range_bytes, batch_bytes, retries, pause."""
+    """``spark.read.format("media_archive").load(manifest)``; options range_bytes, batch_bytes, partitions, retries, pause."""
 
     @classmethod
     def name(cls) -> str:
@@ -216,13 +230,16 @@ def member_features(members: DataFrame) -> DataFrame:
     return members.select("member", "media", "error").mapInArrow(run, FEATURES)
 
 
-def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
-    """Stores all texts, reads the archives back and returns ``doc_id`` with the members' figures."""
+def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, strict: bool = False) -> DataFrame:
+    """Stores all texts, reads the archives back and returns ``doc_id`` with the members' figures.
+
+    ``strict``: a member that can't be read or decoded is an error; else its row says why it has no figures.
+    """
     spark = docs.sparkSession
     manifest = write_media(docs, folder or scratch_path(spark, "media"), id_col, text_col)
     found = member_features(read_media(spark, manifest))
-    key = F.regexp_replace("member", r"\.wav$", "")
-    key = F.when(key != NULL_ID, key).cast(docs.schema[id_col].dataType)
+    if strict:
+        why = F.concat(F.lit("a media member doesn't read back: "), F.col("member"), F.lit(", "), F.col("error"))
+        found = found.where(F.when(F.col("error").isNull(), F.lit(True)).otherwise(F.raise_error(why).cast("boolean")))
+    key = F.when(F.col("member").startswith(WITH_ID), F.expr(f"substring(member, {len(WITH_ID) + 1})")).cast(docs.schema[id_col].dataType)
     return found.select(key.alias("doc_id"), *[c for c in found.columns if c != "member"])
-
-

@@ -79,7 +79,8 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_features(_table(spark, sf_dir, "documents")).drop("error")
+    """The archives are the query's own, so a member that doesn't read back is an error."""
+    return media.media_features(_table(spark, sf_dir, "documents"), strict=True)
 
 
 def quality_weights(spark: SparkSession, sf_dir: str) -> DataFrame:

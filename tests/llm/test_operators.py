@@ -2,14 +2,18 @@
 
 import base64
 import hashlib
+import io
 import math
 import random
+import re
+import wave
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 
 from porespan.llm import encode, fingerprints, media, mixing, ngram_join, packing, queries, secrets, token_counts, toxicity, url_filter, warc
 from porespan.session import scratch_path
@@ -240,6 +244,25 @@ def test_sets_of_equal_hash_are_parted():
     assert node[0] != node[1] and check[0] != check[1] and apart[0] != node[0] and apart[1] == node[1]
 
 
+def brute_sketch(text, k):
+    signed = lambda v: v - 2**64 if v >= 2**63 else v
+    hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in re.split(r"[ \t-\r]+", text.lower()) if w]
+
+    def chained(run):
+        seed = 42
+        for h in run:
+            seed = xxhash.xxh64_intdigest(h.to_bytes(8, "little"), seed)
+        return signed(seed)
+
+    runs = {chained(hashes[i : i + 5]) for i in range(max(1, len(hashes) - 4))} if hashes else set()
+    return sorted(runs)[:k]
+
+
+def brute_likeness(a, b, k):
+    union = sorted({*a, *b})[:k]
+    return len({*a} & {*b} & {*union}) / len(union) if union else 1.0
+
+
 def test_fingerprints(spark, docs, texts, empty):
     rows = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
     found = {r.doc_id: r for r in fingerprints.fingerprint_edits(rows).collect()}
@@ -251,6 +274,11 @@ def test_fingerprints(spark, docs, texts, empty):
         assert r.n_chars == n and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
         a, b = shingles(text, 5), shingles(edited, 5)
         assert abs(r.near_edited - (len(a & b) / len(a | b) if a | b else 1.0)) < 0.2
+        sketch_of = lambda t: brute_sketch(t, 128)
+        own, changed, nxt = sketch_of(text), sketch_of(edited), sketch_of(after)
+        hexed = lambda s: "".join(f"{h % 2**64:016X}" for h in s)
+        assert (r.fingerprint, r.edited_fingerprint) == (hexed(own), hexed(changed))
+        assert r.near_edited == pytest.approx(brute_likeness(own, changed, 128)) and r.near_next == pytest.approx(brute_likeness(own, nxt, 128))
     assert found[texts.index("one")].fingerprint == found[texts.index("one") + 1].fingerprint
     assert fingerprints.fingerprint_edits(docs).count() == docs.count() and fingerprints.fingerprint_edits(empty).count() == 0
     # sketches of parts merge to the sketch of the whole, and estimate counts and containment
@@ -352,7 +380,7 @@ def test_token_counts(spark, docs, empty):
 
 
 def test_media(spark, docs, empty):
-    found = media.media_features(docs)
+    found = media.media_features(docs, strict=True)
     rows = {r.doc_id: r for r in found.collect()}
     assert found.count() == docs.count()
     for r in docs.where("doc_id is not null").collect():
@@ -360,9 +388,21 @@ def test_media(spark, docs, empty):
         payload = data + b" " * (-len(data) % 192 or (0 if data else 192))
         x = rows[r.doc_id]
         assert (x.n_bytes, x.payload_bytes, x.payload_sha256, x.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:])) and x.error is None
+        stored = media.wav(payload, len(data))
+        with wave.open(io.BytesIO(stored)) as w:  # any reader of the format finds the payload as its samples
+            assert (w.getnchannels(), w.getsampwidth(), w.readframes(w.getnframes())) == (1, 1, payload)
+        assert (x.media_bytes, x.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        middle = [b - 128 for b in payload]
+        crossings = sum((a >= 0) != (b >= 0) for a, b in zip(middle, middle[1:], strict=False))
+        ranges = [sum(b // 32 == k for b in payload) for k in range(8)]
+        assert x.feature == f"sum={sum(middle)};energy={sum(v * v for v in middle)};crossings={crossings};ranges={','.join(map(str, ranges))}"
     assert media.media_features(empty).count() == 0
+    names = spark.createDataFrame([("null", "a"), (None, "b"), ("~null", "c"), ("id=x", "d"), ("", "e")], "doc_id string, text string")
+    assert {r.doc_id: r.n_bytes for r in media.media_features(names).collect()} == {"null": 1, None: 1, "~null": 1, "id=x": 1, "": 1}
     manifest = media.write_media(docs.coalesce(1), scratch_path(spark, "media"))
     path = spark.read.parquet(manifest).first().path
+    for partitions in (1, 3, 1000):
+        assert media.read_media(spark, manifest, range_bytes=2000, partitions=partitions).select("offset").distinct().count() == docs.count()
     members = media.read_media(spark, manifest, range_bytes=2000, batch_bytes=5000)
     one = sorted(members.collect(), key=lambda r: r.offset)[10]
     data = bytearray(open(path, "rb").read())
