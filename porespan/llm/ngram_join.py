@@ -49,7 +49,7 @@ from porespan.session import discard, materialize
 #: Broadcast no more than this many ids (8 bytes each); beyond, tables are joined by shuffles.
 BROADCAST_IDS = 1_000_000
 #: Sets in a block of a large bucket or cluster, n-grams in a block of a cluster, and rows of small buckets in a group.
-BLOCK, BLOCK_GRAMS, GROUP_ROWS = 256, 1 << 20, 20_000
+BLOCK, BLOCK_GRAMS, GROUP_ROWS = 256, 1 << 20, 4_000
 #: Parts of the global order whose overlaps are counted apart.
 FRAGMENTS = 4
 #: Signatures of large buckets that a set carries in order to meet a partner once.
