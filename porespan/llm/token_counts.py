@@ -4,13 +4,18 @@ A document keeps a segment tree. Its leaves are pre-token segments, the chunks w
 them; each node holds the characters and tokens below it. An edit replaces a range of characters. The tree is
 descended by characters to the segments that the range touches; they and their neighbours up to the next white
 space are the boundary context that is encoded again (white space parts pre-tokens of these vocabularies, so
-nothing beyond it can change). The first touched leaf then holds the whole new region, the other touched
-leaves become empty, and the sums on their paths are updated.
+nothing beyond it can change). The new region is cut into segments again, which go to the touched leaves and the empty ones
+after them, and the sums on their paths are updated. Where they don't fit, leaves are laid out anew with empty ones between
+them; no segment is encoded for that. So an edit costs its own region however large earlier ones were.
+
+*Kept trees.* ``token_trees`` gives documents with the characters and tokens of their leaves as columns. Calls that get these
+columns encode nothing but what edits touch, and can return them for the next call.
 
 Cases: null text is empty and has an empty tree of one leaf; edits out of range are clipped to the text; edits
 of a null or unknown document are dropped; a null replacement is empty; edits of a document apply in ascending
-``seq``, each to the text that the one before left; documents without edits keep their counts; repeated rows
-are documents of their own that get the same edits.
+``seq``, each to the text that the one before left (equal ``seq``: by start, stop and replacement); documents without edits
+keep their counts; repeated rows are documents of their own that get the same edits; a chunk without white space is one segment,
+however long; a large insertion is encoded once, as a whole.
 """
 
 from __future__ import annotations
@@ -20,14 +25,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from porespan.llm.encode import ChunkEncoder, encoder, parts
+from porespan.session import discard, materialize
 
-SPACE = " \t\n\v\f\r"
 _CHUNK = re.compile(r"[^ \t\n\v\f\r]+")
 RESULT = "n_segments long, n_tokens long, n_tokens_edited long, n_encoded long, n_chars_edited long"
+TREE = "text string, leaf_chars array<int>, leaf_tokens array<int>"
+#: Edits of a document that are gathered at once; further ones follow in rounds. Leaves for each empty one in a new layout.
+EDITS_AT_ONCE, SPARE = 100_000, 4
 
 
 class SegmentTree:
@@ -77,36 +85,88 @@ def count_tokens(text: str, own: ChunkEncoder) -> int:
 
 
 class EditedDocument:
-    """A text with its tree. ``encoded`` counts the characters that edits had encoded again."""
+    """A text with its tree. ``encoded`` counts the characters that edits had encoded again.
+
+    ``chars`` are the lengths of the leaves; without them the text is cut into segments. Leaf i holds ``fresh[i]`` or, as long as no
+    edit touched it, ``base[at[i]:at[i + 1]]``.
+    """
+
+    def __init__(self, text: str, tokens: np.ndarray, own: ChunkEncoder, chars: np.ndarray | None = None):
+        self.own, self.encoded = own, 0
+        if chars is None:
+            chars = np.diff(np.array(segments(text), np.int64), prepend=0)
+        if not len(tokens):
+            chars, tokens = np.array([len(text)], np.int64), np.zeros(1, np.int64)
+        self._lay_out(text, chars, tokens)
 
-    def __init__(self, text: str, tokens: np.ndarray, own: ChunkEncoder):
-        self.text, self.own, self.encoded = text, own, 0
-        ends = np.array(segments(text), np.int64)
-        if len(ends) == 1 and not len(tokens):
-            tokens = np.zeros(1, np.int64)
-        self.tree = SegmentTree(np.diff(ends, prepend=0), tokens)
+    def _lay_out(self, text: str, chars: np.ndarray, tokens: np.ndarray) -> None:
+        self.base, self.fresh, self.leaves = text, {}, len(chars)
+        self.at = np.concatenate([[0], np.cumsum(chars)])
+        self.tree = SegmentTree(chars, tokens)
 
     @property
     def n_tokens(self) -> int:
         return int(self.tree.tokens[1])
 
+    @property
+    def n_chars(self) -> int:
+        return int(self.tree.chars[1])
+
+    def _text(self, first: int, last: int) -> str:
+        """What the leaves from ``first`` up to ``last`` hold, where few are in between."""
+        return "".join(self.fresh[i] if i in self.fresh else self.base[self.at[i] : self.at[i + 1]] for i in range(first, last))
+
+    @property
+    def text(self) -> str:
+        out, done = [], 0
+        for i in sorted(self.fresh):
+            out += [self.base[self.at[done] : self.at[i]], self.fresh[i]]
+            done = i + 1
+        return "".join([*out, self.base[self.at[done] :]])
+
+    def tree_leaves(self) -> tuple[np.ndarray, np.ndarray]:
+        """(characters, tokens) of the leaves that hold text."""
+        span = slice(self.tree.size, self.tree.size + self.leaves)
+        chars, tokens = self.tree.chars[span], self.tree.tokens[span]
+        return chars[chars > 0], tokens[chars > 0]
+
     def edit(self, start: int, stop: int, new: str) -> None:
         """Replaces the characters from ``start`` up to ``stop`` by ``new``."""
-        text, n = self.text, len(self.text)
+        n = self.n_chars
         start = min(max(start, 0), n)
         stop = min(max(stop, start), n)
         # the segments of the characters beside the range: an edit can join or part the chunks it touches
-        first, base = self.tree.find(max(0, start - 1))
-        last, last_base = self.tree.find(stop)
-        end = last_base + int(self.tree.chars[self.tree.size + last])
-        region = text[base:start] + new + text[stop:end]
+        first, begin = self.tree.find(max(0, start - 1))
+        last, last_begin = self.tree.find(stop)
+        size, chars = self.tree.size, self.tree.chars
+        head = self._text(first, first + 1)[: start - begin]
+        tail = self._text(last, last + 1)[stop - last_begin :]
+        region = head + new + tail
         # what follows the region starts with white space, as every segment but a text's first one does
-        self.text = text[:start] + new + text[stop:]
+        ends = segments(region)
+        pieces = [region[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        counts = [count_tokens(x, self.own) for x in pieces]
         self.encoded += len(region)
-        for leaf in range(first + 1, last + 1):
-            if self.tree.chars[self.tree.size + leaf] or self.tree.tokens[self.tree.size + leaf]:
-                self.tree.put(leaf, 0, 0)
-        self.tree.put(first, len(region), count_tokens(region, self.own))
+        room = last + 1
+        while room - first < len(pieces) and room < self.leaves and not chars[size + room]:
+            room += 1
+        if room - first >= len(pieces):
+            for k in range(room - first):
+                piece, count = (pieces[k], counts[k]) if k < len(pieces) else ("", 0)
+                leaf = first + k
+                if piece or chars[size + leaf] or self.tree.tokens[size + leaf]:
+                    self.fresh[leaf] = piece
+                    self.tree.put(leaf, len(piece), count)
+            return
+        text = self.text
+        text = text[:begin] + region + text[last_begin + int(chars[size + last]) :]
+        span = lambda tree: (tree[size : size + first], tree[size + last + 1 : size + self.leaves])
+        before, after = span(chars)
+        t_before, t_after = span(self.tree.tokens)
+        lengths = np.concatenate([before[before > 0], [len(x) for x in pieces], after[after > 0]]).astype(np.int64)
+        tokens = np.concatenate([t_before[before > 0], counts, t_after[after > 0]]).astype(np.int64)
+        spare = np.arange(SPARE, len(lengths) + 1, SPARE)
+        self._lay_out(text, np.insert(lengths, spare, 0), np.insert(tokens, spare, 0))
 
 
 def _counts(texts: pa.Array, own: ChunkEncoder) -> Iterator[np.ndarray]:
@@ -119,34 +179,83 @@ def _counts(texts: pa.Array, own: ChunkEncoder) -> Iterator[np.ndarray]:
             yield count[a:b][real[a:b]]
 
 
+def token_trees(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
+    """``(doc_id, text, leaf_chars, leaf_tokens)``: every document with its tree's leaves, to be kept beside it."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.lit(None).cast("array<struct<seq:bigint>>").alias("edits"))
+    return apply_edits(rows, vocabulary, with_trees=True).select("doc_id", *[x.split()[0] for x in TREE.split(", ")])
+
+
 def count_with_edits(
-    docs: DataFrame, edits: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None
+    docs: DataFrame, edits: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, with_trees: bool = False, at_once: int = EDITS_AT_ONCE
 ) -> DataFrame:
     """Counts before and after ``edits (doc_id, seq, start, stop, new)`` for every row of ``docs``.
 
-    The edits of a document are gathered into one array; a document's edits are few against its text.
+    ``docs`` may be a table of ``token_trees``: then untouched segments aren't encoded. ``with_trees`` adds the edited documents'
+    text and leaves. At most ``at_once`` edits of a document are gathered; more of them follow in further rounds on kept trees.
     """
     edit = F.struct(F.col("seq").cast("long").alias("seq"), F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), F.coalesce("new", F.lit("")).alias("new"))
-    by_doc = edits.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.sort_array(F.collect_list(edit)).alias("__edits"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(by_doc, F.col("doc_id") == F.col("__id"), "left")
-    return apply_edits(rows.select("doc_id", "text", F.col("__edits").alias("edits")), vocabulary)
+    listed = edits.where("doc_id is not null").select(F.col("doc_id").alias("__id"), edit.alias("edit"))
+    most = listed.groupBy("__id").count().agg(F.max("count")).first()[0] or 0
+    kept = [c for c in ("leaf_chars", "leaf_tokens") if c in docs.columns]
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *kept)
+    if most <= at_once:
+        return apply_edits(_with_edits(rows, listed), vocabulary, with_trees)
+    names = [x.split()[0] for x in RESULT.split(", ")]
+    place = F.row_number().over(Window.partitionBy("__id").orderBy("edit")) - 1
+    listed = materialize(listed.withColumn("round", F.floor(place / at_once)), "edits")
+    now = None
+    for k in range(-(-most // at_once)):
+        part = listed.where(F.col("round") == k).drop("round")
+        if now is None:
+            done = apply_edits(_with_edits(rows, part), vocabulary, True)
+        else:
+            before = now.select("doc_id", "text", "leaf_chars", "leaf_tokens", *[F.col(c).alias(f"__{c}") for c in names])
+            done = apply_edits(_with_edits(before, part), vocabulary, True, [f"__{c}" for c in names])
+            done = done.withColumns({"n_segments": F.col("__n_segments"), "n_tokens": F.col("__n_tokens"), "n_encoded": F.col("n_encoded") + F.col("__n_encoded")})
+            done = done.drop(*[f"__{c}" for c in names])
+        before_, now = now, materialize(done, "trees")
+        if before_ is not None:
+            discard(before_)
+    return now if with_trees else now.select("doc_id", *names)
 
 
-def apply_edits(rows: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """``(doc_id, n_segments, n_tokens, n_tokens_edited, n_encoded, n_chars_edited)`` of rows ``(doc_id, text, edits)``."""
+def _with_edits(rows: DataFrame, listed: DataFrame) -> DataFrame:
+    by_doc = listed.groupBy("__id").agg(F.sort_array(F.collect_list("edit")).alias("edits"))
+    return rows.join(by_doc, F.col("doc_id") == F.col("__id"), "left").drop("__id")
+
+
+def apply_edits(rows: DataFrame, vocabulary: str | None = None, with_trees: bool = False, keep: list[str] | None = None) -> DataFrame:
+    """``(doc_id, n_segments, n_tokens, n_tokens_edited, n_encoded, n_chars_edited)`` of rows ``(doc_id, text, edits)``.
+
+    Rows may have the columns of ``token_trees``; a null in them has the text encoded. ``with_trees`` adds these columns as they are after the
+    edits; ``keep`` names columns that pass through.
+    """
+    keep = keep or []
+    trees = "leaf_chars" in rows.columns and "leaf_tokens" in rows.columns
+    names = [x.split()[0] for x in RESULT.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(vocabulary)
         for batch in batches:
-            out = []
-            for text, tokens, edits in zip(batch["text"].to_pylist(), _counts(batch["text"], own), batch["edits"].to_pylist(), strict=True):
-                doc = EditedDocument(text or "", tokens, own)
-                before, leaves = doc.n_tokens, len(tokens)
+            known = batch["leaf_tokens"].to_pylist() if trees else [None] * len(batch)
+            lengths = batch["leaf_chars"].to_pylist() if trees else known
+            asked = pa.array([t if k is None else "" for t, k in zip(batch["text"].to_pylist(), known, strict=True)], pa.string()) if trees else batch["text"]
+            out, leaves = [], []
+            for text, tokens, edits, kept, chars in zip(batch["text"].to_pylist(), _counts(asked, own), batch["edits"].to_pylist(), known, lengths, strict=True):
+                if kept is not None:
+                    tokens = np.array(kept, np.int64)
+                doc = EditedDocument(text or "", tokens, own, None if kept is None else np.array(chars, np.int64))
+                before, n = doc.n_tokens, len(tokens)
                 for e in edits or []:
                     doc.edit(e["start"], e["stop"], e["new"])
-                out.append((leaves, before, doc.n_tokens, doc.encoded, len(doc.text)))
-            columns = np.array(out, np.int64).reshape(-1, 5).T
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c) for c in columns)], ["doc_id", *(x.split()[0] for x in RESULT.split(", "))])
+                out.append((n, before, doc.n_tokens, doc.encoded, doc.n_chars))
+                if with_trees:
+                    leaves.append((doc.text, *(x.tolist() for x in doc.tree_leaves())))
+            columns = [batch["doc_id"], *(pa.array(c) for c in np.array(out, np.int64).reshape(-1, 5).T)]
+            if with_trees:
+                columns += [pa.array([x[k] for x in leaves], kind) for k, kind in enumerate((pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32())))]
+            yield pa.RecordBatch.from_arrays([*columns, *(batch[c] for c in keep)], ["doc_id", *names, *([x.split()[0] for x in TREE.split(", ")] if with_trees else []), *keep])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", "text", "edits").mapInArrow(run, f"doc_id {kind}, {RESULT}")
+    schema = f"doc_id {kind}, {RESULT}" + (f", {TREE}" if with_trees else "") + "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in keep)
+    return rows.select("doc_id", "text", "edits", *(["leaf_chars", "leaf_tokens"] if trees else []), *keep).mapInArrow(run, schema)

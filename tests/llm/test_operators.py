@@ -360,23 +360,81 @@ def test_fullest_is_optimal():
         assert sum(k * n for k, n in used.items()) == max(sums) and all(n <= counts[k] for k, n in used.items())
 
 
-def test_token_counts(spark, docs, empty):
+def edited_by(text, edits):
+    for _, start, stop, new in sorted(edits):
+        start = min(max(start, 0), len(text))
+        stop = min(max(stop, start), len(text))
+        text = text[:start] + new + text[stop:]
+    return text
+
+
+def n_ids(own, text):
+    return len(own.tokenizer.encode(text, add_special_tokens=False).ids)
+
+
+def test_edited_documents():
     own, rng = encode.encoder(), random.Random(9)
     for text in ["", " a  b ", "one two\nthree don't stop", "long word " * 50]:
         doc = token_counts.EditedDocument(text, np.array([len(own.encode(c)) for c in token_counts._CHUNK.findall(text)], np.int64), own)
-        for _ in range(60):
-            a, new = rng.randint(0, len(doc.text) + 3), rng.choice(["", " ", "x", "y z", "  it's", "\n"])
+        for _ in range(80):
+            a, new = rng.randint(0, doc.n_chars + 3), rng.choice(["", " ", "x", "y z  w", "  it's", "\n", "some more words come in here "])
             b = a + rng.randint(0, 9)
-            want = doc.text[: min(a, len(doc.text))] + new + doc.text[min(b, len(doc.text)) :]
+            want = edited_by(doc.text, [(0, a, b, new)])
             doc.edit(a, b, new)
-            assert doc.text == want and doc.n_tokens == len(own.tokenizer.encode(want, add_special_tokens=False).ids)
-    edits = spark.createDataFrame([(3, 2, 0, 5, None), (3, 1, 4, 4, " new "), (None, 1, 0, 1, "x"), (5, 1, -4, 10**9, "all new")], "doc_id long, seq int, start long, stop long, new string")
-    found = {r.doc_id: r for r in token_counts.count_with_edits(docs, edits).collect()}
-    text = docs.where("doc_id = 3").first().text
-    text = text[:4] + " new " + text[4:]
-    count = lambda t: len(own.tokenizer.encode(t, add_special_tokens=False).ids)
-    assert found[3].n_tokens_edited == count(text[5:]) and found[5].n_tokens_edited == count("all new") and found[1].n_tokens_edited == found[1].n_tokens
-    assert token_counts.count_with_edits(empty, edits).count() == 0
+            assert doc.text == want and doc.n_tokens == n_ids(own, want) and doc.n_chars == len(want)
+            chars, tokens = doc.tree_leaves()
+            again = token_counts.EditedDocument(want, tokens, own, chars)
+            assert again.n_tokens == doc.n_tokens and again.text == want
+
+
+def test_edits_stay_local():
+    """After a large insertion small edits are as cheap as before, and so are insertions in one place."""
+    own = encode.encoder()
+    doc = token_counts.EditedDocument("start of a text", np.array([1, 1, 1, 1]), own)
+    doc.edit(6, 6, "many words " * 20_000)
+    large = doc.encoded
+    assert large < 11 * 20_000 + 20
+    for k in range(5):
+        doc.edit(50_000 * k + 8, 50_000 * k + 10, "xy")
+    assert doc.encoded - large < 200
+    for _ in range(300):
+        doc.edit(1000, 1000, "one more ")
+    assert doc.encoded - large < 300 * 60 and doc.n_tokens == n_ids(own, doc.text)
+
+
+def test_token_counts(spark, docs, empty):
+    own = encode.encoder()
+    edits = [(3, 2, 0, 5, None), (3, 1, 4, 4, " new "), (None, 1, 0, 1, "x"), (5, 1, -4, 10**9, "all new"), *((6, k, 2 * k, 2 * k + 1, f" w{k}") for k in range(25))]
+    table = spark.createDataFrame(edits, "doc_id long, seq int, start long, stop long, new string")
+    by_doc = defaultdict(list)
+    for i, seq, a, b, new in edits:
+        by_doc[i].append((seq, a, b, new or ""))
+    rows = [(r.doc_id, r.text or "") for r in docs.collect()]
+    want = sorted(((i, n_ids(own, t), n_ids(own, u), len(u)) for i, t in rows for u in [edited_by(t, by_doc[i] if i is not None else [])]), key=by_value)
+    trees = token_counts.token_trees(docs)
+    for given, most in ((docs, 10**5), (trees, 10**5), (docs, 7)):
+        found = token_counts.count_with_edits(given, table, at_once=most).collect()
+        assert sorted(((r.doc_id, r.n_tokens, r.n_tokens_edited, r.n_chars_edited) for r in found), key=by_value) == want
+    # a second batch on the trees that the first one left
+    second = spark.createDataFrame([(6, 1, 3, 8, "again"), (7, 1, 0, 0, "first ")], "doc_id long, seq int, start long, stop long, new string")
+    kept = token_counts.count_with_edits(trees, table, with_trees=True).drop("n_segments", "n_tokens", "n_tokens_edited", "n_encoded", "n_chars_edited")
+    again = {r.doc_id: r for r in token_counts.count_with_edits(kept, second).where("doc_id in (6, 7)").collect()}
+    six, seven = edited_by(edited_by(dict(rows)[6], by_doc[6]), [(1, 3, 8, "again")]), "first " + dict(rows)[7]
+    assert (again[6].n_tokens_edited, again[7].n_tokens_edited) == (n_ids(own, six), n_ids(own, seven)) and again[7].n_encoded < 60
+    assert token_counts.count_with_edits(empty, table).count() == 0 and token_counts.token_trees(empty).count() == 0
+
+
+def test_token_count_query(spark):
+    """Every row of the query against the library's own encoding of the edited text."""
+    sf, own = "/root/testdata/sf0.001", encode.encoder()
+    found = {r.doc_id: r for r in queries.op7_token_counts(spark, sf).collect()}
+    rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    assert len(found) == len(rows)
+    for r in rows:
+        t, n = r.text or "", len(r.text or "")
+        steps = [(1, n // 2, n // 2 + 40, ""), (2, n // 3, n // 3, "an added remark, "), (3, 0, min(12, n), t[-25:] if n else "")]
+        u, got = edited_by(t, steps), found[r.doc_id]
+        assert (got.n_segments, got.n_tokens, got.n_tokens_edited, got.n_chars_edited) == (max(1, len(words(t))) if t else 0, n_ids(own, t), n_ids(own, u), len(u)) or not t
 
 
 def test_media(spark, docs, empty):
