@@ -175,22 +175,36 @@ def _as_found(before: str, body: str, after: str) -> tuple[str, str, str]:
     return raw[:a].decode("utf-8", "ignore"), raw[a:b].decode("utf-8", "ignore"), raw[b:].decode("utf-8", "ignore")
 
 
-def labelled_findings(n: int = 4000, seed: int = 11) -> list[tuple[str, str, str, str | None, int]]:
-    """Half secrets, half look-alikes, made from published shapes; the same rows for the same seed."""
+def labelled_findings(n: int = 4000, seed: int = 11, without: tuple[str, ...] = (), only: tuple[str, ...] = ()) -> list[tuple[str, str, str, str | None, int]]:
+    """Half secrets, half look-alikes, made from published shapes; the same rows for the same arguments.
+
+    ``without`` leaves shapes of secrets or look-alikes out, ``only`` takes no others, so that a forest can be tested on shapes it hasn't seen.
+    """
     rng = random.Random(seed)
     hexa, alnum = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     some = lambda chars, k: "".join(rng.choices(chars, k=k))
     syllables = [a + b for a in ("th", "an", "er", "qu", "la", "de", "st", "ch", "pr", "on", "") for b in ("ion", "ent", "a", "ing", "os", "eau", "ung", "re", "er")]
     prose = lambda k: " ".join("".join(rng.choices(syllables, k=rng.randint(1, 3))) for _ in range(k))
     folder = lambda: rng.choice([None, "src", "src/app.py", "config/settings.yml", "tests/test_login.py", "docs/example.md", "vendor/x.lock", "web"])
+    keys = {
+        "hex": lambda: some(hexa, rng.choice([32, 40, 40, 48, 64])), "letters": lambda: some(alnum, rng.randint(20, 48)), "base64": lambda: some(alnum + "+/", 40), "cloud": lambda: "AKIA" + some(alnum[:26] + "234567", 16),
+        "forge": lambda: "ghp_" + some(alnum, 36), "payment": lambda: "sk_live_" + some(alnum, 24), "web_token": lambda: "eyJ" + some(alnum + "_-", 40) + "." + some(alnum + "_-", 43),
+        "chat": lambda: "xoxb-" + some("0123456789", 12) + "-" + some(alnum, 24), "password": lambda: some(alnum + "!#$%*", rng.randint(10, 16)),
+    }
+    lookalikes = {
+        "commit": lambda: ("commit ", some(hexa, 40)), "md5": lambda: ("md5: ", some(hexa, 32)), "sha256": lambda: ("sha256:", some(hexa, 64)), "checksum": lambda: ("checksum = ", some(hexa, 40)), "digits": lambda: ("", some("0123456789", 16)),
+        "card": lambda: ("card ", some("0123456789", 16)), "uuid": lambda: ("uuid = ", "-".join(some(hexa, k) for k in (8, 4, 4, 4, 12))), "placeholder": lambda: ("token = ", rng.choice(["YOUR_TOKEN_HERE_1", "xxxxxxxxxxxxxxxxxxxxxx", "example_token_12345678", "0000000000000000000000"])),
+        "address": lambda: ("https://", f"www.{prose(1)}.example.com/{prose(1)}/{rng.randint(1, 999)}"), "mail": lambda: ("", f"{prose(1)}{rng.randint(1, 99)}@{prose(1)}.example.org".replace("@", ".")), "camel": lambda: ("", "".join(x.title() for x in rng.choices(WORDS, k=4))),
+        "snake": lambda: ("key: ", "_".join(rng.choices(WORDS, k=4)) + str(rng.randint(1, 9))), "long_word": lambda: ("", "".join(rng.choices(syllables, k=9)).title() + prose(1).upper()), "phone": lambda: ("", "+49-" + some("0123456789", 3) + "-" + some("0123456789", 8)),
+        "spoken": lambda: ("password: ", "".join(rng.choices(syllables, k=5))), "version": lambda: ("version ", ".".join(some("123456789", 4) for _ in range(4))), "image": lambda: ("image:", "/".join(rng.choices(WORDS, k=4)) + "-v2.png"), "call": lambda: ("auth = ", ".".join(rng.choices(WORDS, k=3)) + "()"),
+    }
+    keys, lookalikes = ([f for k, f in x.items() if k not in without and (not only or k in only)] for x in (keys, lookalikes))
     rows = []
     for i in range(n):
+        if not (keys if i % 2 else lookalikes):
+            continue
         if i % 2:
-            body = rng.choice([
-                lambda: some(hexa, rng.choice([32, 40, 40, 48, 64])), lambda: some(alnum, rng.randint(20, 48)), lambda: some(alnum + "+/", 40), lambda: "AKIA" + some(alnum[:26] + "234567", 16),
-                lambda: "ghp_" + some(alnum, 36), lambda: "sk_live_" + some(alnum, 24), lambda: "eyJ" + some(alnum + "_-", 40) + "." + some(alnum + "_-", 43), lambda: "xoxb-" + some("0123456789", 12) + "-" + some(alnum, 24),
-                lambda: some(alnum + "!#$%*", rng.randint(10, 16)),
-            ])()
+            body = rng.choice(keys)()
             name = rng.choice([*CREDENTIALS, "token", "token", "access_token", "client_secret", "API_KEY", "db_password"])
             between, quote = rng.choice([" = ", "=", ": ", " : ", " "]), rng.choice(['"', "'", '"', ""])
             if between == " " and not quote and not body.startswith(PREFIXES):
@@ -201,13 +215,7 @@ def labelled_findings(n: int = 4000, seed: int = 11) -> list[tuple[str, str, str
             if rng.random() < 0.15:
                 before, body, after = before.upper(), body.upper() if all(c in hexa for c in body) else body, after.upper()
         else:
-            word, body = rng.choice([
-                lambda: ("commit ", some(hexa, 40)), lambda: ("md5: ", some(hexa, 32)), lambda: ("sha256:", some(hexa, 64)), lambda: ("checksum = ", some(hexa, 40)), lambda: ("", some("0123456789", 16)),
-                lambda: ("card ", some("0123456789", 16)), lambda: ("uuid = ", "-".join(some(hexa, k) for k in (8, 4, 4, 4, 12))), lambda: ("token = ", rng.choice(["YOUR_TOKEN_HERE_1", "xxxxxxxxxxxxxxxxxxxxxx", "example_token_12345678", "0000000000000000000000"])),
-                lambda: ("https://", f"www.{prose(1)}.example.com/{prose(1)}/{rng.randint(1, 999)}"), lambda: ("", f"{prose(1)}{rng.randint(1, 99)}@{prose(1)}.example.org".replace("@", ".")), lambda: ("", "".join(x.title() for x in rng.choices(WORDS, k=4))),
-                lambda: ("key: ", "_".join(rng.choices(WORDS, k=4)) + str(rng.randint(1, 9))), lambda: ("", "".join(rng.choices(syllables, k=9)).title() + prose(1).upper()), lambda: ("", "+49-" + some("0123456789", 3) + "-" + some("0123456789", 8)),
-                lambda: ("password: ", "".join(rng.choices(syllables, k=5))), lambda: ("version ", ".".join(some("123456789", 4) for _ in range(4))), lambda: ("image:", "/".join(rng.choices(WORDS, k=4)) + "-v2.png"), lambda: ("auth = ", ".".join(rng.choices(WORDS, k=3)) + "()"),
-            ])()
+            word, body = rng.choice(lookalikes)()
             quote = rng.choice(["", "", '"'])
             before, after = f"{prose(4)} {word}{quote}", f"{quote} {prose(3)}"
         if i % 2:
@@ -275,6 +283,8 @@ def scan_batch(texts: pa.Array, paths: list[str | None], forest: Forest, thresho
         if not found:
             continue
         raw, rows, kept = part.tobytes(), [], []
+        chars = np.zeros(len(part) + 1, np.int64)
+        np.cumsum((part & 0xC0) != 0x80, out=chars[1:])
         for t, a, b, kind in found:
             text = lambda i, j: raw[i:j].decode("utf-8", "ignore")
             body = text(a, b)
@@ -283,8 +293,8 @@ def scan_batch(texts: pa.Array, paths: list[str | None], forest: Forest, thresho
         p = forest.probability(np.array(rows))
         for (t, a, b, kind, body), q in zip(kept, p.tolist(), strict=True):
             if q >= threshold:
-                start = len(raw[int(cut[t]) : a].decode("utf-8"))
-                out[lo + t].append({"start": start, "stop": start + len(raw[a:b].decode("utf-8")), "kind": kind, "candidate": body, "probability": q})
+                start, stop = int(chars[a] - chars[cut[t]]), int(chars[b] - chars[cut[t]])
+                out[lo + t].append({"start": start, "stop": stop, "kind": kind, "candidate": body, "probability": q})
     return out
 
 

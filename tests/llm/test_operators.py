@@ -556,6 +556,103 @@ def test_secrets(spark, docs, empty):
     assert secrets.find_secrets(empty, forest).count() == 0 and secrets.redact_secrets(docs, forest).count() == docs.count()
 
 
+def test_secrets_of_unseen_shapes():
+    """Forests that never saw a shape still judge it, but for bare hexadecimal keys, which look like checksums."""
+    for shape, secret in (("base64", True), ("forge", True), ("chat", True), ("password", True), ("md5", False), ("uuid", False), ("snake", False), ("mail", False)):
+        forest = secrets.train_forest(secrets.labelled_findings(2000, without=(shape,)), trees=20)
+        rows = secrets.labelled_findings(300, seed=5, only=(shape,))
+        assert np.mean((forest.probability(np.array([secrets.features(*r[:4]) for r in rows])) >= 0.5) == secret) > 0.9, shape
+
+
+def brute_findings(text, path, forest):
+    """Candidates by regular expressions over the bytes of one text, judged one by one."""
+    raw = (text or "").encode()
+    t, mixed = raw.decode("latin-1"), lambda x: bool(re.search("[0-9]", x)) or (len(re.findall("[A-Z]", x)) >= 2 and bool(re.search("[a-z]", x)))
+    names = "|".join(re.escape(x) for x in sorted(secrets.CREDENTIALS, key=len, reverse=True))
+    named = lambda at: re.search(rf"(?:{names})[\"']?\s{{0,3}}$", t[max(0, at - 48) : at], re.IGNORECASE | re.ASCII)
+    found = []
+    for m in re.finditer(r"[A-Za-z0-9+/=_.-]{16,}", t):
+        if not mixed(m[0]):
+            continue
+        cuts = [m.start() + k for k, c in enumerate(m[0]) if c == "=" and named(m.start() + k)]
+        for a, b in zip([m.start(), *(c + 1 for c in cuts)], [*cuts, m.end()], strict=True):
+            b = a + len(t[a:b].rstrip(".-=/"))
+            a = b - len(t[a:b].lstrip(".-=/+"))
+            if b - a >= 16 and (not cuts or mixed(t[a:b])):
+                found.append((a, -b, "run"))
+    for m in re.finditer("[=:]", t):
+        v = re.compile(r"\s{0,3}([\"']?)((?:(?!&[\w.-]+=)[^\s\"'<>]){8,})", re.ASCII).match(t, m.end())
+        if v and named(m.start()):
+            found.append((v.start(2), -v.end(2), "assigned"))
+    best = []
+    for a, b, kind in sorted(found, key=lambda x: x[:2]):
+        if best and a < best[-1][1]:
+            if -b - a > best[-1][1] - best[-1][0]:
+                best[-1] = (a, -b, kind)
+        else:
+            best.append((a, -b, kind))
+    out = []
+    for a, b, kind in best:
+        text_of = lambda x, y: raw[x:y].decode("utf-8", "ignore")
+        x = secrets.features(text_of(max(0, a - 48), a), text_of(a, b), text_of(b, b + 48), path)
+        trees = [0.0]
+        for feature, threshold, left, right, value in forest.trees:
+            at = 0
+            while feature[at] >= 0:
+                at = left[at] if x[feature[at]] <= threshold[at] else right[at]
+            trees.append(value[at])
+        q = sum(trees) / len(forest.trees)
+        if q >= 0.5:
+            out.append((len(raw[:a].decode()), len(raw[:b].decode()), kind, round(q, 9), hashlib.sha256(raw[a:b]).hexdigest()))
+    return out
+
+
+def test_secret_query(spark):
+    """Every row of the query against candidates and trees taken one by one; a long text with many findings is quick."""
+    sf, forest = "/root/testdata/sf0.001", secrets.train_forest(secrets.labelled_findings())
+    want = [(r.doc_id, *f) for r in spark.read.parquet(f"{sf}/documents.parquet").collect() for f in brute_findings(r.text, r.source, forest)]
+    got = [(r.doc_id, r.start, r.stop, r.kind, round(r.probability, 9), r.secret_sha256) for r in queries.op10_secret_scans(spark, sf).collect()]
+    assert sorted(got) == sorted(want)
+    many = "é token = '04dbebab91ab85687d33eeaaf9ac699e1188f962' and https://x/?access_token=ghp_abcdefghijklmnopqrstuvwxyz0123456789&b=1 " * 300
+    found = secrets.scan_batch(pa.array([many]), [None], forest)[0]
+    assert [(f["start"], f["stop"], f["kind"]) for f in found] == [x[:3] for x in brute_findings(many, None, forest)] and len(found) == 600
+
+
+def test_toxicity_scores(spark):
+    """Scores against forward and backward sums, features and a logistic curve written out for one text after the other."""
+    p = "/root/testdata/sf0.01"
+    d, labels = spark.read.parquet(f"{p}/documents.parquet"), spark.read.parquet(f"{p}/labels.parquet")
+    model = toxicity.train_on(d, labels.where(~toxicity.held_out()), train_docs=60, train_total=200_000, train_tokens=50_000)
+    texts = [r.text for r in d.join(labels.where("toxic = 1"), "doc_id").orderBy("doc_id").limit(15).collect()] + ["", None, "one", "one two"]
+    scores, _ = toxicity.score_batch(pa.array(texts), model)
+    a = np.exp(model.transitions)
+    for text, score in zip(texts, scores, strict=True):
+        data, offsets = toxicity.text_buffers(pa.array([text]))
+        around = toxicity.tokens(data[: offsets[-1]], offsets)[-1]
+        e = [math.exp(min(20, max(-20, sum(float(model.weights[k]) for k in row) + model.bias))) for row in toxicity.slots(around).T]
+        forward, backward = [], [(1.0, 1.0)]
+        for t, x in enumerate(e):
+            f = (1.0, math.exp(model.start) * x) if t == 0 else (forward[-1][0] * a[0, 0] + forward[-1][1] * a[1, 0], (forward[-1][0] * a[0, 1] + forward[-1][1] * a[1, 1]) * x)
+            forward.append((f[0] / sum(f), f[1] / sum(f)))
+        for x in reversed(e[1:]):
+            b = (a[0, 0] * backward[0][0] + a[0, 1] * x * backward[0][1], a[1, 0] * backward[0][0] + a[1, 1] * x * backward[0][1])
+            backward.insert(0, (b[0] / sum(b), b[1] / sum(b)))
+        m = [f[1] * b[1] / (f[0] * b[0] + f[1] * b[1]) for f, b in zip(forward, backward, strict=False)]
+        strong = sum(x for x in m if x > 0.5)
+        z = float(np.dot([1.0, max(m, default=0.0), math.log1p(strong), strong / max(1, len(m))], model.score))
+        assert score == pytest.approx(1 / (1 + math.exp(-min(30, max(-30, z)))), abs=1e-6)
+
+
+def test_training_is_bounded(spark):
+    """One row a repeated id, no more documents and characters than the bounds say; the same model whatever the order."""
+    rows = [(i % 40, f"good words {i % 40} " * 5) for i in range(200)] + [(i, f"vile slur {i} " * 5) for i in range(40, 80)] + [(None, "x"), (99, None), (98, "y" * 300_000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i >= 40)) for i in range(100)] + [(3, None), (None, 1)], "doc_id long, toxic int")
+    one, two = (toxicity.train_on(x, labels, train_docs=30, train_total=2000, train_tokens=100) for x in (d, d.repartition(5)))
+    assert np.array_equal(one.weights, two.weights) and np.array_equal(one.score, two.score)
+    assert toxicity.train_on(d.limit(0), labels).score is None
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
