@@ -4,7 +4,9 @@ The n-grams of all texts have one global order, that of their 64-bit hashes. The
 fragments, and every document's set into one segment per fragment.
 
 *Candidates.* Two sets of a size class differ in at most ``d`` n-grams if they link, so of ``d + 1 + e``
-fragments at least ``1 + e`` hold equal segments. A document with at most ``e`` empty segments therefore
+fragments at least ``1 + e`` hold equal segments. For large sets fewer and longer segments do: hashes scatter the differing n-grams over the
+fragments, and with so many that ``SURE + e`` are expected to stay free of them, the chance that not one of ``SURE`` does is
+below e ** -SURE, or 5e-18, for any texts (less than that of equal 64-bit hashes). A document with at most ``e`` empty segments therefore
 shares an equal, non-empty segment with each of its partners, and segment hashes find the pair. Where
 both documents have more empty segments than that, both also offer the prefix of their sets (the
 classical prefix filter), which must have an n-gram in common. No candidate of a link is missed, nothing
@@ -50,6 +52,8 @@ from porespan.session import discard, materialize
 BROADCAST_IDS = 1_000_000
 #: Sets in a block of a large bucket or cluster, n-grams in a block of a cluster, and rows of small buckets in a group.
 BLOCK, BLOCK_GRAMS, GROUP_ROWS = 256, 1 << 20, 4_000
+#: Fragments that are expected to be equal where fewer than d + 1 + e are cut.
+SURE = 40
 #: Parts of the global order whose overlaps are counted apart.
 FRAGMENTS = 4
 #: Signatures of large buckets that a set carries in order to meet a partner once.
@@ -74,6 +78,15 @@ class SizeClasses:
     num: int
     den: int
 
+    @staticmethod
+    def _enough(d: int, e: int) -> int:
+        """The least number of fragments of which ``SURE + e`` are expected to be free of ``d`` n-grams that hashes scatter."""
+        lo, hi = 1, 2 * d + 2 * (SURE + e)
+        while lo < hi:
+            k = (lo + hi) // 2
+            lo, hi = (lo, k) if k * exp(-d / k) >= SURE + e else (k + 1, hi)
+        return lo
+
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(low, joins, fragments, spare): sizes from ``joins[i]`` on can have partners in class i."""
         num, den = self.num, self.den
@@ -88,11 +101,11 @@ class SizeClasses:
             least = -(-num * low[i] // den)
             d, e = gap(low[i + 1] - 1), 1
             for _ in range(3):
-                k = d + 1 + e
+                k = min(d + 1 + e, self._enough(d, e))
                 empty = k * exp(-least / k)
                 e = max(1, min(ceil(empty + 2 * sqrt(empty)), d + 2))
             joins.append(least)
-            fragments.append(d + 1 + e)
+            fragments.append(min(d + 1 + e, self._enough(d, e)))
             spare.append(e)
         return tuple(np.array(x, np.int64) for x in (low, joins, fragments, spare))
 

@@ -224,6 +224,12 @@ def test_ngram_join_of_large_groups(spark, monkeypatch):
     chain = [f"c{i}" for i in range(160)]
     texts += [" ".join(chain[4 * i : 4 * i + 100]) for i in range(15)]
     texts += [f"the same four words {i} and {i}" for i in range(50)] + ["the same four words 1 and 1"] * 5
+    long = [f"l{i}" for i in range(1500)]
+    for k in range(24):  # on both sides of the threshold, and halves that are shared
+        copy = list(long)
+        for at in rng.sample(range(1500), 10 + k):
+            copy[at] = f"y{k}-{at}"
+        texts += [" ".join(copy), " ".join([*long[:750], *(f"z{k}-{i}" for i in range(750))])]
     rows = list(enumerate(texts))
     d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     members, links = ngram_join.ngram_jaccard_join(d, n=4, threshold=(85, 100))
