@@ -1,8 +1,10 @@
 """Contacts of particles under independently periodic axes.
 
-``cell_contacts`` deals bounding boxes into a grid of cells and joins on the cells' keys; a pair is kept only in
-the cell where both low keys' maxima meet, so no pass removes duplicates. ``theta_contacts`` compares all
-pairs and serves as the check.
+``cell_contacts`` deals bounding boxes into grids of cells and joins on the cells' keys; a pair is kept only in
+the cell where both low keys' maxima meet, so no pass removes duplicates. Bodies fall into size classes by powers of two. Each class has
+a grid of its own width, and two bodies meet in the grid of the larger one, so a few large bodies don't widen the cells
+of small ones. Along periodic axes a grid has a whole number of cells and keys wrap around: the turns of both keys say which
+image meets, and no image is made. Bodies much smaller than a class meet its bodies in a finer grid. ``theta_contacts`` compares all pairs and serves as the check.
 """
 
 from __future__ import annotations
@@ -11,18 +13,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from porespan.functions import convex
 from porespan.functions import geometry as G
-from porespan.policy import MAX_IMAGES, Domain, Policy
+from porespan.policy import MAX_IMAGES, Domain, Policy, SetupError
 from porespan.session import materialize
 
 POLICY = Policy()
 
 
-def boxed(particles: DataFrame, domain: Domain) -> DataFrame:
+def placed(particles: DataFrame, domain: Domain) -> DataFrame:
     """Particles in the base cell: wrapped centres, the steps taken (``bx by bz``) and box extents (``ex ey ez``)."""
     u = tuple(F.col(c) for c in ("ux", "uy", "uz"))
     sphere = F.col("shape") == "sphere"
@@ -31,8 +34,12 @@ def boxed(particles: DataFrame, domain: Domain) -> DataFrame:
         out = out.withColumn(f"b{a}", G.canonical_shift(F.col(f"c{a}"), domain, k))
     for k, a in enumerate(G.AXES):
         out = out.withColumn(f"c{a}", G.wrap(F.col(f"c{a}"), domain, k)).withColumn(f"e{a}", G.extent(sphere, u, F.col("length"), F.col("radius"), k))
-    # read several times below; written once, the expressions aren't repeated in every plan
-    return materialize(out, "boxed")
+    return out
+
+
+def boxed(particles: DataFrame, domain: Domain) -> DataFrame:
+    """``placed``, written once: for plans that read it several times."""
+    return materialize(placed(particles, domain), "boxed")
 
 
 def _images(right: DataFrame, domain: Domain, low: list[float], high: list[float], pad: float) -> DataFrame:
@@ -90,13 +97,18 @@ def _solved(pairs: DataFrame) -> DataFrame:
     return pairs.mapInPandas(run, pairs.schema)
 
 
+def _close(threshold: float, policy: Policy) -> Column:
+    """Whether a pair's gap is within the threshold, with the tolerance of its scale."""
+    apart = G.norm(G.minus(_vec("i", "c"), _vec("j", "c")))
+    scale = F.greatest(apart, *(F.col(f"{s}_e{a}") for s in "ij" for a in G.AXES), F.lit(float(threshold)))
+    return F.col("gap") <= F.lit(float(threshold)) + policy.tolerance_of(scale)
+
+
 def _contacts(pairs: DataFrame, threshold: float, policy: Policy, cylinders: bool) -> DataFrame:
     pairs = pairs.withColumn("gap", _native_gap())
     if cylinders:
         pairs = _solved(pairs)
-    apart = G.norm(G.minus(_vec("i", "c"), _vec("j", "c")))
-    scale = F.greatest(apart, *(F.col(f"{s}_e{a}") for s in "ij" for a in G.AXES), F.lit(float(threshold)))
-    pairs = pairs.where(F.col("gap") <= F.lit(float(threshold)) + policy.tolerance_of(scale))
+    pairs = pairs.where(_close(threshold, policy))
     steps = [(F.col(f"j_k{a}") + F.col(f"j_b{a}") - F.col(f"i_b{a}")).alias(f"s{a}") for a in G.AXES]
     return pairs.select("realization_id", F.col("i_idx").alias("i"), F.col("j_idx").alias("j"), *steps, "gap")
 
@@ -111,52 +123,180 @@ def _bounds(base: DataFrame) -> tuple[list[float], list[float], float, bool]:
     return list(row[:3]), list(row[3:6]), row[6], bool(row[7])
 
 
-def cell_pairs(particles: DataFrame, domain: Domain, threshold: float, policy: Policy = POLICY) -> tuple[DataFrame, bool]:
-    base = boxed(particles, domain)
-    low, high, reach, cylinders = _bounds(base)
-    if reach is None:
-        low, high, reach = [0.0] * 3, [0.0] * 3, 1.0
+#: Classes between bodies from which on they meet in a fine grid.
+FINE = 4
+#: What the two sides of the cell join hold beside the keys.
+CELL_KEYS = ("realization_id", "level", "kx", "ky", "kz")
+BODY = "idx int, shape string, cx double, cy double, cz double, ux double, uy double, uz double, length double, radius double, parent_id string"
+STEPS = ", ".join([f"b{a} long" for a in "xyz"] + [f"e{a} double" for a in "xyz"] + [f"{x}{a} long" for x in ("low", "at", "turn") for a in "xyz"])
+
+
+def _cells_of(body: dict[str, np.ndarray], domain: Domain, pad: float, levels: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """(row of the body, columns) for each cell that a body's box meets, in the grids of its own size class and of greater ones.
+
+    ``level`` is the grid, twice the class, and one more for the fine grid in which bodies of the class meet those ``FINE`` or more classes below;
+    ``k`` the wrapped key; ``low`` the first key of the box and ``turn`` how often the key went around.
+    """
+    sphere = body["shape"] == "sphere"
+    u = np.stack([np.where(sphere, 0.0, body[f"u{a}"]) for a in G.AXES])
+    half = np.where(sphere, 0.0, body["length"]) / 2
+    out, extent = {}, []
+    for k, a in enumerate(G.AXES):
+        c, b = body[f"c{a}"], np.zeros(len(sphere), np.int64)
+        if domain.periodic[k]:
+            q = np.floor((c - domain.lower[k]) / domain.size[k])
+            if not (np.abs(q) < 2.0**53).all():
+                raise SetupError("lattice step beyond exact integers")
+            b = -q.astype(np.int64)
+            moved = c + b * domain.size[k]
+            c = np.where((moved < domain.lower[k]) | (moved >= domain.upper[k]), domain.lower[k], moved)
+        out |= {f"c{a}": c, f"b{a}": b}
+        other = [m for m in range(3) if m != k]
+        extent.append(np.where(sphere, body["radius"], half * np.abs(u[k]) + body["radius"] * np.hypot(u[other[0]], u[other[1]])))
+    # the least class at hand that holds the body, whatever the last digit of its logarithm
+    own = levels[np.minimum(np.searchsorted(np.exp2(levels.astype(float)), np.max(extent, axis=0)), len(levels) - 1)]
+    above = levels[None, :] - own[:, None]
+    has_small = levels - FINE >= levels.min()
+    uses = np.stack([(above >= 0) & (above < FINE), (above >= FINE) | ((above == 0) & has_small[None, :])], axis=2)
+    row, grid, fine = np.nonzero(uses)
+    level = levels[grid]
+    width = np.where(fine == 1, 0.25, 4.0) * np.exp2(level.astype(float)) + 4 * pad
+    low, span, cells = [], [], []
+    for k, a in enumerate(G.AXES):
+        n = np.maximum(1.0, np.floor(domain.size[k] / width))
+        step = domain.size[k] / n if domain.periodic[k] else width
+        first, last = (np.floor((out[f"c{a}"][row] + sign * (extent[k][row] + pad) - domain.lower[k]) / step) for sign in (-1, 1))
+        low.append(first.astype(np.int64))
+        span.append(last - first + 1)
+        cells.append(n.astype(np.int64))
+    if len(row) and (span[0] * span[1] * span[2]).max() > MAX_IMAGES:
+        raise SetupError("a body meets too many lattice images")
+    span = [x.astype(np.int64) for x in span]
+    many = span[0] * span[1] * span[2]
+    at = np.repeat(np.arange(len(row)), many)
+    left = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
+    found = {"level": (2 * level + fine)[at].astype(np.int32), "own": (own[row] == level)[at]}
+    for k, a in reversed(list(enumerate(G.AXES))):
+        key = low[k][at] + left % span[k][at]
+        left //= span[k][at]
+        n = cells[k][at]
+        turn = np.floor_divide(key, n) if domain.periodic[k] else np.zeros(len(key), np.int64)
+        found |= {f"k{a}": key - turn * n if domain.periodic[k] else key, f"low{a}": low[k][at], f"at{a}": key, f"turn{a}": turn}
+    row = row[at]
+    return row, found | {k: v[row] for k, v in out.items()} | {f"e{a}": extent[k][row] for k, a in enumerate(G.AXES)}
+
+
+def _dealt(particles: DataFrame, side: str, domain: Domain, pad: float, levels: list[int]) -> DataFrame:
+    """One side of the join by cells: ``CELL_KEYS``, ``own`` and the body's columns."""
+    kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
+    typed = [("realization_id", "long"), ("level", "int"), *((f"k{a}", "long") for a in G.AXES), ("own", "boolean"), *(x.split() for x in f"{BODY}, {STEPS}".split(", "))]
+    schema = ", ".join(f"{n if n in CELL_KEYS else f'{side}_{n}'} {t}" for n, t in typed)
+    grids = np.array(levels, np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, len(batch), 4096):
+                part = batch.slice(lo, 4096)
+                numbers = {n: part[n].to_numpy(zero_copy_only=False) for n in ("cx", "cy", "cz", "ux", "uy", "uz", "length", "radius")}
+                row, found = _cells_of(numbers | {"shape": part["shape"].to_numpy(zero_copy_only=False)}, domain, pad, grids)
+                at = pa.array(row)
+                columns = [pa.array(found[n], kinds[t]) if n in found else part[n].take(at) for n, t in typed]
+                yield pa.RecordBatch.from_arrays(columns, [n if n in CELL_KEYS else f"{side}_{n}" for n, _ in typed])
+
+    return particles.select("realization_id", *[x.split()[0] for x in BODY.split(", ")]).mapInArrow(run, schema)
+
+
+def _summary(particles: DataFrame) -> tuple[float, list[int], bool]:
+    """(greatest extent, size classes, whether there are cylinders)."""
+    sphere, u = F.col("shape") == "sphere", tuple(F.col(f"u{a}") for a in G.AXES)
+    top = F.greatest(*(G.extent(sphere, u, F.col("length"), F.col("radius"), k) for k in range(3)))
+    some = particles.select(top.alias("e"), (~sphere).alias("c"))
+    row = some.agg(F.max("e"), F.collect_set(F.ceil(F.log2("e"))), F.max("c")).first()
+    if row[0] is None:
+        return 1.0, [0], False
+    return row[0], sorted(int(v) for v in row[1]), bool(row[2])
+
+
+def met_pairs(particles: DataFrame, domain: Domain, threshold: float, policy: Policy = POLICY) -> tuple[DataFrame, float, bool]:
+    """(pairs of bodies that meet in a cell, each image once; the boxes' padding; whether there are cylinders)."""
+    reach, levels, cylinders = _summary(particles)
     pad = (threshold + policy.tolerance(max(reach, threshold))) / 2
-    width = 2 * reach + 2 * pad
-    left, right = _sided(base, "i"), _sided(_images(base, domain, low, high, 2 * pad), "j")
-    for s in "ij":
-        side = left if s == "i" else right
-        for k, a in enumerate(G.AXES):
-            key = lambda sign, s=s, k=k, a=a: F.floor((F.col(f"{s}_c{a}") + sign * (F.col(f"{s}_e{a}") + F.lit(pad)) - F.lit(low[k])) / F.lit(width))
-            side = side.withColumn(f"{s}_low{a}", key(-1)).withColumn("__high", key(1))
-            side = side.withColumn(f"cell{a}", F.explode(F.expr(f"sequence({s}_low{a}, __high)"))).drop("__high")
-        left, right = (side, right) if s == "i" else (left, side)
-    pairs = left.join(right, ["realization_id", "cellx", "celly", "cellz"])
-    once = [F.col(f"cell{a}") == F.greatest(f"i_low{a}", f"j_low{a}") for a in G.AXES]
-    touch = [F.abs(F.col(f"i_c{a}") - F.col(f"j_c{a}")) <= F.col(f"i_e{a}") + F.col(f"j_e{a}") + F.lit(2 * pad) for a in G.AXES]
-    for condition in (*once, *touch, F.col("i_idx") < F.col("j_idx"), _different_parents()):
-        pairs = pairs.where(condition)
-    return pairs, cylinders
+    left, right = _dealt(particles, "i", domain, pad, levels), _dealt(particles, "j", domain, pad, levels)
+    keys = list(CELL_KEYS)
+    if len(levels) > 1:
+        # one of both is of the grid's class, in a fine grid just one: the left side names the class that it looks for on the right
+        both = F.when(F.pmod(F.col("level"), F.lit(2)) == 0, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))
+        left = left.withColumn("wanted", F.explode(F.when(F.col("i_own"), both).otherwise(F.array(F.lit(True)))))
+        right = right.withColumn("wanted", F.col("j_own"))
+        keys = [*keys, "wanted"]
+    once, moved = F.col("i_idx") < F.col("j_idx"), {}
+    for k, a in enumerate(G.AXES):
+        low = F.col(f"j_low{a}") + F.col(f"i_at{a}") - F.col(f"j_at{a}") if domain.periodic[k] else F.col(f"j_low{a}")
+        once = once & (F.col(f"i_at{a}") == F.greatest(F.col(f"i_low{a}"), low))
+        turns = F.col(f"i_turn{a}") - F.col(f"j_turn{a}")
+        moved |= {f"j_k{a}": turns, f"j_c{a}": F.col(f"j_c{a}") + turns * F.lit(domain.size[k])} if domain.periodic[k] else {f"j_k{a}": turns}
+    pairs = left.join(right, keys).where(once & _different_parents())
+    return pairs.withColumns(moved), pad, cylinders
 
 
-def cell_contacts(particles: DataFrame, domain: Domain, threshold: float, policy: Policy = POLICY) -> DataFrame:
-    """``(realization_id, i, j, sx, sy, sz, gap)``, i < j; the steps move j."""
-    pairs, cylinders = cell_pairs(particles, domain, threshold, policy)
-    return _contacts(pairs, threshold, policy, cylinders)
+def _boxes_touch(pad: float) -> Column:
+    touch = F.lit(True)
+    for a in G.AXES:
+        touch = touch & (F.abs(F.col(f"i_c{a}") - F.col(f"j_c{a}")) <= F.col(f"i_e{a}") + F.col(f"j_e{a}") + F.lit(2 * pad))
+    return touch
 
 
-def theta_contacts(particles: DataFrame, domain: Domain, threshold: float, policy: Policy = POLICY) -> DataFrame:
-    """The same contacts from all pairs of a realization."""
+def cell_contacts(particles: DataFrame, domain: Domain, threshold: float, policy: Policy = POLICY) -> DataFrame:
+    """``(realization_id, i, j, sx, sy, sz, gap)``, i < j; the steps move j. ``particles`` are read three times, so write what is costly to make."""
+    pairs, pad, cylinders = met_pairs(particles, domain, threshold, policy)
+    return _contacts(pairs.where(_boxes_touch(pad)), threshold, policy, cylinders)
+
+
+def search_counters(particles: DataFrame, domain: Domain, threshold: float, method: str = "cell_list", policy: Policy = POLICY) -> DataFrame:
+    """``(realization_id, candidates, boxes, evaluations, contacts)``: pairs that meet, whose boxes touch, whose gap is taken, that are contacts.
+
+    All pairs of a realization (images of each) are candidates of the brute-force method, and all their gaps are taken.
+    """
+    if _method(method) == "cell_list":
+        pairs, pad, cylinders = met_pairs(particles, domain, threshold, policy)
+        pairs, taken = pairs.withColumn("touch", _boxes_touch(pad)), F.col("touch")
+    else:
+        pairs, cylinders = _all_pairs(particles, domain, threshold, policy)
+        pairs, taken = pairs.withColumn("touch", _boxes_touch((threshold + policy.absolute) / 2)), F.lit(True)
+    found = pairs.where("touch").withColumn("gap", _native_gap())
+    found = _solved(found) if cylinders else found
+    count = lambda df, name, what=F.lit(True): df.groupBy("realization_id").agg(F.count_if(what).alias(name))
+    out = particles.select("realization_id").distinct()
+    out = out.join(pairs.groupBy("realization_id").agg(F.count("*").alias("candidates"), F.count_if("touch").alias("boxes"), F.count_if(taken).alias("evaluations")), "realization_id", "left")
+    out = out.join(count(found, "contacts", _close(threshold, policy)), "realization_id", "left")
+    return out.na.fill(0, ["candidates", "boxes", "evaluations", "contacts"])
+
+
+def _all_pairs(particles: DataFrame, domain: Domain, threshold: float, policy: Policy) -> tuple[DataFrame, bool]:
     base = boxed(particles, domain)
     low, high, _, cylinders = _bounds(base)
     low, high = low if low[0] is not None else [0.0] * 3, high if high[0] is not None else [0.0] * 3
     right = _sided(_images(base, domain, low, high, threshold + policy.absolute), "j")
-    pairs = _sided(base, "i").join(right, "realization_id").where("i_idx < j_idx").where(_different_parents())
+    return _sided(base, "i").join(right, "realization_id").where("i_idx < j_idx").where(_different_parents()), cylinders
+
+
+def theta_contacts(particles: DataFrame, domain: Domain, threshold: float, policy: Policy = POLICY) -> DataFrame:
+    """The same contacts from all pairs of a realization."""
+    pairs, cylinders = _all_pairs(particles, domain, threshold, policy)
     return _contacts(pairs, threshold, policy, cylinders)
 
 
-def find_contacts(particles: DataFrame, domain: Domain, threshold: float, method: str = "cell_list", policy: Policy = POLICY) -> DataFrame:
-    name = method.replace("-", "_")
+def _method(name: str) -> str:
+    name = name.replace("-", "_").lower()
     if name in ("cell_list", "spatial_hash"):
-        return cell_contacts(particles, domain, threshold, policy)
+        return "cell_list"
     if name in ("bruteforce", "brute_force"):
-        return theta_contacts(particles, domain, threshold, policy)
-    raise ValueError(f"unknown method {method!r}")
+        return "bruteforce"
+    raise SetupError(f"unknown search {name!r}")
+
+
+def find_contacts(particles: DataFrame, domain: Domain, threshold: float, method: str = "cell_list", policy: Policy = POLICY) -> DataFrame:
+    return (cell_contacts if _method(method) == "cell_list" else theta_contacts)(particles, domain, threshold, policy)
 
 
 # ---------------------------------------------------------------- faces

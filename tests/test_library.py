@@ -71,6 +71,28 @@ def test_contact_parity(spark, flags):
     assert len(a) > 0 and sorted(map(tuple, a)) == sorted(map(tuple, b))
 
 
+@pytest.mark.parametrize("flags", [(False, False, False), (True, True, True), (False, True, False)])
+def test_sizes_of_many_orders(spark, flags):
+    """Bodies of very different sizes, long cylinders and centres outside of the box: both ways find the same, and large bodies make few candidates."""
+    d = Domain((9.0, 7.0, 8.0), flags, (1.0, -2.0, 0.5))
+    p = generate(trial_keys(spark, 2), d, [Population(0.03, 60), Population(0.4, 12), Population(2.5, 2), Population(0.1, 3, 14.0), Population(0.2, 5, 0.9)], 77)
+    p = p.withColumns({"cx": p["cx"] + 18.0 * (p["idx"] % 3 - 1), "cy": p["cy"] - 7.0 * (p["idx"] % 2)}).persist()
+    a, b = (sorted(map(tuple, x.select("realization_id", "i", "j", "sx", "sy", "sz").collect())) for x in (C.cell_contacts(p, d, 0.1), C.theta_contacts(p, d, 0.1)))
+    assert a == b and len(a) == len(set(a)) > 0
+    for method in ("cell_list", "bruteforce"):
+        rows = {r.realization_id: r for r in C.search_counters(p, d, 0.1, method).collect()}
+        assert {k: r.contacts for k, r in rows.items()} == {k: sum(x[0] == k for x in a) for k in (0, 1)} and all(r.candidates >= r.boxes >= r.contacts for r in rows.values())
+    p.unpersist()
+
+
+def test_large_and_small_spheres_make_few_candidates(spark):
+    p = generate(trial_keys(spark, 1), Domain(50.0, True), [Population(0.1, 3000), Population(10.0, 3)], 42)
+    found = C.search_counters(p, Domain(50.0, True), 0.0).first()
+    assert found.candidates < 5 * found.contacts
+    with pytest.raises(SetupError):
+        C.find_contacts(p, Domain(50.0), 0.0, "unknown")
+
+
 def test_corner_image_and_threshold(spark):
     d = Domain(10.0, True)
     corner = C.cell_contacts(bodies(spark, [ball(0, -4.8, -4.8, -4.8, 0.5), ball(1, 4.8, 4.8, 4.8, 0.5)]), d, 0.0).first()
