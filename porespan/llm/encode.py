@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct chunks that a task remembers, and texts' bytes that are encoded together.
-REMEMBERED, BATCH_BYTES = 400_000, 4 << 20
+REMEMBERED, BATCH_BYTES = 150_000, 4 << 20
 END = b"\xff"
 _SIMPLE = re.compile("[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
 _PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
@@ -82,7 +82,7 @@ class ChunkEncoder:
         for piece in _PIECES.findall(chunk.lower()):
             got = self.pieces.get(piece)
             if got is None:
-                if len(self.pieces) > self.remembered:
+                if len(self.pieces) > self.remembered // 2:
                     self.pieces.clear()
                 got = self.pieces[piece] = [self.ids[r] for r in self.core.encode_single_piece(piece.encode() + END)]
             out += got

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from porespan.llm.archives import filesystem, new_file
+from porespan.llm.memory import frugal
 from porespan.session import scratch_path
 
 UNIT, RATE = 192, 8000
@@ -116,7 +117,7 @@ def write_media(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
             yield closed()
 
     manifest = scratch_path(docs.sparkSession, "media-manifest")
-    docs.select(F.col(id_col).cast("string"), F.col(text_col)).mapInArrow(run, "path string, members long, bytes long").write.parquet(manifest)
+    docs.select(F.col(id_col).cast("string"), F.col(text_col)).mapInArrow(frugal(run), "path string, members long, bytes long").write.parquet(manifest)
     return manifest
 
 
@@ -227,7 +228,7 @@ def member_features(members: DataFrame) -> DataFrame:
             kinds = {"long": pa.int64(), "string": pa.string()}
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([(n, kinds[k]) for n, k in (x.split() for x in FEATURES.split(", "))]))
 
-    return members.select("member", "media", "error").mapInArrow(run, FEATURES)
+    return members.select("member", "media", "error").mapInArrow(frugal(run), FEATURES)
 
 
 def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, strict: bool = False) -> DataFrame:

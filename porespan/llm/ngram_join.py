@@ -44,6 +44,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from porespan.llm.memory import frugal
 from porespan.llm.words import batch_shingle_sets, mix
 from porespan.operators.graph import connected_components
 from porespan.session import discard, materialize
@@ -158,7 +159,7 @@ def set_table(docs: DataFrame, id_col: str, text_col: str, n: int, clash: np.nda
 
     kind = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("doc_id", kind), *(T.StructField(c, T.LongType()) for c in ("text_hash", "n_shingles", "node", "check", *PARITIES))])
-    return docs.select(F.col(id_col), F.col(text_col), F.xxhash64(F.col(text_col))).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col), F.xxhash64(F.col(text_col))).mapInArrow(frugal(run), schema)
 
 
 def _parted(docs: DataFrame, id_col: str, text_col: str, n: int) -> tuple[DataFrame, np.ndarray]:
@@ -208,7 +209,7 @@ def _sets_of(docs: DataFrame, text_col: str, n: int, clash: np.ndarray) -> DataF
                     lists.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(count)], pa.int32()), pa.array(h[own].view(np.int64))))
                 yield pa.RecordBatch.from_arrays([pa.array(node[fresh]), *lists], ["node", *names])
 
-    return docs.select(text_col).mapInArrow(run, "node long, " + ", ".join(f"{g} array<long>" for g in names))
+    return docs.select(text_col).mapInArrow(frugal(run), "node long, " + ", ".join(f"{g} array<long>" for g in names))
 
 
 def fragment_of(h: np.ndarray) -> np.ndarray:
@@ -286,7 +287,7 @@ def signature_table(docs: DataFrame, text_col: str, n: int, num: int, den: int,
                 sig, mine = sig.view(np.int64), node[doc]
                 yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(_salts(sig, mine, told)), pa.array(mine)], ["sig", "salt", "node"])
 
-    return docs.select(text_col).mapInArrow(run, "sig long, salt byte, node long")
+    return docs.select(text_col).mapInArrow(frugal(run), "sig long, salt byte, node long")
 
 
 def _shared(signatures: DataFrame) -> DataFrame:
@@ -522,7 +523,7 @@ def _linked(lists: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, tex
             yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(np.r_[start, len(row)], pa.int32()), pa.array(other))], [*CELL, "node", "others"])
 
     dealt = lists.where(F.size("others") > 0).join(place, "node").select("group", "large", "block", "blocks", "node", "others")
-    dealt = materialize(dealt.mapInArrow(deal, "group long, large boolean, i long, j long, node long, others array<long>"), "dealt")
+    dealt = materialize(dealt.mapInArrow(frugal(deal), "group long, large boolean, i long, j long, node long, others array<long>"), "dealt")
     cells = dealt.select(*CELL).distinct()
     cells = cells.withColumn("block", F.explode(F.array_distinct(F.array("i", "j"))))
     facts = materialize(cells.join(place.select("group", "large", "block", "node", "n", "rows"), ["group", "large", "block"]).select(*CELL, "node", "n", "rows"), "facts")

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from porespan.llm.encode import encoder
+from porespan.llm.memory import frugal
 from porespan.session import materialize
 
 CAPACITY, END_ID = 2048, 0
@@ -60,7 +61,7 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     ["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, PIECES.format(id=docs.schema[id_col].dataType.simpleString()))
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(frugal(run), PIECES.format(id=docs.schema[id_col].dataType.simpleString()))
 
 
 # ---------------------------------------------------------------- combinations
@@ -141,7 +142,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, bucket_rows: int = BUCKET_
             yield pa.RecordBatch.from_arrays([*(batch[n] for n in names), pa.array(bins), pa.array(offset)], [*names, "sequence_id", "offset"])
 
     schema = numbered.drop("number").withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).schema
-    return numbered.mapInArrow(run, schema)
+    return numbered.mapInArrow(frugal(run), schema)
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

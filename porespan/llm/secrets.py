@@ -26,9 +26,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from porespan.llm.memory import frugal
 from porespan.llm.words import chunks, text_buffers
 
 MIN_RUN, MIN_VALUE, NEAR = 16, 8, 48
@@ -315,7 +317,7 @@ def find_secrets(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_c
             columns = [pa.array([f[n] for f in flat], k) for n, k in zip(names, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(at, pa.int64())), *columns], ["doc_id", *names])
 
-    found = rows.mapInArrow(run, f"doc_id {kind.simpleString()}, start long, stop long, kind string, candidate string, probability double")
+    found = rows.mapInArrow(frugal(run), f"doc_id {kind.simpleString()}, start long, stop long, kind string, candidate string, probability double")
     return found.select("doc_id", "start", "stop", "kind", "probability", F.sha2("candidate", 256).alias("secret_sha256"))
 
 
@@ -337,8 +339,9 @@ def redact_secrets(docs: DataFrame, forest: Forest, text_col: str = "text", path
             paths = batch[path_col].cast(pa.string()).to_pylist() if path_col else [None] * len(texts)
             found = scan_batch(texts, paths, held.value, threshold)
             if any(found):
-                texts = pa.array([redacted(t, f, mark) if f else t for t, f in zip(texts.to_pylist(), found, strict=True)], texts.type)
+                new = [redacted(texts[i].as_py(), f, mark) for i, f in enumerate(found) if f]
+                texts = pc.replace_with_mask(texts, pa.array([bool(f) for f in found]), pa.array(new, texts.type))
             i = batch.schema.get_field_index(text_col)
             yield batch.set_column(i, batch.schema.field(i), texts)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from porespan.llm.encode import ChunkEncoder, encoder, parts
+from porespan.llm.memory import frugal
 from porespan.session import discard, materialize
 
 _CHUNK = re.compile(r"[^ \t\n\v\f\r]+")
@@ -258,4 +259,4 @@ def apply_edits(rows: DataFrame, vocabulary: str | None = None, with_trees: bool
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, {RESULT}" + (f", {TREE}" if with_trees else "") + "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.select("doc_id", "text", "edits", *(["leaf_chars", "leaf_tokens"] if trees else []), *keep).mapInArrow(run, schema)
+    return rows.select("doc_id", "text", "edits", *(["leaf_chars", "leaf_tokens"] if trees else []), *keep).mapInArrow(frugal(run), schema)

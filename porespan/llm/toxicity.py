@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from porespan.llm.memory import frugal
 from porespan.llm.words import ALNUM, chunks, mix, span_hashes, spans, text_buffers
 
 #: Bounds of the training sample: documents of each label, characters of one of them, characters of each label's
@@ -265,7 +266,7 @@ def train_on(
         model = train(texts, y, scale(0) / scale(1) if scale(1) else 1.0, train_tokens)
         yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(model)]})
 
-    made = rows.repartition(1).mapInArrow(run, "model binary").first()
+    made = rows.repartition(1).mapInArrow(frugal(run), "model binary").first()
     return pickle.loads(made["model"]) if made else ToxicityModel()
 
 
@@ -321,5 +322,5 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
             columns = [*batch.columns[:-1], pa.array(score), pa.array(found, pa.list_(SPAN))]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "__score", "__spans"])
 
-    out = rows.mapInArrow(run, schema)
+    out = rows.mapInArrow(frugal(run), schema)
     return out.withColumnsRenamed({"__score": "score", "__spans": "spans"} if keep is None else {})

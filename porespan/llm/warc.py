@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from porespan.llm.archives import Bytes, filesystem, new_file
+from porespan.llm.memory import frugal
 from porespan.session import materialize
 
 ARCHIVE_BYTES, RANGE_BYTES = 64 << 20, 16 << 20
@@ -107,7 +108,7 @@ def write_warc(
             yield closed()
 
     assert isinstance(spark, SparkSession)
-    return materialize(rows.mapInArrow(run, "path string, records long, bytes long"), "manifest")
+    return materialize(rows.mapInArrow(frugal(run), "path string, records long, bytes long"), "manifest")
 
 
 # ---------------------------------------------------------------- reading
@@ -328,7 +329,7 @@ def _plain_ranges(files: DataFrame, range_bytes: int) -> DataFrame:
                 src.close()
                 yield pa.RecordBatch.from_pydict({"path": [path] * (len(starts) - 1), "start": starts[:-1], "stop": starts[1:]})
 
-    return files.repartition("path").mapInArrow(run, "path string, start long, stop long")
+    return files.repartition("path").mapInArrow(frugal(run), "path string, start long, stop long")
 
 
 def read_warc(manifest: DataFrame, with_payload: bool = True, range_bytes: int = RANGE_BYTES, tasks: int = TASKS) -> DataFrame:
@@ -370,7 +371,7 @@ def read_warc(manifest: DataFrame, with_payload: bool = True, range_bytes: int =
                     yield batch(rows)
                 src.close()
 
-    return ranges.mapInArrow(run, schema)
+    return ranges.mapInArrow(frugal(run), schema)
 
 
 def resolve_revisits(found: DataFrame) -> DataFrame:
