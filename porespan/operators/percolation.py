@@ -1,8 +1,8 @@
 """Percolation of each realization: face to face, or by winding around a periodic axis.
 
-Contacts and electrode gaps come from Spark joins over all realizations at once. One realization's graph is
-small against a task, so connectivity is decided in a grouped map. For one graph that is too large for a task,
-``spanning_components`` uses distributed connected components.
+Contacts and electrode gaps come from Spark joins over all realizations at once. Where one realization's graph is
+small against a task, connectivity is decided in a grouped map. For one graph that is too large for a task (``large=True``),
+components, paths and windings are found by rounds of joins (``operators.large``).
 """
 
 from __future__ import annotations
@@ -16,14 +16,21 @@ from pyspark.sql import functions as F
 
 from porespan.functions import geometry as G
 from porespan.operators import contacts as C
+from porespan.operators import large as L
 from porespan.operators.graph import connected_components
 from porespan.policy import Domain, Policy, SetupError, axis_number
+from porespan.session import materialize
 
 RESULT = "realization_id long, percolates boolean, n_nodes long, n_components long, path array<int>, winding array<long>"
 
 
-def logical_nodes(particles: DataFrame) -> DataFrame:
-    """``(realization_id, idx, node, first)``: fragments of a parent share the node, numbered by first appearance."""
+def logical_nodes(particles: DataFrame, large: bool = False) -> DataFrame:
+    """``(realization_id, idx, node, first)``: fragments of a parent share the node, numbered by first appearance.
+
+    ``large``: a realization may exceed a task. Its nodes are dealt into ranges, numbered there, and moved by the ranges' sizes.
+    """
+    if large:
+        return _numbered_nodes(particles)
     key = F.coalesce(F.concat(F.lit("p"), "parent_id"), F.concat(F.lit("i"), F.col("idx").cast("string")))
     group = Window.partitionBy("realization_id", "__key")
     order = Window.partitionBy("realization_id").orderBy("first")
@@ -31,10 +38,18 @@ def logical_nodes(particles: DataFrame) -> DataFrame:
     return out.withColumn("node", F.dense_rank().over(order) - 1).select("realization_id", "idx", "node", "first")
 
 
-def _groups(links: DataFrame, particles: DataFrame) -> DataFrame:
-    """A row for each realization even without links."""
-    every = particles.select("realization_id").distinct()
-    return every.join(links, "realization_id", "left")
+def _numbered_nodes(particles: DataFrame) -> DataFrame:
+    keys = ["realization_id", "parent_id"]
+    first = particles.where("parent_id is not null").groupBy(*keys).agg(F.min("idx").alias("__first"))
+    named = materialize(particles.select("idx", *keys).join(first, keys, "left").select("realization_id", "idx", F.coalesce("__first", "idx").alias("first")), "named")
+    ranges = named.where("idx = first").select("realization_id", "first").repartitionByRange("realization_id", "first").withColumn("part", F.spark_partition_id())
+    ranges = materialize(ranges, "ranges")
+    sizes = ranges.groupBy("realization_id", "part").agg(F.count("*").alias("n"))  # as many rows as ranges and realizations
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("realization_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy("realization_id", "part").orderBy("first")) - 1
+    numbered = ranges.withColumn("place", place).join(sizes.select("realization_id", "part", before.alias("before")), ["realization_id", "part"])
+    numbered = numbered.select("realization_id", "first", (F.col("before") + F.col("place")).alias("node"))
+    return named.join(numbered, ["realization_id", "first"]).select("realization_id", "idx", "node", "first")
 
 
 def _face(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -114,12 +129,12 @@ def _winding(axis: int):
     return run
 
 
-def self_images(particles: DataFrame, domain: Domain, policy: Policy) -> DataFrame:
+def self_images(particles: DataFrame, domain: Domain, policy: Policy, nodes: DataFrame | None = None) -> DataFrame:
     """Steps by which fragments of one node overlap their own images: ``realization_id, node, sx, sy, sz``.
 
-    Two different fragments count only if both state their offset; the contact threshold plays no part.
+    Two different fragments count only if both state their offset; the contact threshold plays no part. ``nodes (idx, node)`` are those of one realization.
     """
-    nodes = logical_nodes(particles)
+    nodes = logical_nodes(particles) if nodes is None else particles.select("realization_id", "idx").join(nodes, "idx")
     base = C.boxed(particles, domain)
     low, high, reach, cylinders = C._bounds(base)
     low, high = low if low[0] is not None else [0.0] * 3, high if high[0] is not None else [0.0] * 3
@@ -151,10 +166,18 @@ def offset_problems(particles: DataFrame, domain: Domain) -> DataFrame:
 
 
 def analyze_percolation(
-    particles: DataFrame, domain: Domain, threshold: float = 0.0, axis: int | str = 0, mode: str = "face_to_face", wrapped_parent: bool = False, method: str = "cell_list", policy: Policy = C.POLICY
+    particles: DataFrame, domain: Domain, threshold: float = 0.0, axis: int | str = 0, mode: str = "face_to_face", wrapped_parent: bool = False, method: str = "cell_list", policy: Policy = C.POLICY, large: bool = False
 ) -> DataFrame:
-    """One row a realization: ``percolates``, ``n_nodes``, ``n_components``, and a path (first particles of nodes) or a winding."""
+    """One row a realization: ``percolates``, ``n_nodes``, ``n_components``, and a path (first particles of nodes) or a winding.
+
+    ``large``: ``particles`` are one realization of any size. Its path is a shortest one too, but may be another one of the same length.
+    """
     k, kind = axis_number(axis), mode.lower().replace("-", "_")
+    if large:
+        if kind == "face_to_face":
+            return L.face_percolation(particles, domain, threshold, k, wrapped_parent, method, policy)
+        if kind in ("periodic_wrap", "wrap"):
+            return L.winding_percolation(particles, domain, threshold, k, method, policy)
     if kind == "face_to_face":
         found = face_links(particles, domain, threshold, k, wrapped_parent, method, policy).groupBy("realization_id").applyInPandas(_face, RESULT)
         first = logical_nodes(particles).groupBy("realization_id").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("node", "first")))).alias("__first"))
@@ -192,20 +215,10 @@ def spanning_components(particles: DataFrame, domain: Domain, threshold: float,
 
 def spanning_depth(particles: DataFrame, domain: Domain, threshold: float, axis: int = 0, max_depth: int = 10_000) -> int | None:
     """Particles on a shortest path from face to face of one large realization: breadth first, one join a level."""
-    from porespan.session import materialize
-
-    contacts = materialize(C.cell_contacts(particles, domain.opened(axis), threshold).select("i", "j"), "contacts")
-    both = contacts.unionByName(contacts.select(F.col("j").alias("i"), F.col("i").alias("j")))
-    ends = materialize(C.electrodes(particles, domain, axis, threshold).select("idx", "at_lower", "at_upper"), "ends")
-    front = seen = ends.where("at_lower").select("idx")
-    for depth in range(1, max_depth):
-        if front.join(ends.where("at_upper"), "idx", "left_semi").limit(1).count():
-            return depth
-        front = materialize(both.join(front, both["i"] == front["idx"]).select(F.col("j").alias("idx")).distinct().join(seen, "idx", "left_anti"), "front")
-        if not front.limit(1).count():
-            return None
-        seen = materialize(seen.unionByName(front), "seen")
-    raise RuntimeError("path longer than max_depth")
+    links = C.cell_contacts(particles, domain.opened(axis), threshold).select(F.col("i").cast("long").alias("a"), F.col("j").cast("long").alias("b"))
+    ends = materialize(C.electrodes(particles, domain, axis, threshold).select(F.col("idx").cast("long").alias("node"), "at_lower", "at_upper"), "ends")
+    path = L.breadth_first(links, ends.where("at_lower").select("node"), ends.where("at_upper").select("node"), max_depth)
+    return None if path is None else len(path)
 
 
 def nested_first_counts(links: DataFrame, grid: list[int]) -> DataFrame:

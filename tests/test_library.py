@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from porespan.functions import convex, stats
 from porespan.operators import contacts as C
@@ -122,6 +123,24 @@ def test_winding(spark):
         P.analyze_percolation(bodies(spark, [ball(0, 0)]), Domain(10.0), 0.0, 0, "periodic_wrap")
 
 
+def test_large_realizations_as_small_ones(spark):
+    """The joins for one realization of any size against the grouped maps: faces, windings, paths' lengths, numbers of nodes."""
+    for seed, radius in ((3, 0.9), (6, 0.6)):
+        p = generate(trial_keys(spark, 1), Domain(8.0, True), [Population(radius, 70), Population(0.3, 10, 2.5)], seed)
+        p = p.withColumn("parent_id", F.when(F.col("idx") % 5 == 0, (F.col("idx") % 20).cast("string"))).persist()
+        for axis in (2,):
+            one, two = (P.analyze_percolation(p, Domain(8.0, True), 0.05, axis, large=x).first() for x in (False, True))
+            assert (one.percolates, one.n_nodes, one.n_components, len(one.path)) == (two.percolates, two.n_nodes, two.n_components, len(two.path))
+            one, two = (P.analyze_percolation(p, Domain(8.0, True), 0.05, axis, "periodic_wrap", large=x).first() for x in (False, True))
+            assert (one.percolates, one.n_nodes, one.n_components) == (two.percolates, two.n_nodes, two.n_components)
+        assert sorted(map(tuple, P.logical_nodes(p).collect())) == sorted(map(tuple, P.logical_nodes(p, large=True).collect()))
+        p.unpersist()
+    d = Domain(10.0, True)
+    for xs, winds in (((-4, 0, 4), True), ((-4, 0), False)):
+        assert P.analyze_percolation(bodies(spark, [ball(i, x) for i, x in enumerate(xs)]), d, 2.0, 0, "periodic_wrap", large=True).first().percolates is winds
+    assert P.analyze_percolation(bodies(spark, [rod(0, (0, 0, 0), (1, 0, 0), 32, 0.2)]), d, 0.0, 0, "wrap", large=True).first().percolates
+
+
 def test_fragments_share_a_node(spark):
     p = bodies(spark, [ball(0, -4.8, r=0.5, parent="a"), ball(1, 4.8, r=0.5, parent="a")])
     assert P.analyze_percolation(p, Domain(10.0)).first().percolates
