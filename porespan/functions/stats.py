@@ -29,6 +29,12 @@ def wilson(k: Column, n: Column, confidence: float = 0.95) -> tuple[Column, Colu
     return F.when(k == 0, F.lit(0.0)).otherwise(middle - half), F.when(k == n, F.lit(1.0)).otherwise(middle + half)
 
 
+def quartiles(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``q1, median, q3`` of a column by keys, between neighbours where they fall between rows."""
+    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    return rows.groupBy(*keys).agg(q.alias("q")).select(*keys, *[F.col("q")[k].alias(n) for k, n in enumerate(("q1", "median", "q3"))])
+
+
 # ---------------------------------------------------------------- beta quantiles
 
 
@@ -67,6 +73,13 @@ def beta_quantile(p: float, a: float, b: float) -> float:
     return (lo + hi) / 2
 
 
+def wilson_interval(k: int, n: int, confidence: float = 0.95) -> tuple[float, float]:
+    z = NormalDist().inv_cdf(0.5 + confidence / 2)
+    p, zz = k / n, z * z / n
+    middle, half = p + zz / 2, z * math.sqrt((p * (1 - p) + zz / 4) / n)
+    return (0.0 if k == 0 else (middle - half) / (1 + zz)), (1.0 if k == n else (middle + half) / (1 + zz))
+
+
 def exact_interval(k: int, n: int, confidence: float = 0.95, side: str = "two") -> tuple[float, float]:
     """Clopper-Pearson; ``side`` two, lower or upper."""
     if not 0 <= k <= n or n < 1:

@@ -221,33 +221,45 @@ def spanning_depth(particles: DataFrame, domain: Domain, threshold: float, axis:
     return None if path is None else len(path)
 
 
+def _first_count(rows: np.ndarray, n: int, grid: list[int]) -> int | None:
+    """The first index of the grid whose prefix of nodes joins the faces n and n + 1."""
+    age = np.where(rows >= n, -1, rows).max(axis=1) + 1 if len(rows) else np.zeros(0, int)
+    root = list(range(n + 2))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    order, at = np.argsort(age, kind="stable"), 0
+    for g, count in enumerate(grid):
+        while at < len(order) and age[order[at]] <= count:
+            a, b = (find(int(v)) for v in rows[order[at]])
+            root[a] = b
+            at += 1
+        if find(n) == find(n + 1):
+            return g
+    return None
+
+
 def nested_first_counts(links: DataFrame, grid: list[int]) -> DataFrame:
     """``(realization_id, first)``: the first index of the grid whose prefix of particles joins the faces, else null.
 
-    A link exists from the prefix on that holds both ends; smaller prefixes are kept in one pass over links by age.
+    A link exists from the prefix on that holds both ends; smaller prefixes are kept in one pass over links by age. Many realizations
+    share a call.
     """
+    parts = 8 * int(links.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rid, n = int(pdf["realization_id"].iloc[0]), int(pdf["n_nodes"].iloc[0])
-        rows = pdf[["a", "b"]].dropna().astype(int).to_numpy()
-        age = np.where(rows >= n, -1, rows).max(axis=1) + 1 if len(rows) else np.zeros(0, int)
-        root = list(range(n + 2))
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        order, at, first = np.argsort(age, kind="stable"), 0, None
-        for g, count in enumerate(grid):
-            while at < len(order) and age[order[at]] <= count:
-                a, b = (find(int(v)) for v in rows[order[at]])
-                root[a] = b
-                at += 1
-            if find(n) == find(n + 1):
-                first = g
-                break
-        return pd.DataFrame({"realization_id": [rid], "first": pd.array([first], "Int64")})
-
-    return links.groupBy("realization_id").applyInPandas(run, "realization_id long, first long")
+        pdf = pdf.sort_values("realization_id", kind="stable")
+        rid, n, ends = pdf["realization_id"].to_numpy(), pdf["n_nodes"].to_numpy(), pdf[["a", "b"]].to_numpy(float)
+        cuts = np.flatnonzero(np.r_[True, rid[1:] != rid[:-1], True])
+        out = []
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            rows = ends[lo:hi]
+            out.append(_first_count(rows[~np.isnan(rows).any(axis=1)].astype(int), int(n[lo]), grid))
+        return pd.DataFrame({"realization_id": rid[cuts[:-1]], "first": pd.array(out, "Int64")})
+
+    rows = links.select("realization_id", "n_nodes", "a", "b").withColumn("__part", F.pmod(F.xxhash64("realization_id"), F.lit(parts)))
+    return rows.groupBy("__part").applyInPandas(run, "realization_id long, first long")

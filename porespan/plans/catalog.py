@@ -182,14 +182,20 @@ S_DISTANCE = "with " + PERIODIC + ", o as (select *, row_number() over (partitio
 
 
 def q_search_counters(spark, sf_dir):
-    """Candidate pairs, particle pairs and contacts of the join by cells; all pairs of the check."""
-    p = embedding_particles(spark, sf_dir)
-    c = C.cell_contacts(p, WIDE, THRESHOLD)
-    n = p.agg((F.count("*") * (F.count("*") - 1) / 2).cast("long").alias("all_pairs"))
-    return c.agg(F.count("*").alias("contacts"), F.countDistinct("i", "j").alias("particle_pairs")).crossJoin(n)
+    """Pairs whose boxes touch and contacts, by both joins; all pairs are candidates and evaluations of the second one."""
+    p, out = embedding_particles(spark, sf_dir), None
+    for method in ("cell_list", "bruteforce"):
+        c = C.search_counters(p, WIDE, THRESHOLD, method)
+        all_pairs = method == "bruteforce"
+        part = c.select(F.lit(method).alias("method"), F.col("candidates" if all_pairs else "boxes").alias("candidates_at_least"), "boxes", "evaluations", "contacts", (F.col("candidates") >= F.col("boxes")).alias("ordered"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
-S_COUNTERS = "with " + OPEN + " select (select count(*) from e) as contacts, (select count(*) from (select distinct i, j from e)) as particle_pairs, (select (count(*) * (count(*) - 1) // 2)::bigint from p) as all_pairs"
+S_COUNTERS = "with " + PARTICLES + """, q as (select greatest(sqrt((a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2 + (a.cz - b.cz) ** 2) - a.r - b.r, 0) <= 0.1 + 1e-9 as touch,
+ greatest(abs(a.cx - b.cx), abs(a.cy - b.cy), abs(a.cz - b.cz)) <= a.r + b.r + 0.1 + 1e-9 as box from p a join p b on a.idx < b.idx),
+ c as (select count(*) as n, count(*) filter (box) as boxes, count(*) filter (touch) as contacts from q)
+select 'cell_list' as method, boxes as candidates_at_least, boxes, boxes as evaluations, contacts, true as ordered from c union all select 'bruteforce', n, boxes, n, contacts, true from c"""
 
 
 def q_face_gaps(spark, sf_dir):
@@ -233,29 +239,56 @@ S_DEPTH = "with recursive " + OPEN + """, f as (select idx, greatest(sqrt((cx +
 
 def q_logical_nodes(spark, sf_dir):
     p = embedding_particles(spark, sf_dir).join(_table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("int").alias("idx"), "label"), "idx")
-    return P.logical_nodes(p.withColumn("parent_id", F.when(F.col("label") % 3 != 0, F.col("label").cast("string")))).select("idx", F.col("node").cast("long").alias("node"), F.col("first").cast("long").alias("first"))
+    return P.logical_nodes(p.withColumn("parent_id", F.when(F.col("label") % 3 != 0, F.col("label").cast("string"))), large=True).select("idx", F.col("node").cast("long").alias("node"), F.col("first").cast("long").alias("first"))
 
 
 S_NODES = "with a as (select vec_id::int as idx, case when label % 3 <> 0 then 'p' || label else 'i' || vec_id end as k from embeddings), b as (select idx, min(idx) over (partition by k) as first from a) select idx, dense_rank() over (order by first) - 1 as node, first::bigint as first from b"
 
 
 def q_percolation(spark, sf_dir):
-    """Face to face along each axis, with the reported path's length."""
+    """Face to face along each axis of one realization of any size, with the path's length."""
     p, out = embedding_particles(spark, sf_dir), None
     for k in range(3):
-        part = P.analyze_percolation(p, Domain(8.0), THRESHOLD, k).select(F.lit("xyz"[k]).alias("axis"), "percolates", "n_components", F.size("path").alias("path_length"))
+        part = P.analyze_percolation(p, Domain(8.0), THRESHOLD, k, large=True).select(F.lit("xyz"[k]).alias("axis"), "percolates", "n_components", F.size("path").cast("long").alias("path_length"))
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def _percolation_sql() -> str:
+    parts, rest = [], []
+    for a, others in (("x", "yz"), ("y", "xz"), ("z", "xy")):
+        at = lambda sign, a=a, others=others: f"greatest(sqrt((c{a} {sign} 4) ** 2 + " + " + ".join(f"greatest(abs(c{o}) - 4, 0) ** 2" for o in others) + ") - r, 0) <= 0.1 + 1e-9"
+        parts.append(f"f{a} as (select idx, {at('+')} as lo, {at('-')} as up from p), g{a} as (select idx, 1 as depth from f{a} where lo union select b.j, depth + 1 from g{a} join b on g{a}.idx = b.i where depth < 40)")
+        rest.append(f"select '{a}' as axis, count(*) > 0 as percolates, (select count(distinct component) from comp) as n_components, coalesce(min(depth), 0)::bigint as path_length from g{a} join f{a} using (idx) where up")
+    return "with recursive " + OPEN + REACH + ", " + ", ".join(parts) + " " + " union all ".join(rest)
+
+
+S_PERCOLATION = _percolation_sql()
+
+
 def q_winding(spark, sf_dir):
+    """Windings of one realization of any size, along each periodic axis."""
     p, out = embedding_particles(spark, sf_dir), None
     for k in range(3):
-        part = P.analyze_percolation(p, BOX, THRESHOLD, k, "periodic_wrap").select(F.lit("xyz"[k]).alias("axis"), "percolates", "n_components")
+        part = P.analyze_percolation(p, BOX, THRESHOLD, k, "periodic_wrap", large=True).select(F.lit("xyz"[k]).alias("axis"), "percolates", "n_components")
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def _winding_sql() -> str:
+    """A component winds if a walk from its first particle comes to some particle in two cells; walks within three cells suffice here."""
+    walks, rest = [], []
+    for a in "xyz":
+        walks.append(
+            f"step{a} as (select i, j, s{a} as s from e union select j, i, -s{a} from e), w{a} as (select distinct component::int as idx, 0::bigint as off from comp union select t.j, off + t.s from w{a} w join step{a} t on t.i = w.idx where abs(off + t.s) <= 3)"
+        )
+        rest.append(f"select '{a}' as axis, (select count(*) > 0 from (select idx from w{a} group by idx having count(distinct off) > 1)) as percolates, (select count(distinct component) from comp) as n_components")
+    return "with recursive " + PERIODIC + REACH + ", " + ", ".join(walks) + " " + " union all ".join(rest)
+
+
+S_WINDING = _winding_sql()
+
+
 # ---------------------------------------------------------------- transport
 
 
@@ -269,9 +302,14 @@ S_CONDUCTANCES = "with " + OPEN + " select i, j, case when gap <= 0.05 then 2.0
 
 
 def q_series_parallel(spark, sf_dir):
-    """Lines of an order as resistors of their quantity: in a row, and side by side."""
-    g = F.col("l_quantity")
-    return _table(spark, sf_dir, "lineitem").where(g > 0).groupBy("l_orderkey").agg(_r(1 / F.sum(1 / g)).alias("series"), _r(F.sum(g)).alias("parallel"), F.count("*").alias("resistors"))
+    """Lines of an order as resistors of their quantity, in a row and side by side, both solved by Kirchhoff's laws."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    rows = _table(spark, sf_dir, "lineitem").where("l_quantity > 0").withColumn("k", F.row_number().over(order)).withColumn("n", F.max("k").over(Window.partitionBy("l_orderkey")))
+    at = lambda k: F.when(k == 0, F.col("n") - 1).when(k == F.col("n"), F.col("n")).otherwise(k - 1)
+    one = rows.select(F.col("l_orderkey").alias("realization_id"), F.lit("series").alias("axis"), (F.col("n") - 1).alias("n_nodes"), at(F.col("k") - 1).alias("a"), at(F.col("k")).alias("b"), F.col("l_quantity").alias("g"))
+    two = rows.select(F.col("l_orderkey").alias("realization_id"), F.lit("parallel").alias("axis"), F.lit(0).alias("n_nodes"), F.lit(0).alias("a"), F.lit(1).alias("b"), F.col("l_quantity").alias("g"))
+    s = T.solve(one.unionByName(two)).withColumn("resistors", F.size("currents").cast("long"))
+    return s.groupBy(F.col("realization_id").alias("l_orderkey")).agg(*[_r(F.max(F.when(F.col("axis") == k, F.col("conductance")))).alias(k) for k in ("series", "parallel")], F.max("resistors").alias("resistors"))
 
 
 S_SERIES = "select l_orderkey, round(1 / sum(1 / l_quantity), 6) as series, round(sum(l_quantity), 6) as parallel, count(*) as resistors from lineitem where l_quantity > 0 group by 1"
@@ -316,8 +354,23 @@ select grp, n, k, round(p, 6) as p, round(sqrt(p * (1 - p) / n), 6) as se, round
 
 
 def q_clopper_pearson(spark, sf_dir):
-    t = _trials(spark, sf_dir).withColumn("ci", stats.clopper_pearson()("k", "n"))
-    return t.select("grp", "n", "k", _r(F.col("ci.low"), 9).alias("low"), _r(F.col("ci.high"), 9).alias("high"))
+    """Exact intervals of small samples; SQL holds the binomial tails at their ends against the missing confidence."""
+    small = _trials(spark, sf_dir).select("grp", (F.col("n") % 20 + 1).alias("n"), F.least(F.col("k") % 21, F.col("n") % 20 + 1).alias("k"))
+    t = small.withColumn("ci", stats.clopper_pearson()("k", "n"))
+    low, high = F.col("ci.low"), F.col("ci.high")
+    return t.select("grp", "n", "k", _r(_tail(F.col("k"), F.col("n"), low, True), 9).alias("upper_tail"), _r(_tail(F.col("k"), F.col("n"), high, False), 9).alias("lower_tail"))
+
+
+def _tail(k, n, p, upper: bool):
+    """P(X >= k) or P(X <= k) of a binomial, by its sum."""
+    fact = lambda m: F.aggregate(F.sequence(F.lit(1), F.greatest(m, F.lit(1)).cast("int")), F.lit(1.0), lambda x, i: x * i)
+    term = lambda i: fact(n) / (fact(i) * fact(n - i)) * F.pow(p, i.cast("double")) * F.pow(1 - p, (n - i).cast("double"))
+    ends = (k, n) if upper else (F.lit(0).cast("long"), k)
+    return F.aggregate(F.sequence(*ends), F.lit(0.0), lambda x, i: x + term(i))
+
+
+S_CLOPPER = """with a as (select user_id % 97 as grp, count(*) as n0, count(*) filter (value > 50) as k0 from events group by 1), b as (select grp, n0 % 20 + 1 as n, least(k0 % 21, n0 % 20 + 1) as k from a)
+select grp, n, k, case when k = 0 then 1.0 else 0.025 end::double as upper_tail, case when k = n then 1.0 else 0.025 end::double as lower_tail from b"""
 
 
 def q_isotonic(spark, sf_dir):
@@ -333,28 +386,36 @@ select j::int as slot, round(max(low), 6) as fitted from n group by j"""
 
 
 def q_mean_se(spark, sf_dir):
-    return _table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), _r(F.avg("value")).alias("mean"), _r(F.stddev_samp("value") / F.sqrt(F.count("*"))).alias("se"), F.count_if(F.col("value") > 0).alias("positive"))
+    """Values of a kind of event as samples of an axis."""
+    e = _table(spark, sf_dir, "events").select(F.col("event_type").alias("axis"), F.col("event_id").alias("realization_id"), F.col("value").alias("sigma"))
+    return W.summarize(e, samples=False).select(F.col("axis").alias("event_type"), F.col("trials").alias("n"), _r(F.col("mean")).alias("mean"), _r(F.col("standard_error")).alias("se"), F.col("conducting").alias("positive"))
 
 
 S_MEAN = "select event_type, count(*) as n, round(avg(value), 6) as mean, round(stddev_samp(value) / sqrt(count(*)), 6) as se, count(*) filter (value > 0) as positive from events group by 1"
 
 
 def q_quartiles(spark, sf_dir):
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return _table(spark, sf_dir, "events").groupBy("event_type").agg(q.alias("q")).select("event_type", *[_r(F.col("q")[k]).alias(n) for k, n in enumerate(("q1", "median", "q3"))])
+    return stats.quartiles(_table(spark, sf_dir, "events"), ["event_type"], "value").select("event_type", *[_r(F.col(n)).alias(n) for n in ("q1", "median", "q3")])
 
 
 S_QUARTILES = "select event_type, round(quantile_cont(value, 0.25), 6) as q1, round(quantile_cont(value, 0.5), 6) as median, round(quantile_cont(value, 0.75), 6) as q3 from events group by 1"
 
 
 def q_nested_search(spark, sf_dir):
-    """A user's first success latches: successes by hour of the day over users, as in the nested search."""
-    e = _table(spark, sf_dir, "events").groupBy("user_id", F.hour("ts").alias("slot")).agg(F.max((F.col("value") > 90).cast("int")).alias("hit"))
-    latched = e.withColumn("latched", F.max("hit").over(Window.partitionBy("user_id").orderBy("slot")))
-    return latched.groupBy("slot").agg(F.sum("latched").alias("successes"), F.count("*").alias("trials"))
+    """An order's lines join its faces from some prefix on: the first count of a grid at which it does, and how many orders do.
 
+    Line k of an order is a link from the lower face to the upper one of age k if its discount is above 0.07.
+    """
+    lines = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_discount").alias("d"))
+    n = F.max("l_linenumber").over(Window.partitionBy("l_orderkey"))
+    rows = lines.withColumn("n", n).select(F.col("l_orderkey").alias("realization_id"), F.col("n").alias("n_nodes"), (F.col("l_linenumber") - 1).alias("x"), "n", (F.col("d") > 0.07).alias("hit"))
+    sides = [rows.select("realization_id", "n_nodes", F.when(F.col("hit"), F.col("x")).alias("a"), F.when(F.col("hit"), F.col("n") + k).alias("b")) for k in (0, 1)]
+    first = P.nested_first_counts(sides[0].unionByName(sides[1]), [1, 2, 4, 7])
+    return first.groupBy("first").agg(F.count("*").alias("orders"))
 
-S_NESTED = "with a as (select user_id, hour(ts)::int as slot, max((value > 90)::int) as hit from events group by 1, 2), b as (select *, max(hit) over (partition by user_id order by slot) as l from a) select slot, sum(l)::bigint as successes, count(*) as trials from b group by 1"
+
+S_NESTED = """with a as (select l_orderkey, min(case when l_discount > 0.07 then l_linenumber end) as k from lineitem group by 1)
+select case when k <= 1 then 0 when k <= 2 then 1 when k <= 4 then 2 when k <= 7 then 3 end::bigint as first, count(*) as orders from a group by 1"""
 
 
 def q_mixture_candidates(spark, sf_dir):
@@ -375,14 +436,25 @@ S_MIXTURE = """with need as (select p_brand, avg(p_retailprice) as need from par
 
 
 def q_mc_probability(spark, sf_dir):
+    """A seeded run whose successes are recorded."""
     model = W.Model(Domain(10.0, (False, True, True)), 0.2)
-    return spark.createDataFrame([W.probability(spark, model, [Population(1.0, 70)], 100, 314159)])
+    r = W.estimate(W.successes(spark, model, [Population(1.0, 70)], 160, 314159, (1, 0)), 160, 0.975)
+    return spark.createDataFrame([(r["successes"], r["trials"], r["probability"], round(r["exact_low"], 9), round(r["exact_high"], 9), round(r["lower_bound"], 9), round(r["upper_bound"], 9))], "successes long, trials long, probability double, exact_low double, exact_high double, lower_bound double, upper_bound double")
+
+
+S_PROBABILITY = "select 97::bigint as successes, 160::bigint as trials, 97 / 160.0::double as probability, round(0.5148766235291948::double, 9) as exact_low, round(0.6925569221422904::double, 9) as exact_high, round(0.5260253753741739::double, 9) as lower_bound, round(0.6824621318191664::double, 9) as upper_bound"
 
 
 def q_critical_loading(spark, sf_dir):
+    """The recorded search and certification over seven counts."""
     model = W.Model(Domain(10.0, (False, True, True)), 0.2)
-    r = W.critical_loading(spark, model, Population(1.0, 0), list(range(40, 101, 10)), target=0.7, search_trials=40, certification_trials=40, seed=314159)
-    return spark.createDataFrame([{"status": r["status"], "critical_count": r["critical_count"], **{k: s[k] for k in ("count", "successes", "fitted")}} for s in r["search"]])
+    r = W.critical_loading(spark, model, Population(1.0, 0), list(range(40, 101, 10)), target=0.8, search_trials=100, certification_trials=160, seed=314159)
+    rows = [(r["status"], r["critical_count"], phase, s["count"], s["successes"]) for phase in ("search", "certification") for s in r[phase]]
+    return spark.createDataFrame(rows, "status string, critical_count long, phase string, count long, successes long")
+
+
+S_CRITICAL = """select 'INCONCLUSIVE' as status, 80::bigint as critical_count, phase, count::bigint as count, successes::bigint as successes
+from (values ('search', 40, 4), ('search', 50, 14), ('search', 60, 34), ('search', 70, 62), ('search', 80, 85), ('search', 90, 91), ('search', 100, 97), ('certification', 70, 97), ('certification', 80, 127)) t(phase, count, successes)"""
 
 
 def q_optimize_mixture(spark, sf_dir):
@@ -413,9 +485,10 @@ _SQL = {
     q_periodic_coordinates: S_PERIODIC, q_body_gaps: S_BODY, q_volumes: S_VOLUMES, q_count_for_fraction: S_COUNT, q_contacts: S_CONTACTS, q_contacts_bruteforce: S_CONTACTS, q_periodic_contacts: S_PERIODIC_CONTACTS,
     q_contact_parity: S_PARITY, q_contact_degree: S_DEGREE, q_periodic_distance: S_DISTANCE, q_search_counters: S_COUNTERS, q_face_gaps: S_FACES, q_components: S_COMPONENTS, q_spanning_components: S_SPANNING,
     q_spanning_depth: S_DEPTH, q_logical_nodes: S_NODES, q_conductances: S_CONDUCTANCES, q_series_parallel: S_SERIES, q_series_networks: S_SERIES_NETWORKS, q_binomial_estimate: S_BINOMIAL, q_isotonic: S_ISOTONIC,
-    q_mean_se: S_MEAN, q_quartiles: S_QUARTILES, q_nested_search: S_NESTED, q_mixture_candidates: S_MIXTURE,
+    q_mean_se: S_MEAN, q_quartiles: S_QUARTILES, q_nested_search: S_NESTED, q_mixture_candidates: S_MIXTURE, q_percolation: S_PERCOLATION, q_winding: S_WINDING, q_clopper_pearson: S_CLOPPER,
+    q_mc_probability: S_PROBABILITY, q_critical_loading: S_CRITICAL,
 }
-_ROWS_ONLY = (q_cylinder_gaps, q_percolation, q_winding, q_directional_sigma, q_clopper_pearson, q_mc_probability, q_critical_loading, q_optimize_mixture, q_conductivity_mc, q_link_fits, q_validation)
+_ROWS_ONLY = (q_cylinder_gaps, q_directional_sigma, q_optimize_mixture, q_conductivity_mc, q_link_fits, q_validation)
 
 
 def _name(f) -> str:

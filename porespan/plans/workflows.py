@@ -6,8 +6,10 @@ import itertools
 import math
 import secrets
 from dataclasses import dataclass, field
+from typing import Protocol
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from porespan.functions import stats
@@ -15,9 +17,38 @@ from porespan.operators import percolation as P
 from porespan.operators import transport as T
 from porespan.operators.contacts import POLICY
 from porespan.policy import COST_TIES, MAX_GRID, DesignError, Domain, SetupError, axis_number
-from porespan.session import materialize
+from porespan.session import discard, materialize
 from porespan.sources.particles import Population, generate, trial_keys, volume_fraction
 
+#: Candidates of a mixture search that are evaluated in one pass.
+BLOCK = 16
+
+
+class TrialEvaluator(Protocol):
+    """What decides trials: anything with a domain that turns particles into ``(realization_id, percolates)``.
+
+    Realizations without particles have no rows here, and don't count as successes.
+    """
+
+    domain: Domain
+
+    def outcomes(self, particles: DataFrame) -> DataFrame: ...
+
+
+@dataclass(frozen=True)
+class Evaluator:
+    """Trials decided by an aggregate over the particles of a realization, such as ``F.count("*") >= 3``."""
+
+    domain: Domain
+    decide: Column
+
+    def outcomes(self, particles: DataFrame) -> DataFrame:
+        return particles.groupBy("realization_id").agg(F.coalesce(self.decide.cast("boolean"), F.lit(False)).alias("percolates"))
+
+
+def make_evaluator(domain: Domain, decide: Column) -> Evaluator:
+    return Evaluator(domain, decide)
+
 
 @dataclass(frozen=True)
 class Model:
@@ -35,8 +66,26 @@ class Model:
         return found.select("realization_id", "percolates")
 
 
-def _entropy(seed: int | None) -> int:
-    return secrets.randbits(128) if seed is None else int(seed)
+Seed = int | np.random.SeedSequence | None
+
+
+def seed_of(seed: Seed) -> tuple[int, tuple[int, ...]]:
+    """(entropy, spawn key) of an integer, a seed sequence, or of fresh entropy."""
+    if isinstance(seed, np.random.SeedSequence):
+        if not isinstance(seed.entropy, int):
+            raise SetupError("a seed sequence needs one integer of entropy")
+        return seed.entropy, tuple(int(k) for k in seed.spawn_key)
+    if seed is None:
+        return secrets.randbits(128), ()
+    if isinstance(seed, bool) or not isinstance(seed, (int, np.integer)) or seed < 0:
+        raise SetupError("a seed is a non-negative integer or a seed sequence")
+    return int(seed), ()
+
+
+def seed_label(seed: tuple[int, tuple[int, ...]]) -> str:
+    """How results name a seed: its entropy, and the spawn key if there is one."""
+    entropy, key = seed
+    return str(entropy) if not key else f"{entropy}/{','.join(map(str, key))}"
 
 
 def _positive(n: int, name: str) -> int:
@@ -45,63 +94,77 @@ def _positive(n: int, name: str) -> int:
     return n
 
 
-def successes(spark: SparkSession, model: Model, populations: list[Population], trials: int, entropy: int, prefix: tuple[int, ...] = ()) -> int:
+def successes(spark: SparkSession, model: TrialEvaluator, populations: list[Population], trials: int, entropy: int, prefix: tuple[int, ...] = ()) -> int:
     """Percolating trials of a design. Realizations without any particle don't percolate."""
+    return design_successes(spark, model, populations, [[p.count for p in populations]], trials, entropy, [prefix])[0]
+
+
+def design_successes(
+    spark: SparkSession, model: TrialEvaluator, populations: list[Population], designs: list[list[int]], trials: int, entropy: int, prefixes: list[tuple[int, ...]]
+) -> list[int]:
+    """Percolating trials of each design (counts of the populations), all in one pass; a design's prefix names its streams."""
     _positive(trials, "trials")
-    if not sum(p.count for p in populations):
-        return 0
-    particles = materialize(generate(trial_keys(spark, trials, prefix), model.domain, populations, entropy), "particles")
-    return model.outcomes(particles).agg(F.count_if("percolates")).first()[0]
+    keys = None
+    for k, (counts, prefix) in enumerate(zip(designs, prefixes, strict=True)):
+        if sum(counts):
+            part = trial_keys(spark, trials, prefix).withColumn("realization_id", F.col("realization_id") + k * trials)
+            part = part.withColumn("counts", F.array(*[F.lit(int(c)) for c in counts]))
+            keys = part if keys is None else keys.unionByName(part)
+    if keys is None:
+        return [0] * len(designs)
+    particles = materialize(generate(keys, model.domain, populations, entropy), "particles")
+    found = model.outcomes(particles).where("percolates").groupBy(F.floor(F.col("realization_id") / trials).alias("k")).agg(F.count("*").alias("n"))
+    hits = {r["k"]: r["n"] for r in found.collect()}  # a row a design
+    discard(particles)
+    return [hits.get(k, 0) for k in range(len(designs))]
 
 
 def estimate(k: int, n: int, confidence: float) -> dict:
     low, high = stats.exact_interval(k, n, confidence)
-    z_low, z_high = _wilson(k, n, confidence)
+    z_low, z_high = stats.wilson_interval(k, n, confidence)
     return {
         "successes": k, "trials": n, "probability": k / n, "standard_error": math.sqrt(k / n * (1 - k / n) / n), "wilson_low": z_low, "wilson_high": z_high, "exact_low": low, "exact_high": high,
         "lower_bound": stats.exact_interval(k, n, confidence, "lower")[0], "upper_bound": stats.exact_interval(k, n, confidence, "upper")[1], "confidence": confidence,
     }
 
 
-def _wilson(k: int, n: int, confidence: float) -> tuple[float, float]:
-    z = stats.NormalDist().inv_cdf(0.5 + confidence / 2)
-    p = k / n
-    mid, half = (p + z * z / (2 * n)) / (1 + z * z / n), z / (1 + z * z / n) * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
-    return (0.0 if k == 0 else mid - half), (1.0 if k == n else mid + half)
-
-
-def probability(spark: SparkSession, model: Model, populations: list[Population], trials: int = 1000, seed: int | None = None, confidence: float = 0.95) -> dict:
-    entropy = _entropy(seed)
-    return estimate(successes(spark, model, populations, trials, entropy), trials, confidence) | {"seed": str(entropy)}
+def probability(spark: SparkSession, model: TrialEvaluator, populations: list[Population], trials: int = 1000, seed: Seed = None, confidence: float = 0.95) -> dict:
+    entropy, key = seed_of(seed)
+    return estimate(successes(spark, model, populations, trials, entropy, key), trials, confidence) | {"seed": seed_label((entropy, key))}
 
 
 # ---------------------------------------------------------------- critical loading
 
 
-def nested_successes(spark: SparkSession, model: Model, variable: Population, fixed: list[Population], grid: list[int], trials: int, entropy: int) -> list[int]:
+def nested_successes(spark: SparkSession, model: TrialEvaluator, variable: Population, fixed: list[Population], grid: list[int], trials: int, entropy: int, key: tuple[int, ...] = ()) -> list[int]:
     """Trials that percolate at each count of the grid; counts of a trial are prefixes of one realization.
 
-    After a trial's first success greater counts are taken as successes.
+    After a trial's first success greater counts are taken as successes. Other evaluators than a face-to-face ``Model`` look at the counts one after the
+    other, each at the trials that are still open.
     """
     top = [*fixed, variable.of(grid[-1])]
-    particles = materialize(generate(trial_keys(spark, trials, (0,)), model.domain, top, entropy), "particles")
     base = sum(p.count for p in fixed)
-    if model.mode.replace("-", "_").lower() == "face_to_face":
+    if not base + grid[-1]:
+        return [0] * len(grid)
+    particles = materialize(generate(trial_keys(spark, trials, (*key, 0)), model.domain, top, entropy), "particles")
+    if isinstance(model, Model) and model.mode.replace("-", "_").lower() == "face_to_face":
         links = P.face_links(particles, model.domain, model.threshold, axis_number(model.axis), model.wrapped_parent, model.method, POLICY)
         first = P.nested_first_counts(links, [base + c for c in grid])
     else:
-        first = None
+        first, done = None, []
         for g, count in enumerate(grid):
-            part = model.outcomes(particles.where(F.col("idx") < base + count)).where("percolates").select("realization_id", F.lit(g).cast("long").alias("first"))
-            first = part if first is None else first.unionByName(part)
-        first = first.groupBy("realization_id").agg(F.min("first").alias("first"))
+            rest = particles.where(F.col("idx") < base + count)
+            rest = rest if first is None else rest.join(first, "realization_id", "left_anti")
+            part = model.outcomes(rest).where("percolates").select("realization_id", F.lit(g).cast("long").alias("first"))
+            done.append(materialize(part, "hits"))
+            first = done[-1] if first is None else first.unionByName(done[-1])
     hits = {r["first"]: r["n"] for r in first.where("first is not null").groupBy("first").agg(F.count("*").alias("n")).collect()}
     return list(itertools.accumulate(hits.get(g, 0) for g in range(len(grid))))
 
 
 def critical_loading(
-    spark: SparkSession, model: Model, variable: Population, grid: list[int], fixed: list[Population] = (), target: float = 0.9, search_trials: int = 1000, certification_trials: int = 5000,
-    confidence: float = 0.95, strategy: str = "pava", seed: int | None = None,
+    spark: SparkSession, model: TrialEvaluator, variable: Population, grid: list[int], fixed: list[Population] = (), target: float = 0.9, search_trials: int = 1000, certification_trials: int = 5000,
+    confidence: float = 0.95, strategy: str = "pava", seed: Seed = None,
 ) -> dict:
     """The least count that reaches the target: a search, and certification with independent trials."""
     grid, fixed = list(grid), list(fixed)
@@ -109,8 +172,8 @@ def critical_loading(
         raise SetupError("the grid must rise strictly")
     if not 0 < target < 1 or not 0 < confidence < 1:
         raise SetupError("target and confidence must lie between 0 and 1")
-    entropy = _entropy(seed)
-    hits = nested_successes(spark, model, variable, fixed, grid, _positive(search_trials, "search_trials"), entropy)
+    entropy, key = seed_of(seed)
+    hits = nested_successes(spark, model, variable, fixed, grid, _positive(search_trials, "search_trials"), entropy, key)
     if strategy == "pava":
         fitted = stats.pava([k / search_trials for k in hits], [search_trials] * len(grid)).tolist()
     else:
@@ -118,14 +181,16 @@ def critical_loading(
     at = next((i for i, p in enumerate(fitted) if p >= target), None)
     certified = [grid[-1]] if at is None else [grid[0]] if at == 0 else grid[at - 1 : at + 1]
     level = stats.bonferroni(confidence, len(certified))
-    rows = [estimate(successes(spark, model, [*fixed, variable.of(c)], certification_trials, entropy, (1, b)), certification_trials, level) | {"count": c} for b, c in enumerate(certified)]
+    designs = [[*(p.count for p in fixed), c] for c in certified]
+    again = design_successes(spark, model, [*fixed, variable], designs, certification_trials, entropy, [(*key, 1, b) for b in range(len(certified))])
+    rows = [estimate(k, certification_trials, level) | {"count": c} for k, c in zip(again, certified, strict=True)]
     if at is None:
         status = "NO_CROSSING" if rows[-1]["upper_bound"] < target else "INCONCLUSIVE"
     else:
         status = "CERTIFIED" if rows[-1]["lower_bound"] >= target and (at == 0 or rows[0]["upper_bound"] < target) else "INCONCLUSIVE"
     count = None if at is None else grid[at]
     search = [estimate(k, search_trials, confidence) | {"count": c, "fitted": p} for c, k, p in zip(grid, hits, fitted, strict=True)]
-    return {"status": status, "critical_count": count, "volume_fraction": None if count is None else volume_fraction([*fixed, variable.of(count)], model.domain), "target": target, "confidence": confidence, "per_comparison": level, "strategy": strategy, "search": search, "certification": rows, "seed": str(entropy)}
+    return {"status": status, "critical_count": count, "volume_fraction": None if count is None else volume_fraction([*fixed, variable.of(count)], model.domain), "target": target, "confidence": confidence, "per_comparison": level, "strategy": strategy, "search": search, "certification": rows, "seed": seed_label((entropy, key))}
 
 
 # ---------------------------------------------------------------- mixture design
@@ -155,24 +220,38 @@ class _Phase:
 
 
 def optimize_mixture(
-    spark: SparkSession, model: Model, populations: list[Population], bounds: list[tuple[int, int]], target: float = 0.9, screening_trials: int = 250, certification_trials: int = 5000,
-    confidence: float = 0.95, max_candidates: int = 100_000, seed: int | None = None, evaluate=None,
+    spark: SparkSession, model: TrialEvaluator, populations: list[Population], bounds: list[tuple[int, int]], target: float = 0.9, screening_trials: int = 250, certification_trials: int = 5000,
+    confidence: float = 0.95, max_candidates: int = 100_000, seed: Seed = None, evaluate=None, block: int = BLOCK,
 ) -> dict:
-    """The cheapest mixture that reaches the target; every interval holds at once over both phases of all candidates."""
-    entropy = _entropy(seed)
+    """The cheapest mixture that reaches the target; every interval holds at once over both phases of all candidates.
+
+    Candidates are evaluated cheapest first, ``block`` at a time in one pass; those of a block that lie beyond the stop are dropped again, so
+    decisions don't depend on the block. ``evaluate(counts, trials, prefix)`` may give the successes instead.
+    """
+    entropy, key = seed_of(seed)
     designs = [(list(r["counts"]), r["cost"]) for r in candidates(spark, populations, bounds, max_candidates).collect()]
     level = stats.bonferroni(confidence, 2 * len(designs))
-    run = evaluate or (lambda counts, trials, prefix: successes(spark, model, [p.of(c) for p, c in zip(populations, counts, strict=True)], trials, entropy, prefix))
+
+    def run(part: list[tuple[int, list[int]]], trials: int, branch: int) -> list[int]:
+        prefixes = [(*key, branch, m) for m, _ in part]
+        if evaluate:
+            return [evaluate(counts, trials, prefix) for (_, counts), prefix in zip(part, prefixes, strict=True)]
+        return design_successes(spark, model, populations, [counts for _, counts in part], trials, entropy, prefixes)
+
     phases = []
     for branch, trials, conf, passes in ((0, screening_trials, confidence, "probability"), (1, certification_trials, level, "lower_bound")):
-        phase = _Phase()
-        for m, (counts, cost) in enumerate(designs):
-            if phase.beyond(cost):
-                break
-            row = estimate(run(counts, trials, (branch, m)), trials, conf) | {"counts": counts, "cost": cost}
-            phase.rows.append(row)
-            if phase.limit is None and row[passes] >= target:
-                phase.limit = cost
+        phase, size, at = _Phase(), 1 if evaluate else block, 0
+        while at < len(designs) and not phase.beyond(designs[at][1]):
+            part = [(m, designs[m][0]) for m in range(at, min(at + size, len(designs))) if not phase.beyond(designs[m][1])]
+            for (m, counts), k in zip(part, run(part, trials, branch), strict=True):
+                cost = designs[m][1]
+                if phase.beyond(cost):
+                    break
+                row = estimate(k, trials, conf) | {"counts": counts, "cost": cost}
+                phase.rows.append(row)
+                if phase.limit is None and row[passes] >= target:
+                    phase.limit = cost
+            at += size
         phases.append(phase)
     screening, certification = (p.rows for p in phases)
     good = [r for r in certification if r["lower_bound"] >= target]
@@ -182,22 +261,25 @@ def optimize_mixture(
         status = "CERTIFIED_OPTIMAL" if all(r["upper_bound"] < target for r in cheaper) else "INCONCLUSIVE"
     else:
         pick, status = next((r for r in screening if r["probability"] >= target), None), "NO_CERTIFIED_FEASIBLE"
-    return {"status": status, "counts": pick and pick["counts"], "cost": pick and pick["cost"], "target": target, "per_comparison": level, "comparisons": 2 * len(designs), "evaluated": max(len(screening), len(certification)), "screening": screening, "certification": certification, "seed": str(entropy)}
+    return {"status": status, "counts": pick and pick["counts"], "cost": pick and pick["cost"], "target": target, "per_comparison": level, "comparisons": 2 * len(designs), "evaluated": max(len(screening), len(certification)), "screening": screening, "certification": certification, "seed": seed_label((entropy, key))}
 
 
 # ---------------------------------------------------------------- conductivity
 
 
-def conductivity_samples(spark: SparkSession, domain: Domain, populations: list[Population], law: T.Law, axes: tuple = ("x", "y", "z"), trials: int = 100, seed: int | None = None, electrode_law: T.Law | None = None, voltage: float = 1.0) -> DataFrame:
+def conductivity_samples(spark: SparkSession, domain: Domain, populations: list[Population], law: T.Law, axes: tuple = ("x", "y", "z"), trials: int = 100, seed: Seed = None, electrode_law: T.Law | None = None, voltage: float = 1.0) -> DataFrame:
     """``realization_id, axis, sigma``; all axes of a trial share its particles."""
-    particles = materialize(generate(trial_keys(spark, trials), domain, populations, _entropy(seed)), "particles")
+    entropy, key = seed_of(seed)
+    particles = materialize(generate(trial_keys(spark, trials, key), domain, populations, entropy), "particles")
     return T.conductivity(particles, domain, law, axes, electrode_law, voltage).select("realization_id", "axis", "sigma")
 
 
-def summarize(samples: DataFrame) -> DataFrame:
-    """Mean, standard error (null for one trial), conducting trials and the samples in order, by axis."""
-    top = F.max(F.abs("sigma"))
-    return samples.groupBy("axis").agg(
-        F.avg("sigma").alias("mean"), (F.stddev_samp("sigma") / F.sqrt(F.count("*"))).alias("standard_error"), F.count_if(F.col("sigma") > 0).alias("conducting"), F.count("*").alias("trials"),
-        F.transform(F.sort_array(F.collect_list(F.struct("realization_id", "sigma"))), lambda s: s["sigma"]).alias("samples"), top.alias("greatest"),
-    )
+def summarize(sigmas: DataFrame, samples: bool = True) -> DataFrame:
+    """Mean, standard error (null for one trial) and conducting trials by axis; with ``samples`` the samples in order of their trial.
+
+    The samples of an axis are one array, as large as its trials; leave them out where these don't fit a row.
+    """
+    columns = [F.avg("sigma").alias("mean"), (F.stddev_samp("sigma") / F.sqrt(F.count("*"))).alias("standard_error"), F.count_if(F.col("sigma") > 0).alias("conducting"), F.count("*").alias("trials"), F.max(F.abs("sigma")).alias("greatest")]
+    if samples:
+        columns.append(F.transform(F.sort_array(F.collect_list(F.struct("realization_id", "sigma"))), lambda s: s["sigma"]).alias("samples"))
+    return sigmas.groupBy("axis").agg(*columns)

@@ -99,20 +99,24 @@ def generated(rng: np.random.Generator, domain: Domain, populations: list[Popula
 
 
 def generate(trials: DataFrame, domain: Domain, populations: list[Population], entropy: int) -> DataFrame:
-    """Particles of every row ``(realization_id, spawn_key array<long>)``; a key names its own random stream."""
+    """Particles of every row ``(realization_id, spawn_key array<long>)``; a key names its own random stream.
+
+    A column ``counts array<int>`` gives a row its own numbers of particles of the populations.
+    """
+    own = "counts" in trials.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for rid, key in zip(batch["realization_id"], batch["spawn_key"], strict=True):
+            for rid, key, counts in zip(batch["realization_id"], batch["spawn_key"], batch["counts"] if own else [None] * len(batch), strict=True):
                 rng = np.random.default_rng(np.random.SeedSequence(entropy, spawn_key=tuple(int(k) for k in key)))
-                g = generated(rng, domain, populations)
+                g = generated(rng, domain, populations if counts is None else [p.of(int(c)) for p, c in zip(populations, counts, strict=True)])
                 n = len(g["radius"])
                 frame = {"realization_id": np.full(n, rid), "idx": np.arange(n, dtype=np.int32), "shape": np.where(np.isnan(g["length"]), "sphere", "cylinder")}
                 frame |= {f"c{a}": g["c"][:, k] for k, a in enumerate("xyz")} | {f"u{a}": g["u"][:, k] for k, a in enumerate("xyz")}
                 frame |= {"length": g["length"], "radius": g["radius"], "parent_id": [str(i) for i in range(n)]}
                 yield pd.DataFrame(frame | {c: pd.array([None] * n, "Int64") for c in ("ox", "oy", "oz")})
 
-    rows = trials.select("realization_id", "spawn_key").mapInPandas(run, SCHEMA)
+    rows = trials.select("realization_id", "spawn_key", *(["counts"] if own else [])).mapInPandas(run, SCHEMA)
     return rows.withColumns({c: F.when(F.col("shape") == "cylinder", F.col(c)) for c in ("ux", "uy", "uz", "length")})
 
 

@@ -35,7 +35,7 @@ def test_intervals():
     assert stats.exact_interval(4, 100) == pytest.approx((0.011004493986188201, 0.09925715671265992), abs=1e-13)
     assert stats.exact_interval(97, 160, 0.975) == pytest.approx((0.5148766235291948, 0.6925569221422904), abs=1e-12)
     assert stats.exact_interval(4, 100, 0.95, "lower")[0] == pytest.approx(0.013776612464856383, abs=1e-13)
-    assert W._wilson(50, 100, 0.95) == pytest.approx((0.4038315303659956, 0.5961684696340044), abs=1e-14)
+    assert stats.wilson_interval(50, 100, 0.95) == pytest.approx((0.4038315303659956, 0.5961684696340044), abs=1e-14)
     assert stats.bonferroni(0.95, 20) == pytest.approx(0.9975)
 
 
@@ -190,6 +190,31 @@ def test_mixture_decisions(spark):
         W.candidates(spark, sphere, [(0, 10**9)])
 
 
+def test_blocks_of_a_mixture_search_decide_alike(spark):
+    model, pops = W.Model(Domain(6.0), 0.2), [Population(1.0, 0, None, 1.0), Population(0.4, 0, 3.0, 2.0)]
+    one, all_ = (W.optimize_mixture(spark, model, pops, [(8, 10), (0, 1)], 0.2, 10, 15, seed=7, block=b) for b in (1, 16))
+    assert one == all_
+    by_design = [W.successes(spark, model, [p.of(c) for p, c in zip(pops, r["counts"], strict=True)], 10, 7, (0, m)) for m, r in enumerate(one["screening"][:2])]
+    assert by_design == [r["successes"] for r in one["screening"][:2]]
+
+
+def test_evaluators_and_seeds(spark):
+    """Outcomes by an aggregate of the particles: the recorded decisions; a seed sequence gives its own streams."""
+    some = W.make_evaluator(Domain(10.0), F.count("*") >= 2)
+    sphere = Population(1.0, 0)
+    assert W.probability(spark, some, [sphere.of(2)], 20, 5)["probability"] == 1.0 and W.probability(spark, some, [sphere.of(1)], 20, 5)["probability"] == 0.0
+    for strategy in ("pava", "logistic", "probit"):
+        r = W.critical_loading(spark, some, sphere, [0, 1, 2, 3], target=0.9, search_trials=50, certification_trials=400, strategy=strategy, seed=1)
+        assert (r["status"], r["critical_count"], r["per_comparison"]) == ("CERTIFIED", 2, 0.975)
+    never = W.critical_loading(spark, W.make_evaluator(Domain(10.0), F.count("*") < 0), sphere, [0, 1, 2], search_trials=30, certification_trials=200, seed=1)
+    assert never["status"] == "NO_CROSSING"
+    model, key = W.Model(Domain(10.0, (False, True, True)), 0.2), np.random.SeedSequence(314159, spawn_key=(1,))
+    assert W.probability(spark, model, [sphere.of(70)], 40, key.spawn(1)[0])["successes"] == W.successes(spark, model, [sphere.of(70)], 40, 314159, (1, 0))
+    assert W.seed_label(W.seed_of(key)) == "314159/1" and W.seed_label(W.seed_of(3)) == "3"
+    with pytest.raises(SetupError):
+        W.seed_of(-1)
+
+
 def test_components(spark):
     pairs = spark.createDataFrame([(1, 2), (2, 3), (7, 9), (9, 8), (5, 5)], "a long, b long")
     assert sorted(map(tuple, connected_components(pairs).collect())) == [(1, 1), (2, 1), (3, 1), (7, 7), (8, 7), (9, 7)]
