@@ -32,8 +32,9 @@ def positive(x: Column) -> Column:
 
 
 def unit(v: Vector) -> Vector:
-    """Scaled by its greatest component first, so that no square over- or underflows."""
+    """Scaled by its greatest component first, so that no square over- or underflows; null for the zero vector."""
     top = F.greatest(*(F.abs(x) for x in v))
+    top = F.when(top > 0, top)
     w = tuple(x / top for x in v)
     return tuple(x / norm(w) for x in w)
 
@@ -73,6 +74,57 @@ def point_segment(p: Vector, a: Vector, b: Vector) -> Column:
     return norm(tuple(x - t * y for x, y in zip(ap, ab, strict=True)))
 
 
+def segment_segment(a: Vector, b: Vector, c: Vector, d: Vector) -> Column:
+    """Distance of the segments a - b and c - d: the least of the ends' distances to the other segment, and of the lines where both nearest points lie inside."""
+    u, v, w = minus(b, a), minus(d, c), minus(a, c)
+    uu, uv, vv, uw, vw = dot(u, u), dot(u, v), dot(v, v), dot(u, w), dot(v, w)
+    det = uu * vv - uv * uv
+    safe = F.when(det > F.lit(1e-14) * uu * vv, det)  # null for parallel or degenerate ones: an end is nearest there
+    s, t = (uv * vw - vv * uw) / safe, (uu * vw - uv * uw) / safe
+    inside = F.coalesce((s >= 0) & (s <= 1) & (t >= 0) & (t <= 1), F.lit(False))
+    lines = norm(tuple(x + s * y - t * z for x, y, z in zip(w, u, v, strict=True)))
+    ends = F.least(point_segment(a, c, d), point_segment(b, c, d), point_segment(c, a, b), point_segment(d, a, b))
+    return F.when(inside, F.least(lines, ends)).otherwise(ends)
+
+
+def segment_meets_box(a: Vector, b: Vector, center: Vector, half: Vector) -> Column:
+    """Whether a segment and a box have a point in common: the ranges in which it lies between each pair of faces overlap."""
+    first, last = F.lit(0.0), F.lit(1.0)
+    out = F.lit(True)
+    for x, y, c, h in zip(a, b, center, half, strict=True):
+        step = y - x
+        still = step == 0
+        one, two = (c - h - x) / F.when(~still, step), (c + h - x) / F.when(~still, step)
+        first = F.greatest(first, F.least(one, two))  # nulls don't count
+        last = F.least(last, F.greatest(one, two))
+        out = out & (~still | (F.abs(x - c) <= h))
+    return out & (first <= last)
+
+
+def endpoints(c: Vector, u: Vector, length: Column) -> tuple[Vector, Vector]:
+    """The ends of a cylinder's axis."""
+    return tuple(x - length / 2 * y for x, y in zip(c, u, strict=True)), tuple(x + length / 2 * y for x, y in zip(c, u, strict=True))
+
+
+def from_endpoints(a: Vector, b: Vector) -> tuple[Vector, Vector, Column]:
+    """(centre, axis, length) of a cylinder between two points."""
+    d = minus(b, a)
+    return tuple(x / 2 + y / 2 for x, y in zip(a, b, strict=True)), unit(d), norm(d)
+
+
+def moved(c: Vector, by: Vector) -> Vector:
+    return tuple(x + y for x, y in zip(c, by, strict=True))
+
+
+def plane_basis(n: Vector) -> tuple[Vector, Vector]:
+    """Two unit vectors that are orthogonal to a unit vector and to each other."""
+    small = [F.abs(x) for x in n]
+    least = F.when((small[0] <= small[1]) & (small[0] <= small[2]), F.lit(0)).when(small[1] <= small[2], F.lit(1)).otherwise(F.lit(2))
+    e = tuple(F.when(least == k, F.lit(1.0)).otherwise(F.lit(0.0)) for k in range(3))
+    first = unit(cross(n, e))
+    return first, cross(n, first)
+
+
 def extent(is_sphere: Column, u: Vector, length: Column, radius: Column, axis: int) -> Column:
     """Half the width of a body's bounding box."""
     other = [u[k] for k in range(3) if k != axis]
@@ -99,6 +151,19 @@ def wrap(x: Column, domain: Domain, axis: int) -> Column:
     return F.when((moved < lo) | (moved >= hi), lo).otherwise(moved)
 
 
+def exact_cell_floor(x: Column, domain: Domain, axis: int) -> Column:
+    """The cell that holds a coordinate, as a decimal of any number of digits up to 38: beyond doubles' exact integers, and next to a border, by exact decimals.
+
+    Doubles are taken at their shortest decimal form there.
+    """
+    size, lower = F.lit(domain.size[axis]), F.lit(domain.lower[axis])
+    q = (x - lower) / size
+    close = F.abs(q - F.round(q)) <= 16 * F.lit(2.0**-52) * F.greatest(F.abs(q), F.lit(1.0))
+    wide = "decimal(38,12)"
+    exact = F.floor((x.cast(wide) - lower.cast(wide)) / size.cast(wide)).cast("decimal(38,0)")
+    return F.when(close | (F.abs(q) >= 2.0**53), exact).otherwise(F.floor(q).cast("decimal(38,0)"))
+
+
 def minimum_image(d: Column, domain: Domain, axis: int) -> Column:
     """The nearest image of a difference; half a cell gives minus half a cell."""
     if not domain.periodic[axis]:
@@ -118,6 +183,16 @@ def cylinder_volume(r: Column, length: Column) -> Column:
     return F.pi() * r * r * length
 
 
+def safe_product(*factors: Column) -> Column:
+    """A product of positive numbers that over- or underflows only if its value does: mantissas and powers of two apart."""
+    mantissa, power = F.lit(1.0), F.lit(0.0)
+    for f in factors:
+        e = F.floor(F.log2(f))
+        mantissa, power = mantissa * (f / F.pow(F.lit(2.0), F.floor(e / 2)) / F.pow(F.lit(2.0), e - F.floor(e / 2))), power + e
+    half = F.floor(power / 2)
+    return mantissa * F.pow(F.lit(2.0), half) * F.pow(F.lit(2.0), power - half)
+
+
 def count_for_fraction(fraction: Column, volume: Column, domain_volume: float, rounding: str = "half_up") -> Column:
     raw = fraction * F.lit(domain_volume) / volume
     return {"half_up": F.round(raw), "ceil": F.ceil(raw), "floor": F.floor(raw)}[rounding].cast("long")

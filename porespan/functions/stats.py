@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from porespan.policy import SetupError
+from porespan.session import materialize
 
 
 def bonferroni(confidence: float, comparisons: int) -> float:
@@ -116,16 +118,41 @@ def pava(value: list[float], weight: list[float] | None = None) -> np.ndarray:
     return np.repeat([s / w for s, w, _ in blocks], [int(n) for *_, n in blocks])
 
 
-def isotonic(points: DataFrame, order: str, value: str, weight: str) -> DataFrame:
-    """``points`` (a grid of bounded length) with ``fitted``: the max over starts of the min over ends of means."""
-    w = Window.orderBy(order)
-    sums = points.withColumn("__s", F.sum(F.col(value) * F.col(weight)).over(w)).withColumn("__w", F.sum(weight).over(w))
-    before = sums.select(F.col(order).alias("__from"), (F.col("__s") - F.col(value) * F.col(weight)).alias("__s0"), (F.col("__w") - F.col(weight)).alias("__w0"))
-    end = sums.select(F.col(order).alias("__to"), "__s", "__w")
-    means = before.join(end, F.col("__from") <= F.col("__to")).select("__from", "__to", ((F.col("__s") - F.col("__s0")) / (F.col("__w") - F.col("__w0"))).alias("__m"))
-    low = means.withColumn("__low", F.min("__m").over(Window.partitionBy("__from").orderBy(F.desc("__to"))))
-    best = low.groupBy(F.col("__to").alias(order)).agg(F.max("__low").alias("fitted"))
-    return points.join(best, order)
+def isotonic(points: DataFrame, order: str, value: str, weight: str, parts: int = 64) -> DataFrame:
+    """``points`` (one for each value of ``order``) with ``fitted``: ranges are pooled first, and the pools that are left are pooled once more.
+
+    Adjacent violators may be pooled in any order, so the pools of ranges stay whole in the end. Only these pools meet in one task.
+    """
+    o = points.schema[order].dataType.simpleString()
+    keys = [F.col(c).cast("double").alias(n) for c, n in ((value, "v"), (weight, "w"))]
+    ranged = points.select(F.col(order).alias("o"), *keys).repartitionByRange(parts, "o").sortWithinPartitions("o")
+
+    def pooled(rows: pd.DataFrame) -> list[list]:
+        """[rows, sum, weight] of the pools of rows (sum, weight) in order."""
+        blocks: list[list] = []
+        for s, w in rows[["s", "w"]].itertuples(index=False):
+            blocks.append([1, s, w])
+            while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]:
+                n, s2, w2 = blocks.pop()
+                blocks[-1] = [blocks[-1][0] + n, blocks[-1][1] + s2, blocks[-1][2] + w2]
+        return blocks
+
+    def within(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if held := [b for b in batches if len(b)]:
+            rows = pd.concat(held, ignore_index=True)
+            n, total, w = map(np.array, zip(*pooled(rows), strict=True))
+            at = np.repeat(np.arange(len(n)), n)
+            yield pd.DataFrame({"o": rows["o"], "first": rows["o"].to_numpy()[(np.cumsum(n) - n)[at]], "s": total[at], "w": w[at]})
+
+    def across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if held := [b for b in batches if len(b)]:
+            rows = pd.concat(held, ignore_index=True)
+            n, total, w = map(np.array, zip(*pooled(rows), strict=True))
+            yield pd.DataFrame({"first": rows["first"], "fitted": np.repeat(total / w, n)})
+
+    local = materialize(ranged.select("o", (F.col("v") * F.col("w")).alias("s"), "w").mapInPandas(within, f"o {o}, first {o}, s double, w double"), "pools")
+    pools = local.where("o = first").repartition(1).sortWithinPartitions("first").select("first", "s", "w").mapInPandas(across, f"first {o}, fitted double")
+    return points.join(local.join(pools, "first").select(F.col("o").alias(order), "fitted"), order)
 
 
 # ---------------------------------------------------------------- link fits
@@ -177,6 +204,14 @@ def fit_link(x: list[float], successes: list[int], trials: list[int], link: str
     return {"link": link, "intercept": float(w[0]), "slope": float(w[1]), "log_likelihood": best, "aic": 4 - 2 * best, "bic": 2 * math.log(n.sum()) - 2 * best, "converged": bool(converged), "x_center": float(center), "x_scale": float(scale), "fitted": cdf(w[0] + w[1] * z).tolist()}
 
 
+def link_predict(model: dict, x: list[float]) -> list[float]:
+    """Fitted probabilities at ``x``."""
+    t = (np.asarray(x, float) - model["x_center"]) / model["x_scale"] * model["slope"] + model["intercept"]
+    if model["link"] == "logistic":
+        return (1 / (1 + np.exp(-np.clip(t, -700, 700)))).tolist()
+    return [NormalDist().cdf(v) for v in t]
+
+
 def link_threshold(model: dict, probability: float) -> float:
     if model["slope"] <= 0:
         raise SetupError("a flat curve has no threshold")

@@ -299,6 +299,34 @@ def find_contacts(particles: DataFrame, domain: Domain, threshold: float, method
     return (cell_contacts if _method(method) == "cell_list" else theta_contacts)(particles, domain, threshold, policy)
 
 
+def nearest_images(pairs: DataFrame, particles: DataFrame, domain: Domain) -> DataFrame:
+    """``(realization_id, i, j, gap, sx, sy, sz)``: the nearest image of j for any ``pairs (realization_id, i, j)``, touching or not.
+
+    The image whose centre is nearest bounds the gap, so images whose centres are farther by more than both bodies' extents can't be nearer. Equal gaps
+    take the least steps.
+    """
+    base = boxed(particles, domain)
+    side = lambda s: _sided(base.withColumnRenamed("idx", "__idx"), s).withColumnRenamed(f"{s}___idx", s)
+    out = pairs.select("realization_id", "i", "j").join(side("i"), ["realization_id", "i"]).join(side("j"), ["realization_id", "j"])
+    reach = G.norm(tuple(F.col(f"i_e{a}") + F.col(f"j_e{a}") for a in G.AXES)) * 2
+    wide = F.lit(0.0)
+    for k, a in enumerate(G.AXES):
+        d = F.col(f"i_c{a}") - F.col(f"j_c{a}")
+        wide = F.hypot(wide, G.minimum_image(d, domain, k))
+    out = out.withColumn("__reach", wide + reach)
+    for k, a in enumerate(G.AXES):
+        if domain.periodic[k]:
+            size, d = F.lit(domain.size[k]), F.col(f"i_c{a}") - F.col(f"j_c{a}")
+            steps = F.sequence(F.ceil((d - F.col("__reach")) / size), F.floor((d + F.col("__reach")) / size))
+            out = out.withColumn(f"j_k{a}", F.explode(steps)).withColumn(f"j_c{a}", F.col(f"j_c{a}") + F.col(f"j_k{a}") * size)
+        else:
+            out = out.withColumn(f"j_k{a}", F.lit(0).cast("long"))
+    out = _solved(out.withColumn("gap", _native_gap()))
+    steps = [(F.col(f"j_k{a}") + F.col(f"j_b{a}") - F.col(f"i_b{a}")).alias(f"s{a}") for a in G.AXES]
+    best = out.select("realization_id", "i", "j", F.struct(F.round("gap", 12).alias("near"), *steps, "gap").alias("m")).groupBy("realization_id", "i", "j").agg(F.min("m").alias("m"))
+    return best.select("realization_id", "i", "j", "m.gap", "m.sx", "m.sy", "m.sz")
+
+
 # ---------------------------------------------------------------- faces
 
 

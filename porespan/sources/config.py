@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+import numpy as np
 import yaml
 
 from porespan.operators.transport import Law
 from porespan.plans.workflows import Model
-from porespan.policy import Domain, SetupError
+from porespan.policy import Domain, SetupError, axis_number
 from porespan.sources.particles import Population
 
 # The sections and their keys.
@@ -74,6 +75,51 @@ def _law(section: dict, name: str) -> Law:
     return Law(_number(s.get("conductance", 1.0), name), _number(s.get("cutoff", 0.0), name), _number(s["decay_length"], name) if kind == "tunnelling" else None)
 
 
+# The types of the sections' values. A list holds one type.
+TYPES = {
+    "percolation": {"threshold": "number", "axis": "axis", "mode": "text", "search": "text", "wrapped_parent": "flag"},
+    "simulation": {"trials": "count", "seed": "seed", "confidence": "share"},
+    "critical": {
+        "variable": "text", "min_count": "count", "max_count": "count", "grid": ["count"], "target": "share", "search_trials": "count", "certification_trials": "count", "confidence": "share", "strategy": "text", "seed": "seed",
+    },
+    "optimization": {"target": "share", "screening_trials": "count", "certification_trials": "count", "confidence": "share", "max_candidates": "count", "seed": "seed"},
+    "conductivity": {"axes": ["axis"], "trials": "count", "seed": "seed", "voltage": "number"},
+    "benchmark": {"counts": ["count"], "repeats": "count", "warmup": "count", "seed": "seed"},
+}
+
+
+def _typed(value, kind, name: str):
+    """``value`` as the kind says, or an error that names it."""
+    if isinstance(kind, list):
+        if not isinstance(value, list) or not value:
+            raise SetupError(f"{name} must be a list with entries")
+        return [_typed(v, kind[0], f"{name}[{k}]") for k, v in enumerate(value)]
+    if kind == "text" and isinstance(value, str):
+        return value
+    if kind == "flag" and isinstance(value, bool):
+        return value
+    if kind == "axis":
+        axis_number(value)
+        return value
+    if kind == "number":
+        return _number(value, name)
+    if kind == "share":
+        if not 0 < (share := _number(value, name)) < 1:
+            raise SetupError(f"{name} must lie between 0 and 1")
+        return share
+    if kind == "seed":
+        if value is None or (isinstance(value, int) and not isinstance(value, bool) and value >= 0):
+            return value
+        if isinstance(value, dict) and set(value) == {"entropy", "spawn_key"} and isinstance(value["spawn_key"], list):
+            parts = [value["entropy"], *value["spawn_key"]]
+            if all(isinstance(v, int) and not isinstance(v, bool) and v >= 0 for v in parts):
+                return np.random.SeedSequence(value["entropy"], spawn_key=tuple(value["spawn_key"]))
+        raise SetupError(f"{name} must be a non-negative integer, or a mapping of entropy and spawn_key")
+    if kind == "count" and isinstance(value, int) and not isinstance(value, bool) and value >= 0:
+        return value
+    raise SetupError(f"{name} must be a {kind}")
+
+
 @dataclass
 class Config:
     model: Model
@@ -92,15 +138,19 @@ class Config:
 
     def validate_for(self, operation: str | None) -> None:
         wrap = self.model.mode.replace("-", "_").lower() != "face_to_face"
-        axis = "xyz".find(str(self.model.axis).lower()) if isinstance(self.model.axis, str) else self.model.axis
-        if wrap and not self.model.domain.periodic[axis]:
+        if wrap and not self.model.domain.periodic[axis_number(self.model.axis)]:
             raise SetupError("winding needs a periodic axis")
         if operation == "conductivity" and (wrap or self.model.wrapped_parent):
             raise SetupError("conductivity is measured face to face")
         if operation == "optimize" and set(self.optimization.get("bounds", {})) != {p.name for p in self.populations}:
             raise SetupError("bounds must name every particle")
-        if operation == "critical" and "variable" in self.critical:
+        if operation == "critical":
+            if "variable" not in self.critical:
+                raise SetupError("critical.variable is missing")
             self.named(self.critical["variable"])
+            low, high = self.critical.get("min_count"), self.critical.get("max_count")
+            if not self.critical.get("grid") and (low is None or high is None or high < low):
+                raise SetupError("critical needs a grid, or min_count and max_count")
 
 
 def loads_config(text: str, operation: str | None = None) -> Config:
@@ -113,6 +163,11 @@ def loads_config(text: str, operation: str | None = None) -> Config:
         raise SetupError("schema_version must be 1")
     _finite(raw, "configuration")
     parts = {name: _known(raw.get(name) or {}, keys, name) for name, keys in SECTIONS.items()}
+    for section, kinds in TYPES.items():
+        parts[section] |= {k: _typed(v, kinds[k], f"{section}.{k}") for k, v in parts[section].items() if k in kinds}
+    for name, pair in (parts["optimization"].get("bounds") or {}).items():
+        if not isinstance(pair, list) or len(pair) != 2 or any(isinstance(v, bool) or not isinstance(v, int) for v in pair) or not 0 <= pair[0] <= pair[1]:
+            raise SetupError(f"optimization.bounds.{name} must be two counts, the lower one first")
     if "size" not in parts["domain"]:
         raise SetupError("domain.size is missing")
     domain = Domain(**{k: tuple(v) if isinstance(v, list) else v for k, v in parts["domain"].items()})

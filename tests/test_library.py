@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from porespan.functions import convex, stats
+from porespan.functions import geometry as G
 from porespan.operators import contacts as C
 from porespan.operators import percolation as P
 from porespan.operators import transport as T
@@ -165,6 +166,100 @@ def test_circuits():
         assert T.solve_network(n, a, b, g, 0, n - 1)["conductance"] == pytest.approx(lap[0] @ v, rel=1e-10)
 
 
+def test_networks_of_any_size(spark):
+    """Edges instead of a dense system, and tables instead of arrays: both against the dense solution."""
+    rng = np.random.default_rng(7)
+    side = 24  # a grid with random conductances over four orders
+    at = np.arange(side * side).reshape(side, side)
+    a, b = np.r_[at[:, :-1].ravel(), at[:-1].ravel()], np.r_[at[:, 1:].ravel(), at[1:].ravel()]
+    g = 10 ** rng.uniform(-2, 2, len(a))
+    lap = np.zeros((side * side, side * side))
+    for i, j, w in zip(a, b, g, strict=True):
+        lap[[i, j], [i, j]] += w
+        lap[[i, j], [j, i]] -= w
+    inner = np.arange(1, side * side - 1)
+    v = np.zeros(side * side)
+    v[0] = 1.0
+    v[inner] = np.linalg.solve(lap[np.ix_(inner, inner)], -lap[inner, 0])
+    found = T.solve_network(side * side, a, b, g, 0, side * side - 1)
+    assert found["conductance"] == pytest.approx(lap[0] @ v, rel=1e-9) and found["voltages"] == pytest.approx(v.tolist(), abs=1e-9)
+    bridge = spark.createDataFrame([(0, 1, 1.0), (0, 2, 1.0), (1, 2, 1.0), (1, 3, 1.0), (2, 3, 2.0), (1, 4, 1.0), (7, 8, 1.0)], "a long, b long, g double")
+    large = T.solve_large(bridge, 0, 3, 2.0)
+    small = T.solve_network(9, np.array([0, 0, 1, 1, 2, 1, 7]), np.array([1, 2, 2, 3, 3, 4, 8]), np.array([1.0, 1, 1, 1, 2, 1, 1]), 0, 3, 2.0)
+    assert large["conductance"] == pytest.approx(small["conductance"], rel=1e-9)
+    assert {r.node: r.v for r in large["voltages"].collect()} == pytest.approx({k: x for k, x in enumerate(small["voltages"]) if x is not None}, abs=1e-8)
+    assert T.solve_large(bridge, 0, 7)["conductance"] == 0
+
+
+def test_nearest_images_of_any_pair(spark):
+    d = Domain((10.0, 8.0, 9.0), (True, False, True))
+    p = generate(trial_keys(spark, 1), d, [Population(0.5, 12), Population(0.3, 4, 3.0)], 21).persist()
+    pairs = p.alias("a").join(p.alias("b"), F.expr("a.idx < b.idx")).select(F.lit(0).cast("long").alias("realization_id"), F.col("a.idx").alias("i"), F.col("b.idx").alias("j"))
+    found = {(r.i, r.j): r for r in C.nearest_images(pairs, p, d).collect()}
+    rows = p.orderBy("idx").collect()
+    assert len(found) == 16 * 15 // 2
+    for (i, j), r in found.items():
+        a, b = rows[i], rows[j]
+        if a.shape == b.shape == "sphere":
+            best = min(math.dist((a.cx, a.cy, a.cz), (b.cx + 10 * x, b.cy, b.cz + 9 * z)) - 1.0 for x in range(-2, 3) for z in range(-2, 3))
+            assert r.gap == pytest.approx(max(best, 0.0), abs=1e-9)
+    near = {(r.i, r.j): r.gap for r in C.cell_contacts(p, d, 1.5).groupBy("i", "j").agg(F.min("gap").alias("gap")).collect()}
+    assert near and all(found[k].gap == pytest.approx(g, abs=1e-7) for k, g in near.items())
+    p.unpersist()
+
+
+def test_segments_boxes_and_bases(spark):
+    rng = np.random.default_rng(5)
+    rows = [tuple(map(float, v)) for v in rng.uniform(-2, 2, (200, 15))] + [(0.0, 0, 0, 1, 0, 0, 0, 1, 0, 1, 1, 0, 5, 5, 5), (0.0, 0, 0, 0, 0, 0, 3, 4, 0, 3, 4, 0, 0, 0, 0)]
+    names = [f"{k}{a}" for k in "pqrsc" for a in "xyz"]
+    df = spark.createDataFrame([tuple(map(float, r)) for r in rows], ", ".join(f"{n} double" for n in names))
+    p, q, r, s, c = (tuple(F.col(f"{k}{a}") for a in "xyz") for k in "pqrsc")
+    half = (F.lit(0.7), F.lit(0.5), F.lit(0.9))
+    axis = G.unit(c)
+    basis = G.plane_basis(axis)
+    mid, u, length = G.from_endpoints(p, q)
+    back = G.endpoints(mid, u, length)
+    got = df.select(G.segment_segment(p, q, r, s).alias("d"), G.segment_meets_box(p, q, c, half).alias("meets"), G.dot(*basis).alias("o"), G.norm(basis[1]).alias("n"), G.norm(G.minus(back[1], q)).alias("back"), G.safe_product(F.lit(1e300), F.abs(p[0]) + 1, F.lit(1e-300)).alias("product")).collect()
+    t = np.linspace(0, 1, 400)
+    for x, row in zip(got, rows, strict=True):
+        a, b, e, f, c = (np.array(row[3 * k : 3 * k + 3]) for k in range(5))
+        one, two = a + t[:, None] * (b - a), e + t[:, None] * (f - e)
+        least = np.linalg.norm(one[:, None] - two[None], axis=2).min()
+        assert x.d <= least + 1e-12 and least - x.d < 0.02
+        if (np.abs(one - c) <= [0.7, 0.5, 0.9]).all(axis=1).any():
+            assert x.meets
+        elif (np.abs(one - c) <= [0.72, 0.52, 0.92]).all(axis=1).sum() == 0:
+            assert not x.meets
+        if any(c):
+            assert abs(x.o) < 1e-12 and abs(x.n - 1) < 1e-12
+        assert not any(a - b) or x.back < 1e-12
+        assert x.product == pytest.approx(abs(row[0]) + 1, rel=1e-12)
+    cells = spark.createDataFrame([(-0.5,), (9.999999999,), (10.0,), (1e18,), (-1e17,)], "x double").select(G.exact_cell_floor(F.col("x"), Domain(10.0, True, 5.0), 0).alias("c")).collect()
+    assert [int(r.c) for r in cells] == [-1, 0, 1, 10**17, -(10**16)]
+
+
+def test_results_as_json(tmp_path, spark):
+    from porespan.sources.results import dumps, plain, write_json
+
+    value = {"a": np.float64(0.5), "b": (1, None, True), 3: np.arange(2), "d": Population(1.0, 2, None), "t": spark.range(2)}
+    assert plain(value) == {"a": 0.5, "b": [1, None, True], "3": [0, 1], "d": {"radius": 1.0, "count": 2, "length": None, "cost_per_volume": 0.0, "name": None}, "t": [{"id": 0}, {"id": 1}]}
+    write_json(value, str(tmp_path / "r.json"))
+    assert (tmp_path / "r.json").read_text() == dumps(value)
+    for bad in (float("nan"), {"x": [math.inf]}, object(), {1: 0, "1": 0}):
+        with pytest.raises(SetupError):
+            dumps(bad)
+
+
+def test_isotonic_in_ranges(spark):
+    rng = np.random.default_rng(2)
+    y, w = rng.normal(size=300) + np.linspace(0, 2, 300), rng.uniform(0.5, 2, 300)
+    points = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(y, w, strict=True))], "x long, y double, w double")
+    fitted = [r.fitted for r in stats.isotonic(points, "x", "y", "w", 7).orderBy("x").collect()]
+    assert fitted == pytest.approx(stats.pava(y.tolist(), w.tolist()).tolist())
+    fit = stats.fit_link([1, 2, 3, 4, 5], [5, 20, 50, 80, 95], [100] * 5)
+    assert stats.link_predict(fit, [1, 2, 3, 4, 5]) == pytest.approx(fit["fitted"]) and stats.link_predict(fit, [stats.link_threshold(fit, 0.7)]) == pytest.approx([0.7])
+
+
 def test_conductivity(spark):
     chain = bodies(spark, [ball(i, x) for i, x in enumerate((-4, -2, 0, 2, 4))])
     assert T.conductivity(chain, Domain((10.0, 4.0, 6.0)), T.Law(2.0)).first().sigma == pytest.approx(2 / 6 * 10 / 24)
@@ -238,6 +333,12 @@ def test_config():
             loads_config(bad)
     with pytest.raises(SetupError):
         load_config("/nowhere/x.yaml")
+    assert loads_config(CONFIG.replace("seed: 3", "seed: {entropy: 3, spawn_key: [1]}")).simulation["seed"].spawn_key == (1,)
+    for old, new in (("axis: x", "axis: w"), ("trials: 10", "trials: ten"), ("trials: 10", "trials: -1"), ("seed: 3", "seed: 1.5"), ("mode: face_to_face", "mode: 3"), ("threshold: 0.2", "threshold: true")):
+        with pytest.raises(SetupError):
+            loads_config(CONFIG.replace(old, new))
+    with pytest.raises(SetupError):
+        loads_config(CONFIG, "critical")
 
 
 def test_entry_without_the_pipeline():
