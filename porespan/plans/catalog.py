@@ -5,9 +5,11 @@ The sample particles are spheres at 20 times the first three coordinates of each
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from porespan.functions import convex
 from porespan.functions import geometry as G
 from porespan.functions import stats
 from porespan.operators import contacts as C
@@ -113,20 +115,42 @@ S_COUNT = "with a as (select p_partkey, 0.35::double * 1000.0::double / (pi() *
 
 
 def q_cylinder_gaps(spark, sf_dir):
-    """Contacts of cylinders in general position; gaps come from the certified solver."""
-    return C.cell_contacts(_cylinders(spark, sf_dir), WIDE, 0.05).select("i", "j", _r(F.col("gap")).alias("gap"))
+    """A cylinder at each particle against one parallel to it and against a long one across, both by the certified solver; SQL has the closed forms."""
+    p = embedding_particles(spark, sf_dir).select("idx", "cx", "cy", "cz")
 
+    def run(batches):
+        for pdf in batches:
+            c, n = pdf[["cx", "cy", "cz"]].to_numpy(), len(pdf)
+            along = lambda k: np.tile(np.eye(3)[k], (n, 1))
+            same = lambda v: np.full(n, float(v))
+            parallel = convex.cylinder_gaps(c, along(2), same(2), same(0.3), np.tile([1.0, 1.0, 1.0], (n, 1)), along(2), same(3), same(0.5))
+            crossing = convex.cylinder_gaps(c, along(2), same(2), same(0.3), np.zeros((n, 3)), along(0), same(200), same(0.5))
+            yield pdf[["idx"]].assign(parallel=parallel, crossing=np.where(np.abs(pdf["cz"]) < 1.0, crossing, np.nan))
 
-def _cylinders(spark, sf_dir):
-    from porespan.sources.particles import checked
+    found = p.mapInPandas(run, "idx int, parallel double, crossing double")
+    return found.select("idx", _r(F.col("parallel"), 5).alias("parallel"), _r(F.when(~F.isnan("crossing"), F.col("crossing")), 5).alias("crossing"))
 
-    e = _table(spark, sf_dir, "embeddings")
-    at = lambda k: F.col("embedding")[k].cast("double")
-    return checked(
-        e.select(F.col("vec_id").cast("int").alias("idx"), F.lit("cylinder").alias("shape"), *[(at(k) * 20).alias(f"c{a}") for k, a in enumerate("xyz")], *[(at(3 + k)).alias(f"u{a}") for k, a in enumerate("xyz")], F.lit(1.0).alias("length"), F.lit(0.1).alias("radius"))
+
+S_CYLINDERS = "with " + PARTICLES + """ select idx, round(sqrt(greatest(abs(cz - 1) - 2.5, 0) ** 2 + greatest(sqrt((cx - 1) ** 2 + (cy - 1) ** 2) - 0.8, 0) ** 2), 5) as parallel,
+ case when abs(cz) < 1.0 then round(greatest(abs(cy) - 0.8, 0), 5) end as crossing from p"""
+
+
+def q_segment_gaps(spark, sf_dir):
+    """A segment upwards from each particle against one along x and a box: closed forms of axis-parallel ones."""
+    p, lit = embedding_particles(spark, sf_dir), lambda *v: tuple(F.lit(float(x)) for x in v)
+    at = tuple(F.col(f"c{a}") for a in "xyz")
+    top = G.moved(at, lit(0, 0, 2))
+    mid, _, length = G.from_endpoints(at, top)
+    return p.select(
+        "idx", _r(G.segment_segment(at, top, lit(-3, 0, 1), lit(3, 0, 1))).alias("gap"), G.segment_meets_box(at, top, lit(1, 1, 1), lit(2, 2, 1)).alias("meets"), _r(mid[2]).alias("middle"), _r(length).alias("length"),
+        _r(G.safe_product(F.lit(1e200), F.abs(at[0]) + 1, F.lit(1e-200))).alias("product"),
     )
 
 
+S_SEGMENTS = "with " + PARTICLES + """ select idx, round(sqrt(greatest(abs(cx) - 3, 0) ** 2 + cy ** 2 + (case when cz > 1 then cz - 1 when cz + 2 < 1 then -1 - cz else 0 end) ** 2), 6) as gap,
+ abs(cx - 1) <= 2 and abs(cy - 1) <= 2 and cz <= 2 and cz + 2 >= 0 as meets, round(cz + 1, 6) as middle, 2.0::double as length, round(abs(cx) + 1, 6) as product from p"""
+
+
 # ---------------------------------------------------------------- contacts
 
 
@@ -172,10 +196,11 @@ S_DEGREE = "with " + PERIODIC + " select idx, count(*) as degree, count(*) filte
 
 
 def q_periodic_distance(spark, sf_dir):
-    """The nearest image of each touching pair: the least gap, then the least steps."""
-    c = C.cell_contacts(embedding_particles(spark, sf_dir), BOX, THRESHOLD)
-    m = F.min(F.struct(_r(F.col("gap")).alias("gap"), "sx", "sy", "sz"))
-    return c.groupBy("i", "j").agg(m.alias("m"), F.count("*").alias("images")).select("i", "j", "m.gap", "m.sx", "m.sy", "m.sz", "images")
+    """The nearest image of each touching pair: the least gap, then the least steps; and how many images touch."""
+    p = embedding_particles(spark, sf_dir)
+    c = C.cell_contacts(p, BOX, THRESHOLD).groupBy("realization_id", "i", "j").agg(F.count("*").alias("images"))
+    near = C.nearest_images(c, p, BOX)
+    return near.join(c, ["realization_id", "i", "j"]).select("i", "j", _r(F.col("gap")).alias("gap"), "sx", "sy", "sz", "images")
 
 
 S_DISTANCE = "with " + PERIODIC + ", o as (select *, row_number() over (partition by i, j order by round(gap, 6), sx, sy, sz) as k, count(*) over (partition by i, j) as images from e) select i, j, round(gap, 6) as gap, sx, sy, sz, images from o where k = 1"
@@ -411,11 +436,11 @@ def q_nested_search(spark, sf_dir):
     rows = lines.withColumn("n", n).select(F.col("l_orderkey").alias("realization_id"), F.col("n").alias("n_nodes"), (F.col("l_linenumber") - 1).alias("x"), "n", (F.col("d") > 0.07).alias("hit"))
     sides = [rows.select("realization_id", "n_nodes", F.when(F.col("hit"), F.col("x")).alias("a"), F.when(F.col("hit"), F.col("n") + k).alias("b")) for k in (0, 1)]
     first = P.nested_first_counts(sides[0].unionByName(sides[1]), [1, 2, 4, 7])
-    return first.groupBy("first").agg(F.count("*").alias("orders"))
+    return first.groupBy(F.coalesce("first", F.lit(-1)).cast("long").alias("first")).agg(F.count("*").alias("orders"))
 
 
 S_NESTED = """with a as (select l_orderkey, min(case when l_discount > 0.07 then l_linenumber end) as k from lineitem group by 1)
-select case when k <= 1 then 0 when k <= 2 then 1 when k <= 4 then 2 when k <= 7 then 3 end::bigint as first, count(*) as orders from a group by 1"""
+select case when k <= 1 then 0 when k <= 2 then 1 when k <= 4 then 2 when k <= 7 then 3 else -1 end::bigint as first, count(*) as orders from a group by 1"""
 
 
 def q_mixture_candidates(spark, sf_dir):
@@ -478,7 +503,10 @@ def q_link_fits(spark, sf_dir):
 def q_validation(spark, sf_dir):
     from porespan.validate import checks
 
-    return spark.createDataFrame(checks(spark))
+    return spark.createDataFrame([(r["name"], r["passed"]) for r in checks(spark)], "name string, passed boolean")
+
+
+S_VALIDATION = "select unnest(['parallel cylinders', 'exact interval', 'isotonic', 'series circuit', 'chain', 'broken chain', 'winding', 'contact parity']) as name, true as passed"
 
 
 _SQL = {
@@ -486,9 +514,9 @@ _SQL = {
     q_contact_parity: S_PARITY, q_contact_degree: S_DEGREE, q_periodic_distance: S_DISTANCE, q_search_counters: S_COUNTERS, q_face_gaps: S_FACES, q_components: S_COMPONENTS, q_spanning_components: S_SPANNING,
     q_spanning_depth: S_DEPTH, q_logical_nodes: S_NODES, q_conductances: S_CONDUCTANCES, q_series_parallel: S_SERIES, q_series_networks: S_SERIES_NETWORKS, q_binomial_estimate: S_BINOMIAL, q_isotonic: S_ISOTONIC,
     q_mean_se: S_MEAN, q_quartiles: S_QUARTILES, q_nested_search: S_NESTED, q_mixture_candidates: S_MIXTURE, q_percolation: S_PERCOLATION, q_winding: S_WINDING, q_clopper_pearson: S_CLOPPER,
-    q_mc_probability: S_PROBABILITY, q_critical_loading: S_CRITICAL,
+    q_mc_probability: S_PROBABILITY, q_critical_loading: S_CRITICAL, q_cylinder_gaps: S_CYLINDERS, q_segment_gaps: S_SEGMENTS, q_validation: S_VALIDATION,
 }
-_ROWS_ONLY = (q_cylinder_gaps, q_directional_sigma, q_optimize_mixture, q_conductivity_mc, q_link_fits, q_validation)
+_ROWS_ONLY = (q_directional_sigma, q_optimize_mixture, q_conductivity_mc, q_link_fits)
 
 
 def _name(f) -> str:
