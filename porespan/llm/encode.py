@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct chunks that a task remembers, and texts' bytes that are encoded together.
-REMEMBERED, BATCH_BYTES = 150_000, 1 << 20
+REMEMBERED, BATCH_BYTES = 300_000, 2 << 20
 END = b"\xff"
 _SIMPLE = re.compile("[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
 _PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
