@@ -5,11 +5,11 @@ fragments, and every document's set into one segment per fragment.
 
 *Candidates.* Two sets of a size class differ in at most ``d`` n-grams if they link, so of ``d + 1 + e``
 fragments at least ``1 + e`` hold equal segments. For large sets fewer and longer segments do: hashes scatter the differing n-grams over the
-fragments, and with so many that ``SURE + e`` are expected to stay free of them, the chance that not one of ``SURE`` does is
-below e ** -SURE, or 5e-18, for any texts (less than that of equal 64-bit hashes). A document with at most ``e`` empty segments therefore
+fragments, and so many are cut that the chance that fewer than ``1 + e`` stay free of them is below e ** -SURE, or 5e-18, for any texts
+(the number that stay free counted as Poisson). A document with at most ``e`` empty segments therefore
 shares an equal, non-empty segment with each of its partners, and segment hashes find the pair. Where
 both documents have more empty segments than that, both also offer the prefix of their sets (the
-classical prefix filter), which must have an n-gram in common. No candidate of a link is missed, nothing
+classical prefix filter), which must have an n-gram in common. But for that chance no candidate of a link is missed, nothing
 is capped, and a passage that many documents share gives no long lists, since a segment also holds what
 surrounds it.
 
@@ -35,7 +35,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import ceil, exp, sqrt
+from math import ceil, exp, lgamma, log, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +53,7 @@ from porespan.session import discard, materialize
 BROADCAST_IDS = 1_000_000
 #: Sets in a block of a large bucket or cluster, n-grams in a block of a cluster, and rows of small buckets in a group.
 BLOCK, BLOCK_GRAMS, GROUP_ROWS = 256, 1 << 20, 4_000
-#: Fragments that are expected to be equal where fewer than d + 1 + e are cut.
+#: Fewer than d + 1 + e fragments miss a link with a chance below e ** -SURE.
 SURE = 40
 #: Parts of the global order whose overlaps are counted apart.
 FRAGMENTS = 4
@@ -80,12 +80,20 @@ class SizeClasses:
     den: int
 
     @staticmethod
-    def _enough(d: int, e: int) -> int:
-        """The least number of fragments of which ``SURE + e`` are expected to be free of ``d`` n-grams that hashes scatter."""
-        lo, hi = 1, 2 * d + 2 * (SURE + e)
+    def _expected(e: int) -> int:
+        """The least mean of a Poisson count that is at most ``e`` with a chance below e ** -SURE."""
+        mean = SURE + e
+        while sum(exp(i * log(mean) - mean - lgamma(i + 1)) for i in range(e + 1)) >= exp(-SURE):
+            mean += 1
+        return mean
+
+    def _enough(self, d: int, e: int) -> int:
+        """The least number of fragments of which enough are expected to be free of ``d`` n-grams that hashes scatter, so that ``1 + e`` are."""
+        mean = self._expected(e)
+        lo, hi = 1, 2 * d + 2 * mean
         while lo < hi:
             k = (lo + hi) // 2
-            lo, hi = (lo, k) if k * exp(-d / k) >= SURE + e else (k + 1, hi)
+            lo, hi = (lo, k) if k * exp(-d / k) >= mean else (k + 1, hi)
         return lo
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -291,10 +299,13 @@ def signature_table(docs: DataFrame, text_col: str, n: int, num: int, den: int,
 
 
 def _shared(signatures: DataFrame) -> DataFrame:
-    """``(sig, node)`` of the signatures that more than one node has (or salted ones)."""
+    """Distinct ``(sig, node)`` of the signatures that more than one node has (or salted ones).
+
+    A set that several tasks emit can be salted in one and not in another, so the salt goes before duplicates do.
+    """
     w = Window.partitionBy("sig", "salt")
     found = signatures.select("sig", "salt", "node", F.min("node").over(w).alias("leader"), F.max("node").over(w).alias("most"))
-    return found.where("salt > 0 or leader <> most").select("sig", "salt", "node").distinct().select("sig", "node")
+    return found.where("salt > 0 or leader <> most").select("sig", "node").distinct()
 
 
 # ---------------------------------------------------------------- pairs within a task
@@ -394,7 +405,7 @@ def candidate_lists(cell: pa.Table, num: int, den: int) -> pa.Table:
             here = _meets_here(carried, np.repeat(np.arange(len(sig)), lengths), int(sig[0]), left, right)
             left, right = left[here], right[here]
         a, b = own[left], own[right]
-        found.append(np.unique(np.minimum(a, b) * len(nodes) + np.maximum(a, b)))
+        found.append(np.unique((np.minimum(a, b) * len(nodes) + np.maximum(a, b))[a != b]))
     code = np.unique(np.concatenate(found))
     a, b = code // max(1, len(nodes)), code % max(1, len(nodes))
     root = _joined(a, b, len(nodes))
@@ -466,8 +477,12 @@ def summed_links(parts: pa.Table, facts: pa.Table, num: int, den: int) -> pa.Tab
 
 
 def _candidates(shared: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Written ``(node, root, others)``: all pairs that share a signature and may link."""
-    buckets = shared.groupBy("sig").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    """Written ``(node, root, others)``: all pairs that share a signature and may link.
+
+    Signatures are one bucket if the number and two sums of their members' hashes agree; sums, unlike parities, also tell rows that come twice.
+    """
+    total = lambda h: F.sum(F.shiftrightunsigned(h, 24).cast("decimal(18,0)"))
+    buckets = shared.groupBy("sig").agg(F.count("*").alias("m"), total(F.xxhash64("node")).alias("x"), total(F.xxhash64("node", F.lit(1))).alias("y"))
     buckets = buckets.where("m > 1").groupBy("m", "x", "y").agg(F.min("sig").alias("sig"))
     held = materialize(shared.join(buckets.select("sig", F.ceil(F.col("m") / BLOCK).alias("blocks")), "sig"), "held")
     facts = sets.where("node is not null").groupBy("node").agg(F.first("n_shingles").alias("n"), *[F.first(c).alias(c) for c in PARITIES])

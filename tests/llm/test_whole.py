@@ -41,6 +41,40 @@ def test_all_links(spark, monkeypatch, block):
     assert len(got) == len(set(got)) and set(got) == expected
 
 
+def test_links_under_any_partitioning(spark):
+    rng = random.Random(11)
+    word = lambda: "w%d" % rng.randrange(5000)
+    rows = []
+    for size in (1, 3, 40, 90):
+        base = [word() for _ in range(80)]
+        for _ in range(size):
+            copy = list(base)
+            copy[rng.randrange(80)] = word()
+            rows += [" ".join(copy)] * rng.randint(1, 6)
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    seen = []
+    for parts in (1, 2, 8, 64):
+        members, links = ngram_join.ngram_jaccard_join(docs.repartition(parts), n=4, threshold=(85, 100))
+        found = [(r.a, r.b) for r in links.collect()]
+        assert len(set(found)) == len(found) and all(a != b for a, b in found)
+        seen.append((sorted((r.doc_id, r.component_id, r.n_links) for r in members.collect()), sorted(map(sorted, found))))
+    assert all(s == seen[0] for s in seen)
+
+
+def test_signatures_of_doubled_rows_stay_apart(spark):
+    """A set that two tasks emit, once salted and once not, is one member of its signature."""
+    a, b, c, d = 11, 22, 33, 44
+    rows = [(1, 0, a), (1, 0, d), (1, 0, b), (1, 3, b), (2, 0, a), (2, 0, d), (2, 0, c), (2, 5, c), (3, 0, a), (3, 1, a), (4, 0, a)]
+    shared = ngram_join._shared(spark.createDataFrame(rows, "sig long, salt byte, node long"))
+    assert sorted(map(tuple, shared.where("sig < 3").collect())) == [(1, a), (1, b), (1, d), (2, a), (2, c), (2, d)]
+    facts = [(n, 10, *[0] * len(ngram_join.PARITIES)) for n in (a, b, c, d)]
+    sets = spark.createDataFrame(facts, "node long, n_shingles long, " + ", ".join(f"{p} long" for p in ngram_join.PARITIES))
+    lists = ngram_join._candidates(shared, sets, 85, 100).collect()
+    pairs = {(r.node, o) for r in lists for o in r.others}
+    assert pairs == {(a, b), (a, d), (b, d), (a, c), (c, d)}
+
+
 def test_kept_by_component(spark):
     rng = random.Random(4)
     text = lambda: " ".join("w%d" % rng.randrange(5000) for _ in range(60))
