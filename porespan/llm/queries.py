@@ -1,11 +1,11 @@
-"""The ten operators over whole tables, and SQL for those that SQL can express."""
+"""The operators over whole tables, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from porespan.llm import fingerprints, media, mixing, ngram_join, packing, secrets, token_counts, toxicity, url_filter, warc
+from porespan.llm import embedding_dedup, fim, fingerprints, media, mixing, ngram_join, packing, resampling, secrets, token_counts, toxicity, url_filter, warc
 from porespan.session import materialize, scratch_path
 
 RULES = [
@@ -99,6 +99,22 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(_table(spark, sf_dir, "documents"), forest)
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.importance_resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = fim.fill_in_middle(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    sha = lambda x: F.sha2(x.cast("binary"), 256)
+    return held.select(
+        "doc_id", "fim.n", "fim.form", "fim.prefix_chars", "fim.middle_chars", sha(F.col("fim.output")).alias("output_sha256"), sha(fim.restored(F.col("fim.output"), F.col("fim.form"))).alias("restored_sha256")
+    )
+
+
 # ---------------------------------------------------------------- stages of the pipeline
 
 
@@ -172,9 +188,58 @@ from r
 """
 
 
+OP11_SQL = """
+with v as (select vec_id, label, embedding::double[] as e from embeddings
+           where label is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as materialized (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and len(a.e) = len(b.e) and a.vec_id <> b.vec_id
+          where list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.93),
+reach as (with recursive r(a, b) as (select a, b from links union select r.a, l.b from r join links l on r.b = l.a) select a, min(b) as least from r group by a),
+degree as (select a, count(*) as n from links group by a)
+select vec_id, coalesce(n, 0)::bigint as n_links, least(vec_id, coalesce(least, vec_id)) as component_id, vec_id = least(vec_id, coalesce(least, vec_id)) as kept
+from embeddings e left join degree d on e.vec_id = d.a left join reach r on e.vec_id = r.a
+"""
+
+#: CRC-32 by its definition: a byte at a time, a bit at a time.
+OP12_SQL = """
+with bits as (select list_transform(range(256), lambda b: list_reduce(list_concat([b], range(8)), lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t),
+texts as (select 0 as side, doc_id as id, text from documents union all select 1, item_id, text from benchmark),
+words as (select side, id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as w from texts),
+counted as (select side, id, w, count(*) as k from words group by all),
+known as (select distinct w, hex(encode(w)) as x from counted),
+buckets as (select w, xor(list_reduce(list_concat([4294967295], list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, (2 * i + 1)::int, 2))::bigint)),
+                   lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 10000 as bucket from known, bits),
+placed as (select side, id, bucket, sum(k)::bigint as k from counted join buckets using (w) group by all),
+totals as (select coalesce(sum(k) filter (side = 0), 0)::double as s, coalesce(sum(k) filter (side = 1), 0)::double as t from placed),
+gains as (select bucket, floor(1000.0 * ln(((tk + 1)::double * (s + 10000)) / ((sk + 1)::double * (t + 10000))))::bigint as gain
+          from (select bucket, coalesce(sum(k) filter (side = 0), 0) as sk, coalesce(sum(k) filter (side = 1), 0) as tk from placed group by bucket), totals),
+weights as (select id, sum(k)::bigint as n, sum(k * gain)::bigint as total from placed join gains using (bucket) where side = 0 group by id),
+scored as (select doc_id, coalesce(n, 0)::bigint as n_features, case when n > 0 then (total - ((total % n) + n) % n) // n else 0 end::bigint as weight,
+                  floor(-1000.0 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::bigint::double + 0.5) / 4294967296.0)))::bigint as noise
+           from documents left join weights on doc_id = id),
+held as (select doc_id, n_features, weight, weight + noise as score from scored),
+drawn as (select doc_id, row_number() over (order by score desc, doc_id) as rank, count(*) over () as n from held where n_features >= 20)
+select h.doc_id, n_features, weight, score, case when rank <= 10 * n // 100 then rank end::bigint as rank from held h left join drawn d on h.doc_id = d.doc_id
+"""
+
+OP13_SQL = """
+with a as (select doc_id, coalesce(text, '') as x, length(coalesce(text, ''))::bigint as n, sha256('1:' || doc_id) as d from documents),
+b as (select *, ('0x' || substr(d, 1, 8))::bigint % (n + 1) as p, ('0x' || substr(d, 9, 8))::bigint % (n + 1) as q, ('0x' || substr(d, 17, 8))::bigint as h3, ('0x' || substr(d, 25, 8))::bigint as h4 from a),
+c as (select *, least(p, q) as lo, greatest(p, q) as hi,
+             case when n = 0 or contains(x, '<P>') or contains(x, '<S>') or contains(x, '<M>') or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end as form from b),
+e as (select *, substr(x, 1, lo) as pre, substr(x, lo + 1, hi - lo) as mid, substr(x, hi + 1) as suf from c)
+select doc_id, n, form, case when form <> 'plain' then lo end as prefix_chars, case when form <> 'plain' then hi - lo end as middle_chars,
+       sha256(case form when 'plain' then x when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256, sha256(x) as restored_sha256
+from e
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_filters, op2_warc, op3_ngram_join, op4_fingerprints, op5_toxicity, op6_packing, op7_token_counts, op8_media_columns, op9_mixing, op10_secret_scans)}
+    found = (
+        op1_url_filters, op2_warc, op3_ngram_join, op4_fingerprints, op5_toxicity, op6_packing, op7_token_counts, op8_media_columns, op9_mixing, op10_secret_scans,
+        op11_embedding_dedup, op12_resampling, op13_fim,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": OP1_SQL, "op2_warc": OP2_SQL, "op9_mixing": OP9_SQL}
+    return {"op1_url_filters": OP1_SQL, "op2_warc": OP2_SQL, "op9_mixing": OP9_SQL, "op11_embedding_dedup": OP11_SQL, "op12_resampling": OP12_SQL, "op13_fim": OP13_SQL}
