@@ -75,19 +75,17 @@ def scan_chunks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, dfa: Aut
     state = np.broadcast_to(np.arange(s), (n, s)).copy()
     units, hits = np.zeros((n, s), np.int64), np.zeros((n, s), np.int64)
     order = np.argsort(starts - ends, kind="stable")  # longest first, so that those still running are a prefix
-    length = (ends - starts)[order]
-    at, state, flat = starts[order], state[order], dfa.step.ravel().astype(np.int64)
-    unit, hit = dfa.units.ravel(), dfa.hits.ravel()
-    u, h = units, hits
+    length, at = (ends - starts)[order], starts[order]
+    step, unit, hit = dfa.step.ravel().astype(np.int64), dfa.units.ravel(), dfa.hits.ravel()
     for k in range(int(length[0]) if n else 0):
         m = int(np.searchsorted(-length, -k, "left"))
         code = state[:m] * 256 + data[at[:m] + k][:, None]
-        u[:m] += unit[code]
-        h[:m] += hit[code]
-        state[:m] = flat[code]
+        units[:m] += unit[code]
+        hits[:m] += hit[code]
+        state[:m] = step[code]
     back = np.empty(n, np.int64)
     back[order] = np.arange(n)
-    return state[back], u[back], h[back]
+    return state[back], units[back], hits[back]
 
 
 def compose(first: tuple[np.ndarray, ...], then: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
@@ -99,7 +97,7 @@ def compose(first: tuple[np.ndarray, ...], then: tuple[np.ndarray, ...]) -> tupl
 def reduced(functions: tuple[np.ndarray, ...], of: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
     """The functions of n texts from those of their chunks, in order (``of`` ascends), by composing neighbours in rounds; a text without chunks has the identity."""
     end, units, hits = functions
-    s = end.shape[1] if len(end) else 1
+    s = end.shape[1]
     while True:
         starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.zeros(0, np.int64)
         rank = np.arange(len(of)) - np.repeat(starts, np.diff(np.r_[starts, len(of)]))
@@ -188,7 +186,7 @@ def _scan_udf(dfa: Automaton, portion: int):
             own = offsets[first : last + 1]
             starts, ends, of = _pieces(own)
             for held, x in zip(parts, reduced(scan_chunks(data, starts, ends, dfa), of, last - first), strict=True):
-                held.append(x.reshape(-1) if x.shape[1] == dfa.states else np.broadcast_to(np.arange(dfa.states) if held is parts[0] else 0, (last - first, dfa.states)).reshape(-1))
+                held.append(x.reshape(-1))
         cuts = pa.array(np.arange(len(body) + 1) * dfa.states, pa.int32())
         lists = [pa.ListArray.from_arrays(cuts, pa.array(np.concatenate(p) if p else np.zeros(0, np.int64))) for p in parts]
         return pa.StructArray.from_arrays(lists, fields=list(kind))
