@@ -1,15 +1,16 @@
 """Contacts of particles under independently periodic axes.
 
-``cell_contacts`` deals bounding boxes into grids of cells and joins on the cells' keys; a pair is kept only in
-the cell where both low keys' maxima meet, so no pass removes duplicates. Bodies fall into size classes by powers of two. Each class has
-a grid of its own width, and two bodies meet in the grid of the larger one, so a few large bodies don't widen the cells
-of small ones. Along periodic axes a grid has a whole number of cells and keys wrap around: the turns of both keys say which
-image meets, and no image is made. Bodies much smaller than a class meet its bodies in a finer grid. ``theta_contacts`` compares all pairs and serves as the check.
+``cell_contacts`` deals padded bounding boxes into the cells of a k-d partition and joins on the cells; a pair is kept only in
+the cell that holds the low corner of what both boxes share, so no pass removes duplicates. The partition is fitted to a bounded sample of
+boxes: cells are split until they hold a bounded number of bodies, wherever these are dense and whatever their sizes, unless the bodies in them
+touch each other anyway. Along periodic axes a body is dealt once for each image that reaches into the base cell, and the turns of
+both say which images meet. ``theta_contacts`` compares all pairs and serves as the check.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -68,9 +69,11 @@ def _vec(side: str, kind: str) -> G.Vector:
     return tuple(F.col(f"{side}_{kind}{a}") for a in G.AXES)
 
 
-def _native_gap() -> Column:
-    """Gaps with closed forms; null for pairs of cylinders that aren't parallel."""
+def _native_gap(cylinders: bool = True) -> Column:
+    """Gaps with closed forms; null for pairs of cylinders that aren't parallel. Where there are no ``cylinders`` the plan needn't hold their formulas."""
     i, j, col = _vec("i", "c"), _vec("j", "c"), F.col
+    if not cylinders:
+        return G.sphere_sphere(i, col("i_radius"), j, col("j_radius"))
     both = (col("i_shape") == "sphere").cast("int") + (col("j_shape") == "sphere").cast("int")
     cyl = lambda s: (_vec(s, "c"), _vec(s, "u"), col(f"{s}_length"), col(f"{s}_radius"))
     parallel = F.abs(G.dot(_vec("i", "u"), _vec("j", "u"))) == 1.0
@@ -105,7 +108,7 @@ def _close(threshold: float, policy: Policy) -> Column:
 
 
 def _contacts(pairs: DataFrame, threshold: float, policy: Policy, cylinders: bool) -> DataFrame:
-    pairs = pairs.withColumn("gap", _native_gap())
+    pairs = pairs.withColumn("gap", _native_gap(cylinders))
     if cylinders:
         pairs = _solved(pairs)
     pairs = pairs.where(_close(threshold, policy))
@@ -123,24 +126,24 @@ def _bounds(base: DataFrame) -> tuple[list[float], list[float], float, bool]:
     return list(row[:3]), list(row[3:6]), row[6], bool(row[7])
 
 
-#: Classes between bodies from which on they meet in a fine grid.
-FINE = 4
+#: Rows of a realization that a cell is to hold, bodies that cells are fitted on, and the most cells.
+CELL_ROWS, SAMPLE, MAX_CELLS = 128, 20_000, 1 << 20
 #: What the two sides of the cell join hold beside the keys.
-CELL_KEYS = ("realization_id", "level", "kx", "ky", "kz")
+CELL_KEYS = ("realization_id", "cell")
 BODY = "idx int, shape string, cx double, cy double, cz double, ux double, uy double, uz double, length double, radius double, parent_id string"
-STEPS = ", ".join([f"b{a} long" for a in "xyz"] + [f"e{a} double" for a in "xyz"] + [f"{x}{a} long" for x in ("low", "at", "turn") for a in "xyz"])
+STEPS = ", ".join([f"b{a} long" for a in "xyz"] + [f"e{a} double" for a in "xyz"] + [f"turn{a} long" for a in "xyz"] + [f"low{a} double" for a in "xyz"])
+ENDS = ", ".join(f"{x}{a} double" for x in ("from", "to") for a in "xyz")
 
 
-def _cells_of(body: dict[str, np.ndarray], domain: Domain, pad: float, levels: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """(row of the body, columns) for each cell that a body's box meets, in the grids of its own size class and of greater ones.
+def _boxes(body: dict[str, np.ndarray], domain: Domain, pad: float) -> tuple[np.ndarray, dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """(row, columns, low, high): the padded box of each body, once for each image of it that reaches into the base cell.
 
-    ``level`` is the grid, twice the class, and one more for the fine grid in which bodies of the class meet those ``FINE`` or more classes below;
-    ``k`` the wrapped key; ``low`` the first key of the box and ``turn`` how often the key went around.
+    A corner outside the base cell is infinite, so a point's place within the base cell doesn't depend on the image that shows it.
     """
     sphere = body["shape"] == "sphere"
     u = np.stack([np.where(sphere, 0.0, body[f"u{a}"]) for a in G.AXES])
     half = np.where(sphere, 0.0, body["length"]) / 2
-    out, extent = {}, []
+    out, low, high, first, many = {}, [], [], [], []
     for k, a in enumerate(G.AXES):
         c, b = body[f"c{a}"], np.zeros(len(sphere), np.int64)
         if domain.periodic[k]:
@@ -150,92 +153,176 @@ def _cells_of(body: dict[str, np.ndarray], domain: Domain, pad: float, levels: n
             b = -q.astype(np.int64)
             moved = c + b * domain.size[k]
             c = np.where((moved < domain.lower[k]) | (moved >= domain.upper[k]), domain.lower[k], moved)
-        out |= {f"c{a}": c, f"b{a}": b}
         other = [m for m in range(3) if m != k]
-        extent.append(np.where(sphere, body["radius"], half * np.abs(u[k]) + body["radius"] * np.hypot(u[other[0]], u[other[1]])))
-    # the least class at hand that holds the body, whatever the last digit of its logarithm
-    own = levels[np.minimum(np.searchsorted(np.exp2(levels.astype(float)), np.max(extent, axis=0)), len(levels) - 1)]
-    above = levels[None, :] - own[:, None]
-    has_small = levels - FINE >= levels.min()
-    uses = np.stack([(above >= 0) & (above < FINE), (above >= FINE) | ((above == 0) & has_small[None, :])], axis=2)
-    row, grid, fine = np.nonzero(uses)
-    level = levels[grid]
-    width = np.where(fine == 1, 0.25, 4.0) * np.exp2(level.astype(float)) + 4 * pad
-    low, span, cells = [], [], []
-    for k, a in enumerate(G.AXES):
-        n = np.maximum(1.0, np.floor(domain.size[k] / width))
-        step = domain.size[k] / n if domain.periodic[k] else width
-        first, last = (np.floor((out[f"c{a}"][row] + sign * (extent[k][row] + pad) - domain.lower[k]) / step) for sign in (-1, 1))
-        low.append(first.astype(np.int64))
-        span.append(last - first + 1)
-        cells.append(n.astype(np.int64))
-    if len(row) and (span[0] * span[1] * span[2]).max() > MAX_IMAGES:
+        extent = np.where(sphere, body["radius"], half * np.abs(u[k]) + body["radius"] * np.hypot(u[other[0]], u[other[1]]))
+        out |= {f"c{a}": c, f"b{a}": b, f"e{a}": extent}
+        ends = []
+        for sign in (-1, 1):
+            x = c + sign * (extent + pad)
+            turn = np.zeros(len(x), np.int64)
+            if domain.periodic[k]:
+                turn = np.floor((x - domain.lower[k]) / domain.size[k])
+                x = np.clip(x - turn * domain.size[k], domain.lower[k], np.nextafter(domain.upper[k], -np.inf))
+                turn = turn.astype(np.int64)
+            ends.append((turn, x))
+        low.append(ends[0])
+        high.append(ends[1])
+        first.append(ends[0][0])
+        many.append(ends[1][0] - ends[0][0] + 1)
+    images = np.prod(np.stack(many).astype(float), axis=0)
+    if len(images) and images.max() > MAX_IMAGES:
         raise SetupError("a body meets too many lattice images")
-    span = [x.astype(np.int64) for x in span]
-    many = span[0] * span[1] * span[2]
-    at = np.repeat(np.arange(len(row)), many)
-    left = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
-    found = {"level": (2 * level + fine)[at].astype(np.int32), "own": (own[row] == level)[at]}
+    images = images.astype(np.int64)
+    row = np.repeat(np.arange(len(images)), images)
+    left = np.arange(len(row)) - np.repeat(np.cumsum(images) - images, images)
+    lows, highs = np.empty((len(row), 3)), np.empty((len(row), 3))
+    found = {k: v[row] for k, v in out.items()}
     for k, a in reversed(list(enumerate(G.AXES))):
-        key = low[k][at] + left % span[k][at]
-        left //= span[k][at]
-        n = cells[k][at]
-        turn = np.floor_divide(key, n) if domain.periodic[k] else np.zeros(len(key), np.int64)
-        found |= {f"k{a}": key - turn * n if domain.periodic[k] else key, f"low{a}": low[k][at], f"at{a}": key, f"turn{a}": turn}
-    row = row[at]
-    return row, found | {k: v[row] for k, v in out.items()} | {f"e{a}": extent[k][row] for k, a in enumerate(G.AXES)}
-
-
-def _dealt(particles: DataFrame, side: str, domain: Domain, pad: float, levels: list[int]) -> DataFrame:
-    """One side of the join by cells: ``CELL_KEYS``, ``own`` and the body's columns."""
+        turn = first[k][row] + left % many[k][row]
+        left //= many[k][row]
+        lows[:, k] = np.where(turn == low[k][0][row], low[k][1][row], -np.inf)
+        highs[:, k] = np.where(turn == high[k][0][row], high[k][1][row], np.inf)
+        found |= {f"turn{a}": turn, f"low{a}": lows[:, k]}
+    return row, found, lows, highs
+
+
+@dataclass(frozen=True)
+class Cells:
+    """A k-d partition of space: ``axis`` is -1 at cells; boxes go to the children whose side of ``at`` they reach."""
+
+    axis: np.ndarray
+    at: np.ndarray
+    child: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+    def of(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(box, cell) for all cells that boxes reach into."""
+        row, node = np.arange(len(low)), np.zeros(len(low), np.int64)
+        rows, cells = [], []
+        while len(row):
+            axis = self.axis[node]
+            leaf = axis < 0
+            rows.append(row[leaf])
+            cells.append(node[leaf])
+            row, node, axis = row[~leaf], node[~leaf], axis[~leaf]
+            below, above = low[row, axis] < self.at[node], high[row, axis] >= self.at[node]
+            row, node = np.r_[row[below], row[above]], np.r_[self.child[node[below]], self.child[node[above]] + 1]
+        return np.concatenate(rows) if rows else row, np.concatenate(cells) if cells else node
+
+
+def fit_cells(low: np.ndarray, high: np.ndarray, domain: Domain, rows: float, limit: int, most: int = MAX_CELLS) -> Cells:
+    """Cells that hold about ``limit`` of ``rows`` bodies, from a sample of their boxes.
+
+    A cell is halved at the median of its boxes along the axis where fewest lie on both sides, unless that hardly parts them: they touch each other then. Where the
+    sample is too thin to tell, cells are halved in the middle, down to twice the size of the boxes in them.
+    """
+    start = [np.array([e[k] if p else v for k, p in enumerate(domain.periodic)]) for e, v in ((domain.lower, -np.inf), (domain.upper, np.inf))]
+    axis, at, child, bounds = [-1], [0.0], [0], [tuple(start)]
+    inner = [np.minimum.reduce(np.where(np.isfinite(low), low, np.inf), initial=np.inf), np.maximum.reduce(np.where(np.isfinite(high), high, -np.inf), initial=-np.inf)]
+    inner = np.where(np.isfinite(start[0]), start[0], inner[0]), np.where(np.isfinite(start[1]), start[1], inner[1])
+    wide = np.where(np.isfinite(high - low), high - low, np.nan)
+    share = rows / max(len(low), 1)
+    todo = [(0, np.arange(len(low)), share, *inner)]  # node, sample, rows for each of the sample, finite bounds
+    while todo and len(axis) < most:
+        node, own, weight, lo, hi = todo.pop()
+        if len(own) * weight <= limit or not len(own):
+            continue
+        best = None
+        for k in range(3):
+            a, b = np.maximum(low[own, k], lo[k]), np.minimum(high[own, k], hi[k])
+            thin = len(own) < 8
+            cut = (lo[k] + hi[k]) / 2 if thin else float(np.median((a + b) / 2))
+            if not lo[k] < cut < hi[k]:
+                continue
+            size = float(np.nanmean(wide[own, k])) if np.isfinite(wide[own, k]).any() else np.inf
+            if thin and size > (hi[k] - lo[k]) / 4:
+                continue
+            left, right = low[own, k] < cut, high[own, k] >= cut
+            cost = 1 + 2 * size / (hi[k] - lo[k]) if thin else (left.sum() + right.sum()) / len(own)
+            if best is None or cost < best[0]:
+                best = cost, k, cut, left, right, thin
+        if best is None or best[0] > 1.8 or (not best[5] and max(best[3].sum(), best[4].sum()) > 0.9 * len(own)):
+            continue
+        cost, k, cut, left, right, thin = best
+        axis[node], at[node], child[node] = k, cut, len(axis)
+        low_, high_ = bounds[node]
+        for side, own_ in enumerate((left, right)):
+            x, y, u, v = low_.copy(), high_.copy(), lo.copy(), hi.copy()
+            (y if side == 0 else x)[k] = cut
+            (v if side == 0 else u)[k] = cut
+            axis.append(-1)
+            at.append(0.0)
+            child.append(0)
+            bounds.append((x, y))
+            todo.insert(0, (len(axis) - 1, own, weight * cost / 2, u, v)) if thin else todo.insert(0, (len(axis) - 1, own[own_], weight, u, v))
+    return Cells(np.array(axis), np.array(at), np.array(child), np.stack([b[0] for b in bounds]), np.stack([b[1] for b in bounds]))
+
+
+def _numbers(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+    return {n: batch[n].to_numpy(zero_copy_only=False) for n in ("shape", "cx", "cy", "cz", "ux", "uy", "uz", "length", "radius")}
+
+
+def _dealt(particles: DataFrame, side: str, domain: Domain, pad: float, cells: Cells) -> DataFrame:
+    """One side of the join by cells: ``CELL_KEYS`` and the body's columns, on the left with the cell's bounds."""
     kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
-    typed = [("realization_id", "long"), ("level", "int"), *((f"k{a}", "long") for a in G.AXES), ("own", "boolean"), *(x.split() for x in f"{BODY}, {STEPS}".split(", "))]
+    typed = [("realization_id", "long"), ("cell", "int"), *(x.split() for x in f"{BODY}, {STEPS}{', ' + ENDS if side == 'i' else ''}".split(", "))]
     schema = ", ".join(f"{n if n in CELL_KEYS else f'{side}_{n}'} {t}" for n, t in typed)
-    grids = np.array(levels, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, len(batch), 4096):
-                part = batch.slice(lo, 4096)
-                numbers = {n: part[n].to_numpy(zero_copy_only=False) for n in ("cx", "cy", "cz", "ux", "uy", "uz", "length", "radius")}
-                row, found = _cells_of(numbers | {"shape": part["shape"].to_numpy(zero_copy_only=False)}, domain, pad, grids)
-                at = pa.array(row)
-                columns = [pa.array(found[n], kinds[t]) if n in found else part[n].take(at) for n, t in typed]
+            for start in range(0, len(batch), 4096):
+                part = batch.slice(start, 4096)
+                row, found, low, high = _boxes(_numbers(part), domain, pad)
+                box, cell = cells.of(low, high)
+                found = {k: v[box] for k, v in found.items()} | {"cell": cell}
+                if side == "i":
+                    found |= {f"{x}{a}": ends[cell, k] for x, ends in (("from", cells.low), ("to", cells.high)) for k, a in enumerate(G.AXES)}
+                at = pa.array(row[box])
+                columns = [pa.array(found[n]).cast(kinds[t]) if n in found else part[n].take(at) for n, t in typed]
                 yield pa.RecordBatch.from_arrays(columns, [n if n in CELL_KEYS else f"{side}_{n}" for n, _ in typed])
 
     return particles.select("realization_id", *[x.split()[0] for x in BODY.split(", ")]).mapInArrow(run, schema)
 
 
-def _summary(particles: DataFrame) -> tuple[float, list[int], bool]:
-    """(greatest extent, size classes, whether there are cylinders)."""
+def _summary(particles: DataFrame) -> tuple[float, int, int, bool]:
+    """(greatest extent, bodies, bodies of the largest realization, whether there are cylinders)."""
     sphere, u = F.col("shape") == "sphere", tuple(F.col(f"u{a}") for a in G.AXES)
     top = F.greatest(*(G.extent(sphere, u, F.col("length"), F.col("radius"), k) for k in range(3)))
-    some = particles.select(top.alias("e"), (~sphere).alias("c"))
-    row = some.agg(F.max("e"), F.collect_set(F.ceil(F.log2("e"))), F.max("c")).first()
-    if row[0] is None:
-        return 1.0, [0], False
-    return row[0], sorted(int(v) for v in row[1]), bool(row[2])
+    some = particles.groupBy("realization_id").agg(F.max(top).alias("e"), F.count("*").alias("n"), F.max(~sphere).alias("c"))
+    row = some.agg(F.max("e"), F.sum("n"), F.max("n"), F.max("c")).first()
+    return (1.0, 0, 0, False) if row[0] is None else (row[0], row[1], row[2], bool(row[3]))
+
+
+def _fitted(particles: DataFrame, domain: Domain, pad: float, total: int, largest: int) -> Cells:
+    """Cells for the largest realization, from the boxes of at most about ``SAMPLE`` bodies of all."""
+    none = np.zeros((0, 3))
+    if largest <= CELL_ROWS:
+        return fit_cells(none, none, domain, largest, CELL_ROWS)
+    some = particles.select("shape", "cx", "cy", "cz", "ux", "uy", "uz", "length", "radius", F.xxhash64("realization_id", "idx").alias("h"))
+    if total > SAMPLE:
+        some = some.where(F.pmod("h", F.lit(-(-total // SAMPLE))) == 0)
+    held = some.drop("h").toArrow().combine_chunks()
+    if not len(held):
+        return fit_cells(none, none, domain, largest, CELL_ROWS)
+    row, _, low, high = _boxes(_numbers(held.to_batches()[0]), domain, pad)
+    return fit_cells(low, high, domain, largest * len(row) / len(held), CELL_ROWS)
 
 
 def met_pairs(particles: DataFrame, domain: Domain, threshold: float, policy: Policy = POLICY) -> tuple[DataFrame, float, bool]:
     """(pairs of bodies that meet in a cell, each image once; the boxes' padding; whether there are cylinders)."""
-    reach, levels, cylinders = _summary(particles)
+    reach, total, largest, cylinders = _summary(particles)
     pad = (threshold + policy.tolerance(max(reach, threshold))) / 2
-    left, right = _dealt(particles, "i", domain, pad, levels), _dealt(particles, "j", domain, pad, levels)
-    keys = list(CELL_KEYS)
-    if len(levels) > 1:
-        # one of both is of the grid's class, in a fine grid just one: the left side names the class that it looks for on the right
-        both = F.when(F.pmod(F.col("level"), F.lit(2)) == 0, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))
-        left = left.withColumn("wanted", F.explode(F.when(F.col("i_own"), both).otherwise(F.array(F.lit(True)))))
-        right = right.withColumn("wanted", F.col("j_own"))
-        keys = [*keys, "wanted"]
+    cells = _fitted(particles, domain, pad, total, largest)
+    left, right = _dealt(particles, "i", domain, pad, cells), _dealt(particles, "j", domain, pad, cells)
     once, moved = F.col("i_idx") < F.col("j_idx"), {}
     for k, a in enumerate(G.AXES):
-        low = F.col(f"j_low{a}") + F.col(f"i_at{a}") - F.col(f"j_at{a}") if domain.periodic[k] else F.col(f"j_low{a}")
-        once = once & (F.col(f"i_at{a}") == F.greatest(F.col(f"i_low{a}"), low))
+        # the low corner of what both boxes share lies in one cell; it is -inf if another image of the pair shows it
+        corner = F.greatest(f"i_low{a}", f"j_low{a}")
+        once = once & (corner >= F.col(f"i_from{a}")) & (corner < F.col(f"i_to{a}"))
         turns = F.col(f"i_turn{a}") - F.col(f"j_turn{a}")
         moved |= {f"j_k{a}": turns, f"j_c{a}": F.col(f"j_c{a}") + turns * F.lit(domain.size[k])} if domain.periodic[k] else {f"j_k{a}": turns}
-    pairs = left.join(right, keys).where(once & _different_parents())
+    pairs = left.join(right, list(CELL_KEYS)).where(once & _different_parents())
     return pairs.withColumns(moved), pad, cylinders
 
 
@@ -263,7 +350,7 @@ def search_counters(particles: DataFrame, domain: Domain, threshold: float, meth
     else:
         pairs, cylinders = _all_pairs(particles, domain, threshold, policy)
         pairs, taken = pairs.withColumn("touch", _boxes_touch((threshold + policy.absolute) / 2)), F.lit(True)
-    found = pairs.where("touch").withColumn("gap", _native_gap())
+    found = pairs.where("touch").withColumn("gap", _native_gap(cylinders))
     found = _solved(found) if cylinders else found
     count = lambda df, name, what=F.lit(True): df.groupBy("realization_id").agg(F.count_if(what).alias(name))
     out = particles.select("realization_id").distinct()
