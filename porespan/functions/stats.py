@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from porespan.policy import SetupError
 from porespan.session import materialize
@@ -118,41 +121,128 @@ def pava(value: list[float], weight: list[float] | None = None) -> np.ndarray:
     return np.repeat([s / w for s, w, _ in blocks], [int(n) for *_, n in blocks])
 
 
-def isotonic(points: DataFrame, order: str, value: str, weight: str, parts: int = 64) -> DataFrame:
-    """``points`` (one for each value of ``order``) with ``fitted``: ranges are pooled first, and the pools that are left are pooled once more.
+def _lower_hull(x: list[float], y: list[float]) -> list[int]:
+    """Indices of the vertices of the greatest convex function below points of ascending x."""
+    kept: list[int] = []
+    for i in range(len(x)):
+        while len(kept) > 1:
+            a, b = kept[-2], kept[-1]
+            if (y[b] - y[a]) * (x[i] - x[b]) < (y[i] - y[b]) * (x[b] - x[a]):
+                break
+            kept.pop()
+        kept.append(i)
+    return kept
+
 
-    Adjacent violators may be pooled in any order, so the pools of ranges stay whole in the end. Only these pools meet in one task.
+class _Bridges:
+    """The greatest convex minorant of many convex chains that follow each other, from few of their vertices.
+
+    A chain is a range's own minorant of the cumulative diagram (weight, sum). Known vertices give a hull; what a gap between two known neighbours hides lies
+    in the triangle of their chord and the chain's slopes there. Gaps whose triangle reaches below the hull, and those at the ends of
+    edges between chains (the common tangents), are asked for; all others keep their chains as they are.
     """
-    o = points.schema[order].dataType.simpleString()
-    keys = [F.col(c).cast("double").alias(n) for c, n in ((value, "v"), (weight, "w"))]
-    ranged = points.select(F.col(order).alias("o"), *keys).repartitionByRange(parts, "o").sortWithinPartitions("o")
 
-    def pooled(rows: pd.DataFrame) -> list[list]:
-        """[rows, sum, weight] of the pools of rows (sum, weight) in order."""
+    def __init__(self, chains: Iterable[int]):
+        self.known: dict[int, dict[int, tuple[float, ...]]] = {c: {} for c in chains}
+
+    def add(self, chain: int, index: int, x: float, y: float, left: float, right: float) -> None:
+        """A vertex with the chain's slopes before and after it."""
+        self.known[chain][index] = (x, y, left, right)
+
+    def hull(self) -> list[tuple[int, int]]:
+        """(chain, index) of the known vertices on the hull; ``self.flat`` has all known ones and ``self.kept`` the hull's places in it."""
+        self.flat = [(c, i, *v) for c in sorted(self.known) for i, v in sorted(self.known[c].items())]
+        self.kept = _lower_hull([v[2] for v in self.flat], [v[3] for v in self.flat])
+        return [self.flat[k][:2] for k in self.kept]
+
+    def open_gaps(self) -> list[tuple[int, int, int]]:
+        """(chain, first, last) of gaps that may change the hull."""
+        self.hull()
+        on, out = set(self.kept), []
+        hx, hy = (np.array([self.flat[k][c] for k in self.kept]) for c in (2, 3))
+        bridge_ends = {k for a, b in zip(self.kept, self.kept[1:], strict=False) if self.flat[a][0] != self.flat[b][0] or b != a + 1 for k in (a, b)}
+        for k in range(len(self.flat) - 1):
+            (c, i, x, y, _, s), (d, j, u, v, t, _) = self.flat[k], self.flat[k + 1]
+            if c != d or j == i + 1:
+                continue
+            if k in on and k + 1 in on:
+                if k in bridge_ends or k + 1 in bridge_ends:
+                    out.append((c, i, j))
+                continue
+            apex = (v - y + s * x - t * u) / (s - t) if s < t else x
+            apex = min(max(apex, x), u)
+            if y + s * (apex - x) <= np.interp(apex, hx, hy) + 1e-12 * (abs(y) + abs(v) + 1):
+                out.append((c, i, j))
+        return out
+
+    def tangents(self) -> list[tuple[int, int, int, int]]:
+        """(chain, index, chain, index) of the hull's edges from a chain to a later one."""
+        names = self.hull()
+        return [(*a, *b) for a, b in zip(names, names[1:], strict=False) if a[0] != b[0]]
+
+
+#: Vertices of a range that one round asks for in a gap.
+VERTICES = 256
+
+
+def isotonic(points: DataFrame, order: str, value: str, weight: str, parts: int = 64) -> DataFrame:
+    """``points`` (one for each value of ``order``) with ``fitted``, the non-decreasing weighted least-squares fit.
+
+    Ranges of the order are pooled on their own; their pools are convex chains of the cumulative diagram. Only vertices near the common tangents of chains are looked
+    at, some hundred a range and round, so no task holds more than a range, however many pools there are. Points under a common tangent
+    are one pool; all others keep the pool of their range. Weights are positive; an empty table gives an empty result.
+    """
+    ranged = points.select(F.struct("*").alias("row"), F.col(order).alias("o"), F.col(value).cast("double").alias("v"), F.col(weight).cast("double").alias("w"))
+    ranged = ranged.repartitionByRange(parts, "o").sortWithinPartitions("o").select("row", "v", "w")
+    schema = T.StructType([ranged.schema["row"], *(T.StructField(n, T.LongType()) for n in ("part", "pool")), *(T.StructField(n, T.DoubleType()) for n in ("v", "w", "s", "t", "before_s", "before_t", "previous", "next"))])
+
+    def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if len(b)]
+        if not held:
+            return
+        v, w = (np.concatenate([b[c].to_numpy() for b in held]) for c in ("v", "w"))
         blocks: list[list] = []
-        for s, w in rows[["s", "w"]].itertuples(index=False):
-            blocks.append([1, s, w])
-            while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]:
-                n, s2, w2 = blocks.pop()
-                blocks[-1] = [blocks[-1][0] + n, blocks[-1][1] + s2, blocks[-1][2] + w2]
-        return blocks
-
-    def within(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if held := [b for b in batches if len(b)]:
-            rows = pd.concat(held, ignore_index=True)
-            n, total, w = map(np.array, zip(*pooled(rows), strict=True))
-            at = np.repeat(np.arange(len(n)), n)
-            yield pd.DataFrame({"o": rows["o"], "first": rows["o"].to_numpy()[(np.cumsum(n) - n)[at]], "s": total[at], "w": w[at]})
-
-    def across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if held := [b for b in batches if len(b)]:
-            rows = pd.concat(held, ignore_index=True)
-            n, total, w = map(np.array, zip(*pooled(rows), strict=True))
-            yield pd.DataFrame({"first": rows["first"], "fitted": np.repeat(total / w, n)})
-
-    local = materialize(ranged.select("o", (F.col("v") * F.col("w")).alias("s"), "w").mapInPandas(within, f"o {o}, first {o}, s double, w double"), "pools")
-    pools = local.where("o = first").repartition(1).sortWithinPartitions("first").select("first", "s", "w").mapInPandas(across, f"first {o}, fitted double")
-    return points.join(local.join(pools, "first").select(F.col("o").alias(order), "fitted"), order)
+        for x, y in zip((v * w).tolist(), w.tolist(), strict=True):
+            n = 1
+            while blocks and blocks[-1][1] * y >= x * blocks[-1][2]:
+                m, s, t = blocks.pop()
+                n, x, y = n + m, s + x, t + y
+            blocks.append([n, x, y])
+        n, s, t = map(np.array, zip(*blocks, strict=True))
+        slope = np.r_[-np.inf, s / t, np.inf]
+        table = {"s": s, "t": t, "before_s": np.cumsum(s) - s, "before_t": np.cumsum(t) - t, "previous": slope[:-2], "next": slope[2:]}
+        pool, lo = np.repeat(np.arange(len(n)), n), 0
+        for b in held:
+            mine = pool[lo : lo + len(b)]
+            lo += len(b)
+            yield pa.RecordBatch.from_arrays([b["row"], pa.array(np.full(len(b), TaskContext.get().partitionId())), pa.array(mine), b["v"], b["w"], *(pa.array(x[mine]) for x in table.values())], schema.names)
+
+    local = materialize(ranged.mapInArrow(pooled, schema), "pools")
+    ends = local.groupBy("part").agg(F.max("pool").alias("last"), F.sum(F.col("v") * F.col("w")).alias("s"), F.sum("w").alias("t")).orderBy("part").collect()  # a row a range
+    sizes = {r.part: r.last + 1 for r in ends}
+    start_s = dict(zip(sizes, np.cumsum([0.0, *(r.s for r in ends)])[:-1], strict=False))
+    start_t = dict(zip(sizes, np.cumsum([0.0, *(r.t for r in ends)])[:-1], strict=False))
+    bridges, asked = _Bridges(sizes), [(c, -1, n) for c, n in sizes.items()]
+    vertices = local.groupBy("part", "pool").agg(*[F.first(c).alias(c) for c in ("s", "t", "before_s", "before_t", "previous", "next")])
+    spark = points.sparkSession
+    while asked:
+        gaps = [(c, i, j, max(1, (j - i) // VERTICES)) for c, i, j in asked]
+        wanted = F.broadcast(spark.createDataFrame(gaps, "part long, lo long, hi long, step long"))
+        near = (F.col("pool") > F.col("lo")) & (F.col("pool") < F.col("hi")) & (((F.col("pool") - F.col("lo") - 1) % F.col("step") == 0) | (F.col("pool") == F.col("hi") - 1))
+        for r in vertices.join(wanted, "part").where(near).collect():  # some hundred a gap
+            x, y = start_t[r.part] + r.before_t, start_s[r.part] + r.before_s
+            # a pool is the edge from its vertex to the next one
+            bridges.add(r.part, r.pool, x, y, r.previous, r.s / r.t)
+            if r.pool + 1 < sizes[r.part] or r.part == ends[-1].part:  # a chain's last vertex is the next one's first
+                bridges.add(r.part, r.pool + 1, x + r.t, y + r.s, r.s / r.t, r.next)
+        asked = [g for g in bridges.open_gaps() if g[2] - g[1] > 1]
+    cut = [(k, *t) for k, t in enumerate(bridges.tangents())]
+    edges = F.broadcast(spark.createDataFrame(cut, "bridge long, c long, i long, d long, j long"))
+    under = (F.struct(F.col("part"), F.col("pool")) >= F.struct(F.col("c"), F.col("i"))) & (F.struct(F.col("part"), F.col("pool")) < F.struct(F.col("d"), F.col("j")))
+    placed = local.join(edges, under, "left").select("row", "s", "t", "v", "w", "bridge")
+    level = placed.where("bridge is not null").groupBy("bridge").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("level"))
+    out = placed.join(F.broadcast(level), "bridge", "left")  # at most a bridge for each two ranges
+    return out.select("row.*", F.coalesce("level", F.col("s") / F.col("t")).alias("fitted"))
 
 
 # ---------------------------------------------------------------- link fits

@@ -127,11 +127,11 @@ def _bounds(base: DataFrame) -> tuple[list[float], list[float], float, bool]:
 
 
 #: Rows of a realization that a cell is to hold, bodies that cells are fitted on, and the most cells.
-CELL_ROWS, SAMPLE, MAX_CELLS = 128, 20_000, 1 << 20
+CELL_ROWS, SAMPLE, MAX_CELLS = 64, 20_000, 1 << 20
 #: What the two sides of the cell join hold beside the keys.
 CELL_KEYS = ("realization_id", "cell")
 BODY = "idx int, shape string, cx double, cy double, cz double, ux double, uy double, uz double, length double, radius double, parent_id string"
-STEPS = ", ".join([f"b{a} long" for a in "xyz"] + [f"e{a} double" for a in "xyz"] + [f"turn{a} long" for a in "xyz"] + [f"low{a} double" for a in "xyz"])
+STEPS = ", ".join([f"b{a} long" for a in "xyz"] + [f"e{a} double" for a in "xyz"] + [f"turn{a} long" for a in "xyz"] + [f"{x}{a} double" for x in ("low", "high") for a in "xyz"])
 ENDS = ", ".join(f"{x}{a} double" for x in ("from", "to") for a in "xyz")
 
 
@@ -158,7 +158,7 @@ def _boxes(body: dict[str, np.ndarray], domain: Domain, pad: float) -> tuple[np.
         out |= {f"c{a}": c, f"b{a}": b, f"e{a}": extent}
         ends = []
         for sign in (-1, 1):
-            x = c + sign * (extent + pad)
+            x = c + sign * (extent + pad + 2.0**-50 * np.maximum(np.abs(c), domain.size[k]))  # wider than round-off
             turn = np.zeros(len(x), np.int64)
             if domain.periodic[k]:
                 turn = np.floor((x - domain.lower[k]) / domain.size[k])
@@ -182,7 +182,7 @@ def _boxes(body: dict[str, np.ndarray], domain: Domain, pad: float) -> tuple[np.
         left //= many[k][row]
         lows[:, k] = np.where(turn == low[k][0][row], low[k][1][row], -np.inf)
         highs[:, k] = np.where(turn == high[k][0][row], high[k][1][row], np.inf)
-        found |= {f"turn{a}": turn, f"low{a}": lows[:, k]}
+        found |= {f"turn{a}": turn, f"low{a}": lows[:, k], f"high{a}": highs[:, k]}
     return row, found, lows, highs
 
 
@@ -309,20 +309,24 @@ def _fitted(particles: DataFrame, domain: Domain, pad: float, total: int, larges
     return fit_cells(low, high, domain, largest * len(row) / len(held), CELL_ROWS)
 
 
-def met_pairs(particles: DataFrame, domain: Domain, threshold: float, policy: Policy = POLICY) -> tuple[DataFrame, float, bool]:
-    """(pairs of bodies that meet in a cell, each image once; the boxes' padding; whether there are cylinders)."""
+def met_pairs(particles: DataFrame, domain: Domain, threshold: float, policy: Policy = POLICY, boxes: bool = True) -> tuple[DataFrame, float, bool]:
+    """(pairs of bodies that meet in a cell, each image once; the boxes' padding; whether there are cylinders).
+
+    The join itself compares the bodies' padded boxes; without ``boxes`` it returns all pairs that it compares.
+    """
     reach, total, largest, cylinders = _summary(particles)
     pad = (threshold + policy.tolerance(max(reach, threshold))) / 2
     cells = _fitted(particles, domain, pad, total, largest)
     left, right = _dealt(particles, "i", domain, pad, cells), _dealt(particles, "j", domain, pad, cells)
-    once, moved = F.col("i_idx") < F.col("j_idx"), {}
+    met, touch, moved = (F.col("i_idx") < F.col("j_idx")) & _different_parents(), F.lit(True), {}
     for k, a in enumerate(G.AXES):
         # the low corner of what both boxes share lies in one cell; it is -inf if another image of the pair shows it
         corner = F.greatest(f"i_low{a}", f"j_low{a}")
-        once = once & (corner >= F.col(f"i_from{a}")) & (corner < F.col(f"i_to{a}"))
+        met = met & (corner >= F.col(f"i_from{a}")) & (corner < F.col(f"i_to{a}"))
+        touch = touch & (corner <= F.least(f"i_high{a}", f"j_high{a}"))
         turns = F.col(f"i_turn{a}") - F.col(f"j_turn{a}")
         moved |= {f"j_k{a}": turns, f"j_c{a}": F.col(f"j_c{a}") + turns * F.lit(domain.size[k])} if domain.periodic[k] else {f"j_k{a}": turns}
-    pairs = left.join(right, list(CELL_KEYS)).where(once & _different_parents())
+    pairs = left.join(right, list(CELL_KEYS)).where(met & touch if boxes else met)
     return pairs.withColumns(moved), pad, cylinders
 
 
@@ -340,23 +344,25 @@ def cell_contacts(particles: DataFrame, domain: Domain, threshold: float, policy
 
 
 def search_counters(particles: DataFrame, domain: Domain, threshold: float, method: str = "cell_list", policy: Policy = POLICY) -> DataFrame:
-    """``(realization_id, candidates, boxes, evaluations, contacts)``: pairs that meet, whose boxes touch, whose gap is taken, that are contacts.
+    """``(realization_id, compared, candidates, boxes, evaluations, contacts)``: pairs that share a cell, that the join by cells returns, whose boxes touch, whose gap is taken, that are contacts.
 
     All pairs of a realization (images of each) are candidates of the brute-force method, and all their gaps are taken.
     """
     if _method(method) == "cell_list":
         pairs, pad, cylinders = met_pairs(particles, domain, threshold, policy)
         pairs, taken = pairs.withColumn("touch", _boxes_touch(pad)), F.col("touch")
+        compared = met_pairs(particles, domain, threshold, policy, boxes=False)[0]
     else:
         pairs, cylinders = _all_pairs(particles, domain, threshold, policy)
         pairs, taken = pairs.withColumn("touch", _boxes_touch((threshold + policy.absolute) / 2)), F.lit(True)
+        compared = pairs
     found = pairs.where("touch").withColumn("gap", _native_gap(cylinders))
     found = _solved(found) if cylinders else found
     count = lambda df, name, what=F.lit(True): df.groupBy("realization_id").agg(F.count_if(what).alias(name))
     out = particles.select("realization_id").distinct()
     out = out.join(pairs.groupBy("realization_id").agg(F.count("*").alias("candidates"), F.count_if("touch").alias("boxes"), F.count_if(taken).alias("evaluations")), "realization_id", "left")
-    out = out.join(count(found, "contacts", _close(threshold, policy)), "realization_id", "left")
-    return out.na.fill(0, ["candidates", "boxes", "evaluations", "contacts"])
+    out = out.join(count(found, "contacts", _close(threshold, policy)), "realization_id", "left").join(count(compared, "compared"), "realization_id", "left")
+    return out.na.fill(0, ["compared", "candidates", "boxes", "evaluations", "contacts"])
 
 
 def _all_pairs(particles: DataFrame, domain: Domain, threshold: float, policy: Policy) -> tuple[DataFrame, bool]:

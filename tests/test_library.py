@@ -90,11 +90,26 @@ def test_sizes_of_many_orders(spark, flags):
 def test_large_and_small_spheres_make_few_candidates(spark):
     p = generate(trial_keys(spark, 1), Domain(50.0, True), [Population(0.1, 3000), Population(10.0, 3)], 42)
     found = C.search_counters(p, Domain(50.0, True), 0.0).first()
-    assert found.candidates < 5 * found.contacts
+    assert found.candidates < 5 * found.contacts and found.compared < 60 * 3003
     with pytest.raises(SetupError):
         C.find_contacts(p, Domain(50.0), 0.0, "unknown")
 
 
+def test_cells_follow_the_density(spark):
+    """Small bodies within a wide threshold, dense and thin regions, more bodies than the sample tells apart."""
+    rng = np.random.default_rng(4)
+    for domain in (Domain(12.0, True), Domain(12.0), Domain((12.0, 9.0, 30.0), (False, True, True))):
+        crowd, thin = rng.normal(0, 0.7, (150, 3)), rng.uniform(-20, 20, (150, 3))
+        p = bodies(spark, [ball(i, *c, r=0.1) for i, c in enumerate([*crowd, *thin])] + [ball(300, 1, 1, 1, r=7.0), rod(301, (0, 0, 0), (0, 0.6, 0.8), 15, 0.2)])
+        by = [sorted((r.i, r.j, r.sx, r.sy, r.sz) for r in f(p, domain, 0.5).collect()) for f in (C.cell_contacts, C.theta_contacts)]
+        assert by[0] == by[1] and len(set(by[0])) == len(by[0])
+    points = rng.uniform(0, 1000, (500, 3))
+    cells = C.fit_cells(points - 0.5, points + 0.5, Domain(1000.0, True, 500.0), 5e6, 4096)
+    bulk = rng.uniform(0, 1000, (200_000, 3))
+    held = np.bincount(cells.of(bulk - 0.5, bulk + 0.5)[1]) * 25  # as if of five million
+    assert held.max() < 3 * 4096 and held[held > 0].mean() > 400
+
+
 def test_corner_image_and_threshold(spark):
     d = Domain(10.0, True)
     corner = C.cell_contacts(bodies(spark, [ball(0, -4.8, -4.8, -4.8, 0.5), ball(1, 4.8, 4.8, 4.8, 0.5)]), d, 0.0).first()
@@ -256,6 +271,19 @@ def test_isotonic_in_ranges(spark):
     points = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(y, w, strict=True))], "x long, y double, w double")
     fitted = [r.fitted for r in stats.isotonic(points, "x", "y", "w", 7).orderBy("x").collect()]
     assert fitted == pytest.approx(stats.pava(y.tolist(), w.tolist()).tolist())
+    assert stats.isotonic(points.limit(0), "x", "y", "w").collect() == []
+
+
+@pytest.mark.parametrize("shape", ["rising", "falling", "bowl", "steps", "noise"])
+def test_isotonic_asks_for_few_vertices(spark, monkeypatch, shape):
+    """Chains longer than a round's vertices, in all relations to each other."""
+    monkeypatch.setattr(stats, "VERTICES", 4)
+    n, rng = 3000, np.random.default_rng(7)
+    t = np.linspace(-1, 1, n)
+    y = {"rising": t, "falling": -t, "bowl": -np.abs(t) + t**3, "steps": np.floor(t * 5) - 0.3 * t + 0.001 * np.sin(40 * t), "noise": t + 0.05 * rng.normal(size=n)}[shape]
+    points = spark.createDataFrame([(i, float(v), 1.0 + i % 3) for i, v in enumerate(y)], "x long, y double, w double").withColumn("fitted_before", F.lit(1))
+    fitted = [r.fitted for r in stats.isotonic(points, "x", "y", "w", 9).orderBy("x").collect()]
+    assert fitted == pytest.approx(stats.pava(y.tolist(), [1.0 + i % 3 for i in range(n)]).tolist(), abs=1e-9)
     fit = stats.fit_link([1, 2, 3, 4, 5], [5, 20, 50, 80, 95], [100] * 5)
     assert stats.link_predict(fit, [1, 2, 3, 4, 5]) == pytest.approx(fit["fitted"]) and stats.link_predict(fit, [stats.link_threshold(fit, 0.7)]) == pytest.approx([0.7])
 
