@@ -65,6 +65,48 @@ def test_convex_gaps_against_sampling():
     assert convex.cylinder_gaps(np.zeros((1, 3)), up, 2 * one, 0.5 * one, np.array([[2.0, 0, 3.5]]), up, 2 * one, 0.5 * one)[0] == pytest.approx(math.hypot(1, 1.5), abs=1e-7)
 
 
+#: Slender pairs: (centre, axis, length, radius) of both, and the gap.
+SLENDER = [
+    (((0, 0, 0), (1, 1e-16, 0), 1e9, 0.1), ((0, 1, 0), (1, -1e-16, 0), 1e9, 0.1), 0.8 - 1e-7),
+    (((0, 0, 0), (1, 0, 0), 1e9, 0.012), ((-4.6e8, 0.019, 0), (1, 1e-12, 0), 25.0, 0.046), 0.0),
+    (((0, 0, 0), (1, 0, 0), 1e9, 0.1), ((0, 1, 0), (1, 1e-9, 0), 1e9, 0.1), 0.3),
+    (((0, 0, 0), (1, 0, 0), 2e9, 0.1), ((0, 50, 0), (1, 1e-7, 0), 2e9, 0.1), 0.0),
+    (((0, 0, 0), (1, 0, 0), 2e6, 0.001), ((-4e5, 0.03, 0), (1, 1e-7, 0), 1e6, 0.004), 0.0),
+    # an end's rim against the other's side, in one plane: 2 - 1e-7 * 5e6 - 0.03 - 0.2
+    (((0, 0, 0), (1, 0, 0), 2e7, 0.03), ((1e6, 2, 0), (1, -1e-7, 0), 1e7, 0.2), 1.27),
+    (((0, 0, 0), (0, 0, 1), 3.0, 1e8), ((0, 0, 4.0), (1e-9, 0, -1), 1.0, 1.0), 2.0),
+    (((0, 0, 0), (0, 0, 1), 1e6, 0.5), ((5, 0, 0), (0.6, 0.8, 0), 1e6, 0.25), 3.25),
+]
+
+
+def test_slender_cylinders():
+    unit = lambda u: np.array(u, float) / np.linalg.norm(u)
+    columns = lambda k: [np.array(x, float) for x in zip(*[(p[k][0], unit(p[k][1]), *p[k][2:]) for p in SLENDER], strict=True)]
+    want = [p[2] for p in SLENDER]
+    for a, b in ((0, 1), (1, 0)):
+        assert convex.cylinder_gaps(*columns(a), *columns(b)) == pytest.approx(want, abs=2e-9)
+        lower, upper = convex.witnessed_gaps(*columns(a), *columns(b))
+        assert upper == pytest.approx(want, abs=2e-9) and (upper - lower < 2e-8).all()
+
+
+def test_witnesses_agree_with_projections():
+    rng = np.random.default_rng(9)
+    n = 60
+    unit = lambda v: v / np.linalg.norm(v, axis=1)[:, None]
+    sides = [(rng.uniform(-2, 2, (n, 3)), unit(rng.normal(size=(n, 3))), rng.uniform(0.1, 4, n), rng.uniform(0.05, 1, n)) for _ in "ab"]
+    body = lambda x: (convex.project_cylinder, convex.support_cylinder, x)
+    lower, upper = convex.witnessed_gaps(*sides[0], *sides[1])
+    assert upper == pytest.approx(convex.certified_gaps(n, body(sides[0]), body(sides[1])), abs=1e-7)
+    assert (upper - lower < 1e-6).all()
+
+
+def test_support_points():
+    c, u = np.array([[1.0, 2, 3]] * 4), np.array([[1.0, 0, 0]] * 4)
+    n = np.array([[0.0, 1, 0], [1, 0, 0], [0, 0, 0], [-1, 0, 1]])
+    found = convex.support_points(n, c, u, np.full(4, 10.0), np.full(4, 2.0))
+    assert np.allclose(found, [[1, 4, 3], [6, 2, 3], [1, 2, 3], [-4, 2, 5]])
+
+
 @pytest.mark.parametrize("flags", [(False, False, False), (True, False, True), (True, True, True)])
 def test_contact_parity(spark, flags):
     d = Domain(6.0, flags)
