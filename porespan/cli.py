@@ -79,7 +79,7 @@ def main(argv: list[str] | None = None) -> int:
             write_json(result, args.output)
         else:
             sys.stdout.write(dumps(result))
-    except (PorespanError, OSError) as e:
+    except (PorespanError, OSError, ValueError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 2
     return int(args.command == "validate" and not all(r["passed"] for r in result))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 import secrets
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 from typing import Protocol
 
@@ -16,7 +17,7 @@ from porespan.functions import stats
 from porespan.operators import percolation as P
 from porespan.operators import transport as T
 from porespan.operators.contacts import POLICY
-from porespan.policy import COST_TIES, MAX_GRID, DesignError, Domain, SetupError, axis_number
+from porespan.policy import COST_TIES, MAX_GRID, DesignError, Domain, SetupError, axis_number, whole
 from porespan.session import discard, materialize
 from porespan.sources.particles import Population, generate, trial_keys, volume_fraction
 
@@ -66,41 +67,45 @@ class Model:
         return found.select("realization_id", "percolates")
 
 
-Seed = int | np.random.SeedSequence | None
+Seed = int | Sequence[int] | np.random.SeedSequence | None
+#: What a root stream is made from: an integer or several.
+Entropy = int | tuple[int, ...]
 
 
-def seed_of(seed: Seed) -> tuple[int, tuple[int, ...]]:
-    """(entropy, spawn key) of an integer, a seed sequence, or of fresh entropy."""
+def seed_of(seed: Seed) -> tuple[Entropy, tuple[int, ...]]:
+    """(entropy, spawn key) of an integer, a sequence of integers, a seed sequence, or of fresh entropy."""
     if isinstance(seed, np.random.SeedSequence):
-        if not isinstance(seed.entropy, int):
-            raise SetupError("a seed sequence needs one integer of entropy")
-        return seed.entropy, tuple(int(k) for k in seed.spawn_key)
+        if seed.pool_size != 4:
+            raise SetupError("a seed sequence needs a pool of the usual size")
+        entropy = seed.entropy
+        return int(entropy) if isinstance(entropy, (int, np.integer)) else tuple(int(v) for v in entropy), tuple(int(k) for k in seed.spawn_key)
     if seed is None:
         return secrets.randbits(128), ()
-    if isinstance(seed, bool) or not isinstance(seed, (int, np.integer)) or seed < 0:
-        raise SetupError("a seed is a non-negative integer or a seed sequence")
-    return int(seed), ()
+    if isinstance(seed, (list, tuple, np.ndarray)):
+        if not len(seed):
+            raise SetupError("a seed needs at least one integer")
+        return tuple(whole(v, "seed") for v in seed), ()
+    return whole(seed, "seed"), ()
 
 
-def seed_label(seed: tuple[int, tuple[int, ...]]) -> str:
+def seed_label(seed: tuple[Entropy, tuple[int, ...]]) -> str:
     """How results name a seed: its entropy, and the spawn key if there is one."""
     entropy, key = seed
-    return str(entropy) if not key else f"{entropy}/{','.join(map(str, key))}"
+    named = str(entropy) if isinstance(entropy, int) else ",".join(map(str, entropy))
+    return named if not key else f"{named}/{','.join(map(str, key))}"
 
 
 def _positive(n: int, name: str) -> int:
-    if isinstance(n, bool) or not isinstance(n, int) or n < 1:
-        raise SetupError(f"{name} must be a positive integer")
-    return n
+    return whole(n, name, 1)
 
 
-def successes(spark: SparkSession, model: TrialEvaluator, populations: list[Population], trials: int, entropy: int, prefix: tuple[int, ...] = ()) -> int:
+def successes(spark: SparkSession, model: TrialEvaluator, populations: list[Population], trials: int, entropy: Entropy, prefix: tuple[int, ...] = ()) -> int:
     """Percolating trials of a design. Realizations without any particle don't percolate."""
     return design_successes(spark, model, populations, [[p.count for p in populations]], trials, entropy, [prefix])[0]
 
 
 def design_successes(
-    spark: SparkSession, model: TrialEvaluator, populations: list[Population], designs: list[list[int]], trials: int, entropy: int, prefixes: list[tuple[int, ...]]
+    spark: SparkSession, model: TrialEvaluator, populations: list[Population], designs: list[list[int]], trials: int, entropy: Entropy, prefixes: list[tuple[int, ...]]
 ) -> list[int]:
     """Percolating trials of each design (counts of the populations), all in one pass; a design's prefix names its streams."""
     _positive(trials, "trials")
@@ -136,7 +141,7 @@ def probability(spark: SparkSession, model: TrialEvaluator, populations: list[Po
 # ---------------------------------------------------------------- critical loading
 
 
-def nested_successes(spark: SparkSession, model: TrialEvaluator, variable: Population, fixed: list[Population], grid: list[int], trials: int, entropy: int, key: tuple[int, ...] = ()) -> list[int]:
+def nested_successes(spark: SparkSession, model: TrialEvaluator, variable: Population, fixed: list[Population], grid: list[int], trials: int, entropy: Entropy, key: tuple[int, ...] = ()) -> list[int]:
     """Trials that percolate at each count of the grid; counts of a trial are prefixes of one realization.
 
     After a trial's first success greater counts are taken as successes. Other evaluators than a face-to-face ``Model`` look at the counts one after the

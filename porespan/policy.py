@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,6 +47,26 @@ class Policy:
         return F.greatest(F.lit(self.absolute), F.lit(self.relative) * scale)
 
 
+def real(value: object, name: str) -> float:
+    """A finite number as a float; booleans, text and nothing are none."""
+    if isinstance(value, (bool, np.bool_)) or not isinstance(value, (int, float, np.integer, np.floating)):
+        raise SetupError(f"{name} must be a number, not {value!r}")
+    try:
+        number = float(value)
+    except OverflowError as e:
+        raise SetupError(f"{name} is too large") from e
+    if not math.isfinite(number):
+        raise SetupError(f"{name} must be finite")
+    return number
+
+
+def whole(value: object, name: str, least: int = 0) -> int:
+    """An integer of at least ``least``; booleans are none."""
+    if isinstance(value, (bool, np.bool_)) or not isinstance(value, (int, np.integer)) or value < least:
+        raise SetupError(f"{name} must be an integer of at least {least}, not {value!r}")
+    return int(value)
+
+
 @dataclass(frozen=True)
 class Domain:
     """An orthorhombic box; each axis may be periodic."""
@@ -57,16 +78,16 @@ class Domain:
     def __post_init__(self):
         for name in ("size", "periodic", "center"):
             value = getattr(self, name)
-            value = tuple(value) if isinstance(value, (list, tuple)) else (value,) * 3
+            value = tuple(value) if isinstance(value, (list, tuple, np.ndarray)) else (value,) * 3
             if len(value) != 3:
                 raise SetupError(f"{name} needs three values")
             if name == "periodic":
                 if not all(isinstance(v, bool) for v in value):
                     raise SetupError("periodic flags are booleans")
             else:
-                value = tuple(float(v) for v in value)
-                if not all(map(math.isfinite, value)) or (name == "size" and min(value) <= 0):
-                    raise SetupError(f"{name} must be finite" + (" and positive" if name == "size" else ""))
+                value = tuple(real(v, name) for v in value)
+                if name == "size" and min(value) <= 0:
+                    raise SetupError("size must be positive")
             object.__setattr__(self, name, value)
 
     @property

@@ -9,8 +9,8 @@ import numpy as np
 import yaml
 
 from porespan.operators.transport import Law
-from porespan.plans.workflows import Model
-from porespan.policy import Domain, SetupError, axis_number
+from porespan.plans.workflows import Model, seed_of
+from porespan.policy import Domain, SetupError, axis_number, real, whole
 from porespan.sources.particles import Population
 
 # The sections and their keys.
@@ -59,10 +59,7 @@ def _finite(value, name: str) -> None:
         _finite(v, f"{name}.{k}")
 
 
-def _number(value, name: str) -> float:
-    if isinstance(value, bool) or not isinstance(value, (int, float)):
-        raise SetupError(f"{name} must be a number")
-    return float(value)
+_number = real
 
 
 def _law(section: dict, name: str) -> Law:
@@ -108,13 +105,16 @@ def _typed(value, kind, name: str):
             raise SetupError(f"{name} must lie between 0 and 1")
         return share
     if kind == "seed":
-        if value is None or (isinstance(value, int) and not isinstance(value, bool) and value >= 0):
+        if value is None:
+            return value
+        if isinstance(value, (int, list)):
+            seed_of(value)
             return value
         if isinstance(value, dict) and set(value) == {"entropy", "spawn_key"} and isinstance(value["spawn_key"], list):
             parts = [value["entropy"], *value["spawn_key"]]
             if all(isinstance(v, int) and not isinstance(v, bool) and v >= 0 for v in parts):
                 return np.random.SeedSequence(value["entropy"], spawn_key=tuple(value["spawn_key"]))
-        raise SetupError(f"{name} must be a non-negative integer, or a mapping of entropy and spawn_key")
+        raise SetupError(f"{name} must be a non-negative integer, a list of them, or a mapping of entropy and spawn_key")
     if kind == "count" and isinstance(value, int) and not isinstance(value, bool) and value >= 0:
         return value
     raise SetupError(f"{name} must be a {kind}")
@@ -165,21 +165,29 @@ def loads_config(text: str, operation: str | None = None) -> Config:
     parts = {name: _known(raw.get(name) or {}, keys, name) for name, keys in SECTIONS.items()}
     for section, kinds in TYPES.items():
         parts[section] |= {k: _typed(v, kinds[k], f"{section}.{k}") for k, v in parts[section].items() if k in kinds}
-    for name, pair in (parts["optimization"].get("bounds") or {}).items():
+    for section in SECTIONS:
+        if raw.get(section) is not None and not isinstance(raw[section], dict):
+            raise SetupError(f"{section} must be a mapping")
+    bounds = parts["optimization"].get("bounds", {})
+    if not isinstance(bounds, dict):
+        raise SetupError("optimization.bounds must be a mapping of names to two counts")
+    for name, pair in bounds.items():
         if not isinstance(pair, list) or len(pair) != 2 or any(isinstance(v, bool) or not isinstance(v, int) for v in pair) or not 0 <= pair[0] <= pair[1]:
             raise SetupError(f"optimization.bounds.{name} must be two counts, the lower one first")
     if "size" not in parts["domain"]:
         raise SetupError("domain.size is missing")
     domain = Domain(**{k: tuple(v) if isinstance(v, list) else v for k, v in parts["domain"].items()})
-    populations = []
-    for k, p in enumerate(raw.get("particles") or []):
+    populations, particles = [], raw.get("particles", [])
+    if not isinstance(particles, list):
+        raise SetupError("particles must be a list")
+    for k, p in enumerate(particles):
         p = _known(p, PARTICLE, f"particles[{k}]")
         if p.get("shape", "sphere") not in ("sphere", "cylinder") or (p.get("shape") == "cylinder") != ("length" in p):
             raise SetupError(f"particles[{k}] must be a sphere, or a cylinder with a length")
-        count = p.get("count", 0)
-        if isinstance(count, bool) or not isinstance(count, int):
-            raise SetupError(f"particles[{k}].count must be an integer")
-        populations.append(Population(_number(p.get("radius"), "radius"), count, _number(p["length"], "length") if "length" in p else None, _number(p.get("cost_per_volume", 0.0), "cost"), (p.get("name") or "").strip() or None))
+        count, name = whole(p.get("count", 0), f"particles[{k}].count"), p.get("name")
+        if name is not None and not isinstance(name, str):
+            raise SetupError(f"particles[{k}].name must be text")
+        populations.append(Population(_number(p.get("radius"), "radius"), count, _number(p["length"], "length") if "length" in p else None, _number(p.get("cost_per_volume", 0.0), "cost"), (name or "").strip() or None))
     q = parts["percolation"]
     model = Model(domain, _number(q.get("threshold", 0.0), "threshold"), q.get("axis", 0), q.get("mode", "face_to_face"), q.get("wrapped_parent", False), q.get("search", "cell_list"))
     for name in ("law", "electrode_law"):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from porespan.functions import geometry as G
-from porespan.policy import Domain, SetupError
+from porespan.policy import Domain, SetupError, real, whole
 
 SCHEMA = (
     "realization_id long, idx int, shape string, cx double, cy double, cz double, ux double, uy double, uz double, length double, radius double, parent_id string, ox long, oy long, oz long"
@@ -30,8 +30,9 @@ class Population:
     name: str | None = None
 
     def __post_init__(self):
-        if self.radius <= 0 or (self.length is not None and self.length <= 0) or self.count < 0 or self.cost_per_volume < 0:
-            raise SetupError("sizes must be positive, counts and costs not negative")
+        whole(self.count, "count")
+        if real(self.radius, "radius") <= 0 or (self.length is not None and real(self.length, "length") <= 0) or real(self.cost_per_volume, "cost_per_volume") < 0:
+            raise SetupError("sizes must be positive, costs not negative")
 
     @property
     def volume(self) -> float:
@@ -41,6 +42,15 @@ class Population:
         return Population(self.radius, count, self.length, self.cost_per_volume, self.name)
 
 
+def populations_of(specs: Population | Sequence[Population], counts: int | Sequence[int]) -> list[Population]:
+    """Populations of the given bodies (whose own counts don't matter) and numbers of them."""
+    specs = [specs] if isinstance(specs, Population) else list(specs)
+    counts = [counts] if isinstance(counts, (int, np.integer)) else list(counts)
+    if not specs or len(specs) != len(counts):
+        raise SetupError("as many bodies as counts are needed, and at least one")
+    return [p.of(whole(n, f"counts[{k}]")) for k, (p, n) in enumerate(zip(specs, counts, strict=True))]
+
+
 def volume_fraction(populations: list[Population], domain: Domain) -> float:
     """Overlaps are not subtracted."""
     return sum(p.count * p.volume for p in populations) / domain.volume
@@ -98,7 +108,15 @@ def generated(rng: np.random.Generator, domain: Domain, populations: list[Popula
     return {"c": np.concatenate(centers), "u": np.concatenate(axes), "length": np.concatenate(lengths), "radius": np.concatenate(radii)}
 
 
-def generate(trials: DataFrame, domain: Domain, populations: list[Population], entropy: int) -> DataFrame:
+def _frame(rid: int, g: dict[str, np.ndarray]) -> pd.DataFrame:
+    n = len(g["radius"])
+    frame = {"realization_id": np.full(n, rid), "idx": np.arange(n, dtype=np.int32), "shape": np.where(np.isnan(g["length"]), "sphere", "cylinder")}
+    frame |= {f"c{a}": g["c"][:, k] for k, a in enumerate("xyz")} | {f"u{a}": g["u"][:, k] for k, a in enumerate("xyz")}
+    frame |= {"length": g["length"], "radius": g["radius"], "parent_id": [str(i) for i in range(n)]}
+    return pd.DataFrame(frame | {c: pd.array([None] * n, "Int64") for c in ("ox", "oy", "oz")})
+
+
+def generate(trials: DataFrame, domain: Domain, populations: list[Population], entropy: int | Sequence[int]) -> DataFrame:
     """Particles of every row ``(realization_id, spawn_key array<long>)``; a key names its own random stream.
 
     A column ``counts array<int>`` gives a row its own numbers of particles of the populations.
@@ -110,16 +128,28 @@ def generate(trials: DataFrame, domain: Domain, populations: list[Population], e
             for rid, key, counts in zip(batch["realization_id"], batch["spawn_key"], batch["counts"] if own else [None] * len(batch), strict=True):
                 rng = np.random.default_rng(np.random.SeedSequence(entropy, spawn_key=tuple(int(k) for k in key)))
                 g = generated(rng, domain, populations if counts is None else [p.of(int(c)) for p, c in zip(populations, counts, strict=True)])
-                n = len(g["radius"])
-                frame = {"realization_id": np.full(n, rid), "idx": np.arange(n, dtype=np.int32), "shape": np.where(np.isnan(g["length"]), "sphere", "cylinder")}
-                frame |= {f"c{a}": g["c"][:, k] for k, a in enumerate("xyz")} | {f"u{a}": g["u"][:, k] for k, a in enumerate("xyz")}
-                frame |= {"length": g["length"], "radius": g["radius"], "parent_id": [str(i) for i in range(n)]}
-                yield pd.DataFrame(frame | {c: pd.array([None] * n, "Int64") for c in ("ox", "oy", "oz")})
+                yield _frame(rid, g)
 
     rows = trials.select("realization_id", "spawn_key", *(["counts"] if own else [])).mapInPandas(run, SCHEMA)
+    return _bare_spheres(rows)
+
+
+def _bare_spheres(rows: DataFrame) -> DataFrame:
+    """Spheres without axis and length."""
     return rows.withColumns({c: F.when(F.col("shape") == "cylinder", F.col(c)) for c in ("ux", "uy", "uz", "length")})
 
 
+def microstructure(spark: SparkSession, domain: Domain, populations: list[Population], seed: int | Sequence[int] | np.random.SeedSequence | None = None, rng: np.random.Generator | None = None) -> DataFrame:
+    """Particles of one realization from a seed, which a task draws from, or from a generator that the caller holds (then they are drawn here)."""
+    if rng is not None and seed is not None:
+        raise SetupError("a generator or a seed, not both")
+    if rng is None:
+        root = seed if isinstance(seed, np.random.SeedSequence) else np.random.SeedSequence(seed)
+        key = spark.range(1).select(F.col("id").alias("realization_id"), F.array(*[F.lit(int(k)).cast("long") for k in root.spawn_key]).cast("array<long>").alias("spawn_key"))
+        return generate(key, domain, populations, root.entropy)
+    return _bare_spheres(spark.createDataFrame(_frame(0, generated(rng, domain, populations)), SCHEMA))
+
+
 def trial_keys(spark: SparkSession, trials: int, prefix: tuple[int, ...] = ()) -> DataFrame:
     """``(realization_id, spawn_key)``: the children of a seed's branch."""
     parts = max(1, min(trials, spark.sparkContext.defaultParallelism))

@@ -7,6 +7,7 @@ import datetime
 import enum
 import json
 import math
+import os
 from collections.abc import Mapping
 
 import numpy as np
@@ -51,6 +52,8 @@ def plain(value, where: str = "result"):
         return [plain(v, f"{where}[{i}]") for i, v in enumerate(value)]
     if isinstance(value, (set, frozenset)):
         return sorted(plain(v, where) for v in value)
+    if isinstance(value, os.PathLike):
+        return os.fspath(value)
     if isinstance(value, (datetime.date, datetime.datetime)):
         return value.isoformat()
     raise SetupError(f"{where} can't be written as JSON: {type(value).__name__}")

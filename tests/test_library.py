@@ -15,7 +15,7 @@ from porespan.operators.graph import connected_components
 from porespan.plans import workflows as W
 from porespan.policy import DesignError, Domain, SetupError
 from porespan.sources.config import load_config, loads_config
-from porespan.sources.particles import Population, checked, generate, trial_keys, volume_fraction
+from porespan.sources.particles import Population, checked, generate, microstructure, populations_of, trial_keys, volume_fraction
 
 BODY = "idx int, shape string, cx double, cy double, cz double, ux double, uy double, uz double, length double, radius double, parent_id string, ox long, oy long, oz long"
 
@@ -411,6 +411,43 @@ def test_config():
         loads_config(CONFIG, "critical")
 
 
+def test_wrong_types_are_errors_of_the_setup(tmp_path, capsys):
+    from porespan import cli
+
+    lines = CONFIG.splitlines()
+    size = next(x for x in lines if "size:" in x)
+    swap = lambda old, new: CONFIG.replace(old, new)
+    wrong = [swap(size.strip(), f"size: {v}") for v in ("abc", "null", "true", "[1, 2]", "[1, 2, x]", "1e400")]
+    for text in (*wrong, "schema_version: 1\ndomain: {size: 5}\nparticles: 5\n", "schema_version: 1\ndomain: {size: 5}\noptimization: {bounds: [1, 2]}\n", "schema_version: 1\ndomain: {size: 5}\nparticles: [{radius: 1.0, name: 3}]\n", "schema_version: 1\ndomain: 3\n", "schema_version: 1\ndomain: {size: 5}\ncritical: []\n"):
+        with pytest.raises(SetupError):
+            loads_config(text)
+        path = tmp_path / "c.yaml"
+        path.write_text(text)
+        assert cli.main(["simulate", str(path)]) == 2 and capsys.readouterr().err.startswith("error: ")
+    for bad in ({"radius": math.nan}, {"radius": True}, {"count": True}, {"count": 1.5}, {"count": -1}, {"length": math.inf}, {"cost_per_volume": -1.0}, {"radius": "1"}):
+        with pytest.raises(SetupError):
+            Population(**({"radius": 1.0, "count": 1} | bad))
+
+
+def test_seeds_populations_and_microstructures(spark):
+    assert W.seed_of([1, 2]) == ((1, 2), ()) and W.seed_of(np.random.SeedSequence([4, 5], spawn_key=(6,))) == ((4, 5), (6,))
+    assert W.seed_label(((1, 2), (3,))) == "1,2/3"
+    for bad in ([], [1, -1], [1, True], "7", 1.0):
+        with pytest.raises(SetupError):
+            W.seed_of(bad)
+    pops = populations_of([Population(0.5, 0), Population(0.1, 9, 2.0)], [3, 2])
+    assert [p.count for p in pops] == [3, 2] and populations_of(Population(0.5, 0), 4)[0].count == 4
+    with pytest.raises(SetupError):
+        populations_of([], [])
+    domain = Domain(5.0)
+    columns = ("cx", "cy", "cz", "ux", "uy", "uz", "length", "radius")
+    held = lambda df: [[r[c] for c in columns] for r in df.orderBy("idx").collect()]
+    by_seed = held(microstructure(spark, domain, pops, seed=[7, 8]))
+    assert by_seed == held(microstructure(spark, domain, pops, rng=np.random.default_rng([7, 8]))) and len(by_seed) == 5
+    with pytest.raises(SetupError):
+        microstructure(spark, domain, pops, 1, np.random.default_rng(1))
+
+
 def test_entry_without_the_pipeline():
     import __spark_entry__ as e
 
