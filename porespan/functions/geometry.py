@@ -184,13 +184,14 @@ def cylinder_volume(r: Column, length: Column) -> Column:
 
 
 def safe_product(*factors: Column) -> Column:
-    """A product of positive numbers that over- or underflows only if its value does: mantissas and powers of two apart."""
+    """A product of positive numbers, mantissas and powers of two apart; raises only where the value itself is beyond the doubles, or below the least one."""
     mantissa, power = F.lit(1.0), F.lit(0.0)
     for f in factors:
         e = F.floor(F.log2(f))
         mantissa, power = mantissa * (f / F.pow(F.lit(2.0), F.floor(e / 2)) / F.pow(F.lit(2.0), e - F.floor(e / 2))), power + e
     half = F.floor(power / 2)
-    return mantissa * F.pow(F.lit(2.0), half) * F.pow(F.lit(2.0), power - half)
+    value = mantissa * F.pow(F.lit(2.0), half) * F.pow(F.lit(2.0), power - half)
+    return F.when((value > 0) & (value < float("inf")), value).when(value.isNotNull(), F.raise_error(F.lit("a product is beyond the range of doubles")).cast("double"))
 
 
 def count_for_fraction(fraction: Column, volume: Column, domain_volume: float, rounding: str = "half_up") -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from porespan.policy import SetupError
-from porespan.session import materialize
+from porespan.session import discard, materialize
 
 
 def bonferroni(confidence: float, comparisons: int) -> float:
@@ -294,6 +294,58 @@ def fit_link(x: list[float], successes: list[int], trials: list[int], link: str
     return {"link": link, "intercept": float(w[0]), "slope": float(w[1]), "log_likelihood": best, "aic": 4 - 2 * best, "bic": 2 * math.log(n.sum()) - 2 * best, "converged": bool(converged), "x_center": float(center), "x_scale": float(scale), "fitted": cdf(w[0] + w[1] * z).tolist()}
 
 
+@F.arrow_udf("double")
+def _normal(x: pa.Array) -> pa.Array:
+    return pa.array([0.5 * math.erfc(-v / math.sqrt(2)) for v in x.to_pylist()], pa.float64())
+
+
+def fit_links(points: DataFrame, keys: list[str], x: str, successes: str, trials: str, link: str = "logistic", rounds: int = 100) -> DataFrame:
+    """A row for each value of ``keys``: ``intercept, slope, x_center, x_scale, log_likelihood, trials, converged``, the fit of ``fit_link`` for all keys at once.
+
+    A round is one grouped aggregate: likelihood, score and information at every key's next point. Keys whose likelihood fell halve their step, others
+    take the next Newton step; keys that have settled leave. Rows of equal x are added up first. Keys with one x have no slope and don't converge.
+    """
+    if link not in ("logistic", "probit"):
+        raise SetupError("link must be logistic or probit")
+    rows = points.groupBy(*keys, F.col(x).cast("double").alias("x")).agg(F.sum(F.col(successes).cast("double")).alias("k"), F.sum(F.col(trials).cast("double")).alias("n"))
+    rows = materialize(rows, "points")
+    sizes = rows.groupBy(*keys).agg(F.avg("x").alias("center"), F.stddev_pop("x").alias("scale"), F.sum("n").alias("trials"))
+    zero, one = F.lit(0.0), F.lit(1.0)
+    state = sizes.withColumns({"scale": F.when(F.col("scale") > 0, F.col("scale")).otherwise(one), "w0": zero, "w1": one, "best": F.lit(float("-inf")), "d0": zero, "d1": zero, "size": one, "done": F.lit(False), "converged": F.lit(False)})
+    state = materialize(state, "state")
+    kept = state.columns
+    for _ in range(rounds):
+        going = state.where("not done")
+        if not going.limit(1).count():
+            break
+        at = going.withColumns({"c0": F.col("w0") + F.col("size") * F.col("d0"), "c1": F.least(F.greatest(F.col("w1") + F.col("size") * F.col("d1"), zero), F.lit(200.0))})
+        held = rows.join(at.select(*keys, "center", "scale", "c0", "c1"), keys).withColumn("z", (F.col("x") - F.col("center")) / F.col("scale"))
+        held = held.withColumn("t", F.col("c0") + F.col("c1") * F.col("z"))
+        if link == "logistic":
+            held = held.withColumn("f", 1 / (1 + F.exp(-F.greatest(F.least("t", F.lit(40.0)), F.lit(-40.0))))).withColumn("d", F.col("f") * (1 - F.col("f")))
+        else:
+            held = held.withColumn("f", _normal("t")).withColumn("d", F.exp(-F.col("t") * F.col("t") / 2) / math.sqrt(2 * math.pi))
+        p, d, n, k, z = F.col("p"), F.greatest(F.col("d"), F.lit(1e-300)), F.col("n"), F.col("k"), F.col("z")
+        held = held.withColumn("p", F.least(F.greatest(F.col("f"), F.lit(1e-14)), F.lit(1 - 1e-14)))
+        score, info = d * (k - n * p) / (p * (1 - p)), n * d * d / (p * (1 - p))
+        sums = {"now": k * F.log(p) + (n - k) * F.log1p(-p), "g0": score, "g1": score * z, "h00": info, "h01": info * z, "h11": info * z * z}
+        found = held.groupBy(*keys).agg(*[F.sum(v).alias(c) for c, v in sums.items()])
+        at = at.join(found, keys)
+        better = F.col("now") >= F.col("best")
+        det = (F.col("h00") + 1e-12) * (F.col("h11") + 1e-12) - F.col("h01") * F.col("h01")
+        n0, n1 = ((F.col("h11") + 1e-12) * F.col("g0") - F.col("h01") * F.col("g1")) / det, ((F.col("h00") + 1e-12) * F.col("g1") - F.col("h01") * F.col("g0")) / det
+        still = better & (F.col("best") > float("-inf")) & (F.greatest(F.abs(F.col("c0") - F.col("w0")), F.abs(F.col("c1") - F.col("w1"))) < 1e-10)
+        spent = ~better & (F.col("size") <= 1e-10)
+        new = at.select(
+            *keys, "center", "scale", "trials", *[F.when(better, F.col(c)).otherwise(F.col(w)).alias(w) for c, w in (("c0", "w0"), ("c1", "w1"), ("now", "best"))],
+            F.when(better, n0).otherwise(F.col("d0")).alias("d0"), F.when(better, n1).otherwise(F.col("d1")).alias("d1"), F.when(better, one).otherwise(F.col("size") / 2).alias("size"),
+            (still | spent).alias("done"), F.when(still, (F.col("c1") > 0) & (F.col("c1") < 200)).otherwise(spent).alias("converged"),
+        )
+        before, state = state, materialize(new.select(*kept).unionByName(state.where("done")), "state")
+        discard(before)
+    return state.select(*keys, F.col("w0").alias("intercept"), F.col("w1").alias("slope"), F.col("center").alias("x_center"), F.col("scale").alias("x_scale"), F.col("best").alias("log_likelihood"), "trials", "converged")
+
+
 def link_predict(model: dict, x: list[float]) -> list[float]:
     """Fitted probabilities at ``x``."""
     t = (np.asarray(x, float) - model["x_center"]) / model["x_scale"] * model["slope"] + model["intercept"]

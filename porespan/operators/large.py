@@ -56,7 +56,7 @@ def breadth_first(links: DataFrame, start: DataFrame, goal: DataFrame, max_depth
 
 
 def weighted_components(links: DataFrame, axis: int, max_rounds: int = 60) -> tuple[DataFrame, DataFrame]:
-    """(``node, component``, ``component``s with a loop that winds along the axis) of ``links (a, b, sx, sy, sz)``: b lies at a plus the steps.
+    """(``node, component``; ``component, loop`` of those with a loop that winds along the axis, and its steps) of ``links (a, b, sx, sy, sz)``: b lies at a plus the steps.
 
     Alternating stars as in ``connected_components``, with steps along. Edges only change by a detour over others, so loops keep their winding;
     where two edges between the same nodes differ along the axis, or an edge leads back to its node with a step, the node is marked.
@@ -74,23 +74,27 @@ def weighted_components(links: DataFrame, axis: int, max_rounds: int = 60) -> tu
 
     def paired(edges: DataFrame) -> DataFrame:
         """One edge for each pair of nodes; whether others, or its way back to its node, wind."""
-        out = edges.groupBy("u", "v").agg(F.min(F.struct(*STEPS)).alias("s"), F.max(own).alias("hi"), F.min(own).alias("lo"))
-        winds = (F.col("hi") != F.col("lo")) | ((F.col("u") == F.col("v")) & (F.col("lo") != 0))
-        return out.select("u", "v", *[F.col(f"s.{s}").alias(s) for s in STEPS], winds.alias("winds"))
+        by = F.struct(F.col(own).alias("own"), *STEPS)
+        out = edges.groupBy("u", "v").agg(F.min(F.struct(*STEPS)).alias("s"), F.max(by).alias("hi"), F.min(by).alias("lo"))
+        # two edges make a loop of their difference; an edge back to its node is one by itself
+        pair = F.array(*[F.col(f"hi.{s}") - F.col(f"lo.{s}") for s in STEPS])
+        back = F.array(*[F.when(F.col("lo.own") > 0, F.col(f"lo.{s}")).otherwise(-F.col(f"lo.{s}")) for s in STEPS])
+        loop = F.when(F.col("hi.own") != F.col("lo.own"), pair).when((F.col("u") == F.col("v")) & (F.col("lo.own") != 0), back)
+        return out.select("u", "v", *[F.col(f"s.{s}").alias(s) for s in STEPS], loop.alias("loop"), loop.isNotNull().alias("winds"))
 
     rounds = [materialize(paired(oriented(links.select(F.col("a").alias("u"), F.col("b").alias("v"), *STEPS))), "pairs")]
     mark = None
     for _ in range(max_rounds):
-        edges = rounds[-1].where("u <> v").drop("winds")
+        edges = rounds[-1].where("u <> v").drop("winds", "loop")
         seen = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if seen == mark:
             marks = None
             for pairs in rounds:
-                part = pairs.where("winds").select("u")
+                part = pairs.where("winds").select("u", "loop")
                 marks = part if marks is None else marks.unionByName(part)
             ends = [edges.select(F.col("u").alias("node"), F.col("v").alias("component")), edges.select(F.col("v").alias("node"), F.col("v").alias("component")), marks.select(F.col("u").alias("node"), F.col("u").alias("component"))]
             label = materialize(ends[0].unionByName(ends[1]).unionByName(ends[2]).groupBy("node").agg(F.min("component").alias("component")), "label")
-            wound = materialize(label.join(marks.distinct(), F.col("node") == F.col("u")).select("component").distinct(), "wound")
+            wound = materialize(label.join(marks, F.col("node") == F.col("u")).groupBy("component").agg(F.min("loop").alias("loop")), "wound")
             discard(*rounds)
             return label, wound
         mark = seen
@@ -112,11 +116,11 @@ def weighted_components(links: DataFrame, axis: int, max_rounds: int = 60) -> tu
     raise RuntimeError(f"components did not settle within {max_rounds} rounds")
 
 
-def _one_row(particles: DataFrame, percolates: bool, n_nodes: int, n_components: int, path: list[int] | None) -> DataFrame:
-    """As ``analyze_percolation`` returns it; a winding's steps aren't told."""
+def _one_row(particles: DataFrame, percolates: bool, n_nodes: int, n_components: int, path: list[int] | None, winding: list[int] | None = None) -> DataFrame:
+    """As ``analyze_percolation`` returns it."""
     spark = particles.sparkSession
     rid = particles.select("realization_id").limit(1).collect()
-    rows = [(r[0], percolates, n_nodes, n_components, path, None) for r in rid]
+    rows = [(r[0], percolates, n_nodes, n_components, path, winding) for r in rid]
     return spark.createDataFrame(rows, "realization_id long, percolates boolean, n_nodes long, n_components long, path array<int>, winding array<long>")
 
 
@@ -149,6 +153,6 @@ def winding_percolation(particles: DataFrame, domain: Domain, threshold: float,
     label, wound = weighted_components(links, axis)
     n = nodes.select("node").distinct().count()
     joined, count = label.agg(F.count("*"), F.countDistinct("component")).first()
-    winds = wound.limit(1).count() > 0
+    first = wound.orderBy("component").select("loop").first()
     discard(nodes, links, label)
-    return _one_row(particles, winds, n, n - joined + count, None)
+    return _one_row(particles, first is not None, n, n - joined + count, None, first and list(first[0]))

@@ -185,7 +185,12 @@ def analyze_percolation(
         return found.withColumn("path", F.transform("path", lambda n: F.element_at("__first", n))).drop("__first")
     if kind not in ("periodic_wrap", "wrap"):
         raise SetupError(f"unknown mode {mode!r}")
-    if not domain.periodic[k]:
+    return winding_links(particles, domain, threshold, k, method, policy).groupBy("realization_id").applyInPandas(_winding(k), RESULT)
+
+
+def winding_links(particles: DataFrame, domain: Domain, threshold: float, axis: int, method: str = "cell_list", policy: Policy = C.POLICY) -> DataFrame:
+    """Links of nodes with the lattice steps from a to b, loops of a node among them: ``realization_id, n_nodes, a, b, sx, sy, sz``."""
+    if not domain.periodic[axis]:
         raise SetupError("winding needs a periodic axis")
     if offset_problems(particles, domain).limit(1).count():
         raise SetupError("offsets must be stated for all fragments of a parent or none, and be zero along open axes")
@@ -196,8 +201,7 @@ def analyze_percolation(
     links = found.select("realization_id", F.col("ni").alias("a"), F.col("nj").alias("b"), *[(F.col(f"s{a}") + F.col(f"o{a}i") - F.col(f"o{a}j")).alias(f"s{a}") for a in "xyz"])
     loops = self_images(particles, domain, policy).select("realization_id", F.col("node").alias("a"), F.col("node").alias("b"), "sx", "sy", "sz")
     total = nodes.groupBy("realization_id").agg((F.max("node") + 1).alias("n_nodes"))
-    graph = total.join(links.unionByName(loops).distinct(), "realization_id", "left")
-    return graph.groupBy("realization_id").applyInPandas(_winding(k), RESULT)
+    return total.join(links.unionByName(loops).distinct(), "realization_id", "left")
 
 
 def components(particles: DataFrame, contacts: DataFrame) -> DataFrame:
@@ -243,23 +247,55 @@ def _first_count(rows: np.ndarray, n: int, grid: list[int]) -> int | None:
     return None
 
 
-def nested_first_counts(links: DataFrame, grid: list[int]) -> DataFrame:
+def _first_winding(rows: np.ndarray, grid: list[int]) -> int | None:
+    """The first index of the grid whose prefix of nodes has a loop with a step along the axis; rows are (a, b, step), b lies at a plus the step."""
+    root, step = {}, {}  # the way from a node to its root, in steps
+
+    def find(x: int) -> tuple[int, int]:
+        way, total = [], 0
+        while root.setdefault(x, x) != x:
+            way.append((x, total))
+            total += step[x]
+            x = root[x]
+        for y, before in way:
+            root[y], step[y] = x, total - before
+        return x, total
+
+    age = rows[:, :2].max(axis=1) + 1 if len(rows) else np.zeros(0, int)
+    order, at = np.argsort(age, kind="stable"), 0
+    for g, count in enumerate(grid):
+        while at < len(order) and age[order[at]] <= count:
+            a, b, s = rows[order[at]].tolist()
+            (p, u), (q, v) = find(a), find(b)
+            # positions: a = p - u, b = q - v; the link asks for b = a + s
+            if p == q:
+                if v - u != -s:
+                    return g
+            else:
+                root[p], step[p] = q, v - u + s
+            at += 1
+    return None
+
+
+def nested_first_counts(links: DataFrame, grid: list[int], axis: int | None = None) -> DataFrame:
     """``(realization_id, first)``: the first index of the grid whose prefix of particles joins the faces, else null.
 
-    A link exists from the prefix on that holds both ends; smaller prefixes are kept in one pass over links by age. Many realizations
+    With an ``axis``, ``links`` have steps, and the prefix winds along it. A link exists from the prefix on that holds both ends; smaller prefixes are kept in one pass over links by age. Many realizations
     share a call.
     """
     parts = 8 * int(links.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    columns = ["a", "b"] if axis is None else ["a", "b", f"s{G.AXES[axis]}"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("realization_id", kind="stable")
-        rid, n, ends = pdf["realization_id"].to_numpy(), pdf["n_nodes"].to_numpy(), pdf[["a", "b"]].to_numpy(float)
+        rid, n, ends = pdf["realization_id"].to_numpy(), pdf["n_nodes"].to_numpy(), pdf[columns].to_numpy(float)
         cuts = np.flatnonzero(np.r_[True, rid[1:] != rid[:-1], True])
         out = []
         for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             rows = ends[lo:hi]
-            out.append(_first_count(rows[~np.isnan(rows).any(axis=1)].astype(int), int(n[lo]), grid))
+            rows = rows[~np.isnan(rows).any(axis=1)].astype(int)
+            out.append(_first_count(rows, int(n[lo]), grid) if axis is None else _first_winding(rows, grid))
         return pd.DataFrame({"realization_id": rid[cuts[:-1]], "first": pd.array(out, "Int64")})
 
-    rows = links.select("realization_id", "n_nodes", "a", "b").withColumn("__part", F.pmod(F.xxhash64("realization_id"), F.lit(parts)))
+    rows = links.select("realization_id", "n_nodes", *columns).withColumn("__part", F.pmod(F.xxhash64("realization_id"), F.lit(parts)))
     return rows.groupBy("__part").applyInPandas(run, "realization_id long, first long")

@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 from porespan.functions import convex
 from porespan.functions import geometry as G
 from porespan.functions import stats
+from porespan.functions.registered import register
+from porespan.functions.sums import exact_sums
 from porespan.operators import contacts as C
 from porespan.operators import percolation as P
 from porespan.operators import transport as T
 from porespan.plans import workflows as W
 from porespan.policy import Domain
-from porespan.sources.particles import Population, embedding_particles
+from porespan.sources.particles import Population, checked, embedding_particles
 
 WIDE, BOX = Domain(16.0), Domain(8.0, (True, True, True))
 THRESHOLD = 0.1
@@ -494,10 +496,70 @@ def q_conductivity_mc(spark, sf_dir):
 
 
 def q_link_fits(spark, sf_dir):
-    rows = {k: (n, s) for k, n, s in _table(spark, sf_dir, "part").groupBy("p_size").agg(F.count("*"), F.count_if(F.col("p_retailprice") > 20 * F.col("p_size") + 700)).collect()}
-    x = sorted(rows)
-    fits = [stats.fit_link(x, [rows[v][0] - rows[v][1] for v in x], [rows[v][0] for v in x], k) for k in ("logistic", "probit")]
-    return spark.createDataFrame([{k: v for k, v in f.items() if k != "fitted"} for f in fits])
+    """A logistic curve of each brand: how likely the size of a part exceeds a threshold that its key draws."""
+    rows = _table(spark, sf_dir, "part").select("p_brand", "p_size", (F.col("p_partkey") * 37 % 50 < F.col("p_size")).cast("int").alias("hit"), F.lit(1).alias("one"))
+    fits = stats.fit_links(rows, ["p_brand"], "p_size", "hit", "one")
+    slope = F.col("slope") / F.col("x_scale")
+    return fits.select("p_brand", F.col("trials").cast("long").alias("trials"), _r(F.col("intercept") - slope * F.col("x_center"), 5).alias("intercept"), _r(slope, 5).alias("slope"), _r(F.col("log_likelihood"), 5).alias("log_likelihood"), "converged")
+
+
+def _newton_sql(rounds: int) -> str:
+    """Newton's steps of logistic fits by brand, one table expression a step, on sizes moved and scaled to about -1 to 1."""
+    steps = ["w0 as (select p_brand, 0.0::double as a, 0.0::double as b from d group by 1)"]
+    for k in range(1, rounds + 1):
+        steps.append(f"""s{k} as (select d.p_brand, a, b, sum(y - p) as g0, sum((y - p) * x) as g1, sum(p * (1 - p)) as h0, sum(p * (1 - p) * x) as h1, sum(p * (1 - p) * x * x) as h2
+ from (select d.*, a, b, 1 / (1 + exp(-a - b * x)) as p from d join w{k - 1} using (p_brand)) d group by 1, 2, 3),
+w{k} as (select p_brand, a + (h2 * g0 - h1 * g1) / (h0 * h2 - h1 * h1) as a, b + (h0 * g1 - h1 * g0) / (h0 * h2 - h1 * h1) as b from s{k})""")
+    return ", ".join(steps)
+
+
+S_LINKS = "with d as (select p_brand, (p_size - 25) / 25.0::double as x, case when p_partkey * 37 % 50 < p_size then 1.0 else 0.0 end::double as y from part), " + _newton_sql(12) + """
+select p_brand, count(*) as trials, round(any_value(a - b), 5) as intercept, round(any_value(b / 25), 5) as slope, round(sum(case when y > 0 then -ln(1 + exp(-a - b * x)) else -ln(1 + exp(a + b * x)) end), 5) as log_likelihood, true as converged
+from d join w12 using (p_brand) group by 1"""
+
+
+def q_exact_sums(spark, sf_dir):
+    """By supplier: huge prices that cancel and tiny quantities that stay, exactly and in plain order of rows."""
+    rows = _table(spark, sf_dir, "lineitem")
+    x = F.explode(F.array(F.col("l_extendedprice") * 1e12, F.col("l_quantity") / 1048576, -F.col("l_extendedprice") * 1e12)).alias("x")
+    return exact_sums(rows.select("l_suppkey", x), ["l_suppkey"], {"total": F.col("x")})
+
+
+S_EXACT = "select l_suppkey, sum(l_quantity) / 1048576 as total from lineitem group by 1"
+
+
+def q_oblique_cylinders(spark, sf_dir):
+    """Slender cylinders of each part above one along x, at an angle, through the contact join: SQL has the axes' distance."""
+    part = _table(spark, sf_dir, "part").where("p_size is not null and p_retailprice is not null")
+    angle = F.lit(0.001) + F.col("p_size") / 100
+    side = lambda k, u, z, length, r: part.select(
+        F.col("p_partkey").cast("long").alias("realization_id"), F.lit(k).alias("idx"), F.lit("cylinder").alias("shape"), F.lit(0.0).alias("cx"), F.lit(0.0).alias("cy"), z.alias("cz"),
+        *[v.alias(f"u{a}") for v, a in zip(u, "xyz", strict=True)], F.lit(length).alias("length"), r.alias("radius"),
+    )
+    z = F.col("p_retailprice") / 1000
+    rows = side(0, (F.lit(1.0), F.lit(0.0), F.lit(0.0)), F.lit(0.0), 1e6, F.lit(0.25)).unionByName(side(1, (F.cos(angle), F.sin(angle), F.lit(0.0)), z, 1e5, F.col("p_size") / 100))
+    found = C.cell_contacts(checked(rows), Domain(4e6), 1.0)
+    return found.select(F.col("realization_id").alias("p_partkey"), _r(F.col("gap")).alias("gap"))
+
+
+S_OBLIQUE = "select p_partkey, round(greatest(p_retailprice / 1000 - 0.25 - p_size / 100, 0), 6) as gap from part where p_retailprice / 1000 - 0.25 - p_size / 100 <= 1.0 + 1e-6"
+
+
+def q_periodic_contacts_sql(spark, sf_dir):
+    """The periodic contacts in SQL: images by the table function, an equi-join on cells of the greatest reach, gaps by the session's functions."""
+    register(spark)
+    embedding_particles(spark, sf_dir).createOrReplaceTempView("porespan_particles")
+    return spark.sql("""
+      with p as (select idx, radius, cx, cy, cz, lattice_step(cx, -4D, 8D) as qx, lattice_step(cy, -4D, 8D) as qy, lattice_step(cz, -4D, 8D) as qz from porespan_particles),
+      w as (select *, wrapped(cx, -4D, 8D) as x, wrapped(cy, -4D, 8D) as y, wrapped(cz, -4D, 8D) as z from p),
+      near as (select w.*, k.*, x + kx * 8D as ix, y + ky * 8D as iy, z + kz * 8D as iz
+               from w, lateral lattice_images(x, radius, -4D, 8D, y, radius, -4D, 8D, z, radius, -4D, 8D, 0.9D) k),
+      cells as (select *, floor(x / 1.75D) as gx, floor(y / 1.75D) as gy, floor(z / 1.75D) as gz from w),
+      around as (select near.*, floor(ix / 1.75D) + a.d as gx, floor(iy / 1.75D) + b.d as gy, floor(iz / 1.75D) + c.d as gz
+                 from near lateral view explode(array(-1, 0, 1)) a as d lateral view explode(array(-1, 0, 1)) b as d lateral view explode(array(-1, 0, 1)) c as d),
+      pairs as (select i.idx as i, j.idx as j, j.kx + j.qx - i.qx as sx, j.ky + j.qy - i.qy as sy, j.kz + j.qz - i.qz as sz, sphere_gap(i.x, i.y, i.z, i.radius, j.ix, j.iy, j.iz, j.radius) as gap
+                from cells i join around j on i.gx = j.gx and i.gy = j.gy and i.gz = j.gz and i.idx < j.idx)
+      select i, j, sx, sy, sz, round(gap, 6) + 0D as gap from pairs where gap <= 0.1D + contact_tolerance(1D)""")
 
 
 def q_validation(spark, sf_dir):
@@ -515,8 +577,9 @@ _SQL = {
     q_spanning_depth: S_DEPTH, q_logical_nodes: S_NODES, q_conductances: S_CONDUCTANCES, q_series_parallel: S_SERIES, q_series_networks: S_SERIES_NETWORKS, q_binomial_estimate: S_BINOMIAL, q_isotonic: S_ISOTONIC,
     q_mean_se: S_MEAN, q_quartiles: S_QUARTILES, q_nested_search: S_NESTED, q_mixture_candidates: S_MIXTURE, q_percolation: S_PERCOLATION, q_winding: S_WINDING, q_clopper_pearson: S_CLOPPER,
     q_mc_probability: S_PROBABILITY, q_critical_loading: S_CRITICAL, q_cylinder_gaps: S_CYLINDERS, q_segment_gaps: S_SEGMENTS, q_validation: S_VALIDATION,
+    q_link_fits: S_LINKS, q_exact_sums: S_EXACT, q_oblique_cylinders: S_OBLIQUE, q_periodic_contacts_sql: S_PERIODIC_CONTACTS,
 }
-_ROWS_ONLY = (q_directional_sigma, q_optimize_mixture, q_conductivity_mc, q_link_fits)
+_ROWS_ONLY = (q_directional_sigma, q_optimize_mixture, q_conductivity_mc)
 
 
 def _name(f) -> str:

@@ -144,7 +144,7 @@ def probability(spark: SparkSession, model: TrialEvaluator, populations: list[Po
 def nested_successes(spark: SparkSession, model: TrialEvaluator, variable: Population, fixed: list[Population], grid: list[int], trials: int, entropy: Entropy, key: tuple[int, ...] = ()) -> list[int]:
     """Trials that percolate at each count of the grid; counts of a trial are prefixes of one realization.
 
-    After a trial's first success greater counts are taken as successes. Other evaluators than a face-to-face ``Model`` look at the counts one after the
+    After a trial's first success greater counts are taken as successes. A ``Model``'s links, face to face or winding, are searched once and taken by age; other evaluators look at the counts one after the
     other, each at the trials that are still open.
     """
     top = [*fixed, variable.of(grid[-1])]
@@ -155,6 +155,9 @@ def nested_successes(spark: SparkSession, model: TrialEvaluator, variable: Popul
     if isinstance(model, Model) and model.mode.replace("-", "_").lower() == "face_to_face":
         links = P.face_links(particles, model.domain, model.threshold, axis_number(model.axis), model.wrapped_parent, model.method, POLICY)
         first = P.nested_first_counts(links, [base + c for c in grid])
+    elif isinstance(model, Model):
+        k = axis_number(model.axis)
+        first = P.nested_first_counts(P.winding_links(particles, model.domain, model.threshold, k, model.method, POLICY), [base + c for c in grid], k)
     else:
         first, done = None, []
         for g, count in enumerate(grid):

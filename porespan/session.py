@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
 import weakref
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT = "spark.checkpoint.dir"
+BATCHES, ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 _own: dict[str, str] = {}
 _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
@@ -51,11 +54,23 @@ def scratch_path(spark: SparkSession, name: str = "t") -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Plans that are made here pass rows to Python in batches of ``ARROW_BYTES``: both sides hold some of them at a time, and keep what they once took."""
+    before = spark.conf.get(BATCHES, None)
+    spark.conf.set(BATCHES, ARROW_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.unset(BATCHES) if before is None else spark.conf.set(BATCHES, before)
+
+
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back, so that its lineage ends there."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[out] = path
     return out

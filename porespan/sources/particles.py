@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -11,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from porespan.functions import geometry as G
+from porespan.functions.sums import exact_sums
 from porespan.policy import Domain, SetupError, real, whole
 
 SCHEMA = (
@@ -52,8 +55,18 @@ def populations_of(specs: Population | Sequence[Population], counts: int | Seque
 
 
 def volume_fraction(populations: list[Population], domain: Domain) -> float:
-    """Overlaps are not subtracted."""
-    return sum(p.count * p.volume for p in populations) / domain.volume
+    """Overlaps are not subtracted; the sum is exact and rounded once."""
+    total = sum((p.count * Fraction(p.volume) for p in populations), Fraction(0)) / math.prod(map(Fraction, domain.size))
+    try:
+        return float(total)
+    except OverflowError as e:
+        raise SetupError("the volume fraction is beyond the range of doubles") from e
+
+
+def total_volumes(particles: DataFrame, domain: Domain, keys: tuple[str, ...] = ("realization_id",)) -> DataFrame:
+    """``volume`` and ``fraction`` of the bodies of each key, overlaps not subtracted: sums rounded once, whatever the order of rows."""
+    body = F.when(F.col("shape") == "sphere", G.sphere_volume(F.col("radius"))).otherwise(G.cylinder_volume(F.col("radius"), F.col("length")))
+    return exact_sums(particles, list(keys), {"volume": body}).withColumn("fraction", F.col("volume") / F.lit(domain.volume))
 
 
 def checked(particles: DataFrame) -> DataFrame:
