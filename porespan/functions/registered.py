@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
+from pyspark.sql import types as T
 from pyspark.sql.functions import udtf
 
 from porespan.policy import MAX_IMAGES
@@ -28,7 +29,7 @@ SQL_FUNCTIONS = [
 ]
 
 
-@udtf(returnType="kx bigint, ky bigint, kz bigint")
+@udtf(returnType=T.StructType([T.StructField(f"k{a}", T.LongType()) for a in "xyz"]))
 class LatticeImages:
     """Steps of all images of a box (centre c, half width e, by axis) that reach into the base cell widened by pad; an open axis has size null and no steps."""
 

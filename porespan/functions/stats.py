@@ -294,7 +294,7 @@ def fit_link(x: list[float], successes: list[int], trials: list[int], link: str
     return {"link": link, "intercept": float(w[0]), "slope": float(w[1]), "log_likelihood": best, "aic": 4 - 2 * best, "bic": 2 * math.log(n.sum()) - 2 * best, "converged": bool(converged), "x_center": float(center), "x_scale": float(scale), "fitted": cdf(w[0] + w[1] * z).tolist()}
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(T.DoubleType())
 def _normal(x: pa.Array) -> pa.Array:
     return pa.array([0.5 * math.erfc(-v / math.sqrt(2)) for v in x.to_pylist()], pa.float64())
 

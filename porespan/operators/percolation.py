@@ -8,6 +8,7 @@ components, paths and windings are found by rounds of joins (``operators.large``
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -52,12 +53,29 @@ def _numbered_nodes(particles: DataFrame) -> DataFrame:
     return named.join(numbered, ["realization_id", "first"]).select("realization_id", "idx", "node", "first")
 
 
-def _face(pdf: pd.DataFrame) -> pd.DataFrame:
+def _decided(graph: DataFrame, columns: list[str], decide: Callable[[int, np.ndarray], tuple]) -> DataFrame:
+    """``RESULT`` rows of ``decide(n_nodes, rows of the columns)`` for each realization's links; many realizations share a call."""
+    parts = 8 * int(graph.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    names = [c.split()[0] for c in RESULT.split(", ")]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("realization_id", kind="stable")
+        rid, n, values = pdf["realization_id"].to_numpy(), pdf["n_nodes"].to_numpy(), pdf[columns].to_numpy(float)
+        cuts = np.flatnonzero(np.r_[True, rid[1:] != rid[:-1], True])
+        out = []
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            rows = values[lo:hi]
+            out.append((int(rid[lo]), *decide(int(n[lo]), rows[~np.isnan(rows).any(axis=1)].astype(int))))
+        return pd.DataFrame(out, columns=names)
+
+    rows = graph.select("realization_id", "n_nodes", *columns).withColumn("__part", F.pmod(F.xxhash64("realization_id"), F.lit(parts)))
+    return rows.groupBy("__part").applyInPandas(run, RESULT)
+
+
+def _face(n: int, rows: np.ndarray) -> tuple:
     """Breadth first from the lower face over nodes in ascending order; counts components without the faces."""
-    rid, n = int(pdf["realization_id"].iloc[0]), int(pdf["n_nodes"].iloc[0])
-    a, b = pdf["a"].dropna().astype(int), pdf["b"].dropna().astype(int)
     near: list[set[int]] = [set() for _ in range(n + 2)]
-    for x, y in zip(a, b, strict=True):
+    for x, y in rows.tolist():
         near[x].add(y)
         near[y].add(x)
     seen, count = np.zeros(n + 2, bool), 0
@@ -82,7 +100,7 @@ def _face(pdf: pd.DataFrame) -> pd.DataFrame:
         while x != n:
             path.append(x)
             x = before[x]
-    return pd.DataFrame({"realization_id": [rid], "percolates": [n + 1 in before], "n_nodes": [n], "n_components": [count], "path": [path[::-1]], "winding": [None]})
+    return n + 1 in before, n, count, path[::-1], None
 
 
 def face_links(particles: DataFrame, domain: Domain, threshold: float, axis: int, wrapped_parent: bool, method: str, policy: Policy) -> DataFrame:
@@ -99,13 +117,11 @@ def face_links(particles: DataFrame, domain: Domain, threshold: float, axis: int
     return total.join(links, "realization_id", "left")
 
 
-def _winding(axis: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+def _winding(axis: int) -> Callable[[int, np.ndarray], tuple]:
+    def decide(n: int, rows: np.ndarray) -> tuple:
         """Lattice potentials from a spanning forest; an edge that closes a loop with a step along the axis winds."""
-        rid, n = int(pdf["realization_id"].iloc[0]), int(pdf["n_nodes"].iloc[0])
-        edges = [tuple(int(v) for v in r) for r in pdf[["a", "b", "sx", "sy", "sz"]].dropna().itertuples(index=False)]
         near: dict[int, list[tuple[int, tuple[int, ...]]]] = {}
-        for a, b, *s in sorted(edges):
+        for a, b, *s in sorted(rows.tolist()):
             near.setdefault(a, []).append((b, tuple(s)))
             near.setdefault(b, []).append((a, tuple(-v for v in s)))
         at, count, winding = {}, 0, None
@@ -124,9 +140,9 @@ def _winding(axis: int):
                     elif winding is None and here[axis] != at[y][axis]:
                         loop = [p - q for p, q in zip(here, at[y], strict=True)]
                         winding = [v if loop[axis] > 0 else -v for v in loop]
-        return pd.DataFrame({"realization_id": [rid], "percolates": [winding is not None], "n_nodes": [n], "n_components": [count], "path": [None], "winding": [winding]})
+        return winding is not None, n, count, None, winding
 
-    return run
+    return decide
 
 
 def self_images(particles: DataFrame, domain: Domain, policy: Policy, nodes: DataFrame | None = None) -> DataFrame:
@@ -179,13 +195,13 @@ def analyze_percolation(
         if kind in ("periodic_wrap", "wrap"):
             return L.winding_percolation(particles, domain, threshold, k, method, policy)
     if kind == "face_to_face":
-        found = face_links(particles, domain, threshold, k, wrapped_parent, method, policy).groupBy("realization_id").applyInPandas(_face, RESULT)
+        found = _decided(face_links(particles, domain, threshold, k, wrapped_parent, method, policy), ["a", "b"], _face)
         first = logical_nodes(particles).groupBy("realization_id").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("node", "first")))).alias("__first"))
         found = found.join(first, "realization_id")
         return found.withColumn("path", F.transform("path", lambda n: F.element_at("__first", n))).drop("__first")
     if kind not in ("periodic_wrap", "wrap"):
         raise SetupError(f"unknown mode {mode!r}")
-    return winding_links(particles, domain, threshold, k, method, policy).groupBy("realization_id").applyInPandas(_winding(k), RESULT)
+    return _decided(winding_links(particles, domain, threshold, k, method, policy), ["a", "b", "sx", "sy", "sz"], _winding(k))
 
 
 def winding_links(particles: DataFrame, domain: Domain, threshold: float, axis: int, method: str = "cell_list", policy: Policy = C.POLICY) -> DataFrame:

@@ -472,6 +472,55 @@ def q_mc_probability(spark, sf_dir):
 S_PROBABILITY = "select 97::bigint as successes, 160::bigint as trials, 97 / 160.0::double as probability, round(0.5148766235291948::double, 9) as exact_low, round(0.6925569221422904::double, 9) as exact_high, round(0.5260253753741739::double, 9) as lower_bound, round(0.6824621318191664::double, 9) as upper_bound"
 
 
+#: The lines of an order are spheres along x in a box of 10, at a fifth of their quantity.
+LINE_BOX = Domain(10.0, (False, False, False), (5.0, 0.0, 0.0))
+LINES = """l as (select l_orderkey as o, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) - 1 as idx, l_quantity / 5 as x from lineitem where l_quantity is not null)"""
+_JOINED = "min(x) - 1.0 <= 0.5 and 10 - max(x) - 1.0 <= 0.5 and coalesce(max(x - px), 0) - 2.0 <= 0.5"
+
+
+def _line_particles(spark, sf_dir) -> DataFrame:
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    rows = _table(spark, sf_dir, "lineitem").where("l_quantity is not null").select(
+        F.col("l_orderkey").cast("long").alias("realization_id"), (F.row_number().over(order) - 1).alias("idx"), (F.col("l_quantity") / 5).alias("cx"), F.lit(0.0).alias("cy"), F.lit(0.0).alias("cz"), F.lit(1.0).alias("radius")
+    )
+    return checked(rows)
+
+
+def q_order_percolation(spark, sf_dir):
+    """How likely the lines of an order join both faces of their box, by priority of the order."""
+    groups = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("realization_id"), "o_orderpriority")
+    found = W.probabilities(_line_particles(spark, sf_dir), W.Model(LINE_BOX, 0.5), groups, ["o_orderpriority"])
+    return found.select("o_orderpriority", "successes", "trials", *[_r(F.col(c), 9).alias(c) for c in ("probability", "wilson_low", "wilson_high")])
+
+
+S_ORDERS = "with " + LINES + ", g as (select o, x, lag(x) over (partition by o order by x) as px from l), s as (select o, " + _JOINED + """ as ok from g group by o),
+c as (select o_orderpriority, count(*) filter (coalesce(ok, false)) as k, count(*) as n from orders left join s on o_orderkey = o group by 1), z as (select *, k / n::double as p, 1.959963984540054 as q from c)
+select o_orderpriority, k as successes, n as trials, round(p, 9) as probability,
+ round(case when k = 0 then 0 else (p + q * q / (2 * n)) / (1 + q * q / n) - q / (1 + q * q / n) * sqrt(p * (1 - p) / n + q * q / (4 * n * n)) end, 9) as wilson_low,
+ round(case when k = n then 1 else (p + q * q / (2 * n)) / (1 + q * q / n) + q / (1 + q * q / n) * sqrt(p * (1 - p) / n + q * q / (4 * n * n)) end, 9) as wilson_high from z"""
+
+
+def q_order_loading(spark, sf_dir):
+    """The least number of first lines from which on a twentieth of the orders join: searched in orders of odd keys, certified in those of even ones."""
+    p = _line_particles(spark, sf_dir)
+    odd = F.col("realization_id") % 2 == 1
+    r = W.critical_prefix(p.where(odd), p.where(~odd), W.Model(LINE_BOX, 0.5), [1, 2, 3, 4, 5, 6, 7], target=0.05)
+    rows = [(r["status"], r["critical_count"], phase, s["count"], s["successes"], s["trials"]) for phase in ("search", "certification") for s in r[phase]]
+    return spark.createDataFrame(rows, "status string, critical_count long, phase string, count long, successes long, trials long")
+
+
+#: A bound of an exact interval lies beyond the target if the binomial tail at the target is small enough.
+S_LOADING = "with " + LINES + """, c as (select unnest([1, 2, 3, 4, 5, 6, 7]) as c), g as (select o, c, x, lag(x) over (partition by o, c order by x) as px from l join c on idx < c),
+s as (select o % 2 as odd, o, c, """ + _JOINED + """ as ok from g group by o, c), h as (select odd, c, count(*) filter (ok) as k, count(*) as n from s group by 1, 2),
+f as (select min(c) filter (odd = 1 and k / n::double >= 0.05) as crit from h),
+t as (select c, k, n from h, f where odd = 0 and (c = coalesce(crit, 7) or (crit > 1 and c = crit - 1))),
+m as (select count(*) as m from t),
+tails as (select c, sum(p) filter (i >= k) as up, sum(p) filter (i <= k) as down from (select c, k, n, i, exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.05) + (n - i) * ln(0.95)) as p from t, unnest(range(n + 1)) u(i)) group by c),
+d as (select coalesce(bool_and(up <= 0.05 / m) filter (c = crit), false) and coalesce(bool_and(down < 0.05 / m) filter (c < crit), true) as sure, coalesce(bool_and(down < 0.05 / m), false) as below from tails, f, m)
+select case when crit is null then case when below then 'NO_CROSSING' else 'INCONCLUSIVE' end when sure then 'CERTIFIED' else 'INCONCLUSIVE' end as status, crit::bigint as critical_count, phase, c::bigint as count, k as successes, n as trials
+from (select 'search' as phase, c, k, n from h where odd = 1 union all select 'certification', c, k, n from t), f, d"""
+
+
 def q_critical_loading(spark, sf_dir):
     """The recorded search and certification over seven counts."""
     model = W.Model(Domain(10.0, (False, True, True)), 0.2)
@@ -577,7 +626,7 @@ _SQL = {
     q_spanning_depth: S_DEPTH, q_logical_nodes: S_NODES, q_conductances: S_CONDUCTANCES, q_series_parallel: S_SERIES, q_series_networks: S_SERIES_NETWORKS, q_binomial_estimate: S_BINOMIAL, q_isotonic: S_ISOTONIC,
     q_mean_se: S_MEAN, q_quartiles: S_QUARTILES, q_nested_search: S_NESTED, q_mixture_candidates: S_MIXTURE, q_percolation: S_PERCOLATION, q_winding: S_WINDING, q_clopper_pearson: S_CLOPPER,
     q_mc_probability: S_PROBABILITY, q_critical_loading: S_CRITICAL, q_cylinder_gaps: S_CYLINDERS, q_segment_gaps: S_SEGMENTS, q_validation: S_VALIDATION,
-    q_link_fits: S_LINKS, q_exact_sums: S_EXACT, q_oblique_cylinders: S_OBLIQUE, q_periodic_contacts_sql: S_PERIODIC_CONTACTS,
+    q_order_percolation: S_ORDERS, q_order_loading: S_LOADING, q_link_fits: S_LINKS, q_exact_sums: S_EXACT, q_oblique_cylinders: S_OBLIQUE, q_periodic_contacts_sql: S_PERIODIC_CONTACTS,
 }
 _ROWS_ONLY = (q_directional_sigma, q_optimize_mixture, q_conductivity_mc)
 

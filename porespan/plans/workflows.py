@@ -5,7 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 import secrets
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
 from typing import Protocol
 
@@ -170,35 +170,80 @@ def nested_successes(spark: SparkSession, model: TrialEvaluator, variable: Popul
     return list(itertools.accumulate(hits.get(g, 0) for g in range(len(grid))))
 
 
-def critical_loading(
-    spark: SparkSession, model: TrialEvaluator, variable: Population, grid: list[int], fixed: list[Population] = (), target: float = 0.9, search_trials: int = 1000, certification_trials: int = 5000,
-    confidence: float = 0.95, strategy: str = "pava", seed: Seed = None,
-) -> dict:
-    """The least count that reaches the target: a search, and certification with independent trials."""
-    grid, fixed = list(grid), list(fixed)
-    if not grid or len(grid) > MAX_GRID or any(b <= a for a, b in zip(grid, grid[1:], strict=False)) or grid[0] < 0:
-        raise SetupError("the grid must rise strictly")
-    if not 0 < target < 1 or not 0 < confidence < 1:
-        raise SetupError("target and confidence must lie between 0 and 1")
-    entropy, key = seed_of(seed)
-    hits = nested_successes(spark, model, variable, fixed, grid, _positive(search_trials, "search_trials"), entropy, key)
+def _critical(grid: list[int], hits: list[int], trials: int, certify: Callable[[list[int]], tuple[list[int], int]], target: float, confidence: float, strategy: str) -> dict:
+    """The decision from the successes at each count of the grid; ``certify`` gives those of independent trials at one or two counts, and their number."""
     if strategy == "pava":
-        fitted = stats.pava([k / search_trials for k in hits], [search_trials] * len(grid)).tolist()
+        fitted = stats.pava([k / trials for k in hits], [trials] * len(grid)).tolist()
     else:
-        fitted = stats.fit_link(grid, hits, [search_trials] * len(grid), strategy)["fitted"]
+        fitted = stats.fit_link(grid, hits, [trials] * len(grid), strategy)["fitted"]
     at = next((i for i, p in enumerate(fitted) if p >= target), None)
     certified = [grid[-1]] if at is None else [grid[0]] if at == 0 else grid[at - 1 : at + 1]
     level = stats.bonferroni(confidence, len(certified))
-    designs = [[*(p.count for p in fixed), c] for c in certified]
-    again = design_successes(spark, model, [*fixed, variable], designs, certification_trials, entropy, [(*key, 1, b) for b in range(len(certified))])
-    rows = [estimate(k, certification_trials, level) | {"count": c} for k, c in zip(again, certified, strict=True)]
+    again, n = certify(certified)
+    rows = [estimate(k, n, level) | {"count": c} for k, c in zip(again, certified, strict=True)]
     if at is None:
         status = "NO_CROSSING" if rows[-1]["upper_bound"] < target else "INCONCLUSIVE"
     else:
         status = "CERTIFIED" if rows[-1]["lower_bound"] >= target and (at == 0 or rows[0]["upper_bound"] < target) else "INCONCLUSIVE"
-    count = None if at is None else grid[at]
-    search = [estimate(k, search_trials, confidence) | {"count": c, "fitted": p} for c, k, p in zip(grid, hits, fitted, strict=True)]
-    return {"status": status, "critical_count": count, "volume_fraction": None if count is None else volume_fraction([*fixed, variable.of(count)], model.domain), "target": target, "confidence": confidence, "per_comparison": level, "strategy": strategy, "search": search, "certification": rows, "seed": seed_label((entropy, key))}
+    search = [estimate(k, trials, confidence) | {"count": c, "fitted": p} for c, k, p in zip(grid, hits, fitted, strict=True)]
+    return {"status": status, "critical_count": None if at is None else grid[at], "target": target, "confidence": confidence, "per_comparison": level, "strategy": strategy, "search": search, "certification": rows}
+
+
+def _checked_grid(grid: Iterable[int], target: float, confidence: float) -> list[int]:
+    grid = list(grid)
+    if not grid or len(grid) > MAX_GRID or any(b <= a for a, b in zip(grid, grid[1:], strict=False)) or grid[0] < 0:
+        raise SetupError("the grid must rise strictly")
+    if not 0 < target < 1 or not 0 < confidence < 1:
+        raise SetupError("target and confidence must lie between 0 and 1")
+    return grid
+
+
+def critical_loading(
+    spark: SparkSession, model: TrialEvaluator, variable: Population, grid: list[int], fixed: list[Population] = (), target: float = 0.9, search_trials: int = 1000, certification_trials: int = 5000,
+    confidence: float = 0.95, strategy: str = "pava", seed: Seed = None,
+) -> dict:
+    """The least count that reaches the target: a search, and certification with independent trials."""
+    grid, fixed = _checked_grid(grid, target, confidence), list(fixed)
+    entropy, key = seed_of(seed)
+    hits = nested_successes(spark, model, variable, fixed, grid, _positive(search_trials, "search_trials"), entropy, key)
+
+    def certify(counts: list[int]) -> tuple[list[int], int]:
+        designs = [[*(p.count for p in fixed), c] for c in counts]
+        return design_successes(spark, model, [*fixed, variable], designs, certification_trials, entropy, [(*key, 1, b) for b in range(len(counts))]), certification_trials
+
+    found = _critical(grid, hits, search_trials, certify, target, confidence, strategy)
+    count = found["critical_count"]
+    return found | {"volume_fraction": None if count is None else volume_fraction([*fixed, variable.of(count)], model.domain), "seed": seed_label((entropy, key))}
+
+
+def critical_prefix(search: DataFrame, certification: DataFrame, model: Model, grid: list[int], target: float = 0.9, confidence: float = 0.95, strategy: str = "pava") -> dict:
+    """The same decision for trials that are given as tables of particles: the least number of a realization's first particles that reaches the target.
+
+    Particles are numbered from 0 in each realization; ``certification`` holds other realizations than ``search``. Both are read as whole tables, one pass each.
+    """
+    grid = _checked_grid(grid, target, confidence)
+    axis = axis_number(model.axis)
+
+    def successes_at(particles: DataFrame, counts: list[int]) -> tuple[list[int], int]:
+        particles = materialize(particles, "trials")
+        if model.mode.replace("-", "_").lower() == "face_to_face":
+            first = P.nested_first_counts(P.face_links(particles, model.domain, model.threshold, axis, model.wrapped_parent, model.method, POLICY), counts)
+        else:
+            first = P.nested_first_counts(P.winding_links(particles, model.domain, model.threshold, axis, model.method, POLICY), counts, axis)
+        hits = {r["first"]: r["n"] for r in first.groupBy("first").agg(F.count("*").alias("n")).collect()}
+        discard(particles)
+        return list(itertools.accumulate(hits.get(g, 0) for g in range(len(counts)))), sum(hits.values())
+
+    hits, trials = successes_at(search, grid)
+    return _critical(grid, hits, _positive(trials, "realizations"), lambda counts: successes_at(certification, counts), target, confidence, strategy)
+
+
+def probabilities(particles: DataFrame, model: TrialEvaluator, groups: DataFrame, keys: list[str], confidence: float = 0.95) -> DataFrame:
+    """``keys, successes, trials, probability, wilson_low, wilson_high``: how many of the realizations ``groups (realization_id, keys)`` percolate. Those without particles don't."""
+    found = groups.join(model.outcomes(particles), "realization_id", "left")
+    rows = found.groupBy(*keys).agg(F.count_if("percolates").alias("successes"), F.count("*").alias("trials"))
+    low, high = stats.wilson(F.col("successes"), F.col("trials"), confidence)
+    return rows.withColumns({"probability": F.col("successes") / F.col("trials"), "wilson_low": low, "wilson_high": high})
 
 
 # ---------------------------------------------------------------- mixture design

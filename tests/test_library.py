@@ -6,8 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from porespan.functions import convex, stats
+from porespan.functions import convex, stats, sums
 from porespan.functions import geometry as G
+from porespan.functions.registered import register
 from porespan.operators import contacts as C
 from porespan.operators import percolation as P
 from porespan.operators import transport as T
@@ -191,11 +192,13 @@ def test_large_realizations_as_small_ones(spark):
             assert (one.percolates, one.n_nodes, one.n_components, len(one.path)) == (two.percolates, two.n_nodes, two.n_components, len(two.path))
             one, two = (P.analyze_percolation(p, Domain(8.0, True), 0.05, axis, "periodic_wrap", large=x).first() for x in (False, True))
             assert (one.percolates, one.n_nodes, one.n_components) == (two.percolates, two.n_nodes, two.n_components)
+            assert (two.winding[axis] > 0) if two.percolates else two.winding is None
         assert sorted(map(tuple, P.logical_nodes(p).collect())) == sorted(map(tuple, P.logical_nodes(p, large=True).collect()))
         p.unpersist()
     d = Domain(10.0, True)
     for xs, winds in (((-4, 0, 4), True), ((-4, 0), False)):
         assert P.analyze_percolation(bodies(spark, [ball(i, x) for i, x in enumerate(xs)]), d, 2.0, 0, "periodic_wrap", large=True).first().percolates is winds
+    assert P.analyze_percolation(bodies(spark, [ball(i, x) for i, x in enumerate((-4, 0, 4))]), d, 2.0, 0, "wrap", large=True).first().winding == [1, 0, 0]
     assert P.analyze_percolation(bodies(spark, [rod(0, (0, 0, 0), (1, 0, 0), 32, 0.2)]), d, 0.0, 0, "wrap", large=True).first().percolates
 
 
@@ -452,3 +455,73 @@ def test_entry_without_the_pipeline():
     import __spark_entry__ as e
 
     assert "spanning_components" in e.queries() and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_windings_of_prefixes_in_one_pass(spark):
+    class Slow:
+        """The same model, asked count by count."""
+
+        def __init__(self, model):
+            self.model, self.domain = model, model.domain
+
+        def outcomes(self, particles):
+            return self.model.outcomes(particles)
+
+    model = W.Model(Domain(6.0, True), 0.1, 2, "periodic_wrap")
+    for fixed in ([], [Population(0.6, 12)]):
+        counts = [W.nested_successes(spark, m, Population(0.8, 0), fixed, [4, 9, 14, 20, 30], 200, 5) for m in (model, Slow(model))]
+        assert counts[0] == counts[1] and counts[0][0] < counts[0][-1]
+
+
+def test_exact_sums(spark):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=3000) * np.exp2(rng.integers(-1000, 900, 3000).astype(float)), [1e308, -1e308, 5e-324, -5e-324, 0.0, -0.0, 2.0**60, 2.0**-60], rng.choice([0.1, 0.7, -0.3], 1000)])
+    rows = [(int(i % 3), float(v)) for i, v in enumerate(x)] + [(7, None), (8, 1.0), (8, math.inf), (9, math.nan), (None, 0.1), (None, 0.2)]
+    table = spark.createDataFrame(rows, "k int, x double")
+    want = {k: math.fsum(v for g, v in rows if g == k) for k in range(3)} | {8: math.inf, None: math.fsum([0.1, 0.2])}
+    for parts in (1, 5, 40):
+        found = {r.k: r.total for r in sums.exact_sums(table.repartition(parts), ["k"], {"total": F.col("x")}).collect()}
+        assert {k: found[k] for k in want} == want and found[7] is None and math.isnan(found[9])
+    whole = sums.exact_sums(table.where("k < 3"), [], {"a": F.col("x"), "b": -F.col("x")}).first()
+    assert (whole.a, whole.b) == (math.fsum(x.tolist()), -math.fsum(x.tolist()))
+    assert tuple(sums.exact_sums(table.limit(0), [], {"a": F.col("x")}).first()) == (None,)
+    assert spark.range(1).select(G.safe_product(F.lit(1e300), F.lit(1e-300), F.lit(1e200))).first()[0] == pytest.approx(1e200)
+    for bad in ((1e300, 1e300), (1e-300, 1e-300)):
+        with pytest.raises(Exception, match="beyond the range"):
+            spark.range(1).select(G.safe_product(*(F.lit(v) * (F.col("id") + 1) for v in bad))).collect()
+
+
+def test_link_fits_of_many_keys(spark):
+    rng, rows = np.random.default_rng(3), []
+    for key in range(4):
+        for x in range(8):
+            rows.append((key, float(x), int(rng.binomial(50, 1 / (1 + np.exp(2.0 - (0.4 + 0.2 * key) * x)))), 50))
+    rows += [(9, float(x), 50 * (x > 3), 50) for x in range(8)]  # separable
+    table = spark.createDataFrame(rows, "k int, x double, hits int, n int").repartition(3)
+    for link in ("logistic", "probit"):
+        found = {r.k: r for r in stats.fit_links(table, ["k"], "x", "hits", "n", link).collect()}
+        for key in range(4):
+            own = [r for r in rows if r[0] == key]
+            one = stats.fit_link([r[1] for r in own], [r[2] for r in own], [r[3] for r in own], link)
+            r = found[key]
+            assert r.converged and (r.intercept, r.slope, r.log_likelihood) == pytest.approx((one["intercept"], one["slope"], one["log_likelihood"]), abs=1e-7)
+        assert not found[9].converged
+
+
+def test_functions_for_sql(spark):
+    assert "lattice_images" in register(spark)
+    got = spark.sql("select * from lattice_images(3.5D, 1D, -4D, 8D, 0D, 1D, -4D, null, 0D, 1D, -4D, 8D, 0D)").collect()
+    assert sorted(map(tuple, got)) == [(-1, 0, 0), (0, 0, 0)]
+    assert spark.sql("select wrapped(5D, -4D, 8D), lattice_step(5D, -4D, 8D), minimum_image(5D, 8D), sphere_gap(0D, 0D, 0D, 1D, 3D, 4D, 0D, 1D)").first() == (-3.0, -1, -3.0, 3.0)
+
+
+def test_one_search_for_all_axes(spark, monkeypatch):
+    p = generate(trial_keys(spark, 3), Domain(6.0, True), [Population(0.7, 40), Population(0.2, 10, 2.0)], 5).persist()
+    law, calls, find = T.Law(1.0, 0.3, 0.2), [], C.find_contacts
+    apart = {(r.realization_id, r.axis): r.conductance for k in range(3) for r in T.solve(T.resistors(p, Domain(6.0, True), law, k)).collect()}
+    monkeypatch.setattr(C, "find_contacts", lambda *a, **k: calls.append(1) or find(*a, **k))
+    found = {(r.realization_id, r.axis): r.conductance for r in T.conductivity(p, Domain(6.0, True), law, ("x", "y", "z")).collect()}
+    assert found == apart and len(calls) == 1 and any(found.values())
+    large = T.solve_any(T.resistors(p.where("realization_id = 0"), Domain(6.0, True), law, 0), 1.0, 5).first()
+    assert large.conductance == pytest.approx(apart[0, "x"], rel=1e-8)
+    p.unpersist()
