@@ -4,9 +4,9 @@ A document keeps a segment tree. Its leaves are pre-token segments, the chunks w
 them; each node holds the characters and tokens below it. An edit replaces a range of characters. The tree is
 descended by characters to the segments that the range touches; they and their neighbours up to the next white
 space are the boundary context that is encoded again (white space parts pre-tokens of these vocabularies, so
-nothing beyond it can change). The new region is cut into segments again, which go to the touched leaves and the empty ones
-after them, and the sums on their paths are updated. Where they don't fit, leaves are laid out anew with empty ones between
-them; no segment is encoded for that. So an edit costs its own region however large earlier ones were.
+nothing beyond it can change). The new region is cut into segments again, which take the touched leaves' place in their block of leaves, and the
+sums on the path above are updated. Blocks take leaves in and split when they grow, so an edit costs its own region and a block, however large the text and
+earlier edits were; no text is copied as a whole.
 
 *Kept trees.* ``token_trees`` gives documents with the characters and tokens of their leaves as columns. Calls that get these
 columns encode nothing but what edits touch, and can return them for the next call.
@@ -35,8 +35,8 @@ from porespan.session import discard, materialize
 _CHUNK = re.compile(r"[^ \t\n\v\f\r]+")
 RESULT = "n_segments long, n_tokens long, n_tokens_edited long, n_encoded long, n_chars_edited long"
 TREE = "text string, leaf_chars array<int>, leaf_tokens array<int>"
-#: Edits of a document that are gathered at once; further ones follow in rounds. Leaves for each empty one in a new layout.
-EDITS_AT_ONCE, SPARE = 100_000, 4
+#: Edits of a document that are gathered at once; further ones follow in rounds. Leaves of a block in a new layout.
+EDITS_AT_ONCE, BLOCK = 100_000, 64
 
 
 class SegmentTree:
@@ -85,25 +85,51 @@ def count_tokens(text: str, own: ChunkEncoder) -> int:
     return sum(len(own.encode(x)) for x in _CHUNK.findall(text))
 
 
+class Block:
+    """Some leaves in a row: as long as no edit touched them a range of the first layout, then lists of their texts and tokens."""
+
+    __slots__ = ("first", "last", "pieces", "tokens")
+
+    def __init__(self, first: int = 0, last: int = 0, pieces: list[str] | None = None, tokens: list[int] | None = None):
+        self.first, self.last, self.pieces, self.tokens = first, last, pieces, tokens
+
+
 class EditedDocument:
-    """A text with its tree. ``encoded`` counts the characters that edits had encoded again.
+    """A text with its tree. ``encoded`` counts the characters that edits had encoded again, ``moved`` the leaves that edits wrote.
 
-    ``chars`` are the lengths of the leaves; without them the text is cut into segments. Leaf i holds ``fresh[i]`` or, as long as no
-    edit touched it, ``base[at[i]:at[i + 1]]``.
+    Leaves are held in blocks, and the tree has a leaf of its own for each block: an edit opens the blocks that it touches, exchanges leaves in them and
+    updates the sums above. A block that grows beyond ``2 * BLOCK`` leaves is split; only then the sums over blocks are laid out anew. ``chars`` are the lengths of the
+    leaves; without them the text is cut into segments.
     """
 
     def __init__(self, text: str, tokens: np.ndarray, own: ChunkEncoder, chars: np.ndarray | None = None):
-        self.own, self.encoded = own, 0
-        if chars is None:
+        self.own, self.encoded, self.moved, self.base = own, 0, 0, text
+        if chars is None and len(tokens):
             chars = np.diff(np.array(segments(text), np.int64), prepend=0)
         if not len(tokens):
             chars, tokens = np.array([len(text)], np.int64), np.zeros(1, np.int64)
-        self._lay_out(text, chars, tokens)
-
-    def _lay_out(self, text: str, chars: np.ndarray, tokens: np.ndarray) -> None:
-        self.base, self.fresh, self.leaves = text, {}, len(chars)
-        self.at = np.concatenate([[0], np.cumsum(chars)])
-        self.tree = SegmentTree(chars, tokens)
+        self.at, self.upto = np.concatenate([[0], np.cumsum(chars)]), np.concatenate([[0], np.cumsum(tokens)])
+        cuts = [*range(0, len(chars), BLOCK), len(chars)]
+        self.blocks = [Block(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        self._sum_up()
+
+    def _sum_up(self) -> None:
+        sums = [self._sums(b) for b in self.blocks]
+        self.tree = SegmentTree(*(np.array(x, np.int64) for x in zip(*sums, strict=True)))
+
+    def _sums(self, block: Block) -> tuple[int, int]:
+        if block.pieces is None:
+            return int(self.at[block.last] - self.at[block.first]), int(self.upto[block.last] - self.upto[block.first])
+        return sum(map(len, block.pieces)), sum(block.tokens)
+
+    def _open(self, block: Block) -> Block:
+        """The same block with lists of its leaves."""
+        if block.pieces is None:
+            at, upto = (x[block.first : block.last + 1].tolist() for x in (self.at, self.upto))
+            block.pieces = [self.base[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+            block.tokens = [b - a for a, b in zip(upto[:-1], upto[1:], strict=True)]
+            self.moved += len(block.pieces)
+        return block
 
     @property
     def n_tokens(self) -> int:
@@ -113,61 +139,57 @@ class EditedDocument:
     def n_chars(self) -> int:
         return int(self.tree.chars[1])
 
-    def _text(self, first: int, last: int) -> str:
-        """What the leaves from ``first`` up to ``last`` hold, where few are in between."""
-        return "".join(self.fresh[i] if i in self.fresh else self.base[self.at[i] : self.at[i + 1]] for i in range(first, last))
-
     @property
     def text(self) -> str:
-        out, done = [], 0
-        for i in sorted(self.fresh):
-            out += [self.base[self.at[done] : self.at[i]], self.fresh[i]]
-            done = i + 1
-        return "".join([*out, self.base[self.at[done] :]])
+        return "".join(self.base[self.at[b.first] : self.at[b.last]] if b.pieces is None else "".join(b.pieces) for b in self.blocks)
 
     def tree_leaves(self) -> tuple[np.ndarray, np.ndarray]:
         """(characters, tokens) of the leaves that hold text."""
-        span = slice(self.tree.size, self.tree.size + self.leaves)
-        chars, tokens = self.tree.chars[span], self.tree.tokens[span]
+        parts = [(np.diff(self.at[b.first : b.last + 1]), np.diff(self.upto[b.first : b.last + 1])) if b.pieces is None else (np.array([len(p) for p in b.pieces], np.int64), np.array(b.tokens, np.int64)) for b in self.blocks]
+        chars, tokens = (np.concatenate(x) for x in zip(*parts, strict=True))
         return chars[chars > 0], tokens[chars > 0]
 
+    def _leaf(self, at: int) -> tuple[int, int, int]:
+        """(block, leaf of it, the leaf's first character) that hold character ``at``; the last leaf at the end. The block is opened."""
+        k, base = self.tree.find(at)
+        pieces = self._open(self.blocks[k]).pieces
+        at = min(at, self.n_chars - 1)
+        for leaf, piece in enumerate(pieces):
+            if at < base + len(piece) or leaf == len(pieces) - 1:
+                return k, leaf, base
+            base += len(piece)
+        raise AssertionError("a block has a leaf")
+
     def edit(self, start: int, stop: int, new: str) -> None:
         """Replaces the characters from ``start`` up to ``stop`` by ``new``."""
         n = self.n_chars
         start = min(max(start, 0), n)
         stop = min(max(stop, start), n)
         # the segments of the characters beside the range: an edit can join or part the chunks it touches
-        first, begin = self.tree.find(max(0, start - 1))
-        last, last_begin = self.tree.find(stop)
-        size, chars = self.tree.size, self.tree.chars
-        head = self._text(first, first + 1)[: start - begin]
-        tail = self._text(last, last + 1)[stop - last_begin :]
-        region = head + new + tail
+        k, i, begin = self._leaf(max(0, start - 1))
+        m, j, last_begin = self._leaf(stop)
+        first, last = self.blocks[k], self.blocks[m]
+        region = first.pieces[i][: start - begin] + new + last.pieces[j][stop - last_begin :]
         # what follows the region starts with white space, as every segment but a text's first one does
         ends = segments(region)
         pieces = [region[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
         counts = [count_tokens(x, self.own) for x in pieces]
         self.encoded += len(region)
-        room = last + 1
-        while room - first < len(pieces) and room < self.leaves and not chars[size + room]:
-            room += 1
-        if room - first >= len(pieces):
-            for k in range(room - first):
-                piece, count = (pieces[k], counts[k]) if k < len(pieces) else ("", 0)
-                leaf = first + k
-                if piece or chars[size + leaf] or self.tree.tokens[size + leaf]:
-                    self.fresh[leaf] = piece
-                    self.tree.put(leaf, len(piece), count)
+        pieces, counts = [*first.pieces[:i], *pieces, *last.pieces[j + 1 :]], [*first.tokens[:i], *counts, *last.tokens[j + 1 :]]
+        kept = [x for x, p in enumerate(pieces) if p]  # leaves that the edit emptied go
+        if len(kept) < len(pieces):
+            pieces, counts = ([v[x] for x in kept] for v in (pieces, counts))
+        self.moved += len(pieces)
+        if k == m and 0 < len(pieces) <= 2 * BLOCK:
+            first.pieces, first.tokens = pieces, counts
+            self.tree.put(k, *self._sums(first))
             return
-        text = self.text
-        text = text[:begin] + region + text[last_begin + int(chars[size + last]) :]
-        span = lambda tree: (tree[size : size + first], tree[size + last + 1 : size + self.leaves])
-        before, after = span(chars)
-        t_before, t_after = span(self.tree.tokens)
-        lengths = np.concatenate([before[before > 0], [len(x) for x in pieces], after[after > 0]]).astype(np.int64)
-        tokens = np.concatenate([t_before[before > 0], counts, t_after[after > 0]]).astype(np.int64)
-        spare = np.arange(SPARE, len(lengths) + 1, SPARE)
-        self._lay_out(text, np.insert(lengths, spare, 0), np.insert(tokens, spare, 0))
+        step = range(0, max(1, len(pieces)), BLOCK)
+        fresh = [Block(pieces=pieces[x : x + BLOCK], tokens=counts[x : x + BLOCK]) for x in step if pieces]
+        self.blocks[k : m + 1] = fresh
+        if not self.blocks:
+            self.blocks = [Block(pieces=[""], tokens=[0])]
+        self._sum_up()
 
 
 def _counts(texts: pa.Array, own: ChunkEncoder) -> Iterator[np.ndarray]:
