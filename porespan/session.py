@@ -65,6 +65,11 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(BATCHES) if before is None else spark.conf.set(BATCHES, before)
 
 
+def limit_batches(spark: SparkSession) -> None:
+    """Sets batches of ``ARROW_BYTES`` for the rest of the session: for plans that are returned and only run later, as stages of a pipeline are."""
+    spark.conf.set(BATCHES, ARROW_BYTES)
+
+
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back, so that its lineage ends there."""
     spark = df.sparkSession
