@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from porespan.llm import embedding_dedup, fim, fingerprints, media, mixing, ngram_join, packing, resampling, secrets, token_counts, toxicity, url_filter, warc
-from porespan.session import materialize, scratch_path
+from porespan.session import limit_batches, materialize, scratch_path
 
 RULES = [
     url_filter.Rule("block", "com", "/en/"),
@@ -116,21 +116,25 @@ def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- stages of the pipeline
+# Stages return plans that run later, one after the other in the same workers: they limit the session's batches to Python.
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the toxic score stay."""
+    limit_batches(spark)
     scored = toxicity.score_toxicity(docs, toxicity_model(spark, docs, sf_dir), keep=docs.columns)
     return scored.where(F.col("__score") < TOXIC_FROM).drop("__score", "__spans")
 
 
 def ngram_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
+    limit_batches(spark)
     return ngram_join.keep_one(docs)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; all documents stay."""
+    limit_batches(spark)
     return secrets.redact_secrets(docs, secrets.train_forest(secrets.labelled_findings()))
 
 
@@ -141,6 +145,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places of all pieces in the sequences."""
+    limit_batches(spark)
     return packing.pack_documents(docs)
 
 
