@@ -331,7 +331,7 @@ def fit_links(points: DataFrame, keys: list[str], x: str, successes: str, trials
         sums = {"now": k * F.log(p) + (n - k) * F.log1p(-p), "g0": score, "g1": score * z, "h00": info, "h01": info * z, "h11": info * z * z}
         found = held.groupBy(*keys).agg(*[F.sum(v).alias(c) for c, v in sums.items()])
         at = at.join(found, keys)
-        better = F.col("now") >= F.col("best")
+        better = F.col("now") >= F.col("best") - F.coalesce(F.when(F.col("best") > float("-inf"), 1e-13 * F.abs("best")), zero)  # but for round-off
         det = (F.col("h00") + 1e-12) * (F.col("h11") + 1e-12) - F.col("h01") * F.col("h01")
         n0, n1 = ((F.col("h11") + 1e-12) * F.col("g0") - F.col("h01") * F.col("g1")) / det, ((F.col("h00") + 1e-12) * F.col("g1") - F.col("h01") * F.col("g0")) / det
         still = better & (F.col("best") > float("-inf")) & (F.greatest(F.abs(F.col("c0") - F.col("w0")), F.abs(F.col("c1") - F.col("w1"))) < 1e-10)
