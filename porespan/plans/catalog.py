@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from porespan.functions import convex
 from porespan.functions import geometry as G
-from porespan.functions import stats
+from porespan.functions import segments, stats
 from porespan.functions.registered import register
 from porespan.functions.sums import exact_sums
 from porespan.operators import contacts as C
@@ -143,8 +143,10 @@ def q_segment_gaps(spark, sf_dir):
     at = tuple(F.col(f"c{a}") for a in "xyz")
     top = G.moved(at, lit(0, 0, 2))
     mid, _, length = G.from_endpoints(at, top)
+    p = segments.segment_gaps(p, at, top, lit(-3, 0, 1), lit(3, 0, 1)).drop("exact")
+    p = segments.segment_box_hits(p, at, top, lit(1, 1, 1), lit(2, 2, 1)).drop("exact")
     return p.select(
-        "idx", _r(G.segment_segment(at, top, lit(-3, 0, 1), lit(3, 0, 1))).alias("gap"), G.segment_meets_box(at, top, lit(1, 1, 1), lit(2, 2, 1)).alias("meets"), _r(mid[2]).alias("middle"), _r(length).alias("length"),
+        "idx", _r(F.col("gap")).alias("gap"), "meets", _r(mid[2]).alias("middle"), _r(length).alias("length"),
         _r(G.safe_product(F.lit(1e200), F.abs(at[0]) + 1, F.lit(1e-200))).alias("product"),
     )
 

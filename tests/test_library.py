@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from porespan.functions import convex, stats, sums
+from porespan.functions import convex, segments, stats, sums
 from porespan.functions import geometry as G
 from porespan.functions.registered import register
 from porespan.operators import contacts as C
@@ -525,3 +525,27 @@ def test_one_search_for_all_axes(spark, monkeypatch):
     large = T.solve_any(T.resistors(p.where("realization_id = 0"), Domain(6.0, True), law, 0), 1.0, 5).first()
     assert large.conductance == pytest.approx(apart[0, "x"], rel=1e-8)
     p.unpersist()
+
+
+def test_exact_segments(spark):
+    rng = np.random.default_rng(5)
+    rows = [tuple(map(float, rng.uniform(-2, 2, 12))) for _ in range(300)]
+    rows += [tuple(map(float, rng.integers(-2, 3, 12))) for _ in range(200)]  # touching, parallel and degenerate ones
+    rows += [
+        (0.0, 0.0, 0.0, 1e9, 0.0, 0.0, 0.0, 1.0, 0.0, 1e9, 1.0 + 1e-7, 0.0),  # nearly parallel
+        (0.0, 0.0, 0.0, 1e9, 0.0, 0.0, 5e8, -1e-8, 0.0, 5e8, 1e-8, 0.0),  # crossing
+        (1e300, 0.0, 0.0, 1e300, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0),
+    ]
+    names = [f"{p}{a}" for p in "abcd" for a in "xyz"]
+    at = lambda p: tuple(F.col(f"{p}{a}") for a in "xyz")
+    table = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, " + ", ".join(f"{n} double" for n in names))
+    held = {r.i: r for r in segments.segment_gaps(table, at("a"), at("b"), at("c"), at("d")).collect()}
+    for i, r in enumerate(rows[:-1]):
+        assert held[i].gap == pytest.approx(segments.rational_distance(*r), rel=1e-9, abs=1e-12)
+    assert held[500].gap == 1.0 and held[501].gap == 0.0 and held[502].gap == pytest.approx(1e300)
+    assert sum(held[i].exact for i in range(300)) <= 6 and all(held[i].exact for i in (500, 501))
+    hits = {r.i: r.meets for r in segments.segment_box_hits(table.where("i < 500"), at("a"), at("b"), at("c"), tuple(F.abs(x) for x in at("d"))).collect()}
+    for i, r in enumerate(rows[:500]):
+        assert hits[i] is segments.rational_hit(*r[:9], *map(abs, r[9:]))
+    empty = segments.segment_gaps(table.where("i = 0").withColumn("ax", F.lit(None).cast("double")), at("a"), at("b"), at("c"), at("d")).first()
+    assert empty.gap is None
