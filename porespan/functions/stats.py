@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from statistics import NormalDist
 
 import numpy as np
@@ -26,12 +26,17 @@ def bonferroni(confidence: float, comparisons: int) -> float:
     return level
 
 
-def wilson(k: Column, n: Column, confidence: float = 0.95) -> tuple[Column, Column]:
+def _wilson(k, n, confidence: float, root: Callable) -> tuple:
+    """Both ends of the interval, for columns or numbers."""
     z = NormalDist().inv_cdf(0.5 + confidence / 2)
-    p, zz = k / n, F.lit(z * z)
-    middle = (p + zz / (2 * n)) / (1 + zz / n)
-    half = F.lit(z) / (1 + zz / n) * F.sqrt(p * (1 - p) / n + zz / (4 * n * n))
-    return F.when(k == 0, F.lit(0.0)).otherwise(middle - half), F.when(k == n, F.lit(1.0)).otherwise(middle + half)
+    p, zz = k / n, z * z
+    middle, half = (p + zz / (2 * n)) / (1 + zz / n), z / (1 + zz / n) * root(p * (1 - p) / n + zz / (4 * n * n))
+    return middle - half, middle + half
+
+
+def wilson(k: Column, n: Column, confidence: float = 0.95) -> tuple[Column, Column]:
+    low, high = _wilson(k, n, confidence, F.sqrt)
+    return F.when(k == 0, F.lit(0.0)).otherwise(low), F.when(k == n, F.lit(1.0)).otherwise(high)
 
 
 def quartiles(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -79,10 +84,8 @@ def beta_quantile(p: float, a: float, b: float) -> float:
 
 
 def wilson_interval(k: int, n: int, confidence: float = 0.95) -> tuple[float, float]:
-    z = NormalDist().inv_cdf(0.5 + confidence / 2)
-    p, zz = k / n, z * z / n
-    middle, half = p + zz / 2, z * math.sqrt((p * (1 - p) + zz / 4) / n)
-    return (0.0 if k == 0 else (middle - half) / (1 + zz)), (1.0 if k == n else (middle + half) / (1 + zz))
+    low, high = _wilson(k, n, confidence, math.sqrt)
+    return 0.0 if k == 0 else low, 1.0 if k == n else high
 
 
 def exact_interval(k: int, n: int, confidence: float = 0.95, side: str = "two") -> tuple[float, float]:
@@ -307,7 +310,8 @@ def fit_links(points: DataFrame, keys: list[str], x: str, successes: str, trials
     """
     if link not in ("logistic", "probit"):
         raise SetupError("link must be logistic or probit")
-    rows = points.groupBy(*keys, F.col(x).cast("double").alias("x")).agg(F.sum(F.col(successes).cast("double")).alias("k"), F.sum(F.col(trials).cast("double")).alias("n"))
+    names, keys = keys, [f"__key{i}" for i in range(len(keys))]  # so that any names of keys will do
+    rows = points.groupBy(*[F.col(c).alias(k) for c, k in zip(names, keys, strict=True)], F.col(x).cast("double").alias("x")).agg(F.sum(F.col(successes).cast("double")).alias("k"), F.sum(F.col(trials).cast("double")).alias("n"))
     rows = materialize(rows, "points")
     sizes = rows.groupBy(*keys).agg(F.avg("x").alias("center"), F.stddev_pop("x").alias("scale"), F.sum("n").alias("trials"))
     zero, one = F.lit(0.0), F.lit(1.0)
@@ -343,7 +347,7 @@ def fit_links(points: DataFrame, keys: list[str], x: str, successes: str, trials
         )
         before, state = state, materialize(new.select(*kept).unionByName(state.where("done")), "state")
         discard(before)
-    return state.select(*keys, F.col("w0").alias("intercept"), F.col("w1").alias("slope"), F.col("center").alias("x_center"), F.col("scale").alias("x_scale"), F.col("best").alias("log_likelihood"), "trials", "converged")
+    return state.select(*[F.col(k).alias(c) for c, k in zip(names, keys, strict=True)], F.col("w0").alias("intercept"), F.col("w1").alias("slope"), F.col("center").alias("x_center"), F.col("scale").alias("x_scale"), F.col("best").alias("log_likelihood"), "trials", "converged")
 
 
 def link_predict(model: dict, x: list[float]) -> list[float]:
