@@ -510,7 +510,7 @@ def test_link_fits_of_many_keys(spark):
 
 def test_functions_for_sql(spark):
     assert "lattice_images" in register(spark)
-    got = spark.sql("select * from lattice_images(3.5D, 1D, -4D, 8D, 0D, 1D, -4D, null, 0D, 1D, -4D, 8D, 0D)").collect()
+    got = spark.sql("select * from lattice_images(3.5D, 1D, -4D, 8D, 0D, 1D, -4D, cast(null as double), 0D, 1D, -4D, 8D, 0D)").collect()
     assert sorted(map(tuple, got)) == [(-1, 0, 0), (0, 0, 0)]
     assert spark.sql("select wrapped(5D, -4D, 8D), lattice_step(5D, -4D, 8D), minimum_image(5D, 8D), sphere_gap(0D, 0D, 0D, 1D, 3D, 4D, 0D, 1D)").first() == (-3.0, -1, -3.0, 3.0)
 
