@@ -5,7 +5,7 @@ import random
 import pyarrow as pa
 import pytest
 
-from porespan.llm import ngram_join, secrets
+from porespan.llm import ngram_join, queries, secrets
 
 
 def shingles(text, n):
@@ -13,6 +13,17 @@ def shingles(text, n):
     return frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else frozenset()
 
 
+def test_words_of_url_rules(spark, tmp_path):
+    """Each rule's word is the contract's: net/ is allowed, example.net/de/8 within it blocked."""
+    want = {
+        "http://a.com/en/1": ("com/en/", "block"), "http://b.example.com/en/71": ("example.com/en/7", "allow"), "http://a.net/de/8": ("net/de/", "allow"),
+        "http://example.net/de/7": ("net/de/", "allow"), "http://b.example.net/de/81": ("example.net/de/8", "block"), "http://a.org/es/": ("org/es/", "block"), "http://a.net/en/": (None, "allow"),
+    }
+    spark.createDataFrame([(i, u, None) for i, u in enumerate(want)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = queries.op1_url_filters(spark, str(tmp_path)).collect()
+    assert {r.page_id: (r.rule, r.verdict) for r in found} == dict(enumerate(want.values()))
+
+
 @pytest.mark.parametrize("block", [3, 256])
 def test_all_links(spark, monkeypatch, block):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
