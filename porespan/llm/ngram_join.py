@@ -538,7 +538,9 @@ def _linked(lists: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, tex
             yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(np.r_[start, len(row)], pa.int32()), pa.array(other))], [*CELL, "node", "others"])
 
     dealt = lists.where(F.size("others") > 0).join(place, "node").select("group", "large", "block", "blocks", "node", "others")
-    dealt = materialize(dealt.mapInArrow(frugal(deal), "group long, large boolean, i long, j long, node long, others array<long>"), "dealt")
+    dealt = dealt.mapInArrow(frugal(deal), "group long, large boolean, i long, j long, node long, others array<long>")
+    # a pair comes once from each group of buckets that it shares; a cell asks for it once
+    dealt = materialize(dealt.groupBy(*CELL, "node").agg(F.array_distinct(F.flatten(F.collect_set("others"))).alias("others")), "dealt")
     cells = dealt.select(*CELL).distinct()
     cells = cells.withColumn("block", F.explode(F.array_distinct(F.array("i", "j"))))
     facts = materialize(cells.join(place.select("group", "large", "block", "node", "n", "rows"), ["group", "large", "block"]).select(*CELL, "node", "n", "rows"), "facts")

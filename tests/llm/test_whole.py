@@ -73,6 +73,38 @@ def test_links_under_any_partitioning(spark):
     assert all(s == seen[0] for s in seen)
 
 
+@pytest.mark.parametrize("block", [4, 256])
+def test_pairs_of_many_shared_signatures_are_asked_for_once(spark, monkeypatch, block):
+    """Near copies share many buckets, which lie in many groups; a node has one row in a cell, and a pair is in one list."""
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "GROUP_ROWS", 20)
+    rng, kept, asked = random.Random(6), ngram_join.materialize, []
+
+    def watched(df, name="t"):
+        out = kept(df, name)
+        if name == "dealt":
+            asked.extend(out.collect())
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialize", watched)
+    rows = []
+    for size in (2, 12, 12):
+        base = ["w%d" % rng.randrange(5000) for _ in range(150)]
+        for _ in range(size):
+            copy = list(base)
+            for _ in range(2):
+                copy[rng.randrange(150)] = "x%d" % rng.randrange(5000)
+            rows.append(" ".join(copy))
+    sets = [shingles(t, 5) for t in rows]
+    alike = lambda x, y: 100 * len(x & y) >= 80 * len(x | y)
+    members, _ = ngram_join.ngram_jaccard_join(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
+    links = {i: sum(alike(x, y) for y in sets) - 1 for i, x in enumerate(sets)}
+    assert {r.doc_id: r.n_links for r in members.collect()} == links
+    places = [(*(r[c] for c in ngram_join.CELL), r.node) for r in asked]
+    pairs = [frozenset((r.node, o)) for r in asked for o in r.others]
+    assert len(places) == len(set(places)) and len(pairs) == len(set(pairs)) >= sum(links.values()) // 2 > 20
+
+
 def test_signatures_of_doubled_rows_stay_apart(spark):
     """A set that two tasks emit, once salted and once not, is one member of its signature."""
     a, b, c, d = 11, 22, 33, 44
