@@ -17,7 +17,7 @@ surrounds it.
 as their parities do, which bounds their overlap and rules pairs out.
 
 *Hot groups.* Nodes are distinct sets, so exact copies collapse before any pair exists and count as weights. Signatures
-that several sets of a task share are salted before their rows meet. Signatures
+that several sets of a task share are salted before their rows meet. Signatures travel packed by ranges, each range small against a task. Signatures
 with the same members are one bucket; members of a large bucket are dealt into blocks, and each pair of blocks is a
 task's key of its own. Sets in many large buckets meet at the least signature that they share.
 
@@ -40,19 +40,22 @@ from math import ceil, exp, lgamma, log, sqrt
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from porespan.llm.memory import frugal
 from porespan.llm.words import batch_shingle_sets, mix
 from porespan.operators.graph import connected_components
-from porespan.session import discard, materialize
+from porespan.session import discard, drop_shuffles, materialize
 
 #: Broadcast no more than this many ids (8 bytes each); beyond, tables are joined by shuffles.
 BROADCAST_IDS = 1_000_000
 #: Sets in a block of a large bucket or cluster, n-grams in a block of a cluster, and rows of small buckets in a group.
 BLOCK, BLOCK_GRAMS, GROUP_ROWS = 256, 1 << 20, 4_000
+#: Bits of a signature that are kept, signatures of a task that are packed at once, and n-grams of all sets to a part.
+SIG_BITS, PORTION, PART_GRAMS = 48, 1 << 20, 1 << 21
+PACKED = "part int, base long, steps binary, nodes binary"
 #: Fewer than d + 1 + e fragments miss a link with a chance below e ** -SURE.
 SURE = 40
 #: Parts of the global order whose overlaps are counted apart.
@@ -281,31 +284,96 @@ def _salts(sig: np.ndarray, node: np.ndarray, told: set[int]) -> np.ndarray:
     return salt
 
 
-def signature_table(docs: DataFrame, text_col: str, n: int, num: int, den: int, clash: np.ndarray) -> DataFrame:
-    """``(sig, salt, node)`` of every distinct set, once per task."""
+def _packed(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], parts: int) -> Iterator[pa.RecordBatch]:
+    """``(part, base, steps, nodes)`` of signatures of ``SIG_BITS``, salts and nodes: by range of the signatures, in ascending order, as steps from one to the next.
+
+    Salted rows go to parts of their own, from ``parts`` on, by salt.
+    """
+    sig, salt, node = (np.concatenate(x) for x in zip(*held, strict=True))
+    part = (((sig >> np.uint64(SIG_BITS - 32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+    part = np.where(salt > 0, parts + ((mix(sig) >> np.uint64(33)).astype(np.int64) + salt) % parts, part)
+    order = np.lexsort((sig, part))
+    sig, part, node = sig[order], part[order], node[order]
+    cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(part) else np.zeros(1, np.int64)
+    rows = []
+    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        steps = np.diff(sig[lo:hi], prepend=sig[lo])
+        steps = steps.astype(np.uint32) if steps.max() < 1 << 32 else steps
+        rows.append((int(part[lo]), int(sig[lo]), steps.tobytes(), node[lo:hi].tobytes()))
+    for lo in range(0, len(rows), 64):
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[lo : lo + 64], strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["part", "base", "steps", "nodes"])
+
+
+def _unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(signatures, nodes) of rows of ``_packed``."""
+    sig, node = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for base, steps, nodes in zip(*(table[c].to_pylist() for c in ("base", "steps", "nodes")), strict=True):
+        node.append(np.frombuffer(nodes, np.int64))
+        wide = np.uint64 if len(steps) == len(nodes) else np.uint32
+        sig.append(np.uint64(base) + np.cumsum(np.frombuffer(steps, wide), dtype=np.uint64))
+    return np.concatenate(sig).view(np.int64), np.concatenate(node)
+
+
+def signature_table(docs: DataFrame, text_col: str, n: int, num: int, den: int, clash: np.ndarray, parts: int) -> DataFrame:
+    """``(part, base, steps, nodes)``: the signatures of every distinct set, once per task, packed by range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, seen, told = SizeClasses(num, den).tables(), set(), set()
+        classes, seen, told, held, rows = SizeClasses(num, den).tables(), set(), set(), [], 0
         for batch in batches:
             for first, last, h, of in batch_shingle_sets(batch.column(0), n):
                 node, _, size = _set_hash(h, of, last - first, clash)
                 fresh = _new_nodes(seen, node, size)
                 keep = fresh[of]
                 sig, doc = segment_signatures(h[keep], of[keep], np.where(fresh, size, 0), classes, num, den)
-                sig, mine = sig.view(np.int64), node[doc]
-                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(_salts(sig, mine, told)), pa.array(mine)], ["sig", "salt", "node"])
+                sig = sig >> np.uint64(64 - SIG_BITS)
+                held.append((sig, _salts(sig.view(np.int64), node[doc], told), node[doc]))
+                rows += len(sig)
+                if rows >= PORTION:
+                    yield from _packed(held, parts)
+                    held, rows = [], 0
+        if rows:
+            yield from _packed(held, parts)
 
-    return docs.select(text_col).mapInArrow(frugal(run), "sig long, salt byte, node long")
+    return docs.select(text_col).mapInArrow(frugal(run), PACKED)
 
 
-def _shared(signatures: DataFrame) -> DataFrame:
-    """Distinct ``(sig, node)`` of the signatures that more than one node has (or salted ones).
+def _shared(signatures: DataFrame, parts: int = 1) -> DataFrame:
+    """Distinct ``(sig, node)`` of the signatures that more than one node has (or salted ones), from packed ones or from rows ``(sig, salt, node)``.
 
-    A set that several tasks emit can be salted in one and not in another, so the salt goes before duplicates do.
+    A set that several tasks emit can be salted in one and not in another, so duplicates go at the end.
     """
-    w = Window.partitionBy("sig", "salt")
-    found = signatures.select("sig", "salt", "node", F.min("node").over(w).alias("leader"), F.max("node").over(w).alias("most"))
-    return found.where("salt > 0 or leader <> most").select("sig", "node").distinct()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _packed([(batch["sig"].to_numpy().view(np.uint64), batch["salt"].to_numpy(), batch["node"].to_numpy())], parts)
+
+    if "part" not in signatures.columns:
+        signatures = signatures.select("sig", "salt", "node").mapInArrow(pack, PACKED)
+
+    def run(table: pa.Table) -> pa.Table:
+        sig, node = _unpacked(table)
+        order = np.argsort(sig, kind="stable")
+        sig, node = sig[order], node[order]
+        if len(sig) and table["part"][0].as_py() < parts:
+            start = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+            more = np.minimum.reduceat(node, start) != np.maximum.reduceat(node, start)
+            keep = np.repeat(more, np.diff(np.r_[start, len(sig)]))
+            sig, node = sig[keep], node[keep]
+        return pa.table({"sig": sig, "node": node})
+
+    # as many partitions as parts, whatever the session's number: a task sorts and holds one or a few
+    return signatures.repartition(2 * parts, "part").groupBy("part").applyInArrow(run, "sig long, node long").distinct()
+
+
+def _once(docs: DataFrame, sets: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` without rows whose set a row of lesser id has, if the ids that go or those that stay are few enough for a broadcast."""
+    held = sets.where("node is not null")
+    stay = materialize(held.groupBy("node").agg(F.min("doc_id").alias(id_col)).select(id_col).where(F.col(id_col).isNotNull()).distinct(), "stay")
+    go = materialize(held.select(F.col("doc_id").alias(id_col)).where(F.col(id_col).isNotNull()).distinct().join(stay, id_col, "left_anti"), "go")
+    n, gone = stay.count(), go.count()
+    if gone <= min(n, BROADCAST_IDS):
+        return docs.join(F.broadcast(go), id_col, "left_anti") if gone else docs
+    return docs.join(F.broadcast(stay), id_col, "left_semi").unionByName(docs.where(F.col(id_col).isNull())) if n <= BROADCAST_IDS else docs
 
 
 # ---------------------------------------------------------------- pairs within a task
@@ -571,11 +639,16 @@ def _linked(lists: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, tex
 def _join(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame, tuple[DataFrame, ...]]:
     """(members, links by cell, written tables that both read)."""
     sets, clash = _parted(docs, id_col, text_col, n)
-    shared = materialize(_shared(signature_table(docs, text_col, n, num, den, clash)), "shared")
+    parts = int(sets.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]) // PART_GRAMS + 1
+    packed = signature_table(_once(docs, sets, id_col), text_col, n, num, den, clash, parts)
+    shared = materialize(_shared(packed, parts), "shared")
+    drop_shuffles(docs.sparkSession)
     lists = _candidates(shared, sets, num, den)
     discard(shared)
+    drop_shuffles(docs.sparkSession)
     linked = _linked(lists, sets, docs, id_col, text_col, n, num, den, clash)
     discard(lists)
+    drop_shuffles(docs.sparkSession)
     label = materialize(connected_components(linked, "node", "root"), "label")
     nodes = (
         sets.where("node is not null")

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -145,3 +146,31 @@ def test_unquoted_and_bare_secrets():
         right = sum([f["candidate"] for f in found[i]] == [keys[i]] for i in range(25 * k, 25 * k + 25))
         assert right >= 24, (forms[k], right)
     assert not any(found[len(texts) :])
+
+
+def test_signatures_travel_packed(spark):
+    """Signatures go through the shuffle by ranges, 12 bytes each, once for each set whatever tasks its copies lie in; what is shared is the same."""
+    rng = random.Random(11)
+    texts = [" ".join("w%d" % rng.randrange(4000) for _ in range(300)) for _ in range(40)]
+    texts += [t + " more" for t in texts[:10]]
+    docs = spark.createDataFrame(list(enumerate(texts * 6)), "doc_id long, text string").repartition(6)
+    none = np.zeros(0, np.int64)
+    sets, _ = ngram_join._parted(docs, "doc_id", "text", 5)
+    rows = ngram_join._once(docs, sets, "doc_id")
+    assert sorted(r.doc_id for r in rows.select("doc_id").collect()) == list(range(50))
+    packed = ngram_join.signature_table(rows, "text", 5, 80, 100, none, 4).collect()
+    count, size = sum(len(r.nodes) // 8 for r in packed), sum(len(r.steps) + len(r.nodes) for r in packed)
+    assert {r.part for r in packed} >= {0, 1, 2, 3} and size <= 16 * count
+    by_sig = {}
+    for r in packed:
+        sig, node = ngram_join._unpacked(pa.Table.from_pylist([r.asDict()]))
+        assert (np.diff(sig) >= 0).all()
+        for s, n in zip(sig.tolist(), node.tolist(), strict=True):
+            by_sig.setdefault(s, set()).add(n)
+    want = {(s, n) for s, nodes in by_sig.items() if len(nodes) > 1 for n in nodes}
+    for parts in (1, 4):
+        found = ngram_join._shared(ngram_join.signature_table(docs, "text", 5, 80, 100, none, parts), parts).collect()
+        assert len(found) == len(want) and {tuple(r) for r in found} == want and len(want) > 100
+    steep = np.array([3, 1 << 47, 5], np.uint64)
+    batch = list(ngram_join._packed([(steep, np.zeros(3, np.int8), np.array([7, 8, 9]))], 1))
+    assert [x.tolist() for x in ngram_join._unpacked(pa.Table.from_batches(batch))] == [[3, 5, 1 << 47], [7, 9, 8]]
