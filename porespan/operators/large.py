@@ -6,10 +6,11 @@ realizations stay there.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from porespan.operators import contacts as C
+from porespan.operators import dense as D
 from porespan.operators.graph import connected_components
 from porespan.policy import Domain, Policy, SetupError, TrialError
 from porespan.session import discard, materialize
@@ -23,10 +24,10 @@ def nodes_of(particles: DataFrame) -> DataFrame:
     return particles.select("idx", "parent_id").join(first, "parent_id", "left").select("idx", F.coalesce("__first", "idx").cast("long").alias("node"))
 
 
-def _links(contacts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``contacts`` with the nodes ``a`` and ``b`` of both particles, where they differ."""
+def _links(contacts: DataFrame, nodes: DataFrame, loops: bool = False) -> DataFrame:
+    """``contacts`` with the nodes ``a`` and ``b`` of both particles, where they differ; with ``loops`` everywhere."""
     a, b = nodes.select(F.col("idx").alias("i"), F.col("node").alias("a")), nodes.select(F.col("idx").alias("j"), F.col("node").alias("b"))
-    return contacts.join(a, "i").join(b, "j").where("a <> b")
+    return contacts.join(a, "i").join(b, "j").where(F.lit(loops) | (F.col("a") != F.col("b")))
 
 
 def breadth_first(links: DataFrame, start: DataFrame, goal: DataFrame, max_depth: int = 10_000) -> list[int] | None:
@@ -55,8 +56,8 @@ def breadth_first(links: DataFrame, start: DataFrame, goal: DataFrame, max_depth
     raise TrialError("path longer than max_depth")
 
 
-def weighted_components(links: DataFrame, axis: int, max_rounds: int = 60) -> tuple[DataFrame, DataFrame]:
-    """(``node, component``; ``component, loop`` of those with a loop that winds along the axis, and its steps) of ``links (a, b, sx, sy, sz)``: b lies at a plus the steps.
+def weighted_components(links: DataFrame, axes: tuple[int, ...], max_rounds: int = 60) -> tuple[DataFrame, list[DataFrame]]:
+    """(``node, component``; for each axis ``component, loop`` of those with a loop that winds along it, and its steps) of ``links (a, b, sx, sy, sz)``: b lies at a plus the steps.
 
     Alternating stars as in ``connected_components``, with steps along. Edges only change by a detour over others, so loops keep their winding;
     where two edges between the same nodes differ along the axis, or an edge leads back to its node with a step, the node is marked.
@@ -70,33 +71,39 @@ def weighted_components(links: DataFrame, axis: int, max_rounds: int = 60) -> tu
         """u - v becomes v - m, where m is the least neighbour of u."""
         return edges.join(least, "u").select(F.col("v").alias("u"), F.col("m.v").alias("v"), *[(F.col(f"m.{s}") - F.col(s)).alias(s) for s in STEPS])
 
-    own = STEPS[axis]
+    loops = [f"loop{k}" for k in axes]
 
     def paired(edges: DataFrame) -> DataFrame:
-        """One edge for each pair of nodes; whether others, or its way back to its node, wind."""
-        by = F.struct(F.col(own).alias("own"), *STEPS)
-        out = edges.groupBy("u", "v").agg(F.min(F.struct(*STEPS)).alias("s"), F.max(by).alias("hi"), F.min(by).alias("lo"))
-        # two edges make a loop of their difference; an edge back to its node is one by itself
-        pair = F.array(*[F.col(f"hi.{s}") - F.col(f"lo.{s}") for s in STEPS])
-        back = F.array(*[F.when(F.col("lo.own") > 0, F.col(f"lo.{s}")).otherwise(-F.col(f"lo.{s}")) for s in STEPS])
-        loop = F.when(F.col("hi.own") != F.col("lo.own"), pair).when((F.col("u") == F.col("v")) & (F.col("lo.own") != 0), back)
-        return out.select("u", "v", *[F.col(f"s.{s}").alias(s) for s in STEPS], loop.alias("loop"), loop.isNotNull().alias("winds"))
+        """One edge for each pair of nodes; for each axis whether others, or its way back to its node, wind."""
+        by = {k: F.struct(F.col(STEPS[k]).alias("own"), *STEPS) for k in axes}
+        ends = [end(by[k]).alias(f"{name}{k}") for k in axes for name, end in (("hi", F.max), ("lo", F.min))]
+        out = edges.groupBy("u", "v").agg(F.min(F.struct(*STEPS)).alias("s"), *ends)
+
+        def loop(k: int) -> Column:
+            # two edges make a loop of their difference; an edge back to its node is one by itself
+            hi, lo = (lambda s: F.col(f"hi{k}.{s}")), (lambda s: F.col(f"lo{k}.{s}"))
+            pair = F.array(*[hi(s) - lo(s) for s in STEPS])
+            back = F.array(*[F.when(lo("own") > 0, lo(s)).otherwise(-lo(s)) for s in STEPS])
+            return F.when(hi("own") != lo("own"), pair).when((F.col("u") == F.col("v")) & (lo("own") != 0), back)
+
+        return out.select("u", "v", *[F.col(f"s.{s}").alias(s) for s in STEPS], *[loop(k).alias(f"loop{k}") for k in axes])
 
     rounds = [materialize(paired(oriented(links.select(F.col("a").alias("u"), F.col("b").alias("v"), *STEPS))), "pairs")]
     mark = None
     for _ in range(max_rounds):
-        edges = rounds[-1].where("u <> v").drop("winds", "loop")
+        edges = rounds[-1].where("u <> v").drop(*loops)
         seen = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if seen == mark:
             marks = None
             for pairs in rounds:
-                part = pairs.where("winds").select("u", "loop")
+                part = pairs.where(F.coalesce(*loops).isNotNull()).select("u", *loops)
                 marks = part if marks is None else marks.unionByName(part)
             ends = [edges.select(F.col("u").alias("node"), F.col("v").alias("component")), edges.select(F.col("v").alias("node"), F.col("v").alias("component")), marks.select(F.col("u").alias("node"), F.col("u").alias("component"))]
             label = materialize(ends[0].unionByName(ends[1]).unionByName(ends[2]).groupBy("node").agg(F.min("component").alias("component")), "label")
-            wound = materialize(label.join(marks, F.col("node") == F.col("u")).groupBy("component").agg(F.min("loop").alias("loop")), "wound")
+            least = [label.join(marks, F.col("node") == F.col("u")).where(F.col(c).isNotNull()).groupBy("component").agg(F.min(c).alias("loop")) for c in loops]
+            wounds = [materialize(wound, "wound") for wound in least]
             discard(*rounds)
-            return label, wound
+            return label, wounds
         mark = seen
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), *[(-F.col(s)).alias(s) for s in STEPS]))
         least = both.where("v < u").groupBy("u").agg(F.min(F.struct("v", *STEPS)).alias("m"))
@@ -125,34 +132,55 @@ def _one_row(particles: DataFrame, percolates: bool, n_nodes: int, n_components:
 
 
 def face_percolation(particles: DataFrame, domain: Domain, threshold: float, axis: int, wrapped_parent: bool = False, method: str = "cell_list", policy: Policy = C.POLICY) -> DataFrame:
-    nodes = materialize(nodes_of(particles), "nodes")
-    links = materialize(_links(C.find_contacts(particles, domain.opened(axis), threshold, method, policy), nodes).select("a", "b").distinct(), "links")
-    ends = materialize(C.electrodes(particles, domain, axis, threshold, wrapped_parent, policy).select("idx", "at_lower", "at_upper").join(nodes, "idx"), "ends")
-    path = breadth_first(links, ends.where("at_lower").select("node"), ends.where("at_upper").select("node"))
-    label = connected_components(links)
+    return face_percolations(particles, domain, threshold, (axis,), wrapped_parent, method, policy)[0]
+
+
+def face_percolations(particles: DataFrame, domain: Domain, threshold: float, axes: tuple[int, ...], wrapped_parent: bool = False, method: str = "cell_list", policy: Policy = C.POLICY) -> list[DataFrame]:
+    """A result for each axis. Axes whose opened domains are equal share their links."""
+    nodes, out, shared = materialize(nodes_of(particles), "nodes"), [], {}
     n = nodes.select("node").distinct().count()
-    joined, count = label.agg(F.count("*"), F.countDistinct("component")).first()
-    discard(nodes, links, ends)
-    return _one_row(particles, path is not None, n, n - joined + count, path or [])
+    for axis in axes:
+        opened = domain.opened(axis)
+        if opened not in shared:
+            rows = D.dealt(particles, opened, threshold, policy) if C._method(method) == "cell_list" else None
+            held = None if rows is None else materialize(rows.join(nodes, "idx"), "held")
+            found = C.find_contacts(particles, opened, threshold, method, policy) if held is None else D.spanning_links(particles, opened, threshold, policy)
+            links = materialize(_links(found, nodes).select("a", "b").distinct(), "links")
+            label = connected_components(links)
+            shared[opened] = held, links, label.agg(F.count("*"), F.countDistinct("component")).first()
+        held, links, (joined, count) = shared[opened]
+        ends = materialize(C.electrodes(particles, domain, axis, threshold, wrapped_parent, policy).select("idx", "at_lower", "at_upper").join(nodes, "idx"), "ends")
+        start, goal = (ends.where(c).select("node") for c in ("at_lower", "at_upper"))
+        path = breadth_first(links, start, goal) if held is None else D.breadth_first(held, opened, threshold, policy, start, goal)
+        discard(ends)
+        out.append(_one_row(particles, path is not None, n, n - joined + count, path or []))
+    discard(nodes, *[t for held, links, _ in shared.values() for t in (held, links) if t is not None])
+    return out
 
 
 def winding_percolation(particles: DataFrame, domain: Domain, threshold: float, axis: int, method: str = "cell_list", policy: Policy = C.POLICY) -> DataFrame:
+    return winding_percolations(particles, domain, threshold, (axis,), method, policy)[0]
+
+
+def winding_percolations(particles: DataFrame, domain: Domain, threshold: float, axes: tuple[int, ...], method: str = "cell_list", policy: Policy = C.POLICY) -> list[DataFrame]:
+    """A result for each axis, from one search for links and one pass of rounds."""
     from porespan.operators.percolation import offset_problems, self_images
 
-    if not domain.periodic[axis]:
+    if not all(domain.periodic[axis] for axis in axes):
         raise SetupError("winding needs a periodic axis")
     if offset_problems(particles, domain).limit(1).count():
         raise SetupError("offsets must be stated for all fragments of a parent or none, and be zero along open axes")
     nodes = materialize(nodes_of(particles), "nodes")
     own = particles.select("idx", *[F.coalesce(F.col(f"o{a}"), F.lit(0)).alias(f"o{a}") for a in "xyz"])
     at = lambda s: own.select(F.col("idx").alias(s), *[F.col(f"o{a}").alias(f"o{a}{s}") for a in "xyz"])
-    found = _links(C.find_contacts(particles, domain, threshold, method, policy), nodes).join(at("i"), "i").join(at("j"), "j")
+    found = D.spanning_links(particles, domain, threshold, policy) if C._method(method) == "cell_list" else C.find_contacts(particles, domain, threshold, method, policy)
+    found = _links(found, nodes, loops=True).join(at("i"), "i").join(at("j"), "j")
     links = found.select("a", "b", *[(F.col(f"s{a}") + F.col(f"o{a}i") - F.col(f"o{a}j")).alias(f"s{a}") for a in "xyz"])
     loops = self_images(particles, domain, policy, nodes).select(F.col("node").alias("a"), F.col("node").alias("b"), *STEPS)
-    links = materialize(links.unionByName(loops).distinct(), "links")
-    label, wound = weighted_components(links, axis)
+    links = materialize(links.unionByName(loops).where("a <> b or sx <> 0 or sy <> 0 or sz <> 0").distinct(), "links")
+    label, wounds = weighted_components(links, axes)
     n = nodes.select("node").distinct().count()
     joined, count = label.agg(F.count("*"), F.countDistinct("component")).first()
-    first = wound.orderBy("component").select("loop").first()
-    discard(nodes, links, label)
-    return _one_row(particles, first is not None, n, n - joined + count, None, first and list(first[0]))
+    firsts = [wound.orderBy("component").select("loop").first() for wound in wounds]
+    discard(nodes, links, label, *wounds)
+    return [_one_row(particles, first is not None, n, n - joined + count, None, first and list(first[0])) for first in firsts]
